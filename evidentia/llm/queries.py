@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from .chat import chat_format
 from .exact_dedup import exact_dedup
+from .language_id import language_id
+from .packing import pack
+from .quality import quality_scores
 from .warc import warc_round_trip
 
 
@@ -16,6 +19,16 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document."""
+    return language_id(_table(spark, sf_dir, "documents"))
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of at most 4096 tokens."""
+    return pack(_table(spark, sf_dir, "documents"))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written to WARC archives and read back."""
     back = warc_round_trip(_table(spark, sf_dir, "pages"), min_bytes=0)
@@ -88,10 +101,18 @@ FROM d JOIN g USING (text_sha256)
 """
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of every document."""
+    return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
+    "op2_packing": op2_packing,
     "op3_warc": op3_warc,
     "op7_chat": op7_chat,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_quality": op10_quality,
 }
 
 SQL: dict[str, str] = {"op3_warc": OP3_SQL, "op7_chat": OP7_SQL, "op9_exact_dedup": OP9_SQL}
