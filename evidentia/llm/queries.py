@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from .chat import chat_format
 from .exact_dedup import exact_dedup
+from .html_text import extract_text
 from .language_id import language_id
+from .line_dedup import remove_boilerplate
 from .packing import pack
 from .quality import quality_scores
 from .warc import warc_round_trip
@@ -62,6 +64,43 @@ FROM v
 """
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return extract_text(_table(spark, sf_dir, "pages"))
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without cross-site boilerplate lines."""
+    return remove_boilerplate(_table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
+
+
+OP6_SQL = """
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, text, coalesce(source, '') AS site, string_split(coalesce(text, ''), chr(10)) AS lines
+  FROM documents
+), l AS (
+  SELECT r, site, unnest(lines) AS line, unnest(range(len(lines))) AS place FROM d
+), k AS (
+  SELECT r, site, line, place, lower(trim(line, ' ' || chr(9) || chr(13))) AS key FROM l
+), e AS (
+  SELECT * FROM k WHERE length(key) - length(replace(key, ' ', '')) >= 3
+), b AS (
+  SELECT key FROM e GROUP BY key HAVING count(DISTINCT site) >= 3
+), x AS (
+  SELECT r, list(place) AS removed FROM e WHERE key IN (SELECT key FROM b) GROUP BY r
+), c AS (
+  SELECT d.*, removed, array_to_string(list_transform(list_filter(range(len(lines)), lambda i: NOT list_contains(removed, i)), lambda i: lines[i + 1]), chr(10)) AS cleaned
+  FROM d LEFT JOIN x USING (r)
+), s AS (
+  SELECT *, removed IS NOT NULL AND length(coalesce(cleaned, '')) >= 0.5 * length(text) AS strip FROM c
+)
+SELECT doc_id, CASE WHEN strip THEN coalesce(cleaned, '') ELSE text END AS text,
+  CAST(CASE WHEN text IS NULL THEN 0 ELSE len(lines) END AS BIGINT) AS n_lines,
+  CAST(CASE WHEN strip THEN len(removed) ELSE 0 END AS BIGINT) AS n_removed
+FROM s
+"""
+
+
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Maximal conversations of the log, rendered."""
     return chat_format(_table(spark, sf_dir, "conversations"))
@@ -110,9 +149,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_packing": op2_packing,
     "op3_warc": op3_warc,
+    "op5_html_text": op5_html_text,
+    "op6_line_dedup": op6_line_dedup,
     "op7_chat": op7_chat,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_quality": op10_quality,
 }
 
-SQL: dict[str, str] = {"op3_warc": OP3_SQL, "op7_chat": OP7_SQL, "op9_exact_dedup": OP9_SQL}
+SQL: dict[str, str] = {"op3_warc": OP3_SQL, "op6_line_dedup": OP6_SQL, "op7_chat": OP7_SQL, "op9_exact_dedup": OP9_SQL}
