@@ -12,6 +12,7 @@ from .exact_dedup import exact_dedup
 from .html_text import extract_text
 from .language_id import language_id
 from .line_dedup import remove_boilerplate
+from .near_dup import near_duplicates
 from .packing import pack
 from .quality import quality_scores
 from .warc import warc_round_trip
@@ -64,6 +65,11 @@ FROM v
 """
 
 
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its near-duplicate class and number of links."""
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page."""
     return extract_text(_table(spark, sf_dir, "pages"))
@@ -149,6 +155,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_packing": op2_packing,
     "op3_warc": op3_warc,
+    "op4_ngram_jaccard": op4_ngram_jaccard,
     "op5_html_text": op5_html_text,
     "op6_line_dedup": op6_line_dedup,
     "op7_chat": op7_chat,
