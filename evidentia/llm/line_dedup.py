@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,6 +63,7 @@ def remove_boilerplate(
     min_sites: int = MIN_SITES,
     min_words: int = MIN_WORDS,
     max_removed: float = MAX_REMOVED,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
     """The id, text and site columns of `docs`, the text without lines that stand on `min_sites` distinct sites.
 
@@ -76,6 +79,7 @@ def remove_boilerplate(
         F.col(f"`{id_col}`").alias(id_col),
         F.col(f"`{text_col}`").cast("string").alias(text_col),
         F.col(f"`{site_col}`").alias(site_col),
+        *[F.col(f"`{name}`").alias(name) for name in carry],
     )
     keys = written(boilerplate_keys(site_lines(rows, text_col, site_col, min_words), min_sites), "boilerplate")
     # Equal ids with equal texts lose the same lines, so a hash of both stands for the row.
@@ -88,12 +92,13 @@ def remove_boilerplate(
     joined = rows.withColumns({"r1": row[0], "r2": row[1]}).join(removed, ["r1", "r2"], "left")
     left = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("removed", i)), "\n")
     cleaned = F.when(F.col("removed").isNotNull(), left).alias("cleaned")
-    out = joined.select(id_col, text_col, site_col, "removed", F.size(lines).alias("n_lines"), cleaned)
+    out = joined.select(id_col, text_col, site_col, *carry, "removed", F.size(lines).alias("n_lines"), cleaned)
     strip = F.coalesce(F.length("cleaned") >= (1 - max_removed) * F.length(text_col), F.lit(False))
     return out.select(
         id_col,
         F.when(strip, F.col("cleaned")).otherwise(F.col(text_col)).alias(text_col),
         site_col,
+        *carry,
         F.when(F.col(text_col).isNull(), 0).otherwise(F.col("n_lines")).cast("long").alias("n_lines"),
         F.when(strip, F.size("removed")).otherwise(0).cast("long").alias("n_removed"),
     )

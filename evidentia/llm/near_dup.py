@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship, written
@@ -244,6 +244,8 @@ def near_duplicates(
     threshold: float = THRESHOLD,
     target_recall: float = TARGET_RECALL,
     block_rows: int = BLOCK_ROWS,
+    carry: Sequence[str] = (),
+    representatives_only: bool = False,
 ) -> DataFrame:
     """One row per input row: doc_id, text_class, class_id and n_links.
 
@@ -254,6 +256,9 @@ def near_duplicates(
     (as stars around one text, never as all pairs), inside which full n-gram sets are compared block by block; a
     block's comparisons stay in one task, and only counts and roots by text leave it.
 
+    With `representatives_only` the result is instead one row of each class, the one with the smallest id, with the
+    id, the text and the columns `carry`; of repeated rows one stays.
+
     Defined cases: a null text counts as empty; texts without words are copies of each other; rows that repeat an id
     are rows like others, and rows with null ids are compared too (a class with null ids alone has class null); an
     empty table gives no rows; further columns are ignored; texts of any length are compared whole.
@@ -261,9 +266,14 @@ def near_duplicates(
     spark = docs.sparkSession
     ship(spark)
     bands, rows = choose_bands(threshold, target_recall)
-    texts = pick(docs, {id_col: "long", text_col: "string"}).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    texts = docs.select(
+        F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"),
+        *[F.col(f"`{name}`").alias(f"carried_{i}") for i, name in enumerate(carry)],
+    )
     # Ids may repeat or be null, so a hash of id and text finds a row again.
-    texts = texts.select("doc_id", F.xxhash64(F.lit(3), "doc_id", "text").alias("r1"), F.xxhash64(F.lit(5), "doc_id", "text").alias("r2"), "text")
+    carried = [f"carried_{i}" for i in range(len(carry))]
+    rows_of = texts.select("doc_id", _row(3).alias("r1"), _row(5).alias("r2"), "text", *carried)
+    texts = rows_of.drop(*carried)
     signed = texts.mapInArrow(_signer(bands, rows, size), "doc_id long, r1 long, r2 long, key binary, bands array<long>")
     signed = written(signed, "signatures")
     # Classes of equal word sequences; a map-side aggregation leaves one row of a hot class for each task.
@@ -289,15 +299,28 @@ def near_duplicates(
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = dealt.repartition(n, "comp", "low", "high").sortWithinPartitions("comp", "low", "high")
     found = written(dealt.mapInArrow(_verifier(size, threshold), "key binary, root binary, n long"), "found")
-    return _named(signed, classes, found)
+    if not representatives_only:
+        return _named(signed, classes, found)
+    best = _rooted(classes, found).groupBy("root").agg(F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "r1", "r2")).alias("best"))
+    kept = rows_of.join(best.select("best.r1", "best.r2"), ["r1", "r2"]).dropDuplicates(["r1", "r2"])
+    named = [F.col(f"carried_{i}").alias(name) for i, name in enumerate(carry)]
+    return kept.select(F.col("doc_id").alias(id_col), F.col("text").alias(text_col), *named)
+
+
+def _row(seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), "doc_id", "text")
+
+
+def _rooted(classes: DataFrame, found: DataFrame) -> DataFrame:
+    """Classes with the root of their component."""
+    roots = connected(found.select(F.col("key").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("key"), "root")
+    return classes.drop("bands").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
 
 
 def _named(signed: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
     """Rows with the smallest ids of their text and of their component, and their links."""
     counts = found.groupBy("key").agg(F.sum("n").alias("linked"))
-    roots = connected(found.select(F.col("key").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("key"), "root")
-    named = classes.select("key", "rep", "copies").join(counts, "key", "left").join(roots, "key", "left")
-    named = named.withColumn("root", F.coalesce("root", "key"))
+    named = _rooted(classes, found).join(counts, "key", "left")
     ids = named.groupBy("root").agg(F.min("rep").alias("class_id"))
     named = named.join(ids, "root").select(
         "key", F.col("rep").alias("text_class"), "class_id",

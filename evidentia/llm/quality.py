@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import ship, written
 from .common import U64, code_points, hash_runs, held_out, is_space, mix64, pick, steps
@@ -266,20 +267,22 @@ def _scorer(shared):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         network: Network = shared.value
         for batch in batches:
-            scores = network.scores(batch.column("text").to_pylist())
+            scores = network.scores(batch.column(batch.num_columns - 1).to_pylist())
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(scores)], names=[*batch.schema.names, "score"]
+                [*batch.columns[:-1], pa.array(scores)], names=[*batch.schema.names[:-1], "score"]
             )
 
     return score
 
 
-def score(docs: DataFrame, network: Network) -> DataFrame:
-    """doc_id, text, held_out and score of each row; only the text decides."""
+def score(docs: DataFrame, network: Network, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """The columns `keep` of each row of `docs` (doc_id, text, ...) with its held_out and score; only the text decides."""
     spark = docs.sparkSession
     ship(spark)
-    rows = pick(docs, {"doc_id": "long", "text": "string"}).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
-    return rows.mapInArrow(_scorer(spark.sparkContext.broadcast(network)), "doc_id long, held_out boolean, text string, score double")
+    held = [F.col(f"`{name}`").alias(name) for name in keep]
+    rows = docs.select(*held, held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("scored_text"))
+    schema = T.StructType([*rows.schema.fields[:-1], T.StructField("score", T.DoubleType())])
+    return rows.mapInArrow(_scorer(spark.sparkContext.broadcast(network)), schema)
 
 
 def quality_scores(

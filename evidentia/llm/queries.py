@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chat import chat_format
+from .decontaminate import leaked_items
 from .exact_dedup import exact_dedup
 from .html_text import extract_text
 from .language_id import language_id
@@ -131,6 +132,11 @@ FROM u JOIN c USING (conv_id) WHERE u.turns NOT IN (SELECT turns FROM inner_pref
 """
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark items that documents leak."""
+    return leaked_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the largest doc_id of its group of equal texts."""
     return exact_dedup(_table(spark, sf_dir, "documents"), keep="largest")
@@ -159,6 +165,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_html_text": op5_html_text,
     "op6_line_dedup": op6_line_dedup,
     "op7_chat": op7_chat,
+    "op8_decontaminate": op8_decontaminate,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_quality": op10_quality,
 }
