@@ -28,6 +28,16 @@ PIECES = (
 _OTHER = re.compile("[\\x1c-\\x1f\\u0130\\u0250-\\u200f\\u2028-\\U0010ffff]|<\\|startoftext\\|>|<\\|endoftext\\|>")
 
 
+def _byte_signs() -> list[str]:
+    """The sign that the byte-level pre-tokenizer writes for each byte: printable Latin-1 bytes stay, others follow 255."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return [chr(b) if b in plain else chr(256 + rest.index(b)) for b in range(256)]
+
+
+_BYTE_SIGNS = _byte_signs()
+
+
 class _Words(dict):
     """White-space separated token -> number of its entry in the encoder's table."""
 
@@ -56,6 +66,7 @@ class Encoder:
         self.tokenizer.no_truncation()
         # Fixed value: the pre-tokenizer's own pattern.
         self.pieces = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
+        self.merge = self.tokenizer.model.tokenize
         self.limit = cache_words
         self.clear()
 
@@ -71,10 +82,11 @@ class Encoder:
 
     def new(self, word: str) -> int:
         ids: list[int] = []
-        for part in self.pieces(word):
+        for part in (word,) if word.isalpha() else self.pieces(word):
             known = self.parts.get(part)
             if known is None:
-                known = self.parts[part] = self.tokenizer.encode(part, add_special_tokens=False).ids
+                signs = part if part.isascii() and part.isprintable() else "".join([_BYTE_SIGNS[b] for b in part.encode()])
+                known = self.parts[part] = [token.id for token in self.merge(signs)]
             ids += known
         if self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros(len(self.flat) + len(ids), dtype=np.uint32)])
