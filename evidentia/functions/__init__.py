@@ -1 +1 @@
-
+"""Scalar functions as column expressions; all stay inside code generation."""

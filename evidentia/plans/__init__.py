@@ -1 +1 @@
-
+"""Composed dataflows and the registered queries."""

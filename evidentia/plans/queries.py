@@ -1,0 +1,587 @@
+"""Registered queries of the engine's operators, and the SQL that checks them. Keys begin with the operator's number."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import scalar as S
+from ..operators import communities as C
+from ..operators import entities as E
+from ..operators import evaluation as V
+from ..operators import graph as G
+from ..operators import retrieval as R
+from ..operators import usage as U
+from ..sources.tables import synthetic, table
+from ..streaming import calls as L
+from . import fixtures as X
+from .fixtures import CALLS_SQL, CHUNKS_SQL, GRAPH_SQL
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def register(made: Query) -> Query:
+        QUERIES[name] = made
+        if sql:
+            SQL[name] = sql
+        return made
+
+    return register
+
+
+# Chunks, terms and scalar functions
+
+
+@query("r1_chunks", f"WITH {CHUNKS_SQL} SELECT kb_id, doc_id, title, position, content FROM chunks")
+def r1_chunks(spark, sf):
+    """All documents as overlapping chunks."""
+    return X.chunks(spark, sf).drop("chunk_id")
+
+
+@query("f1_normalize", """
+SELECT name, regexp_replace(lower(trim(name)), '[\\s\\p{Z}\\p{P}\\p{S}]+', '', 'g') AS normalized, count(*) AS n
+FROM (SELECT s_name AS name FROM supplier UNION ALL SELECT c_name FROM customer UNION ALL SELECT p_name || ' - ' || p_brand FROM part UNION ALL SELECT n_name FROM nation)
+GROUP BY ALL""")
+def f1_normalize(spark, sf):
+    """Normalized names."""
+    names = table(spark, sf, "supplier").select(F.col("s_name").alias("name")).unionByName(table(spark, sf, "customer").select(F.col("c_name").alias("name")))
+    names = names.unionByName(table(spark, sf, "part").select(F.concat("p_name", F.lit(" - "), "p_brand").alias("name"))).unionByName(table(spark, sf, "nation").select(F.col("n_name").alias("name")))
+    return names.groupBy("name").agg(F.count("*").alias("n")).withColumn("normalized", S.normalize_name(F.col("name")))
+
+
+TERMS_SQL = """
+terms AS (
+  SELECT item_id, term, min(place) AS place FROM (
+    SELECT item_id, unnest(m) AS term, unnest(range(len(m))) AS place FROM (
+      SELECT item_id, regexp_extract_all(lower(text), '[\\p{Han}]{2,}|[\\p{L}\\p{N}][\\p{L}\\p{N}_-]+') AS m FROM benchmark))
+  WHERE term NOT IN ('what','where','when','which','who','does','the','and','for','with','from','that','this') GROUP BY item_id, term
+)"""
+
+
+@query("f2_terms", f"WITH {TERMS_SQL} SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY place) - 1 AS place, term FROM terms")
+def f2_terms(spark, sf):
+    """Search terms of all benchmark questions."""
+    return table(spark, sf, "benchmark").select("item_id", F.posexplode(S.terms(F.col("text"))).alias("place", "term")).withColumn("place", F.col("place").cast("bigint"))
+
+
+@query("f4_answers", """
+SELECT conv_id, turn, text <> '' AND len(c) > 0 AS cited, CAST(len(c) AS BIGINT) AS n_citations, text = '' OR contains(lower(text), 'no information') AS abstains,
+  CAST(ceil(strlen(text) / 4.0) AS BIGINT) AS tokens
+FROM (SELECT conv_id, turn, text, list_distinct(regexp_extract_all(text, '\\[([0-9]+)\\]', 1)) AS c
+  FROM (SELECT conv_id, turn, coalesce(text, '') || CASE WHEN turn % 2 = 1 THEN ' [' || turn || '] [' || turn || ']' ELSE '' END || CASE WHEN turn = 3 THEN ' No Information.' ELSE '' END AS text FROM conversations))""")
+def f4_answers(spark, sf):
+    """Citations, abstention and token estimate of every turn of the chat log, with marks added to some."""
+    mark = F.when(F.col("turn") % 2 == 1, F.concat(F.lit(" ["), F.col("turn"), F.lit("] ["), F.col("turn"), F.lit("]"))).otherwise("")
+    text = F.concat(F.coalesce("text", F.lit("")), mark, F.when(F.col("turn") == 3, " No Information.").otherwise(""))
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", text.alias("text"))
+    told = F.col("text")
+    return rows.select("conv_id", "turn", S.has_citations(told).alias("cited"), F.size(S.citations(told)).cast("bigint").alias("n_citations"), S.is_abstention(told).alias("abstains"), S.token_estimate(F.octet_length(told)).alias("tokens"))
+
+
+@query("f11_scalar", """
+SELECT p_partkey, substr(regexp_replace(upper(trim(p_type || ' - ' || p_name)), '[^A-Z0-9_]+', '_', 'g'), 1, 100) AS relation,
+  sha256(p_name) AS digest, CASE WHEN p_size % 2 = 0 THEN CAST(p_size AS VARCHAR) ELSE CAST(p_size + 0.5 AS VARCHAR) END AS weight,
+  round(p_retailprice / 7, 5) AS price, concat_ws(chr(10), nullif(p_name, ''), 'Product', nullif(CASE WHEN p_size % 3 = 0 THEN '' ELSE p_brand END, '')) AS embedded,
+  split_part(p_name || '@' || p_brand, '@', 1) AS provider, p_brand AS model FROM part""")
+def f11_scalar(spark, sf):
+    """Relation types, digests, weight texts, rounding, embedding texts and model names."""
+    size = F.col("p_size")
+    split = S.split_model(F.concat("p_name", F.lit("@"), "p_brand"))
+    weight = F.when(size % 2 == 0, size.cast("double")).otherwise(size + 0.5)
+    return table(spark, sf, "part").select(
+        "p_partkey", S.relation_type(F.concat("p_type", F.lit(" - "), "p_name")).alias("relation"), F.sha2("p_name", 256).alias("digest"), S.weight_text(weight).alias("weight"),
+        F.round(F.col("p_retailprice") / 7, 5).alias("price"), S.embedding_text(F.col("p_name"), F.lit("Product"), F.when(size % 3 == 0, "").otherwise(F.col("p_brand"))).alias("embedded"),
+        split["provider"].alias("provider"), split["model"].alias("model"),
+    )
+
+
+# Retrieval
+
+VECTORS_SQL = """
+vecs AS (
+  SELECT doc_id AS chunk_id, embedding::DOUBLE[] AS embedding FROM documents JOIN embeddings ON doc_id % (SELECT max(vec_id) + 1 FROM embeddings) = vec_id
+)"""
+RANKED_SQL = f"""{VECTORS_SQL}, scored AS (
+  SELECT q.vec_id AS query_id, chunk_id, list_cosine_similarity(v.embedding, q.embedding::DOUBLE[]) AS score FROM vecs v CROSS JOIN (SELECT * FROM embeddings WHERE vec_id % 100 = 0) q
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, chunk_id) AS vector_rank FROM scored
+)"""
+
+
+def _ranked(spark, sf):
+    scores = R.vector_scores(X.vector_queries(spark, sf), X.vectors(spark, sf))
+    return scores.withColumn("score", F.round("score", 12))
+
+
+@query("r10_vector_rank", f"WITH {RANKED_SQL} SELECT query_id, chunk_id, round(score, 5) AS score, vector_rank FROM ranked")
+def r10_vector_rank(spark, sf):
+    """Every document's rank for each stated question vector."""
+    return R.vector_rank(_ranked(spark, sf)).withColumn("score", F.round("score", 5))
+
+
+@query("t1_vector_top", f"WITH {RANKED_SQL} SELECT query_id, chunk_id, round(score, 5) AS score, vector_rank FROM ranked WHERE vector_rank <= 5")
+def t1_vector_top(spark, sf):
+    """The five best documents for each stated question vector."""
+    return R.vector_top(_ranked(spark, sf), 5).withColumn("score", F.round("score", 5))
+
+
+HYBRID_SQL = f"""{TERMS_SQL}, {VECTORS_SQL}, q AS (
+  SELECT item_id AS query_id, text AS question, embedding FROM benchmark JOIN embeddings ON vec_id = item_id WHERE item_id % 100 = 0
+), scored AS (
+  SELECT query_id, chunk_id, round(list_cosine_similarity(v.embedding, q.embedding::DOUBLE[]), 12) AS score FROM vecs v CROSS JOIN q
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS vector_rank FROM scored
+), occ AS (
+  SELECT item_id AS query_id, doc_id AS chunk_id, length(term) AS l, CAST((length(t) - length(replace(t, term, ''))) / length(term) AS BIGINT) AS n
+  FROM terms JOIN q ON item_id = query_id CROSS JOIN (SELECT doc_id, lower(text) AS t FROM documents)
+), kw AS (
+  SELECT query_id, chunk_id, sum((1 + ln(n)) * least(l, 20)) AS keyword_score FROM occ WHERE n > 0 GROUP BY ALL
+), kr AS (
+  SELECT query_id, chunk_id, keyword_score, row_number() OVER (PARTITION BY query_id ORDER BY round(keyword_score, 9) DESC, vector_rank) AS keyword_rank FROM kw JOIN ranked USING (query_id, chunk_id)
+), fused0 AS (
+  SELECT query_id, chunk_id, score, vector_rank, 1 / (60 + vector_rank) + coalesce(1 / (60 + keyword_rank), 0) AS retrieval_score, keyword_rank IS NOT NULL AS k
+  FROM ranked LEFT JOIN kr USING (query_id, chunk_id)
+), fused AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(retrieval_score, 12) DESC, vector_rank) AS position FROM fused0)
+)"""
+
+
+def _hybrid(spark, sf, limit):
+    asked, docs = X.question_vectors(spark, sf), X.documents_as_chunks(spark, sf)
+    ranked = R.vector_rank(R.vector_scores(asked, X.vectors(spark, sf)).withColumn("score", F.round("score", 12)))
+    keywords = R.keyword_rank(asked, docs, ranked)
+    return R.fuse(ranked, {"keyword": keywords.select("query_id", "chunk_id", F.col("keyword_rank").alias("rank"))}, limit), keywords, docs
+
+
+@query("r11_keyword_rank", f"WITH {HYBRID_SQL} SELECT query_id, chunk_id, round(keyword_score, 5) AS keyword_score, keyword_rank FROM kr")
+def r11_keyword_rank(spark, sf):
+    """Documents by the terms of the stated questions."""
+    return _hybrid(spark, sf, 20)[1].withColumn("keyword_score", F.round("keyword_score", 5))
+
+
+@query("r12_rrf", f"WITH {HYBRID_SQL} SELECT query_id, chunk_id, round(score, 5) AS score, vector_rank, round(retrieval_score, 9) AS retrieval_score, CASE WHEN k THEN 'vector,keyword' ELSE 'vector' END AS channels, position FROM fused WHERE position <= 20")
+def r12_rrf(spark, sf):
+    """Fused candidates of the stated questions."""
+    fused = _hybrid(spark, sf, 20)[0]
+    return fused.withColumns({"score": F.round("score", 5), "retrieval_score": F.round("retrieval_score", 9), "channels": F.array_join("channels", ",")})
+
+
+@query("p15_sources", f"""WITH {HYBRID_SQL} SELECT query_id, position AS "index", doc_id, source AS title, round(score, 5) AS score, round(retrieval_score, 5) AS retrieval_score,
+  CASE WHEN k THEN 'vector,keyword' ELSE 'vector' END AS channels, substr(text, 1, 240) AS excerpt FROM fused JOIN documents ON doc_id = chunk_id WHERE position <= 5""")
+def p15_sources(spark, sf):
+    """Source rows of the stated questions' answers."""
+    fused, _, docs = _hybrid(spark, sf, 5)
+    return R.sources(fused, docs).withColumn("channels", F.array_join("channels", ","))
+
+
+@query("r14_context", f"WITH {HYBRID_SQL} SELECT query_id, string_agg('[' || position || '] ' || source || chr(10) || text, chr(10) || chr(10) ORDER BY position) AS context FROM fused JOIN documents ON doc_id = chunk_id WHERE position <= 5 GROUP BY query_id")
+def r14_context(spark, sf):
+    """Numbered context of the stated questions."""
+    fused, _, docs = _hybrid(spark, sf, 5)
+    return R.context(fused, docs)
+
+
+@query("r13_rerank", f"""WITH {HYBRID_SQL} SELECT query_id, chunk_id, position, row_number() OVER (PARTITION BY query_id ORDER BY chunk_id) AS final_position, true AS applied
+  FROM fused WHERE position <= 5""")
+def r13_rerank(spark, sf):
+    """Candidates in a model's order: here a stub that returns them by id."""
+    fused = _hybrid(spark, sf, 5)[0]
+    ranked = fused.groupBy("query_id").agg(F.sort_array(F.collect_list("chunk_id")).alias("ids"))
+    return R.rerank(fused, ranked, 5).select("query_id", "chunk_id", "position", F.col("final_position").cast("bigint").alias("final_position"), "applied")
+
+
+# Entities and graph tables
+
+
+@query("r5_merge_edges", f"WITH {GRAPH_SQL} SELECT kb_id, source, target, 'SUPPLIES' AS type, count(DISTINCT chunk_id) AS weight, max(confidence) AS confidence FROM ev GROUP BY ALL")
+def r5_merge_edges(spark, sf):
+    """Edges with weight and confidence from all order lines."""
+    return E.merge_edges(X.evidence(spark, sf))
+
+
+@query("j15_exact_match", f"""WITH {GRAPH_SQL} SELECT c_custkey AS item_id, entity_id FROM (SELECT *, 'supplier' || lpad(CAST(c_custkey % (SELECT count(*) FROM supplier) AS VARCHAR), 9, '0') AS n FROM customer)
+  JOIN entn ON kb_id = c_nationkey AND type = 'Organization' AND normalized_name = n""")
+def j15_exact_match(spark, sf):
+    """Customers, as mentions of suppliers, against entities of their nation by name."""
+    return E.match_exact(_mentions(spark, sf, "exact"), X.entities(spark, sf))
+
+
+@query("j16_alias_match", f"""WITH {GRAPH_SQL}, a AS (SELECT kb_id, entity_id, regexp_replace(lower(unnest(aliases)), '[\\s\\p{{P}}\\p{{S}}]+', '', 'g') AS n FROM ent WHERE type = 'Organization')
+  SELECT c_custkey AS item_id, min(entity_id) AS entity_id FROM (SELECT *, CASE WHEN c_custkey % 2 = 0 THEN 's' || c_custkey % (SELECT count(*) FROM supplier) ELSE 'nation' || c_nationkey END AS m FROM customer)
+  JOIN a ON kb_id = c_nationkey AND n = m GROUP BY c_custkey HAVING count(DISTINCT entity_id) = 1""")
+def j16_alias_match(spark, sf):
+    """The same by alias; aliases that several entities share match nothing."""
+    return E.match_alias(_mentions(spark, sf, "alias"), X.entities(spark, sf))
+
+
+def _mentions(spark, sf, kind):
+    n = table(spark, sf, "supplier").agg(F.count("*").alias("n"))
+    rows = table(spark, sf, "customer").crossJoin(F.broadcast(n))
+    key = (F.col("c_custkey") % F.col("n")).cast("string")
+    exact = F.concat(F.lit(" Supplier "), F.lpad(key, 9, "0"), F.lit("!"))
+    alias = F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("S "), key)).otherwise(F.concat(F.lit("NATION-"), F.col("c_nationkey").cast("string")))
+    return rows.select(F.col("c_custkey").alias("item_id"), F.col("c_nationkey").cast("bigint").alias("kb_id"), F.lit("Organization").alias("type"), (exact if kind == "exact" else alias).alias("name"))
+
+
+@query("j17_semantic_match", """WITH s AS (SELECT q.vec_id AS item_id, e.vec_id AS entity_id, list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS score
+  FROM embeddings q JOIN embeddings e ON q.label = e.label WHERE q.vec_id % 100 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, entity_id) AS n, lead(score) OVER (PARTITION BY item_id ORDER BY score DESC, entity_id) AS second FROM s)
+SELECT item_id, entity_id, round(score, 5) AS score FROM r WHERE n = 1 AND score >= 0.92 AND score - coalesce(second, -1.0) >= 0.05""")
+def j17_semantic_match(spark, sf):
+    """Stated vectors against all vectors of their label."""
+    rows = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").cast("bigint").alias("kb_id"), F.lit("Concept").alias("type"), "embedding")
+    items = rows.where(F.col("id") % 100 == 0).withColumnRenamed("id", "item_id")
+    return E.match_semantic(items, rows.withColumnRenamed("id", "entity_id")).withColumn("score", F.round("score", 5))
+
+
+@query("r4_resolve")
+def r4_resolve(spark, sf):
+    """All suppliers and customers as items, resolved in order."""
+    supplier = table(spark, sf, "supplier").select(F.col("s_nationkey").cast("bigint").alias("kb_id"), F.col("s_suppkey").alias("item_id"), F.col("s_name").alias("name"))
+    customer = table(spark, sf, "customer").select(F.col("c_nationkey").cast("bigint").alias("kb_id"), (F.col("c_custkey") + 10_000_000).alias("item_id"), F.regexp_replace("c_name", "Customer", "Supplier ").alias("name"))
+    items = supplier.unionByName(customer).withColumns({"type": F.lit("Organization"), "aliases": F.array(F.concat(F.lit("A"), F.substring("name", -3, 3))), "embedding": F.lit(None).cast("array<double>")})
+    return E.resolve_sequential(items)
+
+
+ANSWER_SQL = """x AS (SELECT event_id AS chunk_id, CAST(user_id AS VARCHAR) AS k, event_type AS t, value AS v FROM events)"""
+
+
+def _extraction(spark, sf):
+    rows = table(spark, sf, "events").select(F.col("event_id").alias("chunk_id"), F.col("user_id").cast("string").alias("k"), F.col("event_type").alias("t"), F.col("value").alias("v"))
+    answer = F.concat(
+        F.lit('```json\n{"entities":[{"key":" '), "k", F.lit('","name":" '), "t", F.lit(' ","type":"Person","description":"  ","aliases":["a"," a ","","b"]},{"key":"'), "k",
+        F.lit('","name":"again","type":"Person"},{"key":"z","name":"Z\t1","type":"Robot","description":"d"},{"key":"","name":"none"}],"relationships":[{"source_key":"'), "k",
+        F.lit('","target_key":"z","type":"works for","statement":"s","confidence":'), F.col("v").cast("string"), F.lit('},{"source_key":"q","target_key":"z","type":"x","statement":"s"},{"source_key":"z","target_key":"z","type":" ","statement":"s"}]}\n```'),
+    )
+    return E.parse_extraction(rows.select("chunk_id", answer.alias("answer")))
+
+
+@query("p22_entities", f"""WITH {ANSWER_SQL} SELECT chunk_id, CAST(0 AS BIGINT) AS position, k AS key, t AS name, 'Person' AS type, CAST(NULL AS VARCHAR) AS description, 'a,b' AS aliases FROM x
+  UNION ALL SELECT chunk_id, 2, 'z', 'Z' || chr(9) || '1', 'Other', 'd', '' FROM x""")
+def p22_entities(spark, sf):
+    """Entities of model answers (one for each event), checked."""
+    return E.valid_entities(_extraction(spark, sf)).withColumn("aliases", F.array_join("aliases", ","))
+
+
+@query("p22_relationships", f"WITH {ANSWER_SQL} SELECT chunk_id, CAST(0 AS BIGINT) AS position, k AS source_key, 'z' AS target_key, 's' AS statement, CAST(NULL AS VARCHAR) AS description, least(1.0, v) AS confidence, 'WORKS_FOR' AS type FROM x")
+def p22_relationships(spark, sf):
+    """Relationships of model answers, checked."""
+    found = _extraction(spark, sf)
+    return E.valid_relationships(found, E.valid_entities(found))
+
+
+@query("r6_prune", f"""WITH {GRAPH_SQL}, e AS (SELECT * FROM rel WHERE relationship_id IN (SELECT relationship_id FROM ev WHERE l_returnflag = 'R'))
+  SELECT kb_id, entity_id, type FROM ent WHERE entity_id IN (SELECT target FROM ev WHERE l_discount < 0.01) OR entity_id IN (SELECT source FROM e) OR entity_id IN (SELECT target FROM e)""")
+def r6_prune(spark, sf):
+    """Entities that are left when only returned lines are evidence and only undiscounted ones are mentions."""
+    lines = X.evidence(spark, sf)
+    mentions = lines.where("l_discount < 0.01").select(F.col("target").alias("entity_id"))
+    kept, _ = E.prune_orphans(X.entities(spark, sf), X.relationships(spark, sf), lines.where("l_returnflag = 'R'"), mentions)
+    return kept.select("kb_id", "entity_id", "type")
+
+
+@query("s19_cascade", """SELECT (SELECT count(*) FROM orders WHERE o_orderstatus <> 'F') AS chunks, (SELECT count(*) FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus <> 'F') AS evidence""")
+def s19_cascade(spark, sf):
+    """What is left after the documents of finished orders are deleted (orders as chunks, lines as evidence)."""
+    orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("doc_id"), F.col("o_orderkey").alias("chunk_id"), "o_orderstatus")
+    gone = orders.where("o_orderstatus = 'F'").select("doc_id")
+    lines = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("chunk_id"), "l_linenumber").join(orders.select("chunk_id"), "chunk_id", "left_semi")
+    _, chunks, _, left = E.delete_documents(orders, orders, lines, lines, gone)
+    return chunks.agg(F.count("*").alias("chunks")).crossJoin(left.agg(F.count("*").alias("evidence")))
+
+
+@query("s16_upsert", """SELECT s_suppkey AS key, CASE WHEN s_suppkey % 3 = 0 THEN s_acctbal * 2 ELSE s_acctbal END AS value FROM supplier
+  UNION ALL SELECT s_suppkey + 100000000, s_acctbal FROM supplier WHERE s_suppkey % 3 = 0""")
+def s16_upsert(spark, sf):
+    """Rows inserted if absent, then replaced by key."""
+    rows = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("key"), F.col("s_acctbal").alias("value"))
+    third = rows.where(F.col("key") % 3 == 0)
+    grown = E.insert_absent(rows, third.unionByName(third.withColumn("key", F.col("key") + 100_000_000)), ["key"])
+    return E.upsert(grown, third.withColumn("value", F.col("value") * 2), ["key"])
+
+
+# Graph search
+
+QUESTIONS_SQL = """qs AS (SELECT CAST(s_nationkey AS BIGINT) AS query_id, CAST(s_nationkey AS BIGINT) AS kb_id, 'Which parts does ' || min(s_name) || ' supply?' AS question FROM supplier GROUP BY s_nationkey),
+seeds AS (SELECT query_id, kb_id, entity_id FROM (SELECT q.query_id, e.kb_id, e.entity_id, row_number() OVER (PARTITION BY q.query_id ORDER BY e.entity_id) AS n
+  FROM (SELECT kb_id, entity_id, list_transform(list_prepend(canonical_name, aliases), lambda x: regexp_replace(lower(trim(x)), '[\\s\\p{Z}\\p{P}\\p{S}]+', '', 'g')) AS names FROM ent) e
+  JOIN (SELECT *, regexp_replace(lower(question), '[\\s\\p{Z}\\p{P}\\p{S}]+', '', 'g') AS plain FROM qs) q ON e.kb_id = q.kb_id
+  WHERE len(list_filter(names, lambda x: length(x) >= 2 AND contains(plain, x))) > 0) WHERE n <= 50)"""
+EXPAND_SQL = """
+h1 AS (SELECT * FROM (SELECT DISTINCT s.query_id, r.relationship_id, r.source, r.target, r.confidence, dense_rank() OVER (PARTITION BY s.query_id ORDER BY r.confidence DESC, r.relationship_id) AS position
+  FROM rel r JOIN seeds s ON r.kb_id = s.kb_id AND (r.source = s.entity_id OR r.target = s.entity_id)) WHERE position <= 100),
+n1 AS (SELECT query_id, entity_id FROM (SELECT query_id, entity_id, row_number() OVER (PARTITION BY query_id ORDER BY first_at) AS n FROM (
+  SELECT query_id, entity_id, min(position * 2 + side) AS first_at FROM (SELECT query_id, source AS entity_id, position, 0 AS side FROM h1 UNION ALL SELECT query_id, target, position, 1 FROM h1) u
+  WHERE NOT EXISTS (SELECT 1 FROM seeds s WHERE s.query_id = u.query_id AND s.entity_id = u.entity_id) GROUP BY ALL)) JOIN (SELECT query_id, count(*) AS have FROM seeds GROUP BY 1) USING (query_id) WHERE n + have <= 50),
+v1 AS (SELECT query_id, entity_id, 0 AS hop FROM seeds UNION ALL SELECT query_id, entity_id, 1 FROM n1),
+full1 AS (SELECT query_id, count(*) AS have FROM v1 GROUP BY 1 HAVING count(*) < 50),
+h2 AS (SELECT * FROM (SELECT DISTINCT f.query_id, r.relationship_id, r.source, r.target, r.confidence, dense_rank() OVER (PARTITION BY f.query_id ORDER BY r.confidence DESC, r.relationship_id) AS position
+  FROM rel r JOIN (SELECT n1.*, q.kb_id FROM n1 JOIN qs q USING (query_id) JOIN full1 USING (query_id)) f ON r.kb_id = f.kb_id AND (r.source = f.entity_id OR r.target = f.entity_id)) WHERE position <= 100),
+n2 AS (SELECT query_id, entity_id FROM (SELECT query_id, entity_id, row_number() OVER (PARTITION BY query_id ORDER BY first_at) AS n FROM (
+  SELECT query_id, entity_id, min(position * 2 + side) AS first_at FROM (SELECT query_id, source AS entity_id, position, 0 AS side FROM h2 UNION ALL SELECT query_id, target, position, 1 FROM h2) u
+  WHERE NOT EXISTS (SELECT 1 FROM v1 s WHERE s.query_id = u.query_id AND s.entity_id = u.entity_id) GROUP BY ALL)) JOIN full1 USING (query_id) WHERE n + have <= 50),
+nodes AS (SELECT query_id, entity_id, hop FROM v1 UNION ALL SELECT query_id, entity_id, 2 FROM n2),
+edges AS (SELECT query_id, relationship_id, min(hop * 1000 + position) AS first_at FROM (SELECT query_id, relationship_id, 1 AS hop, position FROM h1 UNION ALL SELECT query_id, relationship_id, 2, position FROM h2) GROUP BY ALL)"""
+
+
+def _local(spark, sf):
+    supplier = table(spark, sf, "supplier")
+    asked = supplier.groupBy(F.col("s_nationkey").cast("bigint").alias("query_id")).agg(F.min("s_name").alias("name"))
+    asked = asked.select("query_id", F.col("query_id").alias("kb_id"), F.concat(F.lit("Which parts does "), "name", F.lit(" supply?")).alias("question"))
+    return G.expand(G.seeds(asked, X.entities(spark, sf)), X.relationships(spark, sf), 2)
+
+
+@query("r8_local_nodes", f"WITH {GRAPH_SQL}, {QUESTIONS_SQL}, {EXPAND_SQL} SELECT query_id, entity_id, hop FROM nodes")
+def r8_local_nodes(spark, sf):
+    """Entities around those that a question of each nation names, over two hops."""
+    return _local(spark, sf)[0]
+
+
+@query("r8_local_chunks", f"""WITH {GRAPH_SQL}, {QUESTIONS_SQL}, {EXPAND_SQL}, c AS (SELECT query_id, chunk_id, min(struct_pack(a := edges.first_at, e := evidence_id)) AS first FROM edges JOIN ev USING (relationship_id) GROUP BY ALL)
+  SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY first) AS rank FROM c""")
+def r8_local_chunks(spark, sf):
+    """Chunks that prove the edges found there, in order of discovery."""
+    return G.evidence_chunks(_local(spark, sf)[1], X.evidence(spark, sf))
+
+
+COMMUNITY_SQL = """sel AS (SELECT * FROM (SELECT q.vec_id AS query_id, e.vec_id AS community_id, e.vec_id % 2 AS level, CAST(e.label AS BIGINT) AS kb_id, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS raw,
+  row_number() OVER (PARTITION BY q.vec_id ORDER BY round(raw, 12) DESC, e.vec_id % 2, e.vec_id) AS position FROM embeddings q JOIN embeddings e ON q.label = e.label WHERE q.vec_id % 100 = 0) WHERE position <= 5)"""
+
+
+def _selected(spark, sf):
+    rows = table(spark, sf, "embeddings").select(F.col("label").cast("bigint").alias("kb_id"), F.col("vec_id").alias("community_id"), (F.col("vec_id") % 2).alias("level"), "embedding")
+    return G.community_search(X.vector_queries(spark, sf), rows, 5)
+
+
+@query("r9_communities", f"WITH {COMMUNITY_SQL} SELECT query_id, kb_id, community_id, level, round(raw, 5) AS score, position FROM sel")
+def r9_communities(spark, sf):
+    """The communities nearest to the stated vectors (embeddings as community summaries)."""
+    return _selected(spark, sf)
+
+
+@query("j18_community_chunks", f"""WITH {GRAPH_SQL}, {COMMUNITY_SQL}, m AS (SELECT DISTINCT query_id, entity_id FROM sel JOIN ent ON entity_id % 50 = community_id % 50),
+  c AS (SELECT a.query_id, ev.chunk_id, min(struct_pack(c := -ev.confidence, r := rel.relationship_id, e := evidence_id)) AS first FROM rel JOIN m a ON rel.source = a.entity_id JOIN m b ON rel.target = b.entity_id AND a.query_id = b.query_id
+    JOIN ev ON ev.relationship_id = rel.relationship_id GROUP BY ALL)
+  SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY first) AS rank FROM c""")
+def j18_community_chunks(spark, sf):
+    """Chunks that prove edges inside the selected communities."""
+    ents = X.entities(spark, sf).select("entity_id", (F.col("entity_id") % 50).alias("part"))
+    members = table(spark, sf, "embeddings").select(F.col("vec_id").alias("community_id"), (F.col("vec_id") % 50).alias("part")).join(ents, "part").select("community_id", "entity_id")
+    edges = X.relationships(spark, sf).select("relationship_id", "source", "target")
+    proofs = X.evidence(spark, sf).select("relationship_id", "evidence_id", "chunk_id", "confidence")
+    return G.community_chunks(_selected(spark, sf), members, edges, proofs)
+
+
+# Communities on a given labelling
+
+LABELS_SQL = "lab AS (SELECT kb_id, entity_id, entity_id % 10 AS label FROM ent)"
+
+
+def _labels(spark, sf):
+    return X.entities(spark, sf).select("kb_id", "entity_id", (F.col("entity_id") % 10).alias("label"))
+
+
+@query("a8_undirected", f"WITH {GRAPH_SQL} SELECT kb_id, least(source, target) AS u, greatest(source, target) AS v, sum(weight) AS weight FROM (SELECT kb_id, source, target, weight FROM rel UNION ALL SELECT kb_id, target, source, weight FROM rel) GROUP BY ALL")
+def a8_undirected(spark, sf):
+    """The undirected view of all edges, each given in both directions."""
+    rows = X.relationships(spark, sf).select("kb_id", "source", "target", "weight")
+    back = rows.select("kb_id", F.col("target").alias("source"), F.col("source").alias("target"), "weight")
+    return C.undirected(C.sane_edges(X.entities(spark, sf), rows.unionByName(back)))
+
+
+@query("a10_degrees", f"WITH {GRAPH_SQL} SELECT e.kb_id, e.entity_id, coalesce(sum(weight), 0.0) AS degree FROM ent e LEFT JOIN (SELECT source AS entity_id, weight FROM rel UNION ALL SELECT target, weight FROM rel) USING (entity_id) GROUP BY ALL")
+def a10_degrees(spark, sf):
+    """Weighted degrees of all entities."""
+    return C.degrees(X.entities(spark, sf), X.relationships(spark, sf))
+
+
+@query("a17_condense", f"WITH {GRAPH_SQL}, {LABELS_SQL} SELECT rel.kb_id, least(a.label, b.label) AS u, greatest(a.label, b.label) AS v, sum(weight) AS weight FROM rel JOIN lab a ON a.entity_id = source JOIN lab b ON b.entity_id = target GROUP BY ALL")
+def a17_condense(spark, sf):
+    """The quotient graph of a given labelling."""
+    return C.condense(X.relationships(spark, sf), _labels(spark, sf))
+
+
+@query("w6_renumber", f"WITH {GRAPH_SQL}, {LABELS_SQL}, f AS (SELECT kb_id, label, row_number() OVER (PARTITION BY kb_id ORDER BY min(entity_id)) - 1 AS n FROM lab GROUP BY kb_id, label) SELECT lab.kb_id, entity_id, n AS label FROM lab JOIN f USING (kb_id, label)")
+def w6_renumber(spark, sf):
+    """Labels in first-seen order."""
+    return C.renumber(_labels(spark, sf))
+
+
+@query("a15_membership", f"""WITH {GRAPH_SQL}, {LABELS_SQL}, x AS (SELECT source, target, weight AS w, a.label = b.label AS inner_edge FROM rel JOIN lab a ON a.entity_id = source JOIN lab b ON b.entity_id = target),
+  t AS (SELECT entity_id, sum(CASE WHEN inner_edge THEN w ELSE 0 END) / sum(w) AS share FROM (SELECT source AS entity_id, w, inner_edge FROM x UNION ALL SELECT target, w, inner_edge FROM x) GROUP BY entity_id)
+  SELECT kb_id, entity_id, label, round(coalesce(share, 1.0), 4) AS score FROM lab LEFT JOIN t USING (entity_id)""")
+def a15_membership(spark, sf):
+    """How much of each entity's weight stays in its community."""
+    return C.membership(X.entities(spark, sf), X.relationships(spark, sf), _labels(spark, sf))
+
+
+@query("a16_signature", f"""WITH {GRAPH_SQL}, {LABELS_SQL}, i AS (SELECT rel.kb_id, a.label, rel.* EXCLUDE (kb_id) FROM rel JOIN lab a ON a.entity_id = source JOIN lab b ON b.entity_id = target WHERE a.label = b.label),
+  e AS (SELECT kb_id, label, string_agg(t, ',' ORDER BY t) AS edges, count(*) AS n_edges FROM (SELECT kb_id, label, relationship_id || ':' || CAST(weight AS BIGINT) AS t FROM i) GROUP BY ALL),
+  s AS (SELECT kb_id, label, least(count(DISTINCT statement), 30) AS n_facts FROM i JOIN ev USING (kb_id, relationship_id) GROUP BY ALL),
+  m AS (SELECT kb_id, label, count(*) AS n_members, string_agg(entity_id, ',' ORDER BY entity_id) AS members FROM lab GROUP BY ALL)
+  SELECT kb_id, label, n_members, coalesce(n_edges, 0) AS n_edges, n_members + coalesce(n_edges, 0) AS rank, coalesce(n_facts, 0) AS n_facts,
+    sha256('0|' || members || '|' || coalesce(edges, '') || '|' || coalesce(n_facts, 0)) AS signature FROM m LEFT JOIN e USING (kb_id, label) LEFT JOIN s USING (kb_id, label)""")
+def a16_signature(spark, sf):
+    """Fingerprints of communities."""
+    out = C.signatures(X.relationships(spark, sf), _labels(spark, sf), X.evidence(spark, sf))
+    return out.select("kb_id", "label", "n_members", "n_edges", "rank", F.size("facts").cast("bigint").alias("n_facts"), "signature")
+
+
+@query("j19_parents", f"WITH {GRAPH_SQL}, {LABELS_SQL} SELECT kb_id, label % 5 AS label, string_agg(DISTINCT label, ',' ORDER BY label) AS parents FROM lab GROUP BY kb_id, label % 5")
+def j19_parents(spark, sf):
+    """Labels of the finer level in each community of the coarser one."""
+    lower = _labels(spark, sf)
+    out = C.parents(lower.withColumn("label", F.col("label") % 5), lower)
+    return out.withColumn("parents", F.array_join(F.transform("parents", lambda x: x.cast("string")), ","))
+
+
+@query("r19_hierarchy")
+def r19_hierarchy(spark, sf):
+    """Hierarchical communities of every nation's supply graph."""
+    return C.detect(X.entities(spark, sf), X.relationships(spark, sf))
+
+
+# Reports
+
+USAGE_SQL = f"WITH {CALLS_SQL}, recent AS (SELECT * FROM calls WHERE created_at >= (SELECT max(created_at) FROM calls) - INTERVAL 24 HOURS)"
+
+
+def _recent(spark, sf):
+    logs = X.calls(spark, sf)
+    now = logs.agg(F.max("created_at").alias("now"))
+    return U.since(logs.crossJoin(F.broadcast(now)), F.col("now"), 24).drop("now")
+
+
+@query("a1_by_status", f"{USAGE_SQL} SELECT status, count(*) AS calls, CAST(coalesce(sum(tokens), 0) AS BIGINT) AS tokens, round(coalesce(avg(latency_ms), 0), 6) AS avg_latency FROM recent GROUP BY status")
+def a1_by_status(spark, sf):
+    """Calls of the last day by status."""
+    return U.by_status(_recent(spark, sf)).withColumn("avg_latency", F.round("avg_latency", 6))
+
+
+@query("a2_summary", f"""{USAGE_SQL}, s AS (SELECT status, count(*) AS n, sum(tokens) AS t, avg(latency_ms) AS l FROM recent GROUP BY status)
+  SELECT CAST(sum(n) AS BIGINT) AS calls, CAST(sum(CASE WHEN status = 'failed' THEN n ELSE 0 END) AS BIGINT) AS failures, CAST(sum(t) AS BIGINT) AS tokens, CAST(round(avg(l)) AS BIGINT) AS avg_latency_ms FROM s""")
+def a2_summary(spark, sf):
+    """The last day in one row; the mean latency is that of the statuses' means."""
+    return U.summary(_recent(spark, sf))
+
+
+@query("a3_per_model", f"""{USAGE_SQL} SELECT provider_id, model_id, task_type, count(*) AS calls, count(*) FILTER (status = 'failed') AS failures, CAST(sum(tokens) AS BIGINT) AS tokens, CAST(round(avg(latency_ms)) AS BIGINT) AS avg_latency_ms
+  FROM recent GROUP BY ALL ORDER BY calls DESC, provider_id, model_id, task_type LIMIT 12""")
+def a3_per_model(spark, sf):
+    """The twelve most called models of the last day."""
+    return U.per_model(_recent(spark, sf))
+
+
+@query("a5_with_counts", """SELECT n_nationkey, n_name, (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey) AS suppliers, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) AS customers FROM nation""")
+def a5_with_counts(spark, sf):
+    """Nations with their numbers of suppliers and customers."""
+    return U.with_counts(table(spark, sf, "nation").select("n_nationkey", "n_name"), "n_nationkey", suppliers=(table(spark, sf, "supplier"), "s_nationkey"), customers=(table(spark, sf, "customer"), "c_nationkey"))
+
+
+@query("t7_page", "SELECT p_partkey, p_name FROM part WHERE p_name ILIKE '%RING%' ORDER BY p_name, p_partkey LIMIT 25 OFFSET 25")
+def t7_page(spark, sf):
+    """The second page of a listing with a search text."""
+    found = U.contains_text(table(spark, sf, "part"), "p_name", "RING")
+    return U.page(found.select("p_partkey", "p_name"), ["p_name", "p_partkey"], 2)
+
+
+@query("w7_latest", "SELECT o_custkey, o_orderkey, n FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS n FROM orders) WHERE n <= 5")
+def w7_latest(spark, sf):
+    """Each customer's five newest orders."""
+    return U.latest(table(spark, sf, "orders"), "o_custkey", "o_orderdate", "o_orderkey").select("o_custkey", "o_orderkey", "n")
+
+
+# Evaluation
+
+CASES_SQL = """c AS (SELECT doc_id AS id, CASE WHEN doc_id % 5 = 0 THEN '' WHEN doc_id % 7 = 0 THEN 'There is no information.' ELSE 'Told [1] and [' || doc_id % 4 || '], ' || source END AS answer,
+  CASE WHEN doc_id % 3 = 0 THEN NULL ELSE doc_id % 2 = 1 END AS answerable, CASE WHEN doc_id % 2 = 0 THEN NULL ELSE 'local' END AS expected_mode, CASE WHEN doc_id % 3 = 0 THEN 'vector' ELSE 'local' END AS mode, doc_id % 4 AS n, source FROM documents),
+j AS (SELECT id, answer, answerable, CASE WHEN expected_mode IS NULL THEN NULL ELSE mode = expected_mode END AS mode_correct, n, CASE WHEN n = 0 THEN NULL ELSE ((n >= 1)::INT + (n >= 2)::INT) / 2.0 END AS recall_at_k,
+  CASE WHEN n = 0 THEN NULL WHEN n = 1 THEN 1.0 ELSE 1.0 / least(n, 1) END AS reciprocal_rank, list_distinct(list_transform(regexp_extract_all(answer, '\\[([0-9]+)\\]', 1), lambda x: CAST(x AS BIGINT))) AS cited,
+  answer = '' OR contains(lower(answer), 'no information') AS is_abstention, (contains(lower(answer), 'told')::INT + contains(lower(answer), lower(source))::INT) / 2.0 AS answer_term_coverage FROM c),
+k AS (SELECT *, CASE WHEN answerable IS NOT NULL AND NOT answerable THEN NULL WHEN n = 0 THEN len(cited) = 0 ELSE len(cited) > 0 AND len(list_filter(cited, lambda x: x < 1 OR x > n)) = 0 END AS citation_valid,
+  CASE WHEN answerable IS NULL THEN NULL WHEN answerable THEN NOT is_abstention ELSE is_abstention END AS abstention_correct FROM j)"""
+
+
+def _cases(spark, sf):
+    """Cases from documents: the sources of case d are d, d + 1, ... (d % 4 of them); d and d + 1 are expected, if any are."""
+    key = F.col("doc_id")
+    answer = F.when(key % 5 == 0, "").when(key % 7 == 0, "There is no information.").otherwise(F.concat(F.lit("Told [1] and ["), key % 4, F.lit("], "), "source"))
+    n = key % 4
+    row = lambda i: F.struct((key + i).alias("document_id"), F.col("source").alias("title"), F.lit(None).cast("string").alias("source"))
+    told = F.when(n > 0, F.transform(F.sequence(F.lit(0).cast("bigint"), F.greatest(n - 1, F.lit(0).cast("bigint"))), row)).otherwise(F.array().cast("array<struct<document_id:bigint,title:string,source:string>>"))
+    expected = F.when(n > 0, F.array(key.cast("string"), (key + 1).cast("string"))).otherwise(F.array().cast("array<string>"))
+    return table(spark, sf, "documents").select(
+        key.alias("id"), F.when(key % 2 != 0, "local").alias("expected_mode"), F.when(key % 3 == 0, "vector").otherwise("local").alias("mode"), answer.alias("answer"),
+        F.when(key % 3 != 0, key % 2 == 1).alias("answerable"), expected.alias("expected_sources"), F.array(F.lit(" TOLD"), "source", F.lit("")).alias("expected_terms"), told.alias("sources"),
+    )
+
+
+@query("r22_judged", f"""WITH {CASES_SQL} SELECT id, mode_correct, CASE WHEN n = 0 THEN NULL ELSE recall_at_k END AS recall_at_k, reciprocal_rank, answer <> '' AS answer_present, n > 0 AS source_present,
+  array_to_string(list_sort(cited), ',') AS citations, citation_valid, is_abstention, abstention_correct, answer_term_coverage FROM k""")
+def r22_judged(spark, sf):
+    """Metrics of every case."""
+    return V.judge(_cases(spark, sf)).withColumn("citations", F.array_join(F.transform(F.array_sort("citations"), lambda c: c.cast("string")), ","))
+
+
+@query("r22_summary", f"""WITH {CASES_SQL} SELECT count(*) AS cases, round(avg(recall_at_k), 5) AS recall_at_k, round(avg(reciprocal_rank), 5) AS mrr, round(avg(mode_correct::INT), 5) AS mode_accuracy, round(avg((answer <> '')::INT), 5) AS answer_coverage,
+  round(avg((n > 0)::INT), 5) AS source_coverage, round(avg(citation_valid::INT), 5) AS citation_validity, round(avg(abstention_correct::INT), 5) AS abstention_accuracy, round(avg(answer_term_coverage), 5) AS answer_term_coverage FROM k""")
+def r22_summary(spark, sf):
+    """Metrics over all cases."""
+    return V.summarize(V.judge(_cases(spark, sf)))
+
+
+# Call control
+
+
+@query("st1_minutes", f"WITH {CALLS_SQL} SELECT date_trunc('minute', created_at) AS window_start, provider_id, model_id, count(*) AS requests, CAST(sum(tokens) AS BIGINT) AS tokens FROM calls WHERE status = 'success' GROUP BY ALL")
+def st1_minutes(spark, sf):
+    """Successful calls by fixed minute."""
+    return L.minute_usage(X.calls(spark, sf)).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+@query("st2_admitted", f"""WITH {CALLS_SQL}, u AS (SELECT *, coalesce(sum(CASE WHEN status = 'success' THEN 1 ELSE 0 END) OVER w, 0) AS ur, coalesce(sum(CASE WHEN status = 'success' THEN tokens ELSE 0 END) OVER w, 0) AS ut FROM calls
+  WINDOW w AS (PARTITION BY provider_id, model_id, date_trunc('minute', created_at) ORDER BY created_at, call_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+  SELECT call_id, CAST(ur AS BIGINT) AS used_requests, CAST(ut AS BIGINT) AS used_tokens, ur < 1 AND (tokens <= 0 OR ut + tokens <= 120) AS admitted FROM u""")
+def st2_admitted(spark, sf):
+    """Calls that limits of one request and 120 tokens a minute admit."""
+    rows = X.calls(spark, sf).withColumn("estimate", F.col("tokens"))
+    return L.admitted(rows, rpm=1, tpm=120).select("call_id", "used_requests", "used_tokens", "admitted")
+
+
+@query("st3_concurrency", f"""WITH {CALLS_SQL}, m AS (SELECT call_id, provider_id, model_id, created_at AS mark, 1 AS step FROM calls UNION ALL SELECT call_id, provider_id, model_id, created_at + to_seconds(CAST(ceil(latency_ms) AS BIGINT)), -1 FROM calls)
+  SELECT call_id, provider_id, model_id, CAST(running AS BIGINT) AS running FROM (SELECT *, sum(step) OVER (PARTITION BY provider_id, model_id ORDER BY mark, step, call_id ROWS UNBOUNDED PRECEDING) AS running FROM m) WHERE step = 1""")
+def st3_concurrency(spark, sf):
+    """Calls that run when each one starts; a call lasts its value in seconds."""
+    rows = X.calls(spark, sf)
+    ended = F.col("created_at") + F.make_dt_interval(secs=F.ceil("latency_ms"))
+    return L.concurrency(rows.select("call_id", "provider_id", "model_id", F.col("created_at").alias("started_at"), ended.alias("ended_at")))
+
+
+@query("st4_breaker")
+def st4_breaker(spark, sf):
+    """The circuit breaker of every provider and model along the whole log."""
+    return L.breaker_log(X.calls(spark, sf))
+
+
+@query("st5_health", f"WITH {CALLS_SQL}, n AS (SELECT max(created_at) AS now FROM calls) SELECT provider_id, arg_max(status = 'success', created_at) AS healthy FROM calls, n WHERE created_at > now - INTERVAL 3 HOURS GROUP BY provider_id")
+def st5_health(spark, sf):
+    """The last state of providers that were heard of within three hours."""
+    logs = X.calls(spark, sf)
+    now = logs.agg(F.max("created_at")).first()[0]
+    return L.health(logs.select("provider_id", (F.col("status") == "success").alias("healthy"), "created_at"), now, 3 * 3600)
+
+
+@query("s21_synthetic", "SELECT range AS relationship_id, range % 2000 AS source, (range % 2000 + 1 + range % 7) % 2000 AS target, CAST(1 + range % 5 AS DOUBLE) AS weight FROM range(6000)")
+def s21_synthetic(spark, sf):
+    """Edges of the generated capacity graph."""
+    return synthetic(spark)["relationships"].select("relationship_id", "source", "target", "weight")
+
+
+def flagship(spark: SparkSession, sf: str) -> DataFrame:
+    """Hybrid search: vector and keyword order fused, the best candidates of each stated question."""
+    return QUERIES["r12_rrf"](spark, sf)

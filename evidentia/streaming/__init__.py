@@ -1 +1 @@
-
+"""Call control over event streams, and streamed ingestion."""
