@@ -11,6 +11,9 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED_ATTR = "_evidentia_shipped"
+#: Rows that a Python worker holds at a time, unless the cluster sets its own number: texts can be long.
+BATCH_ROWS = "2000"
+_BATCH_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def local_session(cpus: str = "*", partitions: int = 8, **conf: str) -> SparkSession:
@@ -62,8 +65,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Put this package on the executors' Python path, once per context."""
+    """Put this package on the executors' Python path, once per context, and keep Python batches small."""
     context = spark.sparkContext
+    if not context.getConf().contains(_BATCH_KEY):
+        spark.conf.set(_BATCH_KEY, BATCH_ROWS)
     if getattr(context, _SHIPPED_ATTR, False):
         return
     root = Path(__file__).resolve().parent

@@ -106,8 +106,9 @@ def breaker_log(calls: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     return calls.select("provider_id", "model_id", "call_id", "created_at", "status").groupBy("provider_id", "model_id").applyInPandas(run, BREAKER)
 
 
-def breaker_stream(calls: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
-    """breaker_log over a stream; the state of a pair is dropped after four cool-downs without calls."""
+def breaker_stream(calls: DataFrame, settings: Settings = DEFAULTS, late: str = "10 minutes") -> DataFrame:
+    """breaker_log over a stream; the state of a pair is dropped four cool-downs after its last call, by event time
+    (a processing-time timeout would keep an availableNow run going for ever)."""
     ship(calls.sparkSession)
     threshold, cooldown = settings.breaker_failures, settings.breaker_cooldown
 
@@ -121,10 +122,12 @@ def breaker_stream(calls: DataFrame, settings: Settings = DEFAULTS) -> DataFrame
         if rows:
             yield _walk(pd.concat(rows), breaker)
         state.update((breaker.failures, breaker.opened))
-        state.setTimeoutDuration(int(4 * cooldown * 1000))
+        if rows:
+            last = max(frame.created_at.max().timestamp() for frame in rows)
+            state.setTimeoutTimestamp(max(int((last + 4 * cooldown) * 1000), state.getCurrentWatermarkMs() + 1))
 
-    picked = calls.select("provider_id", "model_id", "call_id", "created_at", "status")
-    return picked.groupBy("provider_id", "model_id").applyInPandasWithState(run, BREAKER, "failures long, opened double", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    picked = calls.withWatermark("created_at", late).select("provider_id", "model_id", "call_id", "created_at", "status")
+    return picked.groupBy("provider_id", "model_id").applyInPandasWithState(run, BREAKER, "failures long, opened double", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def health(probes: DataFrame, now: Any, ttl: int = DEFAULTS.health_ttl) -> DataFrame:
