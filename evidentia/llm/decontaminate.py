@@ -247,7 +247,8 @@ def leaked_items(
 
     Numbers, units and names become typed placeholders on both sides; windows of template tokens are joined by hash;
     an item is leaked if consistent windows cover at least half of its tokens. changed_slots counts slot values that
-    differ from the item's, so 0 is a verbatim leak and more a re-parameterised one.
+    differ from the item's: 0 for a leak that begins a sentence as the item does, more for a re-parameterised one (or
+    where the word before joins a name at the item's beginning).
 
     Defined cases: null or empty texts leak nothing; items that are null or have fewer than four tokens are not
     matched; repeated documents and repeated items give a row each; null ids are passed on; an empty table on either

@@ -1,0 +1,113 @@
+import random
+import re
+from collections import Counter, defaultdict
+
+from evidentia.llm import decontaminate as D
+
+UNITS = set(D.UNITS)
+
+
+def canonical(text):
+    """The template of a text, token by token."""
+    text = text or ""
+    out, last, previous_number, previous_name = [], 0, False, False
+    for m in re.finditer(r"\d(?:[.,:/]?\d)*|[^\W\d_]+", text):
+        gap, word, first = text[last : m.start()], m[0], not out
+        number = word[0].isdigit()
+        opening = first or re.search(r"[.!?:\n]", gap) is not None
+        name = word[0].isupper() and not opening and not (len(word) > 1 and word.isupper()) and not number
+        unit = not number and not first and previous_number and len(gap) <= 1 and word.lower() in UNITS
+        kind = "<num>" if number else "<unit>" if unit else "<name>" if name else word.lower()
+        if name and previous_name and not first:
+            out[-1] = (out[-1][0], out[-1][1] + " " + word.lower())
+        else:
+            out.append((kind, word.lower()))
+        last, previous_number, previous_name = m.end(), number, name
+    return out
+
+
+def brute(docs, items):
+    found = set()
+    for doc, text in docs:
+        d = canonical(text)
+        for item, told in items:
+            b = canonical(told)
+            if told is None or len(b) < 4:
+                continue
+            size = min(8, len(b))
+            literal = lambda i: sum(b[i + k][0] not in ("<num>", "<unit>", "<name>") for k in range(size)) >= min(4, size - 1)  # noqa: E731, B023
+            windows = [(i, j) for j in range(len(b) - size + 1) if literal(j) for i in range(len(d) - size + 1) if all(d[i + k][0] == b[j + k][0] for k in range(size))]
+            slots = defaultdict(Counter)
+            for i, j in {(i + k, j + k) for i, j in windows for k in range(size)}:
+                if b[j][0] in ("<num>", "<unit>", "<name>"):
+                    slots[b[j]][d[i][1]] += 1
+            clear = all(len({n for n in c.values()}) == len(c) for c in slots.values())
+            chosen = {s: c.most_common(1)[0][0] for s, c in slots.items()}
+            good = [(i, j) for i, j in windows if all(b[j + k] not in chosen or chosen[b[j + k]] == d[i + k][1] for k in range(size))]
+            covered = {j + k for _, j in good for k in range(size)}
+            if clear and len(covered) >= 0.5 * len(b):
+                found.add((doc, item, len(covered), len(b)))
+    return found
+
+
+ITEMS = [
+    (1, "Alice Smith has 12 apples and gives 3.5 kg of apples to Bob. How many apples, out of 12, does she keep after 5 km?"),
+    (2, "tiny one"), (3, "a question of six words here"), (4, None), (5, ""), (6, "take 5 from 5 and add 5 to 5 then stop"),
+]
+PLANTED = [
+    (10, "Before that. " + ITEMS[0][1] + " And after."),
+    (11, "We know that Mary Jones has 15 apples and gives 4 lb of apples to Tom Lee. How many apples, out of 15, does she keep after 7 miles? More."),
+    (12, "We know that Mary Jones has 15 apples and gives 4 lb of apples to Tom. How many pears, out of 16, does he keep after 7 miles?"),
+    (13, "He said: A question, of six words here!"), (14, "nothing of the kind"), (15, ""), (16, None), (17, "tiny one"), (19, "take 1 from 2 and add 3 to 4 then stop"), (20, "take 8 from 8 and add 8 to 8 then stop"), (None, ITEMS[0][1]), (10, "again " + ITEMS[0][1]), (18, ("filler words " * 60_000) + ITEMS[0][1]),
+]
+
+
+def test_templates_equal_a_plain_loop():
+    texts = [t for _, t in PLANTED if t is None or len(t) < 10_000] + ["É Ab CD Ef. Gh Ij 3,4 km 5kg 1. 2 x_y Ünï", "1,2,3 /4/5", "\n", "Ab"]
+    made = D.templates(texts)
+    for k, text in enumerate(texts):
+        want = canonical(text)
+        a, b = made.bounds[k], made.bounds[k + 1]
+        kinds = {int(D.NUMBER): "<num>", int(D.NAME): "<name>", int(D.UNIT): "<unit>"}
+        got = [kinds.get(int(x)) for x in made.token[a:b]]
+        assert got == [w if w.startswith("<") else None for w, _ in want]
+        literal = [int(x) for x, (w, _) in zip(made.token[a:b], want, strict=True) if not w.startswith("<")]
+        assert len(set(literal)) == len({w for w, _ in want if not w.startswith("<")})
+
+
+def test_equals_brute_force(spark):
+    rng = random.Random(7)
+    vocabulary = [f"{a}{b}" for a in ("ra", "te", "mo", "ki") for b in ("n", "s", "l", "x")]
+    sentence = lambda n: " ".join(rng.choice(vocabulary) if rng.random() < 0.85 else str(rng.randint(1, 9)) for _ in range(n))
+    items = ITEMS + [(20 + k, sentence(rng.choice([4, 7, 20, 40]))) for k in range(15)]
+    docs = [d for d in PLANTED if d[1] is None or len(d[1]) < 10_000]
+    for k in range(60):
+        told = rng.choice(items[6:])[1].split()
+        part = told[: rng.choice([len(told), len(told) // 2, 3])]
+        part = [str(rng.randint(1, 9)) if w.isdigit() and rng.random() < 0.3 else w for w in part]
+        docs.append((100 + k, sentence(rng.randint(0, 20)) + " " + " ".join(part) + " " + sentence(5)))
+    made = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 AS item_id").repartition(3)
+    bench = spark.createDataFrame(items, "item_id long, text string").selectExpr("*", "1 AS doc_id")
+    want = brute(docs, items)
+    for block in (16 << 20, 200):  # in one pass, and in several
+        got = {(r.doc_id, r.item_id, r.matched_tokens, r.item_tokens) for r in D.leaked_items(made, bench, block_chars=block).collect()}
+        assert want <= got
+        # slots with two equally frequent values are decided by hash, which the plain version leaves out
+        assert len(got - want) <= 0.1 * len(got)
+    left = D.decontaminate(made, bench)
+    leaked = {r[0] for r in got}
+    assert {r.doc_id for r in left.collect()} == {d for d, _ in docs} - leaked and left.columns == made.columns
+
+
+def test_planted_cases(spark):
+    docs = spark.createDataFrame(PLANTED, "doc_id long, text string")
+    bench = spark.createDataFrame(ITEMS, "item_id long, text string")
+    rows = D.leaked_items(docs, bench).collect()
+    # 12 changes its number on the way, but the windows before that cover half of the item; 19 has no consistent window
+    assert {(r.doc_id, r.item_id) for r in rows} == {(10, 1), (11, 1), (12, 1), (13, 3), (None, 1), (18, 1), (20, 6)}
+    assert {r.matched_tokens < r.item_tokens for r in rows if r.doc_id == 12} == {True}
+    assert sum(r.doc_id == 10 for r in rows) == 2
+    assert {r.changed_slots > 0 for r in rows if r.doc_id == 11} == {True}
+    # without a sentence's end before it, the item's opening name is one slot with the name that follows
+    assert sorted(r.changed_slots for r in rows if r.doc_id == 10) == [0, 1]
+    assert D.leaked_items(docs.limit(0), bench).count() == 0 and D.leaked_items(docs, bench.limit(0)).count() == 0
