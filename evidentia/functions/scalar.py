@@ -46,11 +46,10 @@ def substring_count(text: Column, part: Column) -> Column:
 def keyword_score(text: Column, wanted: Column) -> Column:
     """Sum over the terms that occur of (1 + ln(occurrences)) * min(length, 20)."""
 
-    def add(total: Column, term: Column) -> Column:
-        n = substring_count(text, term)
-        return total + F.when(n > 0, (1 + F.ln(n)) * F.least(F.length(term), F.lit(20))).otherwise(0.0)
-
-    return F.aggregate(wanted, F.lit(0.0), add)
+    # Most terms do not occur, and a search is cheaper than a replacement, so only terms that occur are counted.
+    found = F.filter(wanted, lambda term: F.contains(text, term))
+    worth = F.transform(found, lambda term: F.struct(substring_count(text, term).alias("n"), F.least(F.length(term), F.lit(20)).alias("l")))
+    return F.aggregate(worth, F.lit(0.0), lambda total, w: total + (1 + F.ln(w["n"])) * w["l"])
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, Settings
 from ..functions.scalar import cosine, normalize_name
-from ..session import written
 
 
 def seeds(questions: DataFrame, entities: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
@@ -35,7 +34,8 @@ def expand(start: DataFrame, edges: DataFrame, max_hops: int = 2, settings: Sett
 
     A hop takes the edges that touch the frontier, the most confident 2 * max_nodes of them; their ends join in edge
     order, source first, until the question has max_nodes nodes. An edge counts where it was first found, also if an
-    end was not admitted; a question that is full expands no further.
+    end was not admitted; a question that is full expands no further. Two hops are the most, so the hops stay one plan,
+    whose equal exchanges run once.
     """
     limits = settings.limits(max_hops=max_hops)
     nodes = start.select("query_id", "kb_id", "entity_id", F.lit(0).alias("hop"))
@@ -47,13 +47,13 @@ def expand(start: DataFrame, edges: DataFrame, max_hops: int = 2, settings: Sett
         touched = by_end.join(live, ["kb_id", "entity_id"]).select("query_id", "kb_id", "have", "relationship_id", "source", "target", "confidence")
         order = Window.partitionBy("query_id").orderBy(F.desc("confidence"), "relationship_id")
         touched = touched.dropDuplicates(["query_id", "relationship_id"]).withColumn("position", F.row_number().over(order))
-        touched = written(touched.where(F.col("position") <= 2 * limits["max_nodes"]), "hop")
+        touched = touched.where(F.col("position") <= 2 * limits["max_nodes"])
         ends = touched.select("query_id", "kb_id", "have", F.posexplode(F.array("source", "target")).alias("side", "entity_id"), "position")
         first = ends.groupBy("query_id", "kb_id", "have", "entity_id").agg(F.min(F.struct("position", "side")).alias("at"))
         fresh = first.join(nodes.select("query_id", "entity_id"), ["query_id", "entity_id"], "left_anti")
         rank = F.row_number().over(Window.partitionBy("query_id").orderBy("at"))
         fresh = fresh.withColumn("n", rank).where(F.col("n") + F.col("have") <= limits["max_nodes"])
-        frontier = written(fresh.select("query_id", "kb_id", "entity_id"), "frontier")
+        frontier = fresh.select("query_id", "kb_id", "entity_id")
         nodes = nodes.unionByName(frontier.withColumn("hop", F.lit(hop)))
         seen = touched.select("query_id", "relationship_id", F.lit(hop).alias("hop"), "position")
         found = seen if found is None else found.unionByName(seen)

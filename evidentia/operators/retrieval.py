@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import cosine, keyword_score, terms
+from ..functions.scalar import cosine, dot, keyword_score, terms
 
 RRF_K = 60
 
@@ -16,8 +16,13 @@ def vector_scores(queries: DataFrame, vectors: DataFrame) -> DataFrame:
     `queries` holds (query_id, qvec) and is a stated set of questions: it is sent to the chunks, which stay where they
     are, so scoring has no shuffle. Callers pass it in blocks of a checked size.
     """
-    pairs = vectors.crossJoin(F.broadcast(queries.select("query_id", "qvec")))
-    return pairs.select("query_id", "chunk_id", cosine(F.col("embedding"), F.col("qvec")).alias("score"))
+    asked = queries.select("query_id", F.col("qvec").cast("array<double>").alias("qvec"))
+    asked = F.broadcast(asked.withColumn("qnorm", F.sqrt(dot(F.col("qvec"), F.col("qvec")))))
+    own = vectors.select("chunk_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    own = own.withColumn("norm", F.sqrt(dot(F.col("embedding"), F.col("embedding"))))  # once a chunk, not once a pair
+    fits = (F.size("embedding") == F.size("qvec")) & (F.size("embedding") > 0) & (F.col("norm") * F.col("qnorm") > 0)
+    score = F.when(fits, dot(F.col("embedding"), F.col("qvec")) / (F.col("norm") * F.col("qnorm"))).otherwise(-1.0)
+    return own.crossJoin(asked).select("query_id", "chunk_id", score.alias("score"))
 
 
 def vector_rank(scores: DataFrame) -> DataFrame:
@@ -35,9 +40,9 @@ def vector_top(scores: DataFrame, k: int) -> DataFrame:
 def keyword_rank(questions: DataFrame, chunks: DataFrame, ranked: DataFrame) -> DataFrame:
     """(query_id, chunk_id, keyword_score, keyword_rank) of chunks with a positive score; ties keep the vector order."""
     wanted = questions.select("query_id", terms(F.col("question")).alias("terms")).where(F.size("terms") > 0)
-    scored = chunks.crossJoin(F.broadcast(wanted)).select(
-        "query_id", "chunk_id", keyword_score(F.lower("content"), F.col("terms")).alias("keyword_score")
-    )
+    # Lower-casing in a projection of its own happens once a chunk; inside the fold it would happen for each term.
+    lowered = chunks.select("chunk_id", F.lower("content").alias("lowered"))
+    scored = lowered.crossJoin(F.broadcast(wanted)).select("query_id", "chunk_id", keyword_score(F.col("lowered"), F.col("terms")).alias("keyword_score"))
     found = scored.where(F.col("keyword_score") > 0).join(ranked.select("query_id", "chunk_id", "vector_rank"), ["query_id", "chunk_id"])
     # Scores that differ by rounding alone are ties, whatever order their terms were added in.
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("keyword_score", 9)), "vector_rank")
