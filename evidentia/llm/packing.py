@@ -19,7 +19,7 @@ END_ID = 2
 #: Tokens that a task packs at a time; what it holds in memory is a small multiple of this.
 BLOCK_TOKENS = 4 << 20
 #: Entries of the word caches of one worker; beyond it they start anew.
-CACHE_WORDS = 1_200_000
+CACHE_WORDS = 700_000
 PIECES = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 )
@@ -80,14 +80,8 @@ class Encoder:
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
-    def new(self, word: str) -> int:
-        ids: list[int] = []
-        for part in (word,) if word.isalpha() else self.pieces(word):
-            known = self.parts.get(part)
-            if known is None:
-                signs = part if part.isascii() and part.isprintable() else "".join([_BYTE_SIGNS[b] for b in part.encode()])
-                known = self.parts[part] = [token.id for token in self.merge(signs)]
-            ids += known
+    def add(self, ids: list[int]) -> int:
+        """The number of a new entry with these ids; entries are stored flat, not as Python objects."""
         if self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros(len(self.flat) + len(ids), dtype=np.uint32)])
         if self.count == len(self.begin):
@@ -98,6 +92,22 @@ class Encoder:
         self.used, self.count = self.used + len(ids), self.count + 1
         return self.count - 1
 
+    def part(self, part: str) -> int:
+        number = self.parts.get(part)
+        if number is None:
+            signs = part if part.isascii() and part.isprintable() else "".join([_BYTE_SIGNS[b] for b in part.encode()])
+            number = self.parts[part] = self.add([token.id for token in self.merge(signs)])
+        return number
+
+    def new(self, word: str) -> int:
+        """The number of a word's entry: that of its only part, or a new one with the ids of all its parts."""
+        if word.isalpha():
+            return self.part(word)
+        numbers = [self.part(p) for p in self.pieces(word)]
+        if len(numbers) == 1:
+            return numbers[0]
+        return self.add([i for n in numbers for i in self.flat[self.begin[n] : self.begin[n] + self.size[n]].tolist()])
+
     def encode(self, text: str) -> np.ndarray:
         if not text:
             return np.zeros(0, dtype=np.uint32)
