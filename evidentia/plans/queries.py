@@ -582,6 +582,110 @@ def s21_synthetic(spark, sf):
     return synthetic(spark)["relationships"].select("relationship_id", "source", "target", "weight")
 
 
+# Scans, filters, joins and listings
+
+
+@query("j1_kb_documents", "SELECT lang, count(*) AS chunks FROM documents d WHERE EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND l.quality = 1) GROUP BY lang")
+def j1_kb_documents(spark, sf):
+    """Documents that have a good label, by knowledge base: an EXISTS as a semi join."""
+    good = table(spark, sf, "labels").where("quality = 1").select("doc_id")
+    return table(spark, sf, "documents").select("doc_id", "lang").join(good, "doc_id", "left_semi").groupBy("lang").agg(F.count("*").alias("chunks"))
+
+
+@query("p4_touching_edges", f"WITH {GRAPH_SQL}, f AS (SELECT entity_id FROM ent WHERE entity_id % 100 = 0) SELECT relationship_id, source, target FROM rel WHERE source IN (SELECT entity_id FROM f) OR target IN (SELECT entity_id FROM f)")
+def p4_touching_edges(spark, sf):
+    """Edges with an end in the stated entities: a disjunction as one join over both ends."""
+    stated = X.entities(spark, sf).where(X.asked("entity_id")).select("entity_id")
+    ends = G._endpoints(X.relationships(spark, sf))
+    return ends.join(stated, "entity_id", "left_semi").select("relationship_id", "source", "target").distinct()
+
+
+@query("p5_inner_edges", f"""WITH {GRAPH_SQL}, f AS (SELECT CAST(s_suppkey AS BIGINT) AS entity_id FROM supplier WHERE s_acctbal > 5000 UNION ALL SELECT entity_id FROM ent JOIN part ON p_partkey = (entity_id - 1000000000) // 25 WHERE p_size > 25 AND type = 'Product')
+  SELECT relationship_id, source, target FROM rel WHERE source IN (SELECT entity_id FROM f) AND target IN (SELECT entity_id FROM f)""")
+def p5_inner_edges(spark, sf):
+    """Edges with both ends among well-off suppliers and large parts."""
+    ents = X.entities(spark, sf).where("type = 'Product'").select("entity_id", F.expr(f"(entity_id - {X.PART_IDS}) div 25").alias("p_partkey"))
+    large = ents.join(table(spark, sf, "part").where("p_size > 25").select("p_partkey"), "p_partkey", "left_semi").select("entity_id")
+    members = large.unionByName(table(spark, sf, "supplier").where("s_acctbal > 5000").select(F.col("s_suppkey").alias("entity_id")))
+    edges = X.relationships(spark, sf).select("relationship_id", "source", "target")
+    for end in ("source", "target"):
+        edges = edges.join(members.withColumnRenamed("entity_id", end), end, "left_semi")
+    return edges.select("relationship_id", "source", "target")
+
+
+@query("a4_counts", f"WITH {GRAPH_SQL}, e AS (SELECT kb_id, count(*) AS entities FROM ent GROUP BY kb_id), r AS (SELECT kb_id, count(*) AS relationships, count(DISTINCT target) AS targets FROM rel GROUP BY kb_id) SELECT kb_id, entities, coalesce(relationships, 0) AS relationships, coalesce(targets, 0) AS targets FROM e LEFT JOIN r USING (kb_id)")
+def a4_counts(spark, sf):
+    """Entities, relationships and distinct targets of each knowledge base."""
+    counted = X.relationships(spark, sf).groupBy("kb_id").agg(F.count("*").alias("relationships"), F.count_distinct("target").alias("targets"))
+    return X.entities(spark, sf).groupBy("kb_id").agg(F.count("*").alias("entities")).join(counted, "kb_id", "left").fillna(0)
+
+
+@query("a13_facts", f"WITH {GRAPH_SQL}, f AS (SELECT kb_id, statement, min(struct_pack(r := relationship_id, e := evidence_id)) AS first FROM ev GROUP BY ALL) SELECT kb_id, statement, row_number() OVER (PARTITION BY kb_id ORDER BY first) AS n FROM f")
+def a13_facts(spark, sf):
+    """Distinct statements of each knowledge base in order of first appearance."""
+    from pyspark.sql import Window
+
+    first = X.evidence(spark, sf).groupBy("kb_id", "statement").agg(F.min(F.struct("relationship_id", "evidence_id")).alias("at"))
+    return first.select("kb_id", "statement", F.row_number().over(Window.partitionBy("kb_id").orderBy("at")).cast("bigint").alias("n"))
+
+
+@query("j8_entity_detail", f"""WITH {GRAPH_SQL} SELECT entity_id, canonical_name, count(*) AS n_edges, string_agg(DISTINCT p, ',' ORDER BY p) AS peers, max(confidence) AS best FROM (
+  SELECT s.entity_id, s.canonical_name, t.canonical_name AS p, confidence FROM rel JOIN ent s ON s.entity_id = source JOIN ent t ON t.entity_id = target WHERE s.type = 'Organization'
+) GROUP BY entity_id, canonical_name""")
+def j8_entity_detail(spark, sf):
+    """Suppliers with the parts they are linked to."""
+    ents = X.entities(spark, sf).select("entity_id", "type", "canonical_name")
+    own = ents.where("type = 'Organization'").select(F.col("entity_id").alias("source"), "canonical_name")
+    peer = ents.select(F.col("entity_id").alias("target"), F.col("canonical_name").alias("peer"))
+    joined = X.relationships(spark, sf).select("source", "target", "confidence").join(own, "source").join(peer, "target")
+    out = joined.groupBy(F.col("source").alias("entity_id"), "canonical_name").agg(F.count("*").alias("n_edges"), F.array_join(F.sort_array(F.collect_set("peer")), ",").alias("peers"), F.max("confidence").alias("best"))
+    return out
+
+
+@query("j6_nested_evidence", f"WITH {GRAPH_SQL} SELECT relationship_id, count(*) AS n, string_agg(chunk_id || ':' || statement, ';' ORDER BY evidence_id) AS proofs FROM ev GROUP BY relationship_id")
+def j6_nested_evidence(spark, sf):
+    """Each relationship with its evidence, in order."""
+    proof = F.struct("evidence_id", F.concat_ws(":", F.col("chunk_id").cast("string"), "statement").alias("t"))
+    rows = X.evidence(spark, sf).groupBy("relationship_id").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(proof)).alias("p"))
+    return rows.select("relationship_id", "n", F.array_join(F.transform("p", lambda x: x["t"]), ";").alias("proofs"))
+
+
+@query("t8_by_mentions", "SELECT p_partkey, p_name, count(l_partkey) AS mentions FROM part LEFT JOIN lineitem ON l_partkey = p_partkey GROUP BY ALL ORDER BY mentions DESC, p_name, p_partkey LIMIT 15")
+def t8_by_mentions(spark, sf):
+    """The first page of parts by number of lines."""
+    counted = U.with_counts(table(spark, sf, "part").select("p_partkey", "p_name"), "p_partkey", mentions=(table(spark, sf, "lineitem"), "l_partkey"))
+    return U.page(counted.select("p_partkey", "p_name", "mentions"), [F.desc("mentions"), "p_name", "p_partkey"], 1, 15)
+
+
+@query("u1_aliases", """SELECT p_partkey, array_to_string(CASE WHEN p_size % 2 = 0 THEN [p_name, p_brand] ELSE [p_name, p_brand, p_brand || '!'] END, '|') AS aliases FROM part WHERE p_name <> p_brand""")
+def u1_aliases(spark, sf):
+    """Unions of aliases with a surface form that may name the entity in another way."""
+    surface = F.when(F.col("p_size") % 2 == 0, F.col("p_type")).otherwise(F.concat("p_brand", F.lit("!")))
+    canonical = F.when(F.col("p_size") % 2 == 0, F.col("p_type")).otherwise(F.lit("another"))
+    merged = E.merge_aliases(F.array("p_name", F.concat(F.lit(" "), "p_brand", F.lit("\t"))), F.array("p_brand", F.lit(""), F.lit(None).cast("string")), surface, canonical)
+    return table(spark, sf, "part").where("p_name <> p_brand").select("p_partkey", F.array_join(merged, "|").alias("aliases"))
+
+
+@query("u3_both_directions", f"WITH {GRAPH_SQL} SELECT source AS entity_id, target AS peer, 'out' AS direction FROM rel UNION ALL SELECT target, source, 'in' FROM rel")
+def u3_both_directions(spark, sf):
+    """Outgoing and incoming edges with their direction."""
+    edges = X.relationships(spark, sf)
+    out = edges.select(F.col("source").alias("entity_id"), F.col("target").alias("peer"), F.lit("out").alias("direction"))
+    return out.unionByName(edges.select(F.col("target").alias("entity_id"), F.col("source").alias("peer"), F.lit("in").alias("direction")))
+
+
+@query("s11_sse", "SELECT conv_id AS request_id, string_agg(coalesce(text, ''), '' ORDER BY turn) AS text, 'stop' AS finish_reason, CAST(max(turn) AS BIGINT) AS total_tokens FROM conversations GROUP BY conv_id")
+def s11_sse(spark, sf):
+    """Every conversation as a recorded token stream, read back."""
+    from ..sources.tables import sse_answers, sse_chunks
+
+    event = F.concat(F.lit("data: "), F.to_json(F.struct(F.array(F.struct(F.struct(F.coalesce("text", F.lit("")).alias("content")).alias("delta"))).alias("choices"))))
+    parts = table(spark, sf, "conversations").select("conv_id", "turn", event.alias("event")).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "event"))).alias("e"), F.max("turn").alias("last"))
+    end = F.concat(F.lit('\n\n: keep\n\ndata: {"choices":[{"delta":{},"finish_reason":"stop"}],"usage":{"total_tokens":'), F.col("last").cast("string"), F.lit("}}\n\ndata: [DONE]\n\n"))
+    body = F.concat(F.array_join(F.transform("e", lambda x: x["event"]), "\n\n"), end)
+    return sse_answers(sse_chunks(parts.select(F.col("conv_id").alias("request_id"), body.alias("body"))))
+
+
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """Hybrid search: vector and keyword order fused, the best candidates of each stated question."""
     return QUERIES["r12_rrf"](spark, sf)
