@@ -87,6 +87,12 @@ def _signer(bands: int, rows: int, size: int):
     return sign
 
 
+def _dealt_anew(minima: DataFrame) -> DataFrame:
+    """(c, m) with a computed key, so that a join deals the minima out by itself: between two exchanges the adaptive
+    planner can split a hub's edges over several tasks, which the aggregation's own partitioning would not allow."""
+    return minima.select(F.when(F.col("a").isNotNull(), F.col("a")).alias("c"), "m")
+
+
 def connected(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root) for all nodes of `edges` (a, b), where root is the smallest node of the component.
 
@@ -98,10 +104,10 @@ def connected(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     before = links.agg(*state).first()
     for _ in range(max_rounds):
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("c"), F.least("a", "m").alias("m"))
+        least = _dealt_anew(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
         large = both.where("b > a").join(least, F.col("a") == F.col("c")).select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = large.distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("c"), "m")
+        least = _dealt_anew(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(least, F.col("a") == F.col("c")).where("b <> m")
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b"))
         small = small.unionByName(least.select(F.col("c").alias("a"), F.col("m").alias("b")))
