@@ -17,8 +17,8 @@ from evidentia.session import local_session, written
 from evidentia.sources.tables import synthetic
 
 HEADLINE = (
-    "r1_chunks", "r10_vector_rank", "t1_vector_top", "r11_keyword_rank", "r12_rrf", "r5_merge_edges", "r6_prune", "r8_local_nodes",
-    "a10_degrees", "a15_membership", "a17_condense", "r19_hierarchy", "a3_per_model", "st2_admitted", "r22_summary",
+    "r1_chunks", "r10_vector_rank", "t1_vector_top", "r12_rrf", "r5_merge_edges", "r6_prune", "r8_local_nodes",
+    "a10_degrees", "a15_membership", "a17_condense", "a3_per_model", "st2_admitted", "r22_summary",
 )
 
 

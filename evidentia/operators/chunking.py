@@ -11,7 +11,10 @@ from ..functions.scalar import normalize_newlines, trim
 
 def pieces(text: Column, settings: Settings = DEFAULTS) -> Column:
     """Trimmed windows of the text in order, without empty ones; a tail inside the last window is still one."""
-    clean = normalize_newlines(text)
+    return _cut(normalize_newlines(text), settings)
+
+
+def _cut(clean: Column, settings: Settings) -> Column:
     starts = F.sequence(F.lit(0), F.length(clean) - 1, F.lit(settings.stride))
     cut = F.transform(starts, lambda o: trim(F.substring(clean, o + 1, F.lit(settings.size))))
     return F.when(F.length(clean) > 0, F.filter(cut, lambda c: c != "")).otherwise(F.array().cast("array<string>"))
@@ -20,9 +23,10 @@ def pieces(text: Column, settings: Settings = DEFAULTS) -> Column:
 def chunk(docs: DataFrame, settings: Settings = DEFAULTS, text: str = "text") -> DataFrame:
     """The rows of `docs` without their text, one for each chunk: position (from 0 among kept chunks) and content."""
     others = [c for c in docs.columns if c != text]
-    return docs.select(*others, F.posexplode(pieces(F.col(text), settings)).alias("position", "content")).withColumn(
-        "position", F.col("position").cast("bigint")
-    )
+    # Cleaning in a projection of its own happens once a document; inside the cut it would happen for each piece.
+    clean = docs.select(*others, normalize_newlines(F.col(text)).alias("_clean"))
+    cut = clean.select(*others, F.posexplode(_cut(F.col("_clean"), settings)).alias("position", "content"))
+    return cut.withColumn("position", F.col("position").cast("bigint"))
 
 
 def reindex(chunks: DataFrame, changed: DataFrame, settings: Settings = DEFAULTS, key: str = "doc_id") -> DataFrame:
