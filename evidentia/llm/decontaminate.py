@@ -165,30 +165,62 @@ class Benchmark:
         """(text, item, covered tokens, item tokens, changed slots) for each leaked item of each text.
 
         Equal windows align the tokens of a text with those of an item. A slot value of the item must stand for one
-        value of the text wherever it is aligned; the most frequent one is taken, and windows against it do not count.
+        value wherever an occurrence aligns it; the most frequent one is taken, and windows against it do not count.
+        The occurrence that covers most decides.
         """
         docs = templates(texts)
         for (t, item), windows in self._aligned(docs).items():
-            d0, i0 = int(docs.bounds[t]), int(self.made.bounds[item])
-            total = int(self.made.bounds[item + 1]) - i0
-            seen: dict[tuple[int, int], Counter] = defaultdict(Counter)
-            pairs = {(d + k, i + k) for d, i, size in windows for k in range(size)}
-            for d, i in pairs:
-                kind = int(self.made.token[i0 + i])
-                if kind in SLOTS:
-                    seen[kind, int(self.made.value[i0 + i])][int(docs.value[d0 + d])] += 1
-            chosen = {slot: min(counts, key=lambda v, c=counts: (-c[v], v)) for slot, counts in seen.items()}
-
-            def fits(d: int, i: int, d0: int = d0, i0: int = i0, chosen: dict = chosen) -> bool:
-                kind = int(self.made.token[i0 + i])
-                return kind not in SLOTS or chosen[kind, int(self.made.value[i0 + i])] == int(docs.value[d0 + d])
-
-            covered = set()
-            for d, i, size in windows:
-                if all(fits(d + k, i + k) for k in range(size)):
-                    covered.update(range(i, i + size))
-            if len(covered) >= MIN_COVERAGE * total:
-                yield t, item, len(covered), total, sum(v != slot[1] for slot, v in chosen.items())
+            total = int(self.made.bounds[item + 1] - self.made.bounds[item])
+            best = (0, 0)
+            for occurrence in _occurrences(windows, total):
+                best = max(best, self._judge(docs, t, item, occurrence))
+                if best == (total, 0):
+                    break
+            if best[0] >= MIN_COVERAGE * total:
+                yield t, item, best[0], total, -best[1]
+
+    def _judge(self, docs: Templates, t: int, item: int, windows: list[tuple[int, int, int]]) -> tuple[int, int]:
+        """Tokens of the item that consistent windows of an occurrence cover, and the changed slots times -1."""
+        d0, i0 = int(docs.bounds[t]), int(self.made.bounds[item])
+        seen: dict[tuple[int, int], Counter] = defaultdict(Counter)
+        pairs = {(d + k, i + k) for d, i, size in windows for k in range(size)}
+        for d, i in pairs:
+            kind = int(self.made.token[i0 + i])
+            if kind in SLOTS:
+                seen[kind, int(self.made.value[i0 + i])][int(docs.value[d0 + d])] += 1
+        chosen = {slot: min(counts, key=lambda v, c=counts: (-c[v], v)) for slot, counts in seen.items()}
+
+        def fits(d: int, i: int) -> bool:
+            kind = int(self.made.token[i0 + i])
+            return kind not in SLOTS or chosen[kind, int(self.made.value[i0 + i])] == int(docs.value[d0 + d])
+
+        covered = set()
+        for d, i, size in windows:
+            if all(fits(d + k, i + k) for k in range(size)):
+                covered.update(range(i, i + size))
+        return len(covered), -sum(v != slot[1] for slot, v in chosen.items())
+
+
+def _occurrences(windows: list[tuple[int, int, int]], total: int) -> Iterator[list[tuple[int, int, int]]]:
+    """Windows that can belong to one occurrence of an item of `total` tokens.
+
+    An unbroken copy lies on one diagonal (place in the text less place in the item), one with insertions or gaps on
+    diagonals within half of the item's length; pieces that are far apart are taken together.
+    """
+    yield windows
+    lanes: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
+    for window in windows:
+        lanes[window[0] - window[1]].append(window)
+    if len(lanes) == 1:
+        return
+    yield from lanes.values()
+    places, last = sorted(lanes), 0
+    for first, lane in enumerate(places):
+        begin = last
+        while last < len(places) and places[last] - lane <= total // 2:
+            last += 1
+        if last > max(begin, first + 1):  # not within the stretch before
+            yield [window for place in places[first:last] for window in lanes[place]]
 
 
 SLOTS = frozenset(int(x) for x in (NUMBER, NAME, UNIT))
@@ -246,7 +278,8 @@ def leaked_items(
     """The benchmark items that each row leaks: doc_id, item_id, matched_tokens, item_tokens, changed_slots.
 
     Numbers, units and names become typed placeholders on both sides; windows of template tokens are joined by hash;
-    an item is leaked if consistent windows cover at least half of its tokens. changed_slots counts slot values that
+    an item is leaked if consistent windows of one occurrence, or of the whole text, cover at least half of its tokens.
+    A text that holds an item several times is judged by the occurrence that covers most. changed_slots counts slot values that
     differ from the item's: 0 for a leak that begins a sentence as the item does, more for a re-parameterised one (or
     where the word before joins a name at the item's beginning).
 

@@ -111,3 +111,20 @@ def test_planted_cases(spark):
     # without a sentence's end before it, the item's opening name is one slot with the name that follows
     assert sorted(r.changed_slots for r in rows if r.doc_id == 10) == [0, 1]
     assert D.leaked_items(docs.limit(0), bench).count() == 0 and D.leaked_items(docs, bench.limit(0)).count() == 0
+
+
+def found(text, item):
+    return list(D.Benchmark([1], [item]).leaks([text]))
+
+
+def test_a_copy_among_variants_is_found():
+    rng = random.Random(3)
+    told = "sell 3 pens for 4 coins and 6 caps for 2 coins then count the coins"
+    for item in (ITEMS[5][1], told):
+        n = len(canonical(item))
+        for _ in range(40):
+            variants = [re.sub(r"\d+", lambda _: str(rng.randint(1, 6)), item) for _ in range(12)]
+            variants.insert(rng.randint(0, 12), item)
+            assert [r[2:] for r in found(". ".join(variants), item)] == [(n, n, 0)]
+            broken = item.replace(" then", " of all that is here then")
+            assert found(". ".join(variants).replace(item, broken), item)
