@@ -130,7 +130,8 @@ class Benchmark:
     def __init__(self, ids: list, texts: list[str | None]) -> None:
         made = templates(texts)
         self.ids, self.made = ids, made
-        self.by_size: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
+        #: (window size, whether joined on values) -> hashes in order, their items and places, and a filter
+        self.by_size: dict[tuple[int, bool], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
         count = np.diff(made.bounds)
         for size in sorted({min(WINDOW, int(n)) for n in count if n >= MIN_TOKENS}):
             own = np.flatnonzero((np.minimum(count, WINDOW) == size) & (count >= MIN_TOKENS))
@@ -139,19 +140,25 @@ class Benchmark:
             at = made.bounds[item] + place
             cells = at[:, None] + np.arange(size)
             literal = ~np.isin(made.token[cells], [NUMBER, NAME, UNIT])
-            good = literal.sum(axis=1) >= min(MIN_LITERALS, size - 1)
-            hashes, _ = shingles(made.token[cells[good]].ravel(), np.arange(good.sum() + 1) * size, size)
-            order = np.argsort(hashes, kind="stable")
-            filled = np.zeros(1 << self.BITS, dtype=bool)
-            filled[(hashes >> U64(64 - self.BITS)).astype(np.int64)] = True
-            self.by_size[size] = hashes[order], item[good][order], place[good][order], filled
+            plain = literal.sum(axis=1) >= min(MIN_LITERALS, size - 1)
+            # Windows that are mostly slots tell nothing by their template, so they are joined on what stands there.
+            for exact, good in ((False, plain), (True, ~plain)):
+                if not good.any():
+                    continue
+                tokens = (made.value if exact else made.token)[cells[good]].ravel()
+                hashes, _ = shingles(tokens, np.arange(good.sum() + 1) * size, size)
+                order = np.argsort(hashes, kind="stable")
+                bits = min(self.BITS, int(16 * len(hashes)).bit_length())
+                filled = np.zeros(1 << bits, dtype=bool)
+                filled[(hashes >> U64(64 - bits)).astype(np.int64)] = True
+                self.by_size[size, exact] = hashes[order], item[good][order], place[good][order], filled
 
     def _aligned(self, docs: Templates) -> dict[tuple[int, int], list[tuple[int, int, int]]]:
         """(text, item) -> (place in the text, place in the item, window size) of equal windows."""
         found: dict[tuple[int, int], list[tuple[int, int, int]]] = defaultdict(list)
-        for size, (hashes, item, place, filled) in self.by_size.items():
-            values, starts = shingles(docs.token, docs.bounds, size)
-            maybe = np.flatnonzero(filled[(values >> U64(64 - self.BITS)).astype(np.int64)])
+        for (size, exact), (hashes, item, place, filled) in self.by_size.items():
+            values, starts = shingles(docs.value if exact else docs.token, docs.bounds, size)
+            maybe = np.flatnonzero(filled[(values >> U64(65 - len(filled).bit_length())).astype(np.int64)])
             low = np.searchsorted(hashes, values[maybe], side="left")
             high = np.searchsorted(hashes, values[maybe], side="right")
             text = np.searchsorted(starts, maybe, side="right") - 1
@@ -277,7 +284,8 @@ def leaked_items(
 ) -> DataFrame:
     """The benchmark items that each row leaks: doc_id, item_id, matched_tokens, item_tokens, changed_slots.
 
-    Numbers, units and names become typed placeholders on both sides; windows of template tokens are joined by hash;
+    Numbers, units and names become typed placeholders on both sides; windows of template tokens are joined by hash, and
+    windows of too few literal tokens by a hash of the original values, so that such parts are found where unchanged;
     an item is leaked if consistent windows of one occurrence, or of the whole text, cover at least half of its tokens.
     A text that holds an item several times is judged by the occurrence that covers most. changed_slots counts slot values that
     differ from the item's: 0 for a leak that begins a sentence as the item does, more for a re-parameterised one (or

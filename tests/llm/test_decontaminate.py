@@ -128,3 +128,13 @@ def test_a_copy_among_variants_is_found():
             assert [r[2:] for r in found(". ".join(variants), item)] == [(n, n, 0)]
             broken = item.replace(" then", " of all that is here then")
             assert found(". ".join(variants).replace(item, broken), item)
+
+
+def test_items_of_numbers_and_names_are_found_verbatim():
+    items = ["What is 12 + 7 * 3 - 4 / 2 + 9?", "Compute 15 x 4 + 3 x 8 - 6 x 2.", "12 7 13 44", "give 3 kg"]
+    for item in items[:3]:
+        n = len(canonical(item))
+        assert [r[2:] for r in found(f"Words before that. {item} And words after.", item)] == [(n, n, 0)]
+        assert found("Other text " * 30 + "with 1 or 2 numbers.", item) == []
+        assert found(re.sub(r"\d", "5", item), item) == []
+    assert found(items[3], items[3]) == []  # under four tokens
