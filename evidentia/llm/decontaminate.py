@@ -72,6 +72,11 @@ def templates(texts: list[str | None]) -> Templates:
     A number may hold points, commas, colons or slashes between digits. A unit is a listed word after a number. A name
     is a capitalised word that does not begin a sentence; successive names are one. Other words are case-folded.
     """
+    return both_templates(texts)[0]
+
+
+def both_templates(texts: list[str | None]) -> tuple[Templates, Templates]:
+    """The templates, and those in which capitalised words that begin a sentence are names too."""
     table = _kinds()
     codes, at = code_points(texts)
     kinds = table[codes]
@@ -104,18 +109,27 @@ def templates(texts: list[str | None]) -> Templates:
     shouting = np.zeros(n, dtype=bool)
     many = np.concatenate(([0], np.cumsum(upper)))
     shouting[:] = (many[end] - many[begin] == end - begin) & (end - begin > 1)
-    name = capital & ~opening & ~shouting
     after_number = np.zeros(n, dtype=bool)
     if n > 1:
         after_number[1:] = number[:-1] & ~first[1:] & (begin[1:] - end[:-1] <= 1)
     unit = after_number & ~number & np.isin(value, _hash_words(UNITS))
+    proper = capital & ~shouting
+    return (
+        _placed(value, bounds, number, unit, proper & ~opening, first),
+        _placed(value, bounds, number, unit, proper, opening),
+    )
+
+
+def _placed(
+    value: np.ndarray, bounds: np.ndarray, number: np.ndarray, unit: np.ndarray, name: np.ndarray, apart: np.ndarray
+) -> Templates:
+    """Templates with these placeholders; successive names are one slot, unless the second is set apart."""
     token = np.where(number, NUMBER, np.where(unit, UNIT, np.where(name, NAME, value)))
-    # Successive names are one slot, whose value is that of all its words.
-    again = np.zeros(n, dtype=bool)
-    if n > 1:
-        again[1:] = name[1:] & name[:-1] & ~first[1:]
+    # The value of successive names is that of all their words.
+    again = np.zeros(len(value), dtype=bool)
+    again[1:] = name[1:] & name[:-1] & ~apart[1:]
     keep = np.flatnonzero(~again)
-    if len(keep) < n:
+    if len(keep) < len(value):
         value = np.add.reduceat(value, keep)
         bounds = np.searchsorted(keep, bounds)
         token = token[keep]
@@ -123,13 +137,31 @@ def templates(texts: list[str | None]) -> Templates:
 
 
 class Benchmark:
+    """The items under both templates; a leak under either counts."""
+
+    def __init__(self, ids: list, texts: list[str | None]) -> None:
+        self.ids = ids
+        self.windows = [Windows(made) for made in both_templates(texts)]
+
+    def leaks(self, texts: list[str | None]) -> Iterator[tuple[int, int, int, int, int]]:
+        """(text, item, covered tokens, item tokens, changed slots) for each leaked item of each text.
+
+        The figures are those of the first template under which the item leaks.
+        """
+        found: set[tuple[int, int]] = set()
+        for windows, docs in zip(self.windows, both_templates(texts), strict=True):
+            for row in windows.leaks(docs, found):
+                found.add(row[:2])
+                yield row
+
+
+class Windows:
     """Windows of the items' templates, for a hash join with the windows of documents."""
 
     BITS = 22
 
-    def __init__(self, ids: list, texts: list[str | None]) -> None:
-        made = templates(texts)
-        self.ids, self.made = ids, made
+    def __init__(self, made: Templates) -> None:
+        self.made = made
         #: (window size, whether joined on values) -> hashes in order, their items and places, and a filter
         self.by_size: dict[tuple[int, bool], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
         count = np.diff(made.bounds)
@@ -168,15 +200,16 @@ class Benchmark:
                         found[int(t), int(item[k])].append((int(m - starts[t]), int(place[k]), size))
         return found
 
-    def leaks(self, texts: list[str | None]) -> Iterator[tuple[int, int, int, int, int]]:
-        """(text, item, covered tokens, item tokens, changed slots) for each leaked item of each text.
+    def leaks(self, docs: Templates, known: set[tuple[int, int]]) -> Iterator[tuple[int, int, int, int, int]]:
+        """(text, item, covered tokens, item tokens, changed slots) for each leaked item of each text, without known ones.
 
         Equal windows align the tokens of a text with those of an item. A slot value of the item must stand for one
         value wherever an occurrence aligns it; the most frequent one is taken, and windows against it do not count.
         The occurrence that covers most decides.
         """
-        docs = templates(texts)
         for (t, item), windows in self._aligned(docs).items():
+            if (t, item) in known:
+                continue
             total = int(self.made.bounds[item + 1] - self.made.bounds[item])
             best = (0, 0)
             for occurrence in _occurrences(windows, total):
@@ -287,7 +320,8 @@ def leaked_items(
     Numbers, units and names become typed placeholders on both sides; windows of template tokens are joined by hash, and
     windows of too few literal tokens by a hash of the original values, so that such parts are found where unchanged;
     an item is leaked if consistent windows of one occurrence, or of the whole text, cover at least half of its tokens.
-    A text that holds an item several times is judged by the occurrence that covers most. changed_slots counts slot values that
+    A text that holds an item several times is judged by the occurrence that covers most. Capitalised words that begin a
+    sentence are literal in a first template and names in a second one; a leak under either counts. changed_slots counts slot values that
     differ from the item's: 0 for a leak that begins a sentence as the item does, more for a re-parameterised one (or
     where the word before joins a name at the item's beginning).
 

@@ -138,3 +138,12 @@ def test_items_of_numbers_and_names_are_found_verbatim():
         assert found("Other text " * 30 + "with 1 or 2 numbers.", item) == []
         assert found(re.sub(r"\d", "5", item), item) == []
     assert found(items[3], items[3]) == []  # under four tokens
+
+
+def test_names_that_begin_sentences_can_change():
+    item = "Tom has 5 apples. Ann gives him 3 more. Tom eats 2 of them. How many are left?"
+    text = "Some words before. Mia has 8 apples. Leo gives him 6 more. Mia eats 4 of them. How many are left? And more."
+    assert [r[2] == r[3] for r in found(text, item)] == [True]
+    # the names, and the numbers, must still be changed alike
+    assert found("Mia has 8 apples. Leo gives him 6 pears. Ida eats 4 of you. So many are here?", item) == []
+    assert [r[2:] for r in found(item, item)] == [(18, 18, 0)]
