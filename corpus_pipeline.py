@@ -27,7 +27,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without cross-site boilerplate lines."""
-    out = remove_boilerplate(docs, carry=["lang"])
+    out = remove_boilerplate(docs, carry=["lang"], whole=True)
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 

@@ -17,6 +17,8 @@ MIN_WORDS = 4
 MAX_REMOVED = 0.5
 #: Sketch size: 2**12 registers, a relative standard error of about 1.6 %.
 LOG_K = 12
+#: In a document that would lose more than MAX_REMOVED, the company that a line must change in: a share of its texts.
+MIN_COMPANY = 0.25
 STANDARD_ERROR = 1.04 / 2 ** (LOG_K / 2)
 
 
@@ -55,6 +57,35 @@ def boilerplate_keys(lines: DataFrame, min_sites: int) -> DataFrame:
     return sure.unionByName(exact.where(F.col("sites") >= min_sites).select("k1", "k2"))
 
 
+def widespread_keys(rows: DataFrame, text_col: str, site_col: str, min_sites: int, min_words: int) -> DataFrame:
+    """Keys of lines on at least `min_sites` sites, copies counted once, and whether a line is `loose`.
+
+    Rows whose countable lines are the same in the same order are copies, and stand on one site. A line is loose if the
+    longest other line beside it is a different one in a quarter of its texts, and in `min_sites` texts at least: that
+    of a notice changes from page to page, that of a passage in near copies does not. Sketches of so few sites are exact.
+    """
+    lines = F.filter(F.split(F.coalesce(text_col, F.lit("")), "\n"), lambda x: _counts(x, min_words))
+    held = F.transform(lines, lambda x: F.struct(F.length(F.btrim(x, F.lit(" \t\r"))).alias("n"), _key(x).alias("key")))
+    site = F.xxhash64(F.coalesce(F.col(site_col).cast("string"), F.lit("")))
+    texts = rows.select(held.alias("held"), site.alias("site")).where(F.size("held") > 0)
+    texts = texts.groupBy(F.xxhash64("held").alias("t1"), F.xxhash64(F.lit(7), "held").alias("t2")).agg(
+        F.min("site").alias("site"), F.first("held").alias("held")
+    )
+    order = F.transform("held", lambda x: F.struct(x["n"].alias("n"), x["key"]["k1"].alias("k1")))
+    texts = texts.select("site", F.array_distinct("held.key").alias("keys"), order.alias("order"))
+    texts = texts.withColumn("most", F.array_max("order")["k1"])
+    texts = texts.withColumn("next", F.array_max(F.filter("order", lambda x: x["k1"] != F.col("most")))["k1"])
+    found = texts.select("site", "most", "next", F.explode("keys").alias("key"))
+    beside = F.when(F.col("key.k1") == F.col("most"), F.coalesce("next", F.lit(0))).otherwise(F.col("most"))
+    spread = found.select("key.k1", "key.k2", "site", beside.alias("beside")).groupBy("k1", "k2").agg(
+        F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LOG_K))).alias("sites"),
+        F.hll_sketch_estimate(F.hll_sketch_agg("beside", F.lit(LOG_K))).alias("beside"),
+        F.count("*").alias("texts"),
+    )
+    loose = (F.col("beside") >= min_sites) & (F.col("beside") >= MIN_COMPANY * F.col("texts"))
+    return spread.where(F.col("sites") >= min_sites).select("k1", "k2", loose.alias("loose"))
+
+
 def remove_boilerplate(
     docs: DataFrame,
     text_col: str = "text",
@@ -64,6 +95,7 @@ def remove_boilerplate(
     min_words: int = MIN_WORDS,
     max_removed: float = MAX_REMOVED,
     carry: Sequence[str] = (),
+    whole: bool = False,
 ) -> DataFrame:
     """The id, text and site columns of `docs`, the text without lines that stand on `min_sites` distinct sites.
 
@@ -71,6 +103,10 @@ def remove_boilerplate(
     never count. A document that would lose more than `max_removed` of its characters is a copy of others rather than
     a page with boilerplate: it stays whole, for document-level deduplication.
 
+    With `whole`, copies are told by their lines and not by that share: equal rows count as one site, and a document
+    that would lose more than `max_removed` loses all boilerplate that keeps different company from page to page, and
+    only the lines that its near copies share stay (see widespread_keys).
+
     Defined cases: a null text stays null and has no lines; a null site is one site of its own; null ids and repeated
     rows are treated like any other row, repeated rows alike; an empty table gives no rows; other columns are not
     carried along, so clashing names cannot interfere. No row gathers more than the lines of one text.
@@ -81,24 +117,39 @@ def remove_boilerplate(
         F.col(f"`{site_col}`").alias(site_col),
         *[F.col(f"`{name}`").alias(name) for name in carry],
     )
-    keys = written(boilerplate_keys(site_lines(rows, text_col, site_col, min_words), min_sites), "boilerplate")
+    if whole:
+        keys = widespread_keys(rows, text_col, site_col, min_sites, min_words)
+    else:
+        keys = boilerplate_keys(site_lines(rows, text_col, site_col, min_words), min_sites).withColumn("loose", F.lit(False))
+    keys = written(keys, "boilerplate")
     # Equal ids with equal texts lose the same lines, so a hash of both stands for the row.
     row = [F.xxhash64(F.lit(seed), id_col, text_col) for seed in (3, 5)]
     lines = F.split(F.coalesce(text_col, F.lit("")), "\n")
     marked = F.transform(lines, lambda x, i: F.when(_counts(x, min_words), F.struct(i.alias("at"), _key(x).alias("key"))))
     placed = rows.select(row[0].alias("r1"), row[1].alias("r2"), F.explode(F.filter(marked, lambda x: x.isNotNull())).alias("line"))
     placed = placed.select("r1", "r2", F.col("line.at").alias("at"), "line.key.k1", "line.key.k2")
-    removed = placed.join(keys, ["k1", "k2"]).groupBy("r1", "r2").agg(F.collect_set("at").alias("removed"))
+    loose = F.collect_set(F.when(F.col("loose"), F.col("at"))) if whole else F.max(F.lit(None).cast("array<int>"))
+    removed = placed.join(keys, ["k1", "k2"]).groupBy("r1", "r2").agg(
+        F.collect_set("at").alias("removed"), loose.alias("loose")
+    )
     joined = rows.withColumns({"r1": row[0], "r2": row[1]}).join(removed, ["r1", "r2"], "left")
-    left = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("removed", i)), "\n")
-    cleaned = F.when(F.col("removed").isNotNull(), left).alias("cleaned")
-    out = joined.select(id_col, text_col, site_col, *carry, "removed", F.size(lines).alias("n_lines"), cleaned)
+
+    def without(places: str) -> Column:
+        left = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains(places, i)), "\n")
+        return F.when(F.col(places).isNotNull(), left)
+
+    out = joined.select(
+        id_col, text_col, site_col, *carry, "removed", "loose", F.size(lines).alias("n_lines"),
+        without("removed").alias("cleaned"),
+    )
     strip = F.coalesce(F.length("cleaned") >= (1 - max_removed) * F.length(text_col), F.lit(False))
+    # What goes from a document that would lose too much: nothing, or its loose lines.
+    part = ~strip & (F.size("loose") > 0) if whole else F.lit(False)
     return out.select(
         id_col,
-        F.when(strip, F.col("cleaned")).otherwise(F.col(text_col)).alias(text_col),
+        F.when(strip, F.col("cleaned")).when(part, without("loose")).otherwise(F.col(text_col)).alias(text_col),
         site_col,
         *carry,
         F.when(F.col(text_col).isNull(), 0).otherwise(F.col("n_lines")).cast("long").alias("n_lines"),
-        F.when(strip, F.size("removed")).otherwise(0).cast("long").alias("n_removed"),
+        F.when(strip, F.size("removed")).when(part, F.size("loose")).otherwise(0).cast("long").alias("n_removed"),
     )

@@ -52,3 +52,17 @@ def test_sketches_and_exact_counts_agree_with_sets(spark):
 
 def test_empty(spark):
     assert remove_boilerplate(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_whole_strips_short_pages_and_spares_copies(spark):
+    notice = ["this notice stands on the pages of very many sites and is long", "a second notice that stands below the first one here"]
+    rows = [(k, f"own words of page {k}\n" + "\n".join(notice), f"s{k % 7}") for k in range(14)]
+    rows += [(20 + k, f"own words of page {20 + k} which go on for much longer than all of the notices do\n" + notice[k % 2], f"s{k % 7}") for k in range(14)]
+    rows += [(40 + k, "a text that was copied whole to many sites\nand its second line of words", f"s{k}") for k in range(5)]
+    news = "\n".join(f"line {k} of a story that many sites print, with some more words {k}" for k in range(6))
+    rows += [(60 + k, f"{news}\nprinted by site {k} and nobody else", f"s{k}") for k in range(5)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    assert not any(r.n_removed for r in remove_boilerplate(docs).where("doc_id < 14 OR doc_id >= 40").collect())
+    got = {r.doc_id: r.text for r in remove_boilerplate(docs.repartition(3), whole=True).collect()}
+    for doc, text, _ in rows:
+        assert got[doc] == (text.split("\n")[0] if doc < 40 else text)
