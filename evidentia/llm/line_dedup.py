@@ -15,6 +15,11 @@ MIN_SITES = 3
 MIN_WORDS = 4
 #: A document that would lose more than this share of its text is a copy, not a page with boilerplate, and stays whole.
 MAX_REMOVED = 0.5
+#: Lines of fewer words and characters than these are short, and must stand on so many times as many sites.
+MIN_CHARS = 20
+SHORT_FACTOR = 4
+#: White space within lines, beside the space.
+SPACES = "\t\r\v\f\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Sketch size: 2**12 registers, a relative standard error of about 1.6 %.
 LOG_K = 12
 #: In a document that would lose more than MAX_REMOVED, the company that a line must change in: a share of its texts.
@@ -33,6 +38,17 @@ def _counts(line: Column, min_words: int) -> Column:
     return F.length(plain) - F.length(F.replace(plain, F.lit(" "))) >= min_words - 1
 
 
+def _plain_lines(text_col: str) -> Column:
+    """The lower-cased lines of a text, every white space a plain one."""
+    plain = F.translate(F.lower(F.coalesce(text_col, F.lit(""))), SPACES, " " * len(SPACES))
+    return F.transform(F.split(plain, "\n"), lambda x: F.btrim(x))
+
+
+def _short(plain: Column, min_words: int) -> Column:
+    words = F.size(F.filter(F.split(plain, " "), lambda x: x != ""))
+    return (F.length(plain) < MIN_CHARS) & (words < min_words)
+
+
 def site_lines(docs: DataFrame, text_col: str, site_col: str, min_words: int) -> DataFrame:
     """The distinct countable lines of each row, as keys, with the row's site."""
     lines = F.filter(F.split(F.coalesce(text_col, F.lit("")), "\n"), lambda x: _counts(x, min_words))
@@ -60,30 +76,35 @@ def boilerplate_keys(lines: DataFrame, min_sites: int) -> DataFrame:
 def widespread_keys(rows: DataFrame, text_col: str, site_col: str, min_sites: int, min_words: int) -> DataFrame:
     """Keys of lines on at least `min_sites` sites, copies counted once, and whether a line is `loose`.
 
-    Rows whose countable lines are the same in the same order are copies, and stand on one site. A line is loose if the
+    Every line that is not empty counts; one of fewer than `min_words` words and MIN_CHARS characters must stand on
+    SHORT_FACTOR times as many sites. Rows whose lines are the same in the same order are copies, and stand on one site. A line is loose if the
     longest other line beside it is a different one in a quarter of its texts, and in `min_sites` texts at least: that
     of a notice changes from page to page, that of a passage in near copies does not. Sketches of so few sites are exact.
     """
-    lines = F.filter(F.split(F.coalesce(text_col, F.lit("")), "\n"), lambda x: _counts(x, min_words))
-    held = F.transform(lines, lambda x: F.struct(F.length(F.btrim(x, F.lit(" \t\r"))).alias("n"), _key(x).alias("key")))
+    lines = F.filter(_plain_lines(text_col), lambda x: x != "")
+    held = F.transform(
+        lines, lambda x: F.struct(F.length(x).alias("n"), _key(x).alias("key"), _short(x, min_words).alias("short"))
+    )
     site = F.xxhash64(F.coalesce(F.col(site_col).cast("string"), F.lit("")))
     texts = rows.select(held.alias("held"), site.alias("site")).where(F.size("held") > 0)
     texts = texts.groupBy(F.xxhash64("held").alias("t1"), F.xxhash64(F.lit(7), "held").alias("t2")).agg(
         F.min("site").alias("site"), F.first("held").alias("held")
     )
     order = F.transform("held", lambda x: F.struct(x["n"].alias("n"), x["key"]["k1"].alias("k1")))
-    texts = texts.select("site", F.array_distinct("held.key").alias("keys"), order.alias("order"))
+    texts = texts.select("site", F.array_distinct(F.transform("held", lambda x: F.struct(x["key"].alias("key"), x["short"].alias("short")))).alias("keys"), order.alias("order"))
     texts = texts.withColumn("most", F.array_max("order")["k1"])
     texts = texts.withColumn("next", F.array_max(F.filter("order", lambda x: x["k1"] != F.col("most")))["k1"])
-    found = texts.select("site", "most", "next", F.explode("keys").alias("key"))
+    found = texts.select("site", "most", "next", F.explode("keys").alias("line")).select("site", "most", "next", "line.key", "line.short")
     beside = F.when(F.col("key.k1") == F.col("most"), F.coalesce("next", F.lit(0))).otherwise(F.col("most"))
-    spread = found.select("key.k1", "key.k2", "site", beside.alias("beside")).groupBy("k1", "k2").agg(
+    spread = found.select("key.k1", "key.k2", "short", "site", beside.alias("beside")).groupBy("k1", "k2").agg(
         F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LOG_K))).alias("sites"),
         F.hll_sketch_estimate(F.hll_sketch_agg("beside", F.lit(LOG_K))).alias("beside"),
         F.count("*").alias("texts"),
+        F.max("short").alias("short"),
     )
     loose = (F.col("beside") >= min_sites) & (F.col("beside") >= MIN_COMPANY * F.col("texts"))
-    return spread.where(F.col("sites") >= min_sites).select("k1", "k2", loose.alias("loose"))
+    least = F.when(F.col("short"), SHORT_FACTOR * min_sites).otherwise(min_sites)
+    return spread.where(F.col("sites") >= least).select("k1", "k2", loose.alias("loose"))
 
 
 def remove_boilerplate(
@@ -100,10 +121,10 @@ def remove_boilerplate(
     """The id, text and site columns of `docs`, the text without lines that stand on `min_sites` distinct sites.
 
     Adds n_lines and n_removed. Lines are compared trimmed and lower-cased; those with fewer than `min_words` words
-    never count. A document that would lose more than `max_removed` of its characters is a copy of others rather than
+    (as spaces tell them) never count. A document that would lose more than `max_removed` of its characters is a copy of others rather than
     a page with boilerplate: it stays whole, for document-level deduplication.
 
-    With `whole`, copies are told by their lines and not by that share: equal rows count as one site, and a document
+    With `whole`, every line that is not empty counts, a short one on more sites, by Unicode white space. Copies are told by their lines and not by that share: equal rows count as one site, and a document
     that would lose more than `max_removed` loses all boilerplate that keeps different company from page to page, and
     only the lines that its near copies share stay (see widespread_keys).
 
@@ -125,7 +146,11 @@ def remove_boilerplate(
     # Equal ids with equal texts lose the same lines, so a hash of both stands for the row.
     row = [F.xxhash64(F.lit(seed), id_col, text_col) for seed in (3, 5)]
     lines = F.split(F.coalesce(text_col, F.lit("")), "\n")
-    marked = F.transform(lines, lambda x, i: F.when(_counts(x, min_words), F.struct(i.alias("at"), _key(x).alias("key"))))
+    compared = _plain_lines(text_col) if whole else lines
+    marked = F.transform(
+        compared,
+        lambda x, i: F.when(x != "" if whole else _counts(x, min_words), F.struct(i.alias("at"), _key(x).alias("key"))),
+    )
     placed = rows.select(row[0].alias("r1"), row[1].alias("r2"), F.explode(F.filter(marked, lambda x: x.isNotNull())).alias("line"))
     placed = placed.select("r1", "r2", F.col("line.at").alias("at"), "line.key.k1", "line.key.k2")
     loose = F.collect_set(F.when(F.col("loose"), F.col("at"))) if whole else F.max(F.lit(None).cast("array<int>"))

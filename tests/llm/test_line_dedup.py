@@ -66,3 +66,15 @@ def test_whole_strips_short_pages_and_spares_copies(spark):
     got = {r.doc_id: r.text for r in remove_boilerplate(docs.repartition(3), whole=True).collect()}
     for doc, text, _ in rows:
         assert got[doc] == (text.split("\n")[0] if doc < 40 else text)
+
+
+def test_whole_counts_short_lines_and_lines_without_spaces(spark):
+    lines = ["Imprint.", "保留所有权利未经许可不得以任何形式转载或使用本网站的内容", "terms\tof use　apply here", "Rare."]
+    rows = []
+    for k in range(15):
+        text = f"own words of page {k} which go on for longer than all of the other lines that stand below, and for more still\n"
+        rows.append((k, text + "\n".join(lines[:3] + lines[3:] * (k < 5)), f"s{k}"))
+    docs = spark.createDataFrame(rows, SCHEMA)
+    assert not any(r.n_removed for r in remove_boilerplate(docs).collect())
+    for r in remove_boilerplate(docs.repartition(3), whole=True).collect():
+        assert r.text.split("\n")[1:] == lines[3:] * (r.doc_id < 5) and r.n_removed == 3
