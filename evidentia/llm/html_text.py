@@ -42,7 +42,7 @@ IMPLIED = {
 }
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 DROPPED = frozenset(
-    "head script style noscript template iframe object embed applet svg math canvas audio video nav aside footer form "
+    "head script style noscript template iframe object embed applet svg math canvas audio video nav aside footer "
     "button select input textarea label fieldset dialog menu title noembed noframes xmp".split()
 )
 DROPPED_ROLES = frozenset(
@@ -58,18 +58,27 @@ UNWANTED = frozenset(
     "recommended search share sharing shoutbox sidebar signup skip social sponsor sponsored sponsors subscribe "
     "subscription tags toolbar topbar widget widgets".split()
 )
+#: Those of them that also name what stands around a whole page.
+FRAMES = frozenset(
+    "banner form header hidden masthead menu modal nav navbar navigation overlay print sidebar toolbar topbar widget "
+    "widgets".split()
+)
 MODIFIERS = frozenset("has with without no is".split())
 CONTENT = frozenset("article body content entry hentry main page post story text".split())
 MIN_PARAGRAPH = 25
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 
 
-def _unwanted_name(value: str) -> bool:
+def _unwanted_name(value: str) -> int:
+    """0 for a name that marks nothing, 1 if it can also name what stands around a page, else 2."""
+    out = 0
     for name in value.split():
         found = [w.lower() for w in _WORDS.findall(name)]
-        if found and found[0] not in MODIFIERS and not UNWANTED.isdisjoint(found):
-            return True
-    return False
+        if found and found[0] not in MODIFIERS:
+            marks = UNWANTED.intersection(found)
+            if marks:
+                out = max(out, 1 if marks <= FRAMES or not CONTENT.isdisjoint(found) else 2)
+    return out
 
 
 class Page:
@@ -77,14 +86,19 @@ class Page:
 
     def __init__(self, source: str) -> None:
         self.tag, self.parent, self.drop, self.weight = ["#root"], [-1], [False], [0]
+        #: what _unwanted_name says of an element; such elements are dropped unless they hold the article
+        self.doubt = [0]
         #: (element, text) or (element, None) for a block boundary, in page order
         self.flow: list[tuple[int, str | None]] = []
         self.open_count: dict[str, int] = {}
         self._parse(source)
+        if any(self.doubt):
+            self._settle()
 
     def _open(self, tag: str, raw: str, stack: list[int]) -> None:
         node, above = len(self.tag), stack[-1]
         names, drop, weight = "", tag in DROPPED, 0
+        doubt = 1 if tag == "form" else 0
         if raw and not raw.isspace():
             attributes = {}
             for name, a, b, c in _ATTRIBUTE.findall(raw):
@@ -95,9 +109,8 @@ class Page:
             hidden = hidden or "display:none" in style or "visibility:hidden" in style
             drop = drop or hidden or attributes.get("role", "").lower() in DROPPED_ROLES
             if names != " " and tag not in ("html", "body"):
-                drop = drop or (tag not in ("article", "main") and _unwanted_name(names)) or (
-                    tag == "article" and _unwanted_name(names) and any(self.tag[s] == "article" for s in stack)
-                )
+                if tag not in ("article", "main") or (tag == "article" and any(self.tag[s] == "article" for s in stack)):
+                    doubt = max(doubt, _unwanted_name(names))
                 weight = 25 if not CONTENT.isdisjoint(w.lower() for w in _WORDS.findall(names)) else 0
         if tag == "header" and not any(self.tag[s] in ("article", "main") for s in stack):
             drop = True
@@ -105,6 +118,7 @@ class Page:
         self.parent.append(above)
         self.drop.append(drop or self.drop[above])
         self.weight.append(weight)
+        self.doubt.append(doubt)
         stack.append(node)
 
     def _close(self, stack: list[int], names: set[str] | frozenset[str], barrier: set[str] | frozenset[str]) -> bool:
@@ -176,6 +190,49 @@ class Page:
                 stop = lower.find(f"</{tag}", at)
                 at = n if stop < 0 else stop
 
+    def _settle(self) -> None:
+        """Drop the elements in doubt, but not those around the article.
+
+        An element in doubt stays if no article, main or element named as content is open outside of it, and it holds
+        an article or main, or most of the page's paragraph points; one whose name never stands around a page, like
+        that of comments, must hold nine tenths of the points.
+        """
+        n = len(self.tag)
+        owner, near = list(range(n)), [0] * n  # near: the innermost element in doubt, the element itself included
+        for k in range(1, n):
+            owner[k] = k if self.tag[k] in BLOCK else owner[self.parent[k]]
+            near[k] = k if self.doubt[k] else near[self.parent[k]]
+        length, commas, filled = [0] * n, [0] * n, [False] * n
+        for node, text in self.flow:
+            if text and not self.drop[node] and not text.isspace():
+                length[owner[node]] += len(text.strip())
+                commas[owner[node]] += text.count(",")
+                filled[node] = True
+        points, articles, anchors = [0.0] * n, [0] * n, [0] * n
+        for k in range(n - 1, 0, -1):
+            if self.drop[k]:
+                continue
+            above, tag = self.parent[k], self.tag[k]
+            if tag in BLOCK and tag not in HEADINGS and length[k] >= MIN_PARAGRAPH:
+                points[k] += 1 + commas[k] + min(length[k] / 100, 3)
+            if filled[k] and tag in ("article", "main"):
+                articles[k] += 1
+            if filled[k] and not self.doubt[k] and (tag in ("article", "main") or self.weight[k]):
+                anchors[near[k]] += 1
+            points[above] += points[k]
+            articles[above] += articles[k]
+            filled[above] = filled[above] or filled[k]
+        around = [0] * n  # anchors outside, up to the page
+        for k in range(1, n):
+            above = self.parent[k]
+            if self.doubt[k] and not self.drop[above]:
+                around[k] = around[near[above]] + anchors[near[above]]
+                share = points[k] / points[0] if points[0] else 0.0
+                fits = articles[k] > 0 or share > 0.5 if self.doubt[k] == 1 else share >= 0.9
+                if around[k] or not fits:
+                    self.drop[k] = True
+            self.drop[k] = self.drop[k] or self.drop[above]
+
     def kept(self) -> tuple[int, set[int]]:
         """The best container, and the siblings of it that are kept too."""
         n = len(self.tag)
@@ -292,8 +349,8 @@ def extract_text(pages: DataFrame) -> DataFrame:
 
     Paragraphs give points for their length and commas to their ancestors, half as many with each step up; the points
     of an element are discounted by its link density. The best container (or the article around it) and good siblings
-    are kept, without menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments. Each
-    block is one line; character references are decoded and white space in a block becomes one space.
+    are kept, without menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments. A form or
+    an element that is named so stays if the article is within it. Each block is one line; character references are decoded and white space in a block becomes one space.
 
     Defined cases: a null or empty page, or one without text, gives an empty text; a page without long paragraphs
     falls back to its article, main or body element; among equal containers the first wins; tags that are not closed

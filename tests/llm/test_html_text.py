@@ -44,3 +44,18 @@ def test_query_columns(spark):
     got = sorted(map(tuple, extract_text(pages).collect()), key=str)
     assert got == [(1, "u", "Hi \U0001f600 there", 10)] * 2 + [(None, None, "", 0)]
     assert extract_text(pages.limit(0)).count() == 0
+
+
+def test_wrappers_with_unwanted_names_keep_the_article():
+    after = f"<section class='comments'><article><p>{LONG}</p></article></section><div id='sidebar'><p>{LONG}</p></div>"
+    for name in ("class='content-sidebar-wrap'", "class='page-with-sidebar'", "id='site-header-fixed'", "class='overflow-hidden'"):
+        for inner in ("<article>{}</article>", "<div id=content>{}</div>"):
+            page = inner.format(ARTICLE)
+            assert main_text(f"<body><div {name}>{page}</div></body>") == LINES
+            if "article" in inner:
+                assert main_text(f"<body><div {name}>{page}{after}</div></body>") == LINES
+    assert main_text(f"<body><form id=aspnetForm><div class='site-header-fixed'><main>{ARTICLE}</main></div></form></body>") == LINES
+    assert main_text(f"<body><div>{ARTICLE}</div>{after}</body>") == LINES
+    begin = time.process_time()
+    assert main_text("<div class=sidebar>" * 30_000 + LONG + "</div>" * 30_000) == LONG.strip()
+    assert time.process_time() - begin < 10
