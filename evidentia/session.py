@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -33,10 +34,12 @@ def local_session(cpus: str = "*", partitions: int = 8, **conf: str) -> SparkSes
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a temporary one only where none is configured (tests)."""
+    """The shared folder of the cluster; a temporary one only where none is configured and all runs in one process."""
     context = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if configured is None:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise RuntimeError("spark.checkpoint.dir names no folder that the driver and the executors share")
         configured = "file://" + tempfile.mkdtemp(prefix="evidentia-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", configured)
     if context.getCheckpointDir() is None:
@@ -49,19 +52,22 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/evidentia-{name}-{uuid.uuid4().hex}"
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder."""
-    scratch_root(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write a columnar table to the shared folder and read it back (column pruning stays possible)."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
     schema = df.schema
     df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def forget(table: DataFrame) -> None:
+    """Delete the files of a `written` table that nothing reads any more."""
+    spark, path = table.sparkSession, table._scratch
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def ship(spark: SparkSession) -> None:
