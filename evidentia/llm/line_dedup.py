@@ -11,100 +11,81 @@ from ..session import written
 
 #: A line on this many distinct sites is boilerplate.
 MIN_SITES = 3
-#: Shorter lines repeat by chance and stay.
-MIN_WORDS = 4
-#: A document that would lose more than this share of its text is a copy, not a page with boilerplate, and stays whole.
-MAX_REMOVED = 0.5
-#: Lines of fewer words and characters than these are short, and must stand on so many times as many sites.
-MIN_CHARS = 20
-SHORT_FACTOR = 4
-#: White space within lines, beside the space.
-SPACES = "\t\r\v\f\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Lines of fewer words never count.
+MIN_WORDS = 1
+#: Two texts that share s characters and differ in u each are similar by s / (s + 2 u). At the similarity of 0.8 that
+#: tells near copies, the shared part is this share of either text.
+NEAR_COPY = 2 * 0.8 / (1 + 0.8)
+#: In a near copy, the company that a line must change in: a share of its texts.
+MIN_COMPANY = 0.25
+#: White space that is trimmed off a line.
+SPACES = "".join(chr(code) for code in range(0x3001) if chr(code).isspace() and chr(code) != "\n")
 #: Sketch size: 2**12 registers, a relative standard error of about 1.6 %.
 LOG_K = 12
-#: In a document that would lose more than MAX_REMOVED, the company that a line must change in: a share of its texts.
-MIN_COMPANY = 0.25
 STANDARD_ERROR = 1.04 / 2 ** (LOG_K / 2)
 
 
-def _key(line: Column) -> Column:
-    """128 bits of the trimmed, lower-cased line."""
-    plain = F.lower(F.btrim(line, F.lit(" \t\r")))
-    return F.struct(F.xxhash64(plain).alias("k1"), F.xxhash64(F.lit(29), plain).alias("k2"))
-
-
-def _counts(line: Column, min_words: int) -> Column:
-    plain = F.btrim(line, F.lit(" \t\r"))
-    return F.length(plain) - F.length(F.replace(plain, F.lit(" "))) >= min_words - 1
-
+def line_rows(docs: DataFrame, id_col: str, text_col: str, site_col: str, min_words: int) -> DataFrame:
+    """(r1, r2, site, lines) of each row: a hash that finds it again, its site, and its countable lines as structs of
+    place, trimmed length and a 128-bit key of the trimmed, lower-cased line."""
+    site = F.coalesce(F.col(site_col).cast("string"), F.lit(""))
+    # Lower-casing in a projection of its own happens once a text.
+    rows = docs.select(
+        *[F.xxhash64(F.lit(seed), id_col, text_col).alias(name) for name, seed in (("r1", 3), ("r2", 5))],
+        site.alias("site"),
+        F.transform(F.split(F.lower(F.coalesce(text_col, F.lit(""))), "\n"), lambda x: F.btrim(x, F.lit(SPACES))).alias("plain"),
+    )
 
-def _plain_lines(text_col: str) -> Column:
-    """The lower-cased lines of a text, every white space a plain one."""
-    plain = F.translate(F.lower(F.coalesce(text_col, F.lit(""))), SPACES, " " * len(SPACES))
-    return F.transform(F.split(plain, "\n"), lambda x: F.btrim(x))
+    def line(x: Column, at: Column) -> Column:
+        counts = x != ""
+        if min_words > 1:
+            counts = counts & (F.size(F.filter(F.split(x, f"[{SPACES}]+"), lambda w: w != "")) >= min_words)
+        return F.when(counts, F.struct(at.alias("at"), F.length(x).alias("n"), F.xxhash64(x).alias("k1"), F.xxhash64(F.lit(29), x).alias("k2")))
 
+    return rows.select("r1", "r2", "site", F.filter(F.transform("plain", line), lambda x: x.isNotNull()).alias("lines"))
 
-def _short(plain: Column, min_words: int) -> Column:
-    words = F.size(F.filter(F.split(plain, " "), lambda x: x != ""))
-    return (F.length(plain) < MIN_CHARS) & (words < min_words)
 
+def page_lines(rows: DataFrame) -> DataFrame:
+    """(k1, k2, site, beside): the distinct lines of each page with its site and the longest other line of the page.
 
-def site_lines(docs: DataFrame, text_col: str, site_col: str, min_words: int) -> DataFrame:
-    """The distinct countable lines of each row, as keys, with the row's site."""
-    lines = F.filter(F.split(F.coalesce(text_col, F.lit("")), "\n"), lambda x: _counts(x, min_words))
-    keys = F.array_distinct(F.transform(lines, _key))
-    site = F.xxhash64(F.coalesce(F.col(site_col).cast("string"), F.lit("")))
-    rows = docs.select(site.alias("site"), F.explode(keys).alias("key"))
-    return rows.select("key.k1", "key.k2", "site")
+    Rows with the same lines in the same order are copies: they are one page, on one site.
+    """
+    keys = F.transform("lines", lambda x: F.struct(x["k1"].alias("k1"), x["k2"].alias("k2")))
+    pages = rows.where(F.size("lines") > 0).withColumn("keys", keys)
+    pages = pages.groupBy(F.xxhash64("keys").alias("t1"), F.xxhash64(F.lit(7), "keys").alias("t2")).agg(
+        F.min("site").alias("site"), F.first("lines").alias("lines")
+    )
+    # Of equally long lines the first one counts.
+    order = F.transform("lines", lambda x: F.struct(x["n"].alias("n"), (-x["at"]).alias("at"), x["k1"].alias("k1")))
+    pages = pages.select(
+        "site", F.array_distinct(F.transform("lines", lambda x: F.struct(x["k1"].alias("k1"), x["k2"].alias("k2")))).alias("keys"),
+        order.alias("order"), F.array_max(order)["k1"].alias("most"),
+    )
+    pages = pages.withColumn("next", F.array_max(F.filter("order", lambda x: x["k1"] != F.col("most")))["k1"])
+    found = pages.select("site", "most", "next", F.explode("keys").alias("key"))
+    beside = F.when(F.col("key.k1") == F.col("most"), F.coalesce("next", F.lit(0))).otherwise(F.col("most"))
+    return found.select("key.k1", "key.k2", "site", beside.alias("beside"))
 
 
 def boilerplate_keys(lines: DataFrame, min_sites: int) -> DataFrame:
-    """Keys of lines on at least `min_sites` sites.
+    """(k1, k2, loose): lines on at least `min_sites` sites, and whether they change company from page to page.
 
     A HyperLogLog sketch per line, merged by the aggregation, gives its spread. Where the estimate is within three
-    standard errors (at least one site) of the threshold, the distinct sites of the line are counted exactly.
+    standard errors (at least one site) of the threshold, the distinct sites of the line are counted exactly. A line is
+    loose if the longest line beside it is a different one in a quarter of its pages, and in `min_sites` pages at least:
+    that of a notice changes from page to page, that of a passage in near copies does not.
     """
     margin = max(1, round(3 * STANDARD_ERROR * min_sites))
     spread = lines.groupBy("k1", "k2").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LOG_K))).alias("sites"))
     spread = written(spread.where(F.col("sites") >= min_sites - margin), "spread")
+    held = written(lines.join(spread, ["k1", "k2"]), "spread-lines")
     sure = spread.where(F.col("sites") > min_sites + margin).select("k1", "k2")
-    near = spread.where(F.col("sites") <= min_sites + margin).select("k1", "k2")
-    exact = lines.join(near, ["k1", "k2"]).distinct().groupBy("k1", "k2").agg(F.count("*").alias("sites"))
-    return sure.unionByName(exact.where(F.col("sites") >= min_sites).select("k1", "k2"))
-
-
-def widespread_keys(rows: DataFrame, text_col: str, site_col: str, min_sites: int, min_words: int) -> DataFrame:
-    """Keys of lines on at least `min_sites` sites, copies counted once, and whether a line is `loose`.
-
-    Every line that is not empty counts; one of fewer than `min_words` words and MIN_CHARS characters must stand on
-    SHORT_FACTOR times as many sites. Rows whose lines are the same in the same order are copies, and stand on one site. A line is loose if the
-    longest other line beside it is a different one in a quarter of its texts, and in `min_sites` texts at least: that
-    of a notice changes from page to page, that of a passage in near copies does not. Sketches of so few sites are exact.
-    """
-    lines = F.filter(_plain_lines(text_col), lambda x: x != "")
-    held = F.transform(
-        lines, lambda x: F.struct(F.length(x).alias("n"), _key(x).alias("key"), _short(x, min_words).alias("short"))
-    )
-    site = F.xxhash64(F.coalesce(F.col(site_col).cast("string"), F.lit("")))
-    texts = rows.select(held.alias("held"), site.alias("site")).where(F.size("held") > 0)
-    texts = texts.groupBy(F.xxhash64("held").alias("t1"), F.xxhash64(F.lit(7), "held").alias("t2")).agg(
-        F.min("site").alias("site"), F.first("held").alias("held")
-    )
-    order = F.transform("held", lambda x: F.struct(x["n"].alias("n"), x["key"]["k1"].alias("k1")))
-    texts = texts.select("site", F.array_distinct(F.transform("held", lambda x: F.struct(x["key"].alias("key"), x["short"].alias("short")))).alias("keys"), order.alias("order"))
-    texts = texts.withColumn("most", F.array_max("order")["k1"])
-    texts = texts.withColumn("next", F.array_max(F.filter("order", lambda x: x["k1"] != F.col("most")))["k1"])
-    found = texts.select("site", "most", "next", F.explode("keys").alias("line")).select("site", "most", "next", "line.key", "line.short")
-    beside = F.when(F.col("key.k1") == F.col("most"), F.coalesce("next", F.lit(0))).otherwise(F.col("most"))
-    spread = found.select("key.k1", "key.k2", "short", "site", beside.alias("beside")).groupBy("k1", "k2").agg(
-        F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LOG_K))).alias("sites"),
-        F.hll_sketch_estimate(F.hll_sketch_agg("beside", F.lit(LOG_K))).alias("beside"),
-        F.count("*").alias("texts"),
-        F.max("short").alias("short"),
-    )
-    loose = (F.col("beside") >= min_sites) & (F.col("beside") >= MIN_COMPANY * F.col("texts"))
-    least = F.when(F.col("short"), SHORT_FACTOR * min_sites).otherwise(min_sites)
-    return spread.where(F.col("sites") >= least).select("k1", "k2", loose.alias("loose"))
+    near = held.where(F.col("sites") <= min_sites + margin).select("k1", "k2", "site").distinct()
+    near = near.groupBy("k1", "k2").agg(F.count("*").alias("n")).where(F.col("n") >= min_sites).select("k1", "k2")
+    company = held.groupBy("k1", "k2", "beside").agg(F.count("*").alias("n"))
+    company = company.groupBy("k1", "k2").agg(F.count("*").alias("kinds"), F.sum("n").alias("pages"))
+    loose = (F.col("kinds") >= min_sites) & (F.col("kinds") >= MIN_COMPANY * F.col("pages"))
+    return sure.unionByName(near).join(company, ["k1", "k2"]).select("k1", "k2", loose.alias("loose"))
 
 
 def remove_boilerplate(
@@ -114,67 +95,46 @@ def remove_boilerplate(
     id_col: str = "doc_id",
     min_sites: int = MIN_SITES,
     min_words: int = MIN_WORDS,
-    max_removed: float = MAX_REMOVED,
+    near_copy: float = NEAR_COPY,
     carry: Sequence[str] = (),
-    whole: bool = False,
 ) -> DataFrame:
     """The id, text and site columns of `docs`, the text without lines that stand on `min_sites` distinct sites.
 
-    Adds n_lines and n_removed. Lines are compared trimmed and lower-cased; those with fewer than `min_words` words
-    (as spaces tell them) never count. A document that would lose more than `max_removed` of its characters is a copy of others rather than
-    a page with boilerplate: it stays whole, for document-level deduplication.
-
-    With `whole`, every line that is not empty counts, a short one on more sites, by Unicode white space. Copies are told by their lines and not by that share: equal rows count as one site, and a document
-    that would lose more than `max_removed` loses all boilerplate that keeps different company from page to page, and
-    only the lines that its near copies share stay (see widespread_keys).
+    Adds n_lines and n_removed. Lines are compared trimmed and lower-cased; every line that is not empty counts, or has
+    `min_words` words where that is set higher. Rows with the same lines are one page on one site, so the copies of a
+    text do not make its lines boilerplate. A page whose lines on `min_sites` sites make up more than `near_copy` of it
+    is as similar to others as near copies are: it loses only the lines that change company from page to page (see
+    boilerplate_keys), and what near copies share stays, for document-level deduplication.
 
     Defined cases: a null text stays null and has no lines; a null site is one site of its own; null ids and repeated
     rows are treated like any other row, repeated rows alike; an empty table gives no rows; other columns are not
     carried along, so clashing names cannot interfere. No row gathers more than the lines of one text.
     """
     rows = docs.select(
-        F.col(f"`{id_col}`").alias(id_col),
-        F.col(f"`{text_col}`").cast("string").alias(text_col),
-        F.col(f"`{site_col}`").alias(site_col),
-        *[F.col(f"`{name}`").alias(name) for name in carry],
-    )
-    if whole:
-        keys = widespread_keys(rows, text_col, site_col, min_sites, min_words)
-    else:
-        keys = boilerplate_keys(site_lines(rows, text_col, site_col, min_words), min_sites).withColumn("loose", F.lit(False))
-    keys = written(keys, "boilerplate")
-    # Equal ids with equal texts lose the same lines, so a hash of both stands for the row.
-    row = [F.xxhash64(F.lit(seed), id_col, text_col) for seed in (3, 5)]
-    lines = F.split(F.coalesce(text_col, F.lit("")), "\n")
-    compared = _plain_lines(text_col) if whole else lines
-    marked = F.transform(
-        compared,
-        lambda x, i: F.when(x != "" if whole else _counts(x, min_words), F.struct(i.alias("at"), _key(x).alias("key"))),
-    )
-    placed = rows.select(row[0].alias("r1"), row[1].alias("r2"), F.explode(F.filter(marked, lambda x: x.isNotNull())).alias("line"))
-    placed = placed.select("r1", "r2", F.col("line.at").alias("at"), "line.key.k1", "line.key.k2")
-    loose = F.collect_set(F.when(F.col("loose"), F.col("at"))) if whole else F.max(F.lit(None).cast("array<int>"))
-    removed = placed.join(keys, ["k1", "k2"]).groupBy("r1", "r2").agg(
-        F.collect_set("at").alias("removed"), loose.alias("loose")
-    )
-    joined = rows.withColumns({"r1": row[0], "r2": row[1]}).join(removed, ["r1", "r2"], "left")
-
-    def without(places: str) -> Column:
-        left = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains(places, i)), "\n")
-        return F.when(F.col(places).isNotNull(), left)
-
-    out = joined.select(
-        id_col, text_col, site_col, *carry, "removed", "loose", F.size(lines).alias("n_lines"),
-        without("removed").alias("cleaned"),
+        F.col(f"`{id_col}`").alias("own_id"),
+        F.col(f"`{text_col}`").cast("string").alias("own_text"),
+        F.col(f"`{site_col}`").alias("own_site"),
+        *[F.col(f"`{name}`").alias(f"carried_{i}") for i, name in enumerate(carry)],
     )
-    strip = F.coalesce(F.length("cleaned") >= (1 - max_removed) * F.length(text_col), F.lit(False))
-    # What goes from a document that would lose too much: nothing, or its loose lines.
-    part = ~strip & (F.size("loose") > 0) if whole else F.lit(False)
-    return out.select(
-        id_col,
-        F.when(strip, F.col("cleaned")).when(part, without("loose")).otherwise(F.col(text_col)).alias(text_col),
-        site_col,
-        *carry,
-        F.when(F.col(text_col).isNull(), 0).otherwise(F.col("n_lines")).cast("long").alias("n_lines"),
-        F.when(strip, F.size("removed")).when(part, F.size("loose")).otherwise(0).cast("long").alias("n_removed"),
+    lined = written(line_rows(rows, "own_id", "own_text", "own_site", min_words), "lines")
+    keys = written(boilerplate_keys(page_lines(lined), min_sites), "boilerplate")
+    placed = lined.select("r1", "r2", F.aggregate("lines", F.lit(0), lambda s, x: s + x["n"] + 1).alias("size"), F.explode("lines").alias("line"))
+    placed = placed.select("r1", "r2", "size", "line.at", "line.n", "line.k1", "line.k2").join(keys, ["k1", "k2"])
+    # Equal ids with equal texts lose the same lines, so a hash of both stands for the row; sets tell them once.
+    spread = F.collect_set(F.struct("at", "n", "loose"))
+    found = placed.groupBy("r1", "r2", "size").agg(spread.alias("spread"))
+    share = F.aggregate("spread", F.lit(0), lambda s, x: s + x["n"] + 1) / F.col("size")
+    gone = F.filter("spread", lambda x: x["loose"] | (share <= near_copy))
+    found = found.select("r1", "r2", F.transform(gone, lambda x: x["at"]).alias("removed")).where(F.size("removed") > 0)
+    row = {name: F.xxhash64(F.lit(seed), "own_id", "own_text") for name, seed in (("r1", 3), ("r2", 5))}
+    joined = rows.withColumns(row).join(found, ["r1", "r2"], "left")
+    lines = F.split("own_text", "\n")
+    left = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("removed", i)), "\n")
+    return joined.select(
+        F.col("own_id").alias(id_col),
+        F.when(F.col("removed").isNull(), F.col("own_text")).otherwise(left).alias(text_col),
+        F.col("own_site").alias(site_col),
+        *[F.col(f"carried_{i}").alias(name) for i, name in enumerate(carry)],
+        F.when(F.col("own_text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
+        F.when(F.col("removed").isNull(), 0).otherwise(F.size("removed")).cast("long").alias("n_removed"),
     )

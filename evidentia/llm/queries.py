@@ -12,7 +12,7 @@ from .decontaminate import leaked_items
 from .exact_dedup import exact_dedup
 from .html_text import extract_text
 from .language_id import language_id
-from .line_dedup import remove_boilerplate
+from .line_dedup import MIN_COMPANY, MIN_SITES, NEAR_COPY, SPACES, remove_boilerplate
 from .near_dup import near_duplicates
 from .packing import pack
 from .quality import quality_scores
@@ -81,30 +81,32 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_boilerplate(_table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
 
 
-OP6_SQL = """
+OP6_SQL = f"""
 WITH d AS (
-  SELECT row_number() OVER () AS r, doc_id, text, coalesce(source, '') AS site, string_split(coalesce(text, ''), chr(10)) AS lines
-  FROM documents
-), l AS (
-  SELECT r, site, unnest(lines) AS line, unnest(range(len(lines))) AS place FROM d
-), k AS (
-  SELECT r, site, line, place, lower(trim(line, ' ' || chr(9) || chr(13))) AS key FROM l
+  SELECT row_number() OVER () AS r, doc_id, text, coalesce(source, '') AS site, string_split(text, chr(10)) AS lines FROM documents
 ), e AS (
-  SELECT * FROM k WHERE length(key) - length(replace(key, ' ', '')) >= 3
+  SELECT * FROM (
+    SELECT r, site, unnest(range(len(lines))) AS place, unnest(list_transform(lines, lambda x: trim(lower(x), {" || ".join(f"chr({ord(c)})" for c in SPACES)}))) AS key FROM d
+  ) WHERE key <> ''
+), p AS (
+  SELECT min(site) AS site, keys, row_number() OVER () AS page FROM (SELECT r, min(site) AS site, list(key ORDER BY place) AS keys FROM e GROUP BY r) GROUP BY keys
+), h AS (
+  SELECT page, min(site) AS site, key, row_number() OVER (PARTITION BY page ORDER BY length(key) DESC, min(place)) AS n
+  FROM (SELECT page, site, unnest(keys) AS key, unnest(range(len(keys))) AS place FROM p) GROUP BY page, key
+), f AS (
+  SELECT h.*, coalesce(o.key, '') AS beside FROM h LEFT JOIN h o ON o.page = h.page AND o.n = CASE WHEN h.n = 1 THEN 2 ELSE 1 END
 ), b AS (
-  SELECT key FROM e GROUP BY key HAVING count(DISTINCT site) >= 3
-), x AS (
-  SELECT r, list(place) AS removed FROM e WHERE key IN (SELECT key FROM b) GROUP BY r
-), c AS (
-  SELECT d.*, removed, array_to_string(list_transform(list_filter(range(len(lines)), lambda i: NOT list_contains(removed, i)), lambda i: lines[i + 1]), chr(10)) AS cleaned
-  FROM d LEFT JOIN x USING (r)
+  SELECT key, count(DISTINCT beside) >= {MIN_SITES} AND count(DISTINCT beside) >= {MIN_COMPANY} * count(*) AS loose
+  FROM f GROUP BY key HAVING count(DISTINCT site) >= {MIN_SITES}
 ), s AS (
-  SELECT *, removed IS NOT NULL AND length(coalesce(cleaned, '')) >= 0.5 * length(text) AS strip FROM c
+  SELECT r, sum(length(key) + 1) AS size, sum(length(key) + 1) FILTER (loose IS NOT NULL) / sum(length(key) + 1) AS share FROM e LEFT JOIN b USING (key) GROUP BY r
+), x AS (
+  SELECT r, list(place) AS removed FROM e JOIN b USING (key) JOIN s USING (r) WHERE loose OR share <= {NEAR_COPY!r} GROUP BY r
 )
-SELECT doc_id, CASE WHEN strip THEN coalesce(cleaned, '') ELSE text END AS text,
-  CAST(CASE WHEN text IS NULL THEN 0 ELSE len(lines) END AS BIGINT) AS n_lines,
-  CAST(CASE WHEN strip THEN len(removed) ELSE 0 END AS BIGINT) AS n_removed
-FROM s
+SELECT doc_id, CASE WHEN removed IS NULL THEN text
+    ELSE coalesce(array_to_string(list_transform(list_filter(range(len(lines)), lambda i: NOT list_contains(removed, i)), lambda i: lines[i + 1]), chr(10)), '') END AS text,
+  CAST(coalesce(len(lines), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(removed), 0) AS BIGINT) AS n_removed
+FROM d LEFT JOIN x USING (r)
 """
 
 

@@ -1,25 +1,37 @@
 import random
 from collections import defaultdict
 
-from evidentia.llm.line_dedup import boilerplate_keys, remove_boilerplate, site_lines
+from evidentia.llm.line_dedup import MIN_COMPANY, NEAR_COPY, boilerplate_keys, line_rows, page_lines, remove_boilerplate
 
 SCHEMA = "doc_id long, text string, source string"
 
 
-def brute(rows, min_sites=3, min_words=4, max_removed=0.5):
-    key = lambda line: line.strip(" \t\r").lower()
-    counts = lambda line: line.strip(" \t\r").count(" ") >= min_words - 1
-    sites = defaultdict(set)
+def key(line):
+    return line.lower().strip()
+
+
+def brute(rows, min_sites=3):
+    pages = {}
     for _, text, source in rows:
-        for line in (text or "").split("\n"):
-            if counts(line):
-                sites[key(line)].add(source or "")
+        told = tuple(k for k in map(key, (text or "").split("\n")) if k)
+        if told:
+            pages[told] = min(pages.get(told, source or ""), source or "")
+    sites, beside = defaultdict(set), defaultdict(list)
+    for told, site in pages.items():
+        ranked = sorted(dict.fromkeys(told), key=lambda k: (-len(k), told.index(k)))
+        for k in ranked:
+            sites[k].add(site)
+            beside[k].append(next((x for x in ranked if x != k), ""))
+    spread = {k for k in sites if len(sites[k]) >= min_sites}
+    loose = {k for k in spread if len(set(beside[k])) >= max(min_sites, MIN_COMPANY * len(beside[k]))}
     out = []
     for doc, text, source in rows:
         lines = (text or "").split("\n")
-        left = [x for x in lines if not (counts(x) and len(sites[key(x)]) >= min_sites)]
-        strip = text is not None and len(left) < len(lines) and len("\n".join(left)) >= (1 - max_removed) * len(text)
-        out.append((doc, "\n".join(left) if strip else text, source, 0 if text is None else len(lines), len(lines) - len(left) if strip else 0))
+        size = sum(len(k) + 1 for k in map(key, lines) if k)
+        share = sum(len(k) + 1 for k in map(key, lines) if k in spread) / size if size else 0
+        gone = spread if share <= NEAR_COPY else loose
+        left = [x for x in lines if key(x) not in gone]
+        out.append((doc, None if text is None else "\n".join(left), source, 0 if text is None else len(lines), len(lines) - len(left)))
     return sorted(out, key=str)
 
 
@@ -32,7 +44,7 @@ def test_equals_brute_force(spark):
         for k in range(8):
             if rng.random() < 0.03 * (k + 1):
                 lines.insert(rng.randint(0, len(lines)), rng.choice([shared[k], shared[k].upper(), f"  {shared[k]} \r"]))
-        rows.append((doc, "\n".join([*lines, "short line"]), f"s{rng.choice([0, 0, 0, *range(9)])}"))
+        rows.append((doc, "\n".join([*lines, "short line"] + ["rare"] * (doc < 2)), f"s{rng.choice([0, 0, 0, *range(9)])}"))
     rows += [(200, None, "s1"), (201, "", "s1"), (202, "\n\n", None), (None, shared[7] + "\n" + "mine alone for a while, and longer than that other line", None), (3, rows[3][1], "s5"), (3, rows[3][1], "s5"), (204, "a b c d " * 40_000, "s1")]
     docs = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "1 AS k1", "2 AS removed", "3 AS n_lines")
     got = sorted(map(tuple, remove_boilerplate(docs.repartition(4)).collect()), key=str)
@@ -41,40 +53,51 @@ def test_equals_brute_force(spark):
 
 
 def test_sketches_and_exact_counts_agree_with_sets(spark):
-    rows = [(i, f"line with a number {i % 40}", f"site{i % (i % 40 + 1)}") for i in range(4000)]
-    docs = spark.createDataFrame(rows, SCHEMA)
+    rows = [(i, f"line with a number {i % 40}\nown {i}", f"site{i % (i % 40 + 1)}") for i in range(4000)]
+    lines = page_lines(line_rows(spark.createDataFrame(rows, SCHEMA), "doc_id", "text", "source", 1))
     sites = defaultdict(set)
-    for _, line, site in rows:
-        sites[line].add(site)
+    for _, text, site in rows:
+        for line in text.split("\n"):
+            sites[line].add(site)
     for least in (1, 5, 20):
-        assert boilerplate_keys(site_lines(docs, "text", "source", 4), least).count() == sum(len(x) >= least for x in sites.values())
+        assert boilerplate_keys(lines, least).count() == sum(len(x) >= least for x in sites.values())
 
 
 def test_empty(spark):
     assert remove_boilerplate(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
-def test_whole_strips_short_pages_and_spares_copies(spark):
+def test_pages_of_mostly_boilerplate_lose_it(spark):
+    shared = [f"shared line number {k} of the site" for k in range(3)]
+    rows = [(k, "\n".join([*shared, f"own line of document {k}"]), f"s{k}") for k in range(6)]
+    rows += [(10 + k, f"Home\nPrivacy policy\nwhat page {k} tells, and nobody else\nContact us", f"s{k}") for k in range(6)]
+    got = {r.doc_id: (r.text, r.n_removed) for r in remove_boilerplate(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {k: (rows[k][1].split("\n")[3], 3) for k in range(6)} | {10 + k: (f"what page {k} tells, and nobody else", 3) for k in range(6)}
+
+
+def test_copies_stay_and_notices_alone_go(spark):
     notice = ["this notice stands on the pages of very many sites and is long", "a second notice that stands below the first one here"]
-    rows = [(k, f"own words of page {k}\n" + "\n".join(notice), f"s{k % 7}") for k in range(14)]
-    rows += [(20 + k, f"own words of page {20 + k} which go on for much longer than all of the notices do\n" + notice[k % 2], f"s{k % 7}") for k in range(14)]
+    rows = [(k, f"own words of page {k} which go on for much longer than all of the notices do\n" + notice[k % 2], f"s{k % 7}") for k in range(14)]
+    rows += [(20, notice[0], "s1"), (21, "\n".join(notice), "s2")]
     rows += [(40 + k, "a text that was copied whole to many sites\nand its second line of words", f"s{k}") for k in range(5)]
     news = "\n".join(f"line {k} of a story that many sites print, with some more words {k}" for k in range(6))
-    rows += [(60 + k, f"{news}\nprinted by site {k} and nobody else", f"s{k}") for k in range(5)]
-    docs = spark.createDataFrame(rows, SCHEMA)
-    assert not any(r.n_removed for r in remove_boilerplate(docs).where("doc_id < 14 OR doc_id >= 40").collect())
-    got = {r.doc_id: r.text for r in remove_boilerplate(docs.repartition(3), whole=True).collect()}
+    rows += [(60 + k, f"{news}\nprinted by {k} alone", f"s{k}") for k in range(5)]
+    got = {r.doc_id: r.text for r in remove_boilerplate(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()}
     for doc, text, _ in rows:
-        assert got[doc] == (text.split("\n")[0] if doc < 40 else text)
+        assert got[doc] == (text.split("\n")[0] if doc < 20 else "" if doc < 40 else text)
 
 
-def test_whole_counts_short_lines_and_lines_without_spaces(spark):
-    lines = ["Imprint.", "保留所有权利未经许可不得以任何形式转载或使用本网站的内容", "terms\tof use　apply here", "Rare."]
+def test_white_space_and_scripts_without_spaces(spark):
+    lines = ["Imprint.", "保留所有权利未经许可不得以任何形式转载或使用本网站的内容", "terms\tof use\u3000apply here", "Rare."]
     rows = []
     for k in range(15):
         text = f"own words of page {k} which go on for longer than all of the other lines that stand below, and for more still\n"
-        rows.append((k, text + "\n".join(lines[:3] + lines[3:] * (k < 5)), f"s{k}"))
-    docs = spark.createDataFrame(rows, SCHEMA)
-    assert not any(r.n_removed for r in remove_boilerplate(docs).collect())
-    for r in remove_boilerplate(docs.repartition(3), whole=True).collect():
-        assert r.text.split("\n")[1:] == lines[3:] * (r.doc_id < 5) and r.n_removed == 3
+        rows.append((k, text + "\n".join([x + "\u00a0" * (k % 2) for x in lines[:3]] + lines[3:] * (k < 2)), f"s{k}"))
+    for r in remove_boilerplate(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect():
+        assert r.text.split("\n")[1:] == lines[3:] * (r.doc_id < 2) and r.n_removed == 3
+
+
+def test_least_words(spark):
+    rows = [(k, f"two words\nthese are four words\nown {k} {'x' * 99}", f"s{k}") for k in range(4)]
+    got = remove_boilerplate(spark.createDataFrame(rows, SCHEMA), min_words=3).collect()
+    assert {(r.doc_id, r.n_removed, r.text) for r in got} == {(k, 1, f"two words\nown {k} {'x' * 99}") for k in range(4)}
