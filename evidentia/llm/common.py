@@ -34,6 +34,15 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
+def dealt_anew(df: DataFrame, *keys: str) -> DataFrame:
+    """`df` with computed keys, so that a join brings an exchange of its own for it.
+
+    An aggregate on the join's keys is already dealt by them, and the adaptive planner then has to leave the other side
+    of the join as it is; between two exchanges it can split a hot key of the other side over several tasks.
+    """
+    return df.withColumns({key: F.when(F.col(key).isNotNull(), F.col(key)) for key in keys})
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser of 64-bit values (multiply and shift rounds)."""
     x = x ^ (x >> U64(30))

@@ -5,14 +5,15 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship, written
-from .common import U64, mix64, pick, shingles, steps, words
+from ..session import forget, ship, written
+from .common import U64, dealt_anew, mix64, shingles, steps, words
 
 SHINGLE_WORDS = 5
 THRESHOLD = 0.8
@@ -21,6 +22,8 @@ MAX_HASHES = 256
 #: Texts of a candidate group that one step compares with each other or with another block. A group of n texts
 #: moves n / BLOCK_ROWS copies of itself, in pairs of blocks that are dealt over all tasks.
 BLOCK_ROWS = 64
+#: Characters that a block aims at, so that very long texts do not meet by the dozen in one task.
+BLOCK_CHARS = 4 << 20
 #: Shingles of a batch that are hashed at a time, so that they stay in the processor's cache.
 HASH_STEP = 1 << 15
 
@@ -66,7 +69,7 @@ def band_hashes(minima: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def _signer(bands: int, rows: int, size: int):
-    names = ["doc_id", "r1", "r2", "key", "bands"]
+    names = ["doc_id", "r1", "r2", "chars", "key", "bands"]
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -81,16 +84,15 @@ def _signer(bands: int, rows: int, size: int):
                     edge = np.append(starts[:-1][full], starts[-1])
                     for i, row in zip(full, band_hashes(min_hashes(values, edge, bands * rows), bands, rows), strict=True):
                         lists[i] = row
-                told = [batch.column(name).slice(first, last - first) for name in names[:3]]
+                told = [batch.column(name).slice(first, last - first) for name in names[:4]]
                 yield pa.RecordBatch.from_arrays([*told, pa.array(keys, pa.binary()), pa.array(lists, pa.list_(pa.int64()))], names=names)
 
     return sign
 
 
 def _dealt_anew(minima: DataFrame) -> DataFrame:
-    """(c, m) with a computed key, so that a join deals the minima out by itself: between two exchanges the adaptive
-    planner can split a hub's edges over several tasks, which the aggregation's own partitioning would not allow."""
-    return minima.select(F.when(F.col("a").isNotNull(), F.col("a")).alias("c"), "m")
+    """(c, m) with a computed key, so that a join deals the minima out by itself (see common.dealt_anew)."""
+    return dealt_anew(minima.withColumnRenamed("a", "c"), "c").select("c", "m")
 
 
 def connected(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -111,7 +113,8 @@ def connected(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         small = large.join(least, F.col("a") == F.col("c")).where("b <> m")
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b"))
         small = small.unionByName(least.select(F.col("c").alias("a"), F.col("m").alias("b")))
-        links = written(small.distinct(), "links")
+        links, old = written(small.distinct(), "links"), links
+        forget(old)
         after = links.agg(*state).first()
         if after == before and after["n"] == after["nodes"]:
             break
@@ -186,21 +189,49 @@ def _components(linked: np.ndarray) -> np.ndarray:
         root = new
 
 
-def _links_of(first: list[tuple], second: list[tuple], size: int, threshold: float) -> tuple[list, np.ndarray, np.ndarray]:
-    """Keys, the first row of each one's component, and how many rows each is linked to; blocks of (key, copies, text)."""
-    a = _Sets([r[2] for r in first], size)
-    copies = np.array([r[1] for r in first], dtype=np.int64)
-    keys = [r[0] for r in first]
-    if not second:
-        linked = similar(a, a, threshold)
+@dataclass
+class _Block:
+    """Texts of a unit that are compared together, with the band hashes of a bucket's texts."""
+
+    keys: list = field(default_factory=list)
+    copies: list = field(default_factory=list)
+    texts: list = field(default_factory=list)
+    bands: list = field(default_factory=list)
+
+    def add(self, key: bytes, copies: int, text: str | None, bands: list | None) -> None:
+        self.keys.append(key)
+        self.copies.append(copies)
+        self.texts.append((text or "").lower())
+        self.bands.append(bands)
+
+
+def _earlier(a: _Block, b: _Block, bucket: int) -> np.ndarray:
+    """Which pairs of a bucket's texts share a band before this one; they are compared there."""
+    left, right = np.array(a.bands, dtype=np.int64), np.array(b.bands, dtype=np.int64)
+    place = int(np.flatnonzero(left[0] == bucket)[0])
+    met = np.zeros((len(left), len(right)), dtype=bool)
+    for k in range(place):
+        met |= left[:, k][:, None] == right[:, k][None, :]
+    return met
+
+
+def _links_of(first: _Block, second: _Block, bucket: int | None, size: int, threshold: float) -> tuple[list, np.ndarray, np.ndarray]:
+    """Keys, the first row of each one's component, and how many rows each is linked to."""
+    a = _Sets(first.texts, size)
+    copies = np.array(first.copies, dtype=np.int64)
+    alone = not second.keys
+    other = first if alone else second
+    linked = similar(a, a if alone else _Sets(second.texts, size), threshold)
+    if bucket is not None:
+        linked &= ~_earlier(first, other, bucket)
+    if alone:
         np.fill_diagonal(linked, False)
-        return keys, _components(linked), linked @ copies
-    other = np.array([r[1] for r in second], dtype=np.int64)
-    linked = similar(a, _Sets([r[2] for r in second], size), threshold)
-    n = len(first)
-    whole = np.zeros((n + len(second), n + len(second)), dtype=bool)
+        return first.keys, _components(linked), linked @ copies
+    n, both = len(first.keys), len(first.keys) + len(second.keys)
+    whole = np.zeros((both, both), dtype=bool)
     whole[:n, n:], whole[n:, :n] = linked, linked.T
-    return keys + [r[0] for r in second], _components(whole), np.concatenate([linked @ other, linked.T @ copies])
+    counts = [linked @ np.array(second.copies, dtype=np.int64), linked.T @ copies]
+    return first.keys + second.keys, _components(whole), np.concatenate(counts)
 
 
 #: Rows of results that a task hands over at a time.
@@ -210,12 +241,12 @@ OUT_ROWS = 10_000
 def _verifier(size: int, threshold: float):
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: dict[str, list] = {"key": [], "root": [], "n": []}
-        now, blocks = None, ([], [])
+        now, bucket, blocks = None, None, (_Block(), _Block())
 
         def close() -> None:
-            if len(blocks[0]) + len(blocks[1]) < 2 or not blocks[0]:
-                return
-            keys, roots, counts = _links_of(*blocks, size, threshold)
+            if now is None or not blocks[0].keys or (now[1] != now[2] and not blocks[1].keys):
+                return  # a block may have got no text by its hash
+            keys, roots, counts = _links_of(*blocks, bucket, size, threshold)
             for i in np.flatnonzero(counts):
                 out["key"].append(keys[i])
                 out["root"].append(keys[roots[i]])
@@ -227,21 +258,54 @@ def _verifier(size: int, threshold: float):
                 column.clear()
             return made
 
+        names = ("unit", "low", "high", "bucket", "side", "key", "copies", "text", "bands")
         for batch in batches:
-            rows = zip(*[batch.column(x).to_pylist() for x in ("comp", "low", "high", "side", "key", "copies", "text")], strict=True)
-            for comp, low, high, side, key, copies, text in rows:
-                if (comp, low, high) != now:
+            rows = zip(*[batch.column(x).to_pylist() for x in names], strict=True)
+            for unit, low, high, of, side, key, copies, text, bands in rows:
+                if (unit, low, high) != now:
                     close()
-                    now, blocks = (comp, low, high), ([], [])
+                    now, bucket, blocks = (unit, low, high), of, (_Block(), _Block())
                     if len(out["key"]) > OUT_ROWS:
                         yield batch_of()
-                blocks[side].append((key, copies, (text or "").lower()))
+                blocks[side].add(key, copies, text, bands)
         close()
         yield batch_of()
 
     return verify
 
 
+def _units(classes: DataFrame, block_rows: int, block_chars: int) -> DataFrame:
+    """(unit, bucket, blocks, key): the texts that are compared with each other, in how many blocks.
+
+    Buckets are joined up to components as stars. A small component, or one whose texts mostly share buckets anyway, is
+    one unit: each text travels once for each of its blocks. A component that chance has strung together from many
+    buckets would cost the square of its size, so its buckets are the units, and a pair is compared in the first bucket
+    that holds both. The cheaper way is taken, by the numbers of pairs.
+    """
+    def blocks(n: Column, chars: Column) -> Column:
+        return F.least(n, F.greatest(F.ceil(n / block_rows), F.ceil(chars / block_chars))).cast("int")
+
+    # A bucket's least key and its counts are enough to make a star; a band's number is part of its hash.
+    keyed = classes.select("key", "chars", F.explode("bands").alias("hash"))
+    buckets = keyed.groupBy("hash").agg(F.min("key").alias("least"), F.count("*").alias("n"), F.sum("chars").alias("chars"))
+    buckets = written(buckets.where("n > 1"), "buckets")
+    stars = keyed.select("key", "hash").join(buckets.select("hash", "least"), "hash")
+    groups = connected(stars.select(F.col("key").alias("a"), F.col("least").alias("b")))
+    sizes = groups.join(classes.select(F.col("key").alias("node"), "chars"), "node")
+    sizes = sizes.groupBy("root").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"))
+    rooted = buckets.join(groups, F.col("least") == F.col("node")).select("hash", "n", "chars", "root")
+    pairs = rooted.groupBy("root").agg(F.sum(F.col("n") * F.col("n")).alias("pairs"))
+    one = (F.col("n") <= block_rows) | (F.col("n") * F.col("n") <= F.col("pairs"))
+    sizes = sizes.join(pairs, "root").select("root", one.alias("one"), blocks(F.col("n"), F.col("chars")).alias("blocks"))
+    sizes = written(sizes, "components")
+    whole = groups.join(sizes.where("one").select("root", "blocks"), "root")
+    whole = whole.select(F.col("root").alias("unit"), F.lit(None).cast("long").alias("bucket"), "blocks", F.col("node").alias("key"))
+    loose = rooted.join(sizes.where("NOT one").select("root"), "root")
+    loose = written(loose.select("hash", blocks(F.col("n"), F.col("chars")).alias("blocks")), "loose-buckets")
+    parts = keyed.select("key", "hash").join(loose, "hash")
+    return whole.unionByName(parts.select(F.unhex(F.lpad(F.hex("hash"), 16, "0")).alias("unit"), F.col("hash").alias("bucket"), "blocks", "key"))
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -250,6 +314,7 @@ def near_duplicates(
     threshold: float = THRESHOLD,
     target_recall: float = TARGET_RECALL,
     block_rows: int = BLOCK_ROWS,
+    block_chars: int = BLOCK_CHARS,
     carry: Sequence[str] = (),
     representatives_only: bool = False,
 ) -> DataFrame:
@@ -259,8 +324,9 @@ def near_duplicates(
     one n-gram). `text_class` is the smallest id with the same words, `class_id` the smallest id that is reached over
     links of similarity `threshold` or more, and `n_links` counts the other rows that the row is linked to, copies
     included. Bands collide for a pair at the threshold with `target_recall`; the collisions form candidate groups
-    (as stars around one text, never as all pairs), inside which full n-gram sets are compared block by block; a
-    block's comparisons stay in one task, and only counts and roots by text leave it.
+    (as stars around one text, never as all pairs), inside which full n-gram sets are compared block by block, by
+    component or by bucket, whichever has fewer pairs (see _units); a block's comparisons stay in one task, and only
+    counts and roots by text leave it.
 
     With `representatives_only` the result is instead one row of each class, the one with the smallest id, with the
     id, the text and the columns `carry`; of repeated rows one stays.
@@ -280,30 +346,35 @@ def near_duplicates(
     carried = [f"carried_{i}" for i in range(len(carry))]
     rows_of = texts.select("doc_id", _row(3).alias("r1"), _row(5).alias("r2"), "text", *carried)
     texts = rows_of.drop(*carried)
-    signed = texts.mapInArrow(_signer(bands, rows, size), "doc_id long, r1 long, r2 long, key binary, bands array<long>")
+    sized = texts.withColumn("chars", F.coalesce(F.length("text"), F.lit(0)).cast("long"))
+    schema = "doc_id long, r1 long, r2 long, chars long, key binary, bands array<long>"
+    signed = sized.mapInArrow(_signer(bands, rows, size), schema)
     signed = written(signed, "signatures")
     # Classes of equal word sequences; a map-side aggregation leaves one row of a hot class for each task.
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "r1", "r2")).alias("first")
-    classes = signed.groupBy("key").agg(first, F.count("*").alias("copies"), F.first("bands").alias("bands"))
-    classes = written(classes.select("key", F.col("first.doc_id").alias("rep"), "first.r1", "first.r2", "copies", "bands"), "classes")
-    # Only the least key and the count of a bucket are needed to make its star; a band's number is part of its hash.
-    keyed = classes.select("key", F.explode("bands").alias("hash"))
-    buckets = keyed.groupBy("hash").agg(F.min("key").alias("least"), F.count("*").alias("n")).where("n > 1")
-    groups = connected(keyed.join(buckets, "hash").select(F.col("key").alias("a"), F.col("least").alias("b")))
-    sizes = groups.groupBy("root").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks"))
-    members = groups.join(sizes, "root").join(classes.select(F.col("key").alias("node"), "r1", "r2", "copies"), "node")
-    members = members.select("r1", "r2", F.col("node").alias("key"), F.col("root").alias("comp"), "copies", "blocks")
+    classes = signed.groupBy("key").agg(
+        first, F.count("*").alias("copies"), F.max("chars").alias("chars"), F.first("bands").alias("bands")
+    )
+    classes = written(
+        classes.select("key", F.col("first.doc_id").alias("rep"), "first.r1", "first.r2", "copies", "chars", "bands"), "classes"
+    )
+    members = _units(classes, block_rows, block_chars).join(classes.select("key", "r1", "r2", "copies", "bands"), "key")
+    members = members.withColumn("bands", F.when(F.col("bucket").isNotNull(), F.col("bands")))
     told = texts.select("r1", "r2", "text").join(members, ["r1", "r2"])
     # Repeated rows would tell a text twice; the join has already brought them together.
-    told = told.groupBy("r1", "r2").agg(*[F.first(x).alias(x) for x in ("key", "comp", "copies", "blocks", "text")])
+    held = ("bucket", "key", "copies", "blocks", "bands", "text")
+    told = told.groupBy("r1", "r2", "unit").agg(*[F.first(x).alias(x) for x in held])
     block = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
-    told = told.select("comp", "key", "copies", "text", block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    told = told.select(
+        "unit", "bucket", "key", "copies", "text", "bands", block.alias("block"),
+        F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"),
+    )
     dealt = told.select(
-        "comp", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
-        (F.col("block") > F.col("other")).cast("int").alias("side"), "key", "copies", "text",
+        "unit", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
+        (F.col("block") > F.col("other")).cast("int").alias("side"), "bucket", "key", "copies", "text", "bands",
     )
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = dealt.repartition(n, "comp", "low", "high").sortWithinPartitions("comp", "low", "high")
+    dealt = dealt.repartition(n, "unit", "low", "high").sortWithinPartitions("unit", "low", "high")
     found = written(dealt.mapInArrow(_verifier(size, threshold), "key binary, root binary, n long"), "found")
     if not representatives_only:
         return _named(signed, classes, found)
@@ -320,14 +391,15 @@ def _row(seed: int) -> Column:
 def _rooted(classes: DataFrame, found: DataFrame) -> DataFrame:
     """Classes with the root of their component."""
     roots = connected(found.select(F.col("key").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("key"), "root")
-    return classes.drop("bands").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    return classes.drop("bands", "chars").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
 
 
 def _named(signed: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
     """Rows with the smallest ids of their text and of their component, and their links."""
     counts = found.groupBy("key").agg(F.sum("n").alias("linked"))
-    named = _rooted(classes, found).join(counts, "key", "left")
-    ids = named.groupBy("root").agg(F.min("rep").alias("class_id"))
+    named = written(_rooted(classes, found).join(counts, "key", "left").select("key", "rep", "copies", "root", "linked"), "named")
+    # A class of many texts is a hot root, so the ids are dealt out by themselves.
+    ids = dealt_anew(named.groupBy("root").agg(F.min("rep").alias("class_id")), "root")
     named = named.join(ids, "root").select(
         "key", F.col("rep").alias("text_class"), "class_id",
         (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"),

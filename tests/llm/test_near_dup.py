@@ -3,7 +3,10 @@ from collections import defaultdict
 
 import pytest
 
-from evidentia.llm.near_dup import choose_bands, connected, near_duplicates
+from pyspark.sql import functions as F
+
+from evidentia.llm.common import dealt_anew
+from evidentia.llm.near_dup import _units, choose_bands, connected, near_duplicates
 
 
 def brute(rows, size=5, threshold=0.8):
@@ -79,3 +82,41 @@ def test_components(spark):
 def test_bands_reach_the_recall():
     bands, rows = choose_bands(0.8)
     assert bands * rows <= 256 and 1 - (1 - 0.8**rows) ** bands >= 0.999
+
+
+def test_chains_of_chance_are_compared_by_bucket(spark):
+    """Texts that change step by step: neighbours are similar, the ends are not."""
+    rng = random.Random(8)
+    words, rows = [f"w{rng.randrange(900)}" for _ in range(100)], []
+    for i in range(60):
+        rows.append((i, " ".join(words)))
+        at = rng.randrange(100)
+        words[at] = f"new{i}"
+    rows += [(70, "long " * 100_000), (71, "long " * 100_000 + "end"), (72, "long " * 100_001)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = near_duplicates(docs, block_rows=2, block_chars=2000).collect()
+    assert sorted([(r.doc_id, r.class_id, r.n_links) for r in got], key=str) == brute(rows)
+
+
+def test_units(spark):
+    chain = [(bytes([i]), 10, [i, i + 1]) for i in range(10)]
+    dense = [(bytes([100 + i]), 10, [777, 1000 + i]) for i in range(9)] + [(b"long", 1000, [888]), (b"more", 1000, [888])]
+    classes = spark.createDataFrame(chain + dense, "key binary, chars long, bands array<long>")
+    rows = _units(classes, 2, 100).collect()
+    assert sorted((r.bucket, r.key) for r in rows if r.bucket is not None) == sorted((b, bytes([i])) for i in range(10) for b in (i, i + 1) if 0 < b < 10)
+    whole = {bytes(r.key): r.blocks for r in rows if r.bucket is None}
+    assert whole == {bytes([100 + i]): 5 for i in range(9)} | {b"long": 2, b"more": 2}
+
+
+def test_aggregates_are_dealt_by_themselves(spark):
+    """Between two exchanges the adaptive planner can split a hot key."""
+    rows = spark.range(100).select((F.col("id") % 7).alias("root"), "id")
+    sizes = rows.groupBy("root").agg(F.count("*").alias("n"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plans = [rows.join(side, "root")._jdf.queryExecution().sparkPlan().toString() for side in (sizes, dealt_anew(sizes, "root"))]
+        made = [rows.join(side, "root")._jdf.queryExecution().executedPlan().toString() for side in (sizes, dealt_anew(sizes, "root"))]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert all("SortMergeJoin" in plan for plan in plans)
+    assert [plan.count("Exchange") for plan in made] == [2, 3]
