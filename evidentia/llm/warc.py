@@ -11,10 +11,10 @@ import zlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import scratch_path, ship
+from ..session import scratch_path, ship, written
 from .common import pick
 
 MAGIC = b"\x1f\x8b\x08"
@@ -100,24 +100,37 @@ def _writer(folder: str, file_bytes: int):
 
 
 def with_responses(pages: DataFrame, id_col: str, url_col: str, body_col: str, min_bytes: int) -> DataFrame:
-    """Rows with payload, digest and the identifier of the record that holds the payload."""
+    """Rows with digest and the identifier of the record that holds the payload; responses have their payload.
+
+    Payloads move once, and only to the record that keeps them: a digest's copies meet the group's identifier without
+    their payloads, between two exchanges, so that a payload that a third of all pages share can be split.
+    """
     rows = pick(pages, {id_col: "long", url_col: "string", body_col: "string"})
     body = F.coalesce(F.col(body_col), F.lit("")).cast("binary")
     rows = rows.select(
         F.col(id_col).alias("id"), F.col(url_col).alias("url"), body.alias("payload"),
         F.sha1(body).alias("sha1"), F.octet_length(body).cast("long").alias("n_bytes"), F.xxhash64(body).alias("verify"),
     )
-    groups = rows.where(F.col("n_bytes") >= min_bytes).groupBy("sha1", "n_bytes", "verify").agg(
-        F.max("id").alias("best"), F.lit(True).alias("shared")
-    )
-    joined = rows.join(groups, ["sha1", "n_bytes", "verify"], "left")
-    response = F.col("shared").isNull() | F.col("id").eqNullSafe(F.col("best"))
-    return joined.select(
-        F.coalesce(F.col("id").cast("string"), F.lit("null")).alias("record_id"),
-        F.coalesce(F.col("best").cast("string"), F.lit("null")).alias("response_id"),
-        "url", "sha1", "n_bytes", response.alias("is_response"),
-        F.when(response, F.col("payload")).alias("payload"),
+    key = ["sha1", "n_bytes", "verify"]
+    digests = written(rows.drop("payload"), "warc-digests")
+    shared = F.col("n_bytes") >= min_bytes
+    groups = digests.where(shared).groupBy(*key).agg(F.max("id").alias("best"))
+    groups = written(groups.withColumn("best_id", _id_text("best")), "warc-groups")
+    # The identifier is part of this key, so no payload is hot.
+    kept = groups.select(*key, F.col("best_id").alias("record_id"))
+    held = rows.withColumn("record_id", _id_text("id"))
+    first = held.where(shared).join(kept, [*key, "record_id"], "left_semi").unionByName(held.where(~shared))
+    again = digests.where(shared).join(groups, key).where(_id_text("id") != F.col("best_id"))
+    first = first.select("record_id", F.col("record_id").alias("response_id"), "url", "sha1", "n_bytes", F.lit(True).alias("is_response"), "payload")
+    again = again.select(
+        _id_text("id").alias("record_id"), F.col("best_id").alias("response_id"), "url", "sha1", "n_bytes",
+        F.lit(False).alias("is_response"), F.lit(None).cast("binary").alias("payload"),
     )
+    return first.unionByName(again)
+
+
+def _id_text(name: str) -> Column:
+    return F.coalesce(F.col(name).cast("string"), F.lit("null"))
 
 
 def write_warc(

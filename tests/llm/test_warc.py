@@ -5,7 +5,7 @@ import io
 import random
 
 
-from evidentia.llm.warc import MAGIC, members, parse_record, read_warc, write_warc
+from evidentia.llm.warc import MAGIC, members, parse_record, read_warc, with_responses, write_warc
 from evidentia.session import scratch_path
 
 SCHEMA = "page_id long, url string, html string"
@@ -30,6 +30,15 @@ def test_round_trip(spark):
             assert r.verified in (True, None)
 
 
+def test_repeated_rows_and_plans(spark):
+    pages = spark.createDataFrame([(1, "u", "x"), (1, "u", "x"), (2, "v", "x"), (2, "v", "x"), (None, "n", "y"), (None, "n", "y")], SCHEMA)
+    rows = read_warc(write_warc(pages, scratch_path(spark, "test-warc"))).collect()
+    assert sorted((r.record_id, r.record_type, r.refers_to) for r in rows if r.record_type == "revisit") == [("1", "revisit", "2")] * 2
+    assert sorted((r.record_id, r.payload) for r in rows if r.record_type == "response") == [("2", b"x")] * 2 + [("null", b"y")] * 2
+    plan = with_responses(pages, "page_id", "url", "html", 0)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan  # groups are a table, which a join deals out by itself
+
+
 def test_small_payloads_are_never_revisits(spark):
     manifest = write_warc(spark.createDataFrame(PAGES, SCHEMA), scratch_path(spark, "test-warc"), min_bytes=12)
     assert read_warc(manifest).where("record_type = 'revisit'").count() == 0
