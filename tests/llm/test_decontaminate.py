@@ -1,5 +1,6 @@
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 from evidentia.llm import decontaminate as D
@@ -7,31 +8,63 @@ from evidentia.llm import decontaminate as D
 UNITS = set(D.UNITS)
 
 
+ALONE = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff"
+TOKEN = re.compile(rf"\d(?:[.,:/]?\d)*|(?![\W\d_])[{ALONE}]|(?:(?![{ALONE}])[^\W\d_])+")
+
+
 def canonical(text):
     """The template of a text, token by token."""
+    return [x[:2] for x in edged(text)]
+
+
+def edged(text):
+    """(kind, what stands there, whether a sentence or a part that is set off begins there) of each token."""
     text = text or ""
     out, last, previous_number, previous_name = [], 0, False, False
-    for m in re.finditer(r"\d(?:[.,:/]?\d)*|[^\W\d_]+", text):
+    for m in TOKEN.finditer(text):
         gap, word, first = text[last : m.start()], m[0], not out
         number = word[0].isdigit()
-        opening = first or re.search(r"[.!?:\n]", gap) is not None
+        opening = first or any(x in gap for x in D.STOPS)
         name = word[0].isupper() and not opening and not (len(word) > 1 and word.isupper()) and not number
         unit = not number and not first and previous_number and len(gap) <= 1 and word.lower() in UNITS
         kind = "<num>" if number else "<unit>" if unit else "<name>" if name else word.lower()
         if name and previous_name and not first:
-            out[-1] = (out[-1][0], out[-1][1] + " " + word.lower())
+            out[-1] = (out[-1][0], out[-1][1] + " " + word.lower(), out[-1][2])
         else:
-            out.append((kind, word.lower()))
+            out.append((kind, word.lower(), first or any(x in gap for x in D.EDGES)))
         last, previous_number, previous_name = m.end(), number, name
     return out
 
 
+SLOTS = ("<num>", "<unit>", "<name>")
+
+
+def whole(doc, item):
+    """Whether an item too short or too full of slots for windows stands in a text as a whole sentence."""
+    d, b = edged(doc), canonical(item)
+    n, size, literals = len(b), min(8, len(b)), sum(x[0] not in SLOTS for x in b)
+    plain = [j for j in range(n - size + 1) if sum(x[0] not in SLOTS for x in b[j : j + size]) >= min(4, size - 1)]
+    weak = n >= 3 and 2 <= literals < n and (n < 4 or 2 * len({j + k for j in plain for k in range(size)}) < n)
+    for i in range(len(d) - n + 1):
+        part = d[i : i + n]
+        if not part or not part[0][2] or (i + n < len(d) and not d[i + n][2]) or [x[0] for x in part] != [x[0] for x in b]:
+            continue
+        pairs = {(x[:2], y[1]) for x, y in zip(b, part, strict=True) if x[0] in SLOTS}
+        if n < 4 and all(x[1] == y for x, y in pairs):
+            return True
+        if weak and len({x for x, _ in pairs}) == len(pairs) <= 2 * len({y for _, y in pairs}):
+            return True
+    return False
+
+
 def brute(docs, items):
     found = set()
     for doc, text in docs:
         d = canonical(text)
         for item, told in items:
             b = canonical(told)
+            if whole(text, told):
+                found.add((doc, item, len(b), len(b)))
             if told is None or len(b) < 4:
                 continue
             size = min(8, len(b))
@@ -45,7 +78,7 @@ def brute(docs, items):
             chosen = {s: c.most_common(1)[0][0] for s, c in slots.items()}
             good = [(i, j) for i, j in windows if all(b[j + k] not in chosen or chosen[b[j + k]] == d[i + k][1] for k in range(size))]
             covered = {j + k for _, j in good for k in range(size)}
-            if clear and len(covered) >= 0.5 * len(b):
+            if clear and (doc, item, len(b), len(b)) not in found and len(covered) >= 0.5 * len(b):
                 found.add((doc, item, len(covered), len(b)))
     return found
 
@@ -86,9 +119,12 @@ def test_equals_brute_force(spark):
         part = told[: rng.choice([len(told), len(told) // 2, 3])]
         part = [str(rng.randint(1, 9)) if w.isdigit() and rng.random() < 0.3 else w for w in part]
         docs.append((100 + k, sentence(rng.randint(0, 20)) + " " + " ".join(part) + " " + sentence(5)))
+    docs += [(200, "what is 4 and 9? tiny one"), (201, "take 3 of 4!"), (202, "what is 4 and 9 of them"), (203, "so take 5 of 6"), (204, "保留所有权利未经许可。")]
+    items += [(40, "what is 7 and 8"), (41, "take 5 of 6"), (42, "What?"), (43, "所有权利"), (44, "保留所有权利未经许可")]
     made = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 AS item_id").repartition(3)
     bench = spark.createDataFrame(items, "item_id long, text string").selectExpr("*", "1 AS doc_id")
     want = brute(docs, items)
+    assert {(d, i) for d, i, *_ in want if d is not None and d >= 200} == {(200, 40), (200, 2), (201, 41), (204, 43), (204, 44)}
     for block in (16 << 20, 200):  # in one pass, and in several
         got = {(r.doc_id, r.item_id, r.matched_tokens, r.item_tokens) for r in D.leaked_items(made, bench, block_chars=block).collect()}
         assert want <= got
@@ -104,7 +140,7 @@ def test_planted_cases(spark):
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")
     rows = D.leaked_items(docs, bench).collect()
     # 12 changes its number on the way, but the windows before that cover half of the item; 19 has no consistent window
-    assert {(r.doc_id, r.item_id) for r in rows} == {(10, 1), (11, 1), (12, 1), (13, 3), (None, 1), (18, 1), (20, 6)}
+    assert {(r.doc_id, r.item_id) for r in rows} == {(10, 1), (11, 1), (12, 1), (13, 3), (None, 1), (17, 2), (18, 1), (20, 6)}
     assert {r.matched_tokens < r.item_tokens for r in rows if r.doc_id == 12} == {True}
     assert sum(r.doc_id == 10 for r in rows) == 2
     assert {r.changed_slots > 0 for r in rows if r.doc_id == 11} == {True}
@@ -137,7 +173,7 @@ def test_items_of_numbers_and_names_are_found_verbatim():
         assert [r[2:] for r in found(f"Words before that. {item} And words after.", item)] == [(n, n, 0)]
         assert found("Other text " * 30 + "with 1 or 2 numbers.", item) == []
         assert found(re.sub(r"\d", "5", item), item) == []
-    assert found(items[3], items[3]) == []  # under four tokens
+    assert [r[2:] for r in found(items[3], items[3])] == [(3, 3, 0)] and found("so give 3 kg", items[3]) == []  # under four tokens
 
 
 def test_names_that_begin_sentences_can_change():
@@ -147,3 +183,55 @@ def test_names_that_begin_sentences_can_change():
     # the names, and the numbers, must still be changed alike
     assert found("Mia has 8 apples. Leo gives him 6 pears. Ida eats 4 of you. So many are here?", item) == []
     assert [r[2:] for r in found(item, item)] == [(18, 18, 0)]
+
+
+def drawn(rng, n, slots=0.3):
+    """An item of about n tokens, and a copy of it with other names and numbers, changed alike throughout."""
+    words = [a + b for a in ("ra", "te", "mo", "ki", "su", "le") for b in ("n", "s", "lt", "x", "rd")]
+    names, other = ["Tom", "Ann", "Mia", "Leo", "Ida"], ["Kim", "Max", "Eva", "Jon", "Amy"]
+    rng.shuffle(other)
+    name, number = dict(zip(names, other, strict=True)), {}
+    left, right = [], []
+    for k in range(n):
+        if rng.random() < slots and (n > 3 or k == 1):
+            if rng.random() < 0.7 or n <= 4:
+                a = str(rng.randint(2, 999))
+                b = number.setdefault(a, str(rng.randint(1000, 9999)))
+            else:
+                a = rng.choice(names)
+                b = name[a]
+        else:
+            a = b = rng.choice(words)
+        left.append(a)
+        right.append(b)
+    at = sorted(rng.sample(range(1, n), n // 12)) if n > 12 else []
+    cut = lambda told: " ".join(w + (". " if k + 1 in at else "") for k, w in enumerate(told)) + "?"
+    return cut(left), cut(right)
+
+
+def test_items_of_any_length_are_found_and_clean_texts_are_not():
+    rng = random.Random(11)
+    pairs = [drawn(rng, n) for n in range(3, 61) for _ in range(6)] + [drawn(rng, n, 0.6) for n in range(4, 30) for _ in range(4)]
+    told = ["What is 12 + 7?", "Who wrote Hamlet?", "Compute 3 5 7 9 11 and 13 now", "Convert 5 km and 30 min to 12 miles", "中国的首都是哪里？", "Why?"]
+    bench = D.Benchmark(list(range(len(pairs) + len(told))), [a for a, _ in pairs] + told)
+    around = "Some other words stand here before that. {} And more of them follow it, as they do."
+    for texts, least in (([a for a, _ in pairs] + told, 1.0), ([b for _, b in pairs], 0.9)):
+        got = {r[:2] for r in bench.leaks([around.format(t) for t in texts])}
+        assert sum((k, k) in got for k in range(len(texts))) >= least * len(texts)
+    # texts of the same words and slots in another order leak nothing
+    clean = [" ".join(rng.sample(a.rstrip("?").split(), len(a.split()))) for a, _ in pairs if len(a.split()) > 12]
+    assert len(clean) > 250 and not list(bench.leaks(clean))
+
+
+def test_items_that_share_windows_or_a_form_cost_little():
+    preamble = "Read the question below with care and choose the one right answer from the four that are given here. "
+    letters = lambda k: "".join(chr(97 + k // 26**i % 26) for i in range(4))
+    items = [preamble + " ".join(letters(25 * k + j) for j in range(25)) for k in range(3000)]
+    items += [f"the total of {k} pens and {k + 7} caps is then divided by {k}" for k in range(3000)] + [f"add {k} to {k + 1}" for k in range(3000)]
+    bench = D.Benchmark(list(range(len(items))), items)
+    begin = time.process_time()
+    got = list(bench.leaks([preamble * 5 + "nothing else"] * 20 + [items[77], items[3077], "Add 5 to 6."]))
+    assert time.process_time() - begin < 30
+    assert {r[:2] for r in got if r[0] <= 20} == {(20, 77)}
+    assert {r[1] for r in got if r[0] == 21} == set(range(3000, 6000)) and {r[1] for r in got if r[0] == 22} == set(range(6000, 9000))
+    assert {r[1] for r in got if r[0] > 20 and r[4] == 0} == {3077, 6005}
