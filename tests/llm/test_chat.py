@@ -41,3 +41,15 @@ def test_equals_brute_force(spark):
 
 def test_empty(spark):
     assert chat_format(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_turns_without_numbers_are_dealt_over_ranges(spark):
+    rows = [(1, None, "user", f"{k:05d}") for k in range(300)] + [(2, None, "user", f"{k:05d}") for k in range(300)] + [(2, 7, "user", "end")]
+    got = chat_format(spark.createDataFrame(rows, SCHEMA).repartition(4)).orderBy("part").collect()
+    assert {r.conv_id for r in got} == {2} and [r.part for r in got] == list(range(got[0].n_parts)) and len(got) == 4
+    assert "".join(r.text for r in got) == brute(rows)[2][2]
+
+
+def test_texts_are_shuffled_once(spark):
+    plan = chat_format(spark.createDataFrame([(1, 0, "user", "hi")], SCHEMA))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and plan.count("Aggregate") == 1
