@@ -28,28 +28,32 @@ def digest_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def tree_merge(rows: DataFrame, keep: str, leaf_runs: int = LEAF_RUNS, fan_in: int = FAN_IN) -> DataFrame:
     """Groups of equal texts with the identifier that stays and the group's size.
 
-    Each task sorts its digests into a run; runs `r` and `r + 1 .. r + fan_in - 1` meet in one round, which merges
-    them and keeps one row per digest and run. A digest that a third of all rows share therefore arrives in a round
-    as at most one row per task, and the last round sees at most `fan_in` rows of it for each task. The key of
-    every level holds the length and the second hash, so texts merge only if all three agree.
+    Each task sorts its digests into a run and keeps one row of each digest before anything is shuffled. In each round,
+    the runs of `fan_in` neighbours go to one place: the rows are dealt by digest range and run, so a partition holds
+    the runs of whole ranges; it sorts them together and merges equal digests of neighbouring runs. The last round has
+    one run for each digest range. A digest that a third of all rows share arrives in the first round as at most one
+    row per task, and in the later ones as at most `fan_in` rows. The key of every level holds the length and a second
+    hash, so the identifier that a level keeps is verified there: texts merge only if all three agree.
     """
     best = F.max if keep == "largest" else F.min
-    key = ["digest", "n_bytes", "verify"]
-    # A struct as buffer makes the planner sort runs and merge them, partial runs before the exchange included.
+    key = ["part", "run", "digest", "n_bytes", "verify"]
+    # A struct as buffer makes the planner aggregate in sorted order, partial runs before an exchange included.
     level = rows.select(
-        *key,
+        F.conv(F.hex(F.substring("digest", 1, 2)), 16, 10).cast("int").alias("part"),
         F.pmod(F.spark_partition_id(), F.lit(leaf_runs)).alias("run"),
+        *key[2:],
         F.struct(F.col("doc_id").alias("id")).alias("kept"),
         F.lit(1).cast("long").alias("n"),
     )
     runs = leaf_runs
     while True:
-        level = level.groupBy(*key, "run").agg(best("kept").alias("kept"), F.sum("n").alias("n"))
+        level = level.groupBy(*key).agg(best("kept").alias("kept"), F.sum("n").alias("n"))
         if runs == 1:
             break
         runs = max(1, -(-runs // fan_in))
         level = level.withColumn("run", F.floor(F.col("run") / fan_in).cast("int"))
-    return level.select(*key, F.col("kept.id").alias("keep_id"), F.col("n").alias("group_size"))
+        level = level.repartition("part", "run").sortWithinPartitions(*key)
+    return level.select(*key[2:], F.col("kept.id").alias("keep_id"), F.col("n").alias("group_size"))
 
 
 def exact_dedup(

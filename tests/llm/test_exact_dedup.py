@@ -2,7 +2,7 @@ import hashlib
 
 import pytest
 
-from evidentia.llm.exact_dedup import exact_dedup
+from evidentia.llm.exact_dedup import digest_rows, exact_dedup, tree_merge
 
 ROWS = [(5, "Same Text"), (2, "same text"), (9, "SAME TEXT"), (9, "SAME TEXT"), (3, "Ünïque Ä"), (4, "ünïque Ä"), (6, ""), (7, None), (None, "only null id"), (None, ""), (8, "x" * 300_000), (1, "X" * 300_000)]
 
@@ -31,3 +31,13 @@ def test_equals_brute_force(spark, keep):
 
 def test_empty(spark):
     assert exact_dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_rounds_deal_runs_by_digest_range_and_merge_them_sorted(spark):
+    docs = spark.createDataFrame(ROWS, "doc_id long, text string").repartition(3)
+    plan = tree_merge(digest_rows(docs), "largest")._jdf.queryExecution().executedPlan().toString()
+    lines = [x.strip(" +-:") for x in plan.split("\n")]
+    exchanges = [x for x in lines if x.startswith("Exchange hashpartitioning")]
+    assert len(exchanges) == 3 and all(x.startswith("Exchange hashpartitioning(part#") and "digest" not in x for x in exchanges[:2])
+    assert sum(x.startswith("SortAggregate") for x in lines) == 6 and "HashAggregate" not in plan.replace("SortAggregate", "")
+    assert sum(x.startswith("Sort ") for x in lines) <= 4  # one for each merge, and one before the first exchange
