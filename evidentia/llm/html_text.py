@@ -63,6 +63,12 @@ FRAMES = frozenset(
     "banner form header hidden masthead menu modal nav navbar navigation overlay print sidebar toolbar topbar widget "
     "widgets".split()
 )
+#: Those of them that never name an article, or a part of one.
+APART = frozenset(
+    "ad ads adv advert adverts advertisement advertising adsense adbox adslot adunit breadcrumb breadcrumbs comment "
+    "comments commentlist consent cookie cookies disqus footer footnav gdpr login newsletter paywall popup pager "
+    "pagination promo promoted replies reply respond share sharing shoutbox signup skip subscribe".split()
+)
 MODIFIERS = frozenset("has with without no is".split())
 CONTENT = frozenset("article body content entry hentry main page post story text".split())
 MIN_PARAGRAPH = 25
@@ -70,14 +76,16 @@ _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 
 
 def _unwanted_name(value: str) -> int:
-    """0 for a name that marks nothing, 1 if it can also name what stands around a page, else 2."""
+    """0 for a name that marks nothing, 1 if it can also name what stands around a page, 3 if it never names an article
+    or a part of one, else 2."""
     out = 0
     for name in value.split():
         found = [w.lower() for w in _WORDS.findall(name)]
         if found and found[0] not in MODIFIERS:
             marks = UNWANTED.intersection(found)
             if marks:
-                out = max(out, 1 if marks <= FRAMES or not CONTENT.isdisjoint(found) else 2)
+                frame = marks <= FRAMES or not CONTENT.isdisjoint(found)
+                out = max(out, 1 if frame else 3 if marks & APART else 2)
     return out
 
 
@@ -193,9 +201,10 @@ class Page:
     def _settle(self) -> None:
         """Drop the elements in doubt, but not those around the article.
 
-        An element in doubt stays if no article, main or element named as content is open outside of it, and it holds
-        an article or main, or most of the page's paragraph points; one whose name never stands around a page, like
-        that of comments, must hold nine tenths of the points.
+        An element in doubt stays if it holds an article or main, or most of the page's paragraph points; one whose name
+        never stands around a page, like that of a notice, must hold nine tenths of the points. Within an article, main
+        or element named as content, a name that can only mean something apart is dropped whatever it holds, and others
+        must hold eight or nine tenths of its points; an article counts there only if none is open outside.
         """
         n = len(self.tag)
         owner, near = list(range(n)), [0] * n  # near: the innermost element in doubt, the element itself included
@@ -223,13 +232,23 @@ class Page:
             articles[above] += articles[k]
             filled[above] = filled[above] or filled[k]
         around = [0] * n  # anchors outside, up to the page
+        enclosed = [False] * n  # whether an article is open
+        within = [0] * n  # the innermost anchor that is open, or the page
         for k in range(1, n):
             above = self.parent[k]
+            enclosed[k] = enclosed[above] or self.tag[above] == "article"
+            anchor = filled[above] and not self.doubt[above] and (self.tag[above] in ("article", "main") or self.weight[above])
+            within[k] = above if anchor and above else within[above]
             if self.doubt[k] and not self.drop[above]:
                 around[k] = around[near[above]] + anchors[near[above]]
-                share = points[k] / points[0] if points[0] else 0.0
-                fits = articles[k] > 0 or share > 0.5 if self.doubt[k] == 1 else share >= 0.9
-                if around[k] or not fits:
+                share = points[k] / points[within[k]] if points[within[k]] else 0.0
+                if around[k] and self.doubt[k] == 3:
+                    fits = False
+                elif self.doubt[k] > 1:
+                    fits = share >= 0.9
+                else:
+                    fits = (articles[k] > 0 and not enclosed[k]) or share > (0.8 if around[k] else 0.5)
+                if not fits:
                     self.drop[k] = True
             self.drop[k] = self.drop[k] or self.drop[above]
 

@@ -1,6 +1,7 @@
+import random
 import time
 
-from evidentia.llm.html_text import extract_text, main_text
+from evidentia.llm.html_text import Page, extract_text, main_text
 
 ARTICLE = "<h1>Title &amp; more</h1><p>First, a paragraph, with commas, that is long enough to count.</p><p>Second&nbsp;one\n  with   space<br>and a break.</p><p>Ti.</p>"
 LINES = "Title & more\nFirst, a paragraph, with commas, that is long enough to count.\nSecond one with space and a break.\nTi."
@@ -59,3 +60,90 @@ def test_wrappers_with_unwanted_names_keep_the_article():
     begin = time.process_time()
     assert main_text("<div class=sidebar>" * 30_000 + LONG + "</div>" * 30_000) == LONG.strip()
     assert time.process_time() - begin < 10
+
+
+LAYOUTS = (
+    "<div class='content sidebar-right'>{}</div>", "<div class='layout-sidebar'>{}</div>", "<div class='content-with-sidebar'>{}</div>",
+    "<div class='site sidebar-left'><article>{}</article></div>", "<div class='article-body search-results-page'>{}</div>",
+    "<form id='aspnetForm'>{}</form>", "<article><section id='copyright-law'>{}</section></article>", "<main><div class='layout-sidebar'>{}</div></main>",
+    "<main><div class='page-with-sidebar'><article>{}</article></div></main>", "<div id=content><div class='notice-text'>{}</div></div>",
+)
+
+
+def test_layouts_keep_the_article():
+    paragraphs = [LONG.strip() + f" {k}." for k in range(3)]
+    inner = "".join(f"<p>{x}</p>" for x in paragraphs)
+    for layout in LAYOUTS:
+        assert main_text(f"<body>{layout.format(inner)}</body>") == "\n".join(paragraphs), layout
+        page = f"<body><nav><p>{LONG}</p></nav>{layout.format(inner)}<div class=ad><p>{LONG}</p></div><footer>{LONG}</footer></body>"
+        assert main_text(page) == "\n".join(paragraphs), layout
+    for apart in ("comments", "ad", "newsletter", "related", "cookie-bar", "sidebar"):
+        page = f"<article>{inner}<div class='{apart}'><p>{LONG}</p><p>{LONG}</p></div></article>"
+        assert main_text(page) == "\n".join(paragraphs), apart
+
+
+def plain_container(tree):
+    """The place of the element that the rules of scoring choose, computed from each paragraph up to all its ancestors.
+
+    A tree is (tag, class, parts), a part a tree or a text; places are tuples of child numbers.
+    """
+    points, total, linked, named = {}, {}, {}, {}
+
+    def walk(node, at, above, inside):
+        tag, name, parts = node
+        named[at] = name
+        flat = [q for p in parts for q in (p[2] if not isinstance(p, str) and p[0] == "a" else [p])]
+        own = [p for p in flat if isinstance(p, str)]  # a link's text is its block's
+        length, commas = sum(len(p) for p in own), sum(p.count(",") for p in own)
+        direct = sum(len(p) for p in parts if isinstance(p, str))
+        for place in [at, *above]:
+            total[place] = total.get(place, 0) + direct
+            linked[place] = linked.get(place, 0) + direct * inside
+        if tag in ("p", "div") and length >= 25:
+            worth = 1 + commas + min(length / 100, 3)
+            if tag == "div":
+                points[at] = points.get(at, 0) + worth
+            for step, place in enumerate(above):
+                points[place] = points.get(place, 0) + worth / 2**step
+        for k, part in enumerate(parts):
+            if not isinstance(part, str):
+                walk(part, (*at, k), [at, *above], inside or part[0] == "a")
+
+    walk(tree, (), [], False)
+    score = lambda at: (points.get(at, 0) + (25 if named[at] and points.get(at, 0) else 0)) * (1 - (linked[at] / total[at] if total[at] else 0))
+    return score, points
+
+
+def test_the_best_container_equals_a_plain_scorer():
+    rng = random.Random(4)
+    for _ in range(200):
+        mark = iter(range(1000))
+        text = lambda n: " ".join(f"w{next(mark)}" + "," * (rng.random() < 0.2) for _ in range(n))  # noqa: E731, B023
+
+        def tree(depth):
+            parts = []
+            for _ in range(rng.randint(1, 4)):
+                kind = rng.random()
+                if kind < 0.45 or not depth:
+                    parts.append(("p", "", [text(rng.randint(1, 30))]))
+                elif kind < 0.55:
+                    parts.append(("div", "", [("a", "", [text(rng.randint(5, 20))])]))
+                else:
+                    parts.append(tree(depth - 1))
+            return ("div", rng.choice(["", "", "", "story"]), parts)
+
+        made = ("body", "", [tree(3), tree(2)])
+        render = lambda t: t if isinstance(t, str) else f"<{t[0]}{' class=' + t[1] if t[1] else ''}>" + "".join(map(render, t[2])) + f"</{t[0]}>"
+        score, points = plain_container(made)
+        page = Page(render(made))
+        best, _ = page.kept()
+        # the element's place, read off the tree
+        path, node = [], best
+        while page.tag[node] != "body":
+            above = page.parent[node]
+            path.append([k for k in range(1, len(page.tag)) if page.parent[k] == above].index(node))
+            node = above
+        if not points:
+            continue
+        top = max(map(score, points))
+        assert abs(score(tuple(reversed(path))) - top) < 1e-9
