@@ -124,8 +124,9 @@ def remove_boilerplate(
     spread = F.collect_set(F.struct("at", "n", "loose"))
     found = placed.groupBy("r1", "r2", "size").agg(spread.alias("spread"))
     share = F.aggregate("spread", F.lit(0), lambda s, x: s + x["n"] + 1) / F.col("size")
-    gone = F.filter("spread", lambda x: x["loose"] | (share <= near_copy))
-    found = found.select("r1", "r2", F.transform(gone, lambda x: x["at"]).alias("removed")).where(F.size("removed") > 0)
+    at = lambda kept: F.transform(kept, lambda x: x["at"])
+    gone = F.when(share <= near_copy, at(F.col("spread"))).otherwise(at(F.filter("spread", lambda x: x["loose"])))
+    found = found.select("r1", "r2", gone.alias("removed")).where(F.size("removed") > 0)
     row = {name: F.xxhash64(F.lit(seed), "own_id", "own_text") for name, seed in (("r1", 3), ("r2", 5))}
     joined = rows.withColumns(row).join(found, ["r1", "r2"], "left")
     lines = F.split("own_text", "\n")
