@@ -17,7 +17,7 @@ class Settings:
     chunk_size: int = 1200
     chunk_overlap: int = 200
     top_k: int = 5
-    graph_enabled: bool = True
+    graph_enabled: bool = False
     community_levels: int = 2
     max_nodes: int = 50
     rerank_enabled: bool = False
@@ -33,6 +33,10 @@ class Settings:
     breaker_failures: int = 5
     breaker_cooldown: int = 30
     record_rate: float = 1.0
+    ingest_tries: int = 3
+    ingest_timeout: int = 600
+    build_tries: int = 1
+    build_timeout: int = 1200
 
     @property
     def size(self) -> int:

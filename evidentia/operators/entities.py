@@ -183,10 +183,8 @@ def prune_orphans(entities: DataFrame, relationships: DataFrame, evidence: DataF
     """Entities and relationships that are left: first relationships without evidence go, then entities without
     mentions and without remaining relationships."""
     edges = relationships.join(evidence.select("relationship_id"), "relationship_id", "left_semi")
-    kept = entities.join(mentions.select("entity_id"), "entity_id", "left_anti")
-    for end in ("target", "source"):
-        kept = kept.join(edges.select(F.col(end).alias("entity_id")), "entity_id", "left_anti")
-    return entities.join(kept.select("entity_id"), "entity_id", "left_anti"), edges
+    ends = edges.select(F.explode(F.array("source", "target")).alias("entity_id"))
+    return entities.join(mentions.select("entity_id").unionByName(ends).distinct(), "entity_id", "left_semi"), edges
 
 
 def delete_documents(documents: DataFrame, chunks: DataFrame, mentions: DataFrame, evidence: DataFrame, gone: DataFrame) -> tuple[DataFrame, ...]:

@@ -7,12 +7,15 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import abstention_correct, citation_valid, citations, is_abstention, trim
 
+#: Fixed value: what counts as a number.
+NUMBER = r"^[ \t\n\r\x0B\f]*[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?[ \t\n\r\x0B\f]*$"
+
 METRICS = ("recall_at_k", "mrr", "mode_accuracy", "answer_coverage", "source_coverage", "citation_validity", "abstention_accuracy", "answer_term_coverage")
 
 
 def _matches(expected: Column, source: Column) -> Column:
-    """A number names a document; other text a title or source."""
-    number = expected.try_cast("bigint")
+    """A number, also with a fraction or an exponent, names a document by its whole part; other text a title or source."""
+    number = F.when(F.regexp_like(expected, F.lit(NUMBER)), expected.try_cast("double").cast("bigint"))
     by_text = F.coalesce(expected == source["title"], F.lit(False)) | F.coalesce(expected == source["source"], F.lit(False))
     return F.when(number.isNotNull(), number == source["document_id"]).otherwise(by_text)
 
@@ -35,7 +38,8 @@ def relevant_ranks(expected: Column, sources: Column) -> Column:
 
 
 def judge(cases: DataFrame) -> DataFrame:
-    """Per-case metrics of (id, expected_mode, mode, answer, answerable, expected_sources, expected_terms, sources)."""
+    """Per-case metrics of (id, expected_mode, mode, answer, answerable, expected_sources, expected_terms, sources), and
+    its latency_ms where that is known."""
     answer = trim(F.coalesce("answer", F.lit("")))
     wanted = F.filter(F.transform(F.coalesce("expected_terms", F.array().cast("array<string>")), trim), lambda t: t != "")
     expected = F.coalesce("expected_sources", F.array().cast("array<string>"))
@@ -46,6 +50,7 @@ def judge(cases: DataFrame) -> DataFrame:
     found = F.size(F.filter("_terms", lambda t: F.lower("_answer").contains(F.lower(t))))
     return rows.select(
         "id",
+        *(["latency_ms"] if "latency_ms" in cases.columns else []),
         F.when(F.col("expected_mode").isNotNull(), F.col("mode") == F.col("expected_mode")).alias("mode_correct"),
         F.when(~none, F.size("ranks") / F.size("_expected")).alias("recall_at_k"),
         F.when(~none, F.when(F.size("ranks") > 0, 1 / F.array_min("ranks")).otherwise(0.0)).alias("reciprocal_rank"),
@@ -60,15 +65,28 @@ def judge(cases: DataFrame) -> DataFrame:
 
 
 def summarize(judged: DataFrame) -> DataFrame:
-    """One row: the number of cases, and each metric over the cases where it is defined (null if there are none)."""
+    """One row: the number of cases, and each metric over the cases where it is defined (null if there are none).
+
+    Where cases have a `latency_ms`, its mean is told too.
+    """
     mean = lambda name: F.round(F.avg(F.col(name).cast("double")), 5)
     return judged.agg(
         F.count("*").alias("cases"), mean("recall_at_k").alias("recall_at_k"), mean("reciprocal_rank").alias("mrr"), mean("mode_correct").alias("mode_accuracy"),
         mean("answer_present").alias("answer_coverage"), mean("source_present").alias("source_coverage"), mean("citation_valid").alias("citation_validity"),
         mean("abstention_correct").alias("abstention_accuracy"), mean("answer_term_coverage").alias("answer_term_coverage"),
+        *([F.round(F.avg("latency_ms"), 2).alias("average_latency_ms")] if "latency_ms" in judged.columns else []),
     )
 
 
+def report(judged: DataFrame, dataset: str, kb_id: int, now: str) -> dict:
+    """The report of an evaluation: its dataset, knowledge base and time, the summary, and every case.
+
+    Cases come from a dataset file, so they fit the driver.
+    """
+    summary = summarize(judged).first().asDict()
+    return {"dataset": dataset or "unnamed", "knowledge_base_id": kb_id, "generated_at": now, "summary": summary, "cases": [r.asDict(recursive=True) for r in judged.orderBy("id").collect()]}
+
+
 def gate(summary: dict[str, float | None], minimum: dict[str, float]) -> list[str]:
     """Metrics below their minimum; a minimum of 0 or less asks for nothing, a metric without a value fails."""
     return [name for name, low in minimum.items() if low > 0 and (summary.get(name) is None or summary[name] < low)]

@@ -7,17 +7,19 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, Settings
 from ..functions.scalar import cosine, normalize_name
+from ..session import written
+from .retrieval import bounded
 
 
 def seeds(questions: DataFrame, entities: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """(query_id, kb_id, entity_id) of entities whose name or alias stands in the question, the first max_nodes by id.
 
-    `questions` (query_id, kb_id, question) is a stated set and is sent to the entities.
+    `questions` (query_id, kb_id, question) is a stated set; a bounded one is sent to the entities.
     """
     limit = settings.limits()["max_nodes"]
     empty = F.array().cast("array<string>")
     names = F.transform(F.concat(F.array("canonical_name"), F.coalesce("aliases", empty)), normalize_name)
-    asked = F.broadcast(questions.select("query_id", "kb_id", normalize_name(F.col("question")).alias("plain")))
+    asked = bounded(questions.select("query_id", "kb_id", normalize_name(F.col("question")).alias("plain")))
     named = entities.select("kb_id", "entity_id", names.alias("names")).join(asked, "kb_id")
     hit = named.where(F.exists("names", lambda n: (F.length(n) >= 2) & F.col("plain").contains(n)))
     order = Window.partitionBy("query_id").orderBy("entity_id")
@@ -29,36 +31,45 @@ def _endpoints(edges: DataFrame) -> DataFrame:
     return edges.select("kb_id", F.explode(F.array_distinct(F.array("source", "target"))).alias("entity_id"), "relationship_id", "source", "target", "confidence")
 
 
+def _hop(state: DataFrame, by_end: DataFrame, hop: int, most: int) -> DataFrame:
+    """The state after one more hop: one row a question with its nodes and edges so far, and the new frontier."""
+    live = state.where((F.size("nodes") < most) & (F.size("frontier") > 0)).select("query_id", "kb_id", F.explode("frontier").alias("entity_id"))
+    touched = by_end.join(live, ["kb_id", "entity_id"])
+    # An edge may be met by both ends, so twice the wanted number is enough; a partial limit leaves no more in each task.
+    order = Window.partitionBy("query_id").orderBy(F.desc("confidence"), "relationship_id")
+    touched = touched.withColumn("n", F.row_number().over(order)).where(F.col("n") <= 4 * most)
+    edge = F.struct(F.coalesce(-F.col("confidence"), F.lit(float("inf"))).alias("c"), "relationship_id", "source", "target")
+    found = touched.groupBy("query_id").agg(F.slice(F.array_distinct(F.array_sort(F.collect_list(edge))), 1, 2 * most).alias("touched"))
+    joined = state.join(found, "query_id", "left")
+    known = F.transform("nodes", lambda x: x["entity_id"])
+    ends = F.flatten(F.transform("touched", lambda e: F.array(e["source"], e["target"])))
+    fresh = F.when(F.col("touched").isNull(), F.array().cast("array<bigint>")).otherwise(F.slice(F.array_except(ends, known), 1, most - F.size("nodes")))
+    old = F.transform("edges", lambda e: e["relationship_id"])
+    placed = F.transform(F.coalesce("touched", F.array()), lambda e, i: F.struct(e["relationship_id"].alias("relationship_id"), F.lit(hop).alias("hop"), (i + 1).alias("position")))
+    state = joined.select("query_id", "kb_id", "nodes", fresh.alias("frontier"), F.concat("edges", F.filter(placed, lambda e: ~F.array_contains(old, e["relationship_id"]))).alias("edges"))
+    return state.withColumn("nodes", F.concat("nodes", F.transform("frontier", lambda x: F.struct(x.alias("entity_id"), F.lit(hop).alias("hop")))))
+
+
 def expand(start: DataFrame, edges: DataFrame, max_hops: int = 2, settings: Settings = DEFAULTS) -> tuple[DataFrame, DataFrame]:
     """Nodes (query_id, entity_id, hop) and edges (query_id, relationship_id, hop, position) around the seeds.
 
     A hop takes the edges that touch the frontier, the most confident 2 * max_nodes of them; their ends join in edge
     order, source first, until the question has max_nodes nodes. An edge counts where it was first found, also if an
-    end was not admitted; a question that is full expands no further. Two hops are the most, so the hops stay one plan,
-    whose equal exchanges run once.
+    end was not admitted; a question that is full expands no further.
+
+    What a question has found is bounded, so it is one row of a table that is written after each hop. Its size is known
+    then, and the planner sends a small frontier to the edges, which stay where they are.
     """
     limits = settings.limits(max_hops=max_hops)
-    nodes = start.select("query_id", "kb_id", "entity_id", F.lit(0).alias("hop"))
-    frontier, found = start, None
-    by_end = _endpoints(edges)
+    nodes = F.transform("frontier", lambda x: F.struct(x.alias("entity_id"), F.lit(0).alias("hop")))
+    state = start.groupBy("query_id", "kb_id").agg(F.sort_array(F.collect_set(F.col("entity_id").cast("bigint"))).alias("frontier"))
+    state = state.withColumns({"nodes": nodes, "edges": F.array().cast("array<struct<relationship_id:bigint,hop:int,position:int>>")})
+    by_end = _endpoints(edges.withColumn("relationship_id", F.col("relationship_id").cast("bigint")))
+    state = written(state, "hop")
     for hop in range(1, limits["max_hops"] + 1):
-        counts = nodes.groupBy("query_id").agg(F.count("*").alias("have")).where(F.col("have") < limits["max_nodes"])
-        live = frontier.join(counts, "query_id").select("query_id", "kb_id", "entity_id", "have")
-        touched = by_end.join(live, ["kb_id", "entity_id"]).select("query_id", "kb_id", "have", "relationship_id", "source", "target", "confidence")
-        order = Window.partitionBy("query_id").orderBy(F.desc("confidence"), "relationship_id")
-        touched = touched.dropDuplicates(["query_id", "relationship_id"]).withColumn("position", F.row_number().over(order))
-        touched = touched.where(F.col("position") <= 2 * limits["max_nodes"])
-        ends = touched.select("query_id", "kb_id", "have", F.posexplode(F.array("source", "target")).alias("side", "entity_id"), "position")
-        first = ends.groupBy("query_id", "kb_id", "have", "entity_id").agg(F.min(F.struct("position", "side")).alias("at"))
-        fresh = first.join(nodes.select("query_id", "entity_id"), ["query_id", "entity_id"], "left_anti")
-        rank = F.row_number().over(Window.partitionBy("query_id").orderBy("at"))
-        fresh = fresh.withColumn("n", rank).where(F.col("n") + F.col("have") <= limits["max_nodes"])
-        frontier = fresh.select("query_id", "kb_id", "entity_id")
-        nodes = nodes.unionByName(frontier.withColumn("hop", F.lit(hop)))
-        seen = touched.select("query_id", "relationship_id", F.lit(hop).alias("hop"), "position")
-        found = seen if found is None else found.unionByName(seen)
-    keep = found.groupBy("query_id", "relationship_id").agg(F.min(F.struct("hop", "position")).alias("at"))
-    return nodes.select("query_id", "entity_id", "hop"), keep.select("query_id", "relationship_id", "at.hop", "at.position")
+        state = written(_hop(state, by_end, hop, limits["max_nodes"]), "hop")
+    found = state.select("query_id", F.explode("edges").alias("e")).select("query_id", "e.*")
+    return state.select("query_id", F.explode("nodes").alias("n")).select("query_id", "n.*"), found
 
 
 def evidence_chunks(found: DataFrame, evidence: DataFrame) -> DataFrame:
@@ -72,7 +83,7 @@ def evidence_chunks(found: DataFrame, evidence: DataFrame) -> DataFrame:
 def community_search(queries: DataFrame, communities: DataFrame, k: int = 5) -> DataFrame:
     """The k communities of the kb that are most similar to the question; ties go to the finer level, then the id."""
     k = min(max(k, 1), 10)
-    asked = F.broadcast(queries.select("query_id", "kb_id", "qvec"))
+    asked = bounded(queries.select("query_id", "kb_id", "qvec"))
     scored = communities.join(asked, "kb_id").withColumn("score", cosine(F.col("embedding"), F.col("qvec")))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "level", "community_id")
     ranked = scored.withColumn("position", F.row_number().over(order).cast("bigint")).where(F.col("position") <= k)

@@ -43,11 +43,7 @@ def retrieve(questions: DataFrame, kb: KnowledgeBase, settings: Settings = DEFAU
     chunks ranked there.
     """
     limits = settings.limits(top_k, max_hops, community_top_k)
-    asked = F.broadcast(questions.select("query_id", F.col("kb_id").alias("asked"), "qvec"))
-    own = kb.chunks.join(asked, F.col("kb_id") == F.col("asked"))
-    scores = own.select("query_id", "chunk_id", R.cosine(F.col("embedding"), F.col("qvec")).alias("score"))
-    ranked = R.vector_rank(scores)
-    keywords = R.keyword_rank(questions, kb.chunks.select("chunk_id", "content"), ranked)
+    scores = R.hybrid_scores(questions, kb.chunks)
     nodes = found = selected = graph = None
     if settings.graph_enabled and mode == "global" and kb.communities is not None:
         selected = G.community_search(questions, kb.communities, limits["community_top_k"])
@@ -55,10 +51,9 @@ def retrieve(questions: DataFrame, kb: KnowledgeBase, settings: Settings = DEFAU
     elif settings.graph_enabled and mode not in ("vector", "global") and kb.entities is not None:
         nodes, found = G.expand(G.seeds(questions, kb.entities, settings), kb.relationships, max_hops, settings)
         graph = G.evidence_chunks(found, kb.evidence)
-    channels = {"keyword": keywords.select("query_id", "chunk_id", F.col("keyword_rank").alias("rank")), "graph": _channel(graph, questions)}
-    fused = R.fuse(ranked, channels, limits["candidates"])
+    fused = R.fuse(scores, {} if graph is None else {"graph": graph}, limits["candidates"])
     counts = lambda rows, name: rows.groupBy("query_id").agg(F.count("*").alias(name))
-    stats = questions.select("query_id").join(counts(scores, "vector_hits"), "query_id", "left").join(counts(keywords, "keyword_hits"), "query_id", "left")
+    stats = questions.select("query_id").join(counts(scores, "vector_hits"), "query_id", "left").join(counts(R.keyword_hits(scores), "keyword_hits"), "query_id", "left")
     stats = stats.join(counts(_channel(graph, questions), "graph_hits"), "query_id", "left").join(counts(fused, "candidate_hits"), "query_id", "left")
     stats = stats.join(counts(selected, "communities"), "query_id", "left") if selected is not None else stats.withColumn("communities", F.lit(0).cast("bigint"))
     stats = stats.fillna(0).withColumn("mode", resolved_mode(F.lit(mode), F.col("communities"), F.when(F.lit(mode) == "global", 0).otherwise(F.col("graph_hits"))))

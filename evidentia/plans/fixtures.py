@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import normalize_name
 from ..operators.chunking import chunk
+from ..session import written
 from ..sources.tables import table
 
 PART_IDS = 1_000_000_000
+QUESTION_LENGTH = 60
 
 
 def asked(key: str) -> Column:
@@ -36,19 +38,17 @@ def vector_queries(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select(F.col("vec_id").alias("query_id"), F.col("label").cast("bigint").alias("kb_id"), F.col("embedding").alias("qvec"))
 
 
-def questions(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "benchmark").where(asked("item_id"))
-    return rows.select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
-
-
 def question_vectors(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec"))
-    return questions(spark, sf).join(rows, "query_id")
+    """The beginnings of the stated documents as questions, with their vectors."""
+    rows = table(spark, sf, "documents").where(asked("doc_id"))
+    rows = rows.select(F.col("doc_id").alias("query_id"), F.substring(F.coalesce("text", F.lit("")), 1, QUESTION_LENGTH).alias("question"))
+    return rows.join(vectors(spark, sf).select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("qvec")), "query_id")
 
 
 def documents_as_chunks(spark: SparkSession, sf: str) -> DataFrame:
     """Whole documents as chunks, for searches with vectors."""
-    return table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), "doc_id", F.col("source").alias("title"), F.col("text").alias("content"))
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), "doc_id", F.col("source").alias("title"), F.col("text").alias("content"))
+    return docs.join(vectors(spark, sf), "chunk_id")
 
 
 def entities(spark: SparkSession, sf: str) -> DataFrame:
@@ -86,6 +86,11 @@ def relationships(spark: SparkSession, sf: str) -> DataFrame:
     return rows.agg(F.count_distinct("chunk_id").cast("double").alias("weight"), F.max("confidence").alias("confidence"))
 
 
+def stored(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Entities and relationships as the tables that a knowledge base keeps."""
+    return written(entities(spark, sf), "entities"), written(relationships(spark, sf), "relationships")
+
+
 def calls(spark: SparkSession, sf: str) -> DataFrame:
     """Events as call logs."""
     rows = table(spark, sf, "events")
@@ -104,9 +109,9 @@ ev AS (
     CAST(l_suppkey AS BIGINT) AS source, 1000000000 + l_partkey * 25 + s_nationkey AS target, l_orderkey AS chunk_id,
     round(1 - l_discount, 4) AS confidence, 'shipped by ' || l_returnflag || '/' || l_linestatus AS statement, l_returnflag, l_discount
   FROM lineitem JOIN supplier ON l_suppkey = s_suppkey
-), rel AS (
+), rel AS MATERIALIZED (
   SELECT kb_id, relationship_id, source, target, CAST(count(DISTINCT chunk_id) AS DOUBLE) AS weight, max(confidence) AS confidence FROM ev GROUP BY ALL
-), ent AS (
+), ent AS MATERIALIZED (
   SELECT CAST(s_nationkey AS BIGINT) AS kb_id, CAST(s_suppkey AS BIGINT) AS entity_id, 'Organization' AS type, s_name AS canonical_name,
     ['S-' || s_suppkey, 'Nation ' || s_nationkey] AS aliases FROM supplier
   UNION ALL

@@ -130,15 +130,18 @@ def t1_vector_top(spark, sf):
     return R.vector_top(_ranked(spark, sf), 5).withColumn("score", F.round("score", 5))
 
 
-HYBRID_SQL = f"""{TERMS_SQL}, {VECTORS_SQL}, q AS (
-  SELECT item_id AS query_id, text AS question, embedding FROM benchmark JOIN embeddings ON vec_id = item_id WHERE item_id % 100 = 0
+HYBRID_SQL = f"""{VECTORS_SQL}, q AS (
+  SELECT doc_id AS query_id, substr(coalesce(text, ''), 1, {X.QUESTION_LENGTH}) AS question, embedding FROM documents JOIN vecs ON chunk_id = doc_id WHERE doc_id % 100 = 0
+), terms AS (
+  SELECT query_id, term FROM (SELECT query_id, unnest(regexp_extract_all(lower(question), '[\\p{{Han}}]{{2,}}|[\\p{{L}}\\p{{N}}][\\p{{L}}\\p{{N}}_-]+')) AS term FROM q)
+  WHERE term NOT IN ('what','where','when','which','who','does','the','and','for','with','from','that','this') GROUP BY ALL
 ), scored AS (
-  SELECT query_id, chunk_id, round(list_cosine_similarity(v.embedding, q.embedding::DOUBLE[]), 12) AS score FROM vecs v CROSS JOIN q
+  SELECT query_id, chunk_id, round(list_cosine_similarity(v.embedding, q.embedding), 12) AS score FROM vecs v CROSS JOIN q
 ), ranked AS (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS vector_rank FROM scored
 ), occ AS (
-  SELECT item_id AS query_id, doc_id AS chunk_id, length(term) AS l, CAST((length(t) - length(replace(t, term, ''))) / length(term) AS BIGINT) AS n
-  FROM terms JOIN q ON item_id = query_id CROSS JOIN (SELECT doc_id, lower(text) AS t FROM documents)
+  SELECT query_id, doc_id AS chunk_id, length(term) AS l, CAST((length(t) - length(replace(t, term, ''))) / length(term) AS BIGINT) AS n
+  FROM terms CROSS JOIN (SELECT doc_id, lower(text) AS t FROM documents)
 ), kw AS (
   SELECT query_id, chunk_id, sum((1 + ln(n)) * least(l, 20)) AS keyword_score FROM occ WHERE n > 0 GROUP BY ALL
 ), kr AS (
@@ -152,16 +155,16 @@ HYBRID_SQL = f"""{TERMS_SQL}, {VECTORS_SQL}, q AS (
 
 
 def _hybrid(spark, sf, limit):
-    asked, docs = X.question_vectors(spark, sf), X.documents_as_chunks(spark, sf)
-    ranked = R.vector_rank(R.vector_scores(asked, X.vectors(spark, sf)).withColumn("score", F.round("score", 12)))
-    keywords = R.keyword_rank(asked, docs, ranked)
-    return R.fuse(ranked, {"keyword": keywords.select("query_id", "chunk_id", F.col("keyword_rank").alias("rank"))}, limit), keywords, docs
+    docs = X.documents_as_chunks(spark, sf)
+    scored = R.hybrid_scores(X.question_vectors(spark, sf), docs)
+    return R.fuse(scored, {}, limit), docs.drop("embedding")
 
 
 @query("r11_keyword_rank", f"WITH {HYBRID_SQL} SELECT query_id, chunk_id, round(keyword_score, 5) AS keyword_score, keyword_rank FROM kr")
 def r11_keyword_rank(spark, sf):
     """Documents by the terms of the stated questions."""
-    return _hybrid(spark, sf, 20)[1].withColumn("keyword_score", F.round("keyword_score", 5))
+    scored = R.hybrid_scores(X.question_vectors(spark, sf), X.documents_as_chunks(spark, sf))
+    return R.keyword_rank(scored).withColumn("keyword_score", F.round("keyword_score", 5))
 
 
 @query("r12_rrf", f"WITH {HYBRID_SQL} SELECT query_id, chunk_id, round(score, 5) AS score, vector_rank, round(retrieval_score, 9) AS retrieval_score, CASE WHEN k THEN 'vector,keyword' ELSE 'vector' END AS channels, position FROM fused WHERE position <= 20")
@@ -175,14 +178,14 @@ def r12_rrf(spark, sf):
   CASE WHEN k THEN 'vector,keyword' ELSE 'vector' END AS channels, substr(text, 1, 240) AS excerpt FROM fused JOIN documents ON doc_id = chunk_id WHERE position <= 5""")
 def p15_sources(spark, sf):
     """Source rows of the stated questions' answers."""
-    fused, _, docs = _hybrid(spark, sf, 5)
+    fused, docs = _hybrid(spark, sf, 5)
     return R.sources(fused, docs).withColumn("channels", F.array_join("channels", ","))
 
 
 @query("r14_context", f"WITH {HYBRID_SQL} SELECT query_id, string_agg('[' || position || '] ' || source || chr(10) || text, chr(10) || chr(10) ORDER BY position) AS context FROM fused JOIN documents ON doc_id = chunk_id WHERE position <= 5 GROUP BY query_id")
 def r14_context(spark, sf):
     """Numbered context of the stated questions."""
-    fused, _, docs = _hybrid(spark, sf, 5)
+    fused, docs = _hybrid(spark, sf, 5)
     return R.context(fused, docs)
 
 
@@ -333,7 +336,8 @@ def _local(spark, sf):
     supplier = table(spark, sf, "supplier")
     asked = supplier.groupBy(F.col("s_nationkey").cast("bigint").alias("query_id")).agg(F.min("s_name").alias("name"))
     asked = asked.select("query_id", F.col("query_id").alias("kb_id"), F.concat(F.lit("Which parts does "), "name", F.lit(" supply?")).alias("question"))
-    return G.expand(G.seeds(asked, X.entities(spark, sf)), X.relationships(spark, sf), 2)
+    entities, relationships = X.stored(spark, sf)
+    return G.expand(G.seeds(asked, entities), relationships, 2)
 
 
 @query("r8_local_nodes", f"WITH {GRAPH_SQL}, {QUESTIONS_SQL}, {EXPAND_SQL} SELECT query_id, entity_id, hop FROM nodes")
@@ -382,8 +386,12 @@ def j18_community_chunks(spark, sf):
 LABELS_SQL = "lab AS (SELECT kb_id, entity_id, entity_id % 10 AS label FROM ent)"
 
 
+def _labels_of(entities):
+    return entities.select("kb_id", "entity_id", (F.col("entity_id") % 10).alias("label"))
+
+
 def _labels(spark, sf):
-    return X.entities(spark, sf).select("kb_id", "entity_id", (F.col("entity_id") % 10).alias("label"))
+    return _labels_of(X.entities(spark, sf))
 
 
 @query("a8_undirected", f"WITH {GRAPH_SQL} SELECT kb_id, least(source, target) AS u, greatest(source, target) AS v, sum(weight) AS weight FROM (SELECT kb_id, source, target, weight FROM rel UNION ALL SELECT kb_id, target, source, weight FROM rel) GROUP BY ALL")
@@ -417,7 +425,8 @@ def w6_renumber(spark, sf):
   SELECT kb_id, entity_id, label, round(coalesce(share, 1.0), 4) AS score FROM lab LEFT JOIN t USING (entity_id)""")
 def a15_membership(spark, sf):
     """How much of each entity's weight stays in its community."""
-    return C.membership(X.entities(spark, sf), X.relationships(spark, sf), _labels(spark, sf))
+    entities, relationships = X.stored(spark, sf)
+    return C.membership(entities, relationships, _labels_of(entities))
 
 
 @query("a16_signature", f"""WITH {GRAPH_SQL}, {LABELS_SQL}, i AS (SELECT rel.kb_id, a.label, rel.* EXCLUDE (kb_id) FROM rel JOIN lab a ON a.entity_id = source JOIN lab b ON b.entity_id = target WHERE a.label = b.label),

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import json
+import logging
 from collections.abc import Iterable, Iterator
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scalar import TRIMMED
+
 CASES = (
     "name string, cases array<struct<id:string,question:string,mode:string,expected_mode:string,answerable:boolean,top_k:int,max_hops:int,"
     "community_top_k:int,expected_sources:array<string>,expected_answer_contains:array<string>>>"
@@ -34,37 +37,44 @@ def write_report(report: dict, path: str) -> None:
     Path(path).write_text(json.dumps(report, indent=4, ensure_ascii=False) + "\n")
 
 
-def append_logs(logs: DataFrame, path: str) -> None:
-    logs.write.mode("append").parquet(path)
+def append_logs(logs: DataFrame, path: str) -> bool:
+    """Append call records; a failure is told and logged, but never reaches the calls that are recorded."""
+    try:
+        logs.write.mode("append").parquet(path)
+    except Exception as error:  # recording is best effort
+        logging.getLogger(__name__).warning("call records were not kept: %s", error)
+        return False
+    return True
 
 
 def sse_chunks(transcripts: DataFrame, column: str = "body") -> DataFrame:
     """Events of recorded token streams (request_id, body): deltas, finish reasons and usage, in order.
 
-    Events are parted by blank lines; lines other than `data:` are comments; `[DONE]` and events that carry nothing
-    are dropped; several choices of one event are joined, the last finish reason wins.
+    Events are parted by blank lines; lines other than `data:` are comments. Each data line is a JSON value of its own,
+    of which the first choice counts: the deltas of an event's lines are joined, the last finish reason and usage win.
+    `[DONE]`, lines that are no JSON, and events that carry nothing are dropped; usage counts also without a total.
     """
     plain = F.regexp_replace(F.col(column), "\r\n?", "\n")
     events = F.split(plain, r"\n\n+")
     rows = transcripts.select("request_id", F.posexplode(events).alias("seq", "event"))
-    lines = F.filter(F.split("event", "\n"), lambda x: x.startswith("data:"))
-    data = F.array_join(F.transform(lines, lambda x: F.btrim(F.substring(x, 6, F.length(x)))), "\n")
-    rows = rows.select("request_id", "seq", data.alias("data")).where("data <> '' AND data <> '[DONE]'")
-    parsed = rows.select("request_id", "seq", F.from_json("data", EVENT).alias("e"))
-    delta = F.array_join(F.transform(F.coalesce("e.choices", F.array().cast("array<struct<delta:struct<content:string>,finish_reason:string>>")), lambda c: F.coalesce(c["delta"]["content"], F.lit(""))), "")
-    reasons = F.filter(F.transform("e.choices", lambda c: c["finish_reason"]), lambda r: r.isNotNull())
+    lines = F.filter(F.transform(F.split("event", "\n"), lambda x: F.btrim(x, F.lit(TRIMMED))), lambda x: x.startswith("data:"))
+    data = F.transform(lines, lambda x: F.btrim(F.substring(x, 6, F.length(x)), F.lit(TRIMMED)))
+    parsed = rows.select("request_id", "seq", F.transform(F.filter(data, lambda x: x != "[DONE]"), lambda x: F.from_json(x, EVENT)).alias("e"))
+    last = lambda values: F.try_element_at(F.filter(values, lambda v: v.isNotNull()), F.lit(-1))
+    first = F.transform("e", lambda e: F.get(e["choices"], F.lit(0)))
     out = parsed.select(
-        "request_id", "seq", delta.alias("delta"), F.try_element_at(reasons, F.lit(-1)).alias("finish_reason"), F.col("e.usage.total_tokens").alias("total_tokens")
+        "request_id", "seq", F.array_join(F.transform(first, lambda c: F.coalesce(c["delta"]["content"], F.lit(""))), "").alias("delta"),
+        last(F.transform(first, lambda c: F.nullif(c["finish_reason"], F.lit("")))).alias("finish_reason"), last(F.transform("e", lambda e: e["usage"])).alias("usage"),
     )
-    return out.where("delta <> '' OR finish_reason IS NOT NULL OR total_tokens IS NOT NULL")
+    return out.where("delta <> '' OR finish_reason IS NOT NULL OR usage IS NOT NULL").withColumn("total_tokens", F.col("usage.total_tokens"))
 
 
 def sse_answers(chunks: DataFrame) -> DataFrame:
-    """One row for each stream: the text, the last finish reason and the last usage."""
+    """One row for each stream: the text, the last finish reason and the total of the last usage."""
     last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("seq")))
     parts = F.array_sort(F.collect_list(F.struct("seq", "delta")))
     return chunks.groupBy("request_id").agg(
-        F.array_join(F.transform(parts, lambda p: p["delta"]), "").alias("text"), last("finish_reason").alias("finish_reason"), last("total_tokens").alias("total_tokens")
+        F.array_join(F.transform(parts, lambda p: p["delta"]), "").alias("text"), last("finish_reason").alias("finish_reason"), F.max_by("usage", F.when(F.col("usage").isNotNull(), F.col("seq")))["total_tokens"].alias("total_tokens")
     )
 
 

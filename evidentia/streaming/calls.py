@@ -5,6 +5,7 @@ Functions that take `calls` accept batch and streaming frames alike: (provider_i
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 from typing import Any
@@ -169,7 +170,7 @@ class Router:
     call: Callable[[str, str, Any], Any]
     candidates: list[tuple[str, str]]
     settings: Settings = DEFAULTS
-    clock: Callable[[], float] = lambda: 0.0
+    clock: Callable[[], float] = time.time
     log: list[dict] = field(default_factory=list)
     breakers: dict = field(default_factory=dict)
     used: dict = field(default_factory=dict)
@@ -228,7 +229,8 @@ class Router:
             except GuardError as error:
                 last = last or error
                 continue
-            try:
+            self.running[key] = self.running.get(key, 0) + 1
+            try:  # a reader that stops early gives its place back too
                 pieces: Iterable = self.call(*key, request)
                 yield from pieces
             except Exception as error:  # as in dispatch
@@ -237,4 +239,6 @@ class Router:
             else:
                 self._leave(key, minute, breaker, True, estimate, None)
                 return
+            finally:
+                self.running[key] = max(0, self.running[key] - 1)
         raise last or GuardError("no candidate is configured")

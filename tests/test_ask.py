@@ -1,5 +1,7 @@
 import json
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from evidentia.config import Settings
@@ -9,6 +11,7 @@ from evidentia.operators import usage as U
 from evidentia.plans.ask import KnowledgeBase, ask, citation_gate, retrieve
 from evidentia.plans.models import HashEmbedder, ScriptedChat, summarize_communities
 
+GRAPH = Settings(graph_enabled=True)
 CHUNKS = "kb_id long, chunk_id long, doc_id long, title string, content string, embedding array<double>"
 
 
@@ -22,13 +25,13 @@ def local_kb(spark):
 
 def test_local_mode_promotes_evidence_and_stays_in_its_kb(spark):
     questions = spark.createDataFrame([(1, 1, "Where does Alice work?", [1.0, 0.0])], "query_id long, kb_id long, question string, qvec array<double>")
-    found = retrieve(questions, local_kb(spark))
+    found = retrieve(questions, local_kb(spark), GRAPH)
     rows = found["candidates"].orderBy("position").collect()
     assert [(r.chunk_id, r.channels) for r in rows] == [(10, ["vector", "keyword", "graph"]), (11, ["vector"])]
     stats = found["stats"].first()
     assert (stats.vector_hits, stats.keyword_hits, stats.graph_hits, stats["mode"]) == (2, 1, 1, "local")
-    plain = retrieve(questions, local_kb(spark), mode="vector")
-    assert plain["stats"].first()["mode"] == "vector"
+    for plain in (retrieve(questions, local_kb(spark), GRAPH, mode="vector"), retrieve(questions, local_kb(spark))):
+        assert plain["stats"].first()["mode"] == "vector"  # the graph is off unless it is asked for
 
 
 def test_exact_code_wins_by_keyword(spark):
@@ -45,7 +48,7 @@ def test_global_mode_uses_communities(spark):
     edges = kb.relationships
     kb.relationships = edges.select("relationship_id", "source", "target")
     questions = spark.createDataFrame([(1, 1, "tell me", [1.0, 0.0])], "query_id long, kb_id long, question string, qvec array<double>")
-    found = retrieve(questions, kb, mode="global", community_top_k=1)
+    found = retrieve(questions, kb, GRAPH, mode="global", community_top_k=1)
     assert [r.community_id for r in found["communities"].collect()] == [1]
     assert found["stats"].first()["mode"] == "global"
     assert "graph" in found["candidates"].where("chunk_id = 10").first().channels
@@ -83,6 +86,28 @@ def test_rerank_accepts_only_permutations(spark):
     assert got[1, 20] == (1, True) and got[2, 10] == (1, False) and got[3, 20] == (2, False) and got[4, 10] == (1, False)
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_fusion_equals_a_plain_loop(spark, seed):
+    rng = random.Random(seed)
+    rows = [(q, c, rng.choice([0.1, 0.2, rng.random()]), rng.choice([0.0, 0.0, 1.0, 2.0, rng.random()])) for q in range(3) for c in range(400)]
+    graph = [(q, c, k + 1) for q in range(2) for k, c in enumerate(rng.sample(range(450), 40))]
+    scored = spark.createDataFrame(rows, "query_id long, chunk_id long, score double, keyword_score double").repartition(5)
+    got = R.fuse(scored, {"graph": spark.createDataFrame(graph, "query_id long, chunk_id long, rank long")}, 7)
+    want = []
+    for q in range(3):
+        own = {c: (s, k) for a, c, s, k in rows if a == q}
+        vector = {c: i + 1 for i, c in enumerate(sorted(own, key=lambda c: (-own[c][0], c)))}
+        hits = sorted((c for c in own if own[c][1] > 0), key=lambda c: (-round(own[c][1], 9), vector[c]))
+        keyword = {c: i + 1 for i, c in enumerate(hits)}
+        linked = {c: r for a, c, r in graph if a == q and c in own}
+        total = {c: sum(1 / (60 + r[c]) for r in (vector, keyword, linked) if c in r) for c in own}
+        best = sorted(own, key=lambda c: (-round(total[c], 12), vector[c]))[:7]
+        want += [(q, c, vector[c], i + 1, [n for n, r in (("vector", vector), ("keyword", keyword), ("graph", linked)) if c in r]) for i, c in enumerate(best)]
+    assert sorted((r.query_id, r.chunk_id, r.vector_rank, r.position, r.channels) for r in got.collect()) == sorted(want)
+    ranks = {(r.query_id, r.chunk_id): r.vector_rank for r in R.vector_rank(scored).collect()}
+    assert all(ranks[q, c] == v for q, c, v, *_ in want) and sorted(ranks.values()) == sorted(list(range(1, 401)) * 3)
+
+
 def test_evaluation(spark):
     schema = "id string, expected_mode string, mode string, answer string, answerable boolean, expected_sources array<string>, expected_terms array<string>, sources array<struct<document_id:bigint,title:string,source:string>>"
     source = (7, "Report", "s")
@@ -99,6 +124,11 @@ def test_evaluation(spark):
     assert judged["late"].reciprocal_rank == 0.5 and judged["late"].answer_term_coverage == 0.5
     summary = V.summarize(V.judge(spark.createDataFrame(cases, schema))).first().asDict()
     assert summary["cases"] == 4 and summary["abstention_accuracy"] == 1.0
+    timed = spark.createDataFrame(cases, schema).withColumn("latency_ms", F.lit(2.5))
+    told = V.report(V.judge(timed), "set", 3, "2024-01-01T00:00:00Z")
+    assert told["summary"]["average_latency_ms"] == 2.5 and told["knowledge_base_id"] == 3 and len(told["cases"]) == 4
+    numbers = spark.createDataFrame([("n", None, None, "", None, [x], None, [source]) for x in ("7.9", " 7e0", "+7", "7x", "0x7", "")], schema)
+    assert [r.recall_at_k for r in V.judge(numbers).collect()] == [1.0, 1.0, 1.0, 0.0, 0.0, 0.0]
     assert V.gate(summary, {"mrr": 0.9, "recall_at_k": 0.0}) == ["mrr"]
     assert V.gate({"mrr": None}, {"mrr": 0.1}) == ["mrr"]
 

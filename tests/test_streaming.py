@@ -102,6 +102,32 @@ def test_stream_falls_over_after_partial_output():
     assert list(L.Router(call, [("a", "m"), ("b", "m")]).stream("x")) == ["a1", "b1", "b2"]
 
 
+def test_streams_hold_their_place():
+    def call(provider, model, request):
+        yield "1"
+        yield "2"
+
+    router = L.Router(call, [("a", "m")], Settings(concurrency=1))
+    first = router.stream("x")
+    assert next(first) == "1"
+    with pytest.raises(L.GuardError):
+        next(router.stream("y"))
+    first.close()
+    assert list(router.stream("z")) == ["1", "2"] and router.running["a", "m"] == 0
+
+
+def test_breakers_close_by_the_real_clock():
+    def call(provider, model, request):
+        if request == "bad":
+            raise RuntimeError("down")
+        return request
+
+    router = L.Router(call, [("a", "m")], Settings(breaker_failures=1, breaker_cooldown=0))
+    with pytest.raises(RuntimeError):
+        router.dispatch("bad")
+    assert router.dispatch("good") == "good" and router.clock() > 1e9
+
+
 def test_sampling_repeats(spark):
     calls = spark.range(2000).withColumnRenamed("id", "call_id")
     n = L.sampled(calls, 0.25).count()
@@ -114,6 +140,9 @@ def test_sse(spark):
     chunks = T.sse_chunks(spark.createDataFrame([(1, body)], "request_id long, body string"))
     assert chunks.count() == 3
     assert [tuple(r) for r in T.sse_answers(chunks).collect()] == [(1, "Hello", "stop", 7)]
+    two = 'data: {"choices":[{"delta":{"content":"a"}},{"delta":{"content":"X"}}]}\r\n  data:{"choices":[{"delta":{"content":"b"},"finish_reason":""}],"usage":{"prompt_tokens":3}}\ndata: no json\n\n'
+    row = T.sse_chunks(spark.createDataFrame([(1, two)], "request_id long, body string")).collect()
+    assert [(r.delta, r.finish_reason, r.usage.prompt_tokens, r.total_tokens) for r in row] == [("ab", None, 3, None)]
     raw = body.encode()
     assert len(list(T.sse_events(raw[i : i + 7] for i in range(0, len(raw), 7)))) == 6
     assert list(T.sse_lines([{"a": 1}])) == ['data: {"a": 1}\n\n', "data: [DONE]\n\n"]
