@@ -1,0 +1,238 @@
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from evidentia.config import Settings
+from evidentia.operators import communities as C
+from evidentia.operators import store as S
+from evidentia.operators.components import connected
+from evidentia.operators.resolution import resolve
+from evidentia.plans.models import HashEmbedder, ScriptedChat, embed_column, summarize_communities
+from evidentia.streaming import jobs as J
+
+GRAPH = Settings(graph_enabled=True)
+EXTRACTION = (
+    "kb_id long, chunk_id long, entities array<struct<key:string,name:string,type:string,description:string,aliases:array<string>>>, "
+    "relationships array<struct<source_key:string,target_key:string,type:string,description:string,statement:string,confidence:double>>"
+)
+ITEMS = "kb_id long, type string, chunk_id long, position long, name string, description string, aliases array<string>, embedding array<double>"
+
+
+def entity(key, name, kind="Organization", description=None, aliases=()):
+    return (key, name, kind, description, list(aliases))
+
+
+def edge(source, target, kind="owns", statement="told", confidence=0.5, description=None):
+    return (source, target, kind, description, statement, confidence)
+
+
+ROWS = [
+    (1, 10, [entity("a", "Northwind Rail", aliases=["NWR"]), entity("b", "Harbour Co", description="docks"), entity("p", "...")], [edge("a", "b", confidence=0.4), edge("a", "p"), edge("b", "b", "runs")]),
+    (1, 11, [entity("x", "N.W.R."), entity("y", "harbour co", description="later"), entity("z", "Harbour Co", "Location")], [edge("x", "y", "Owns!", "again", 0.9), edge("x", "y", "owns", "last word", 0.3), edge("y", "z")]),
+    (2, 20, [entity("a", "Northwind Rail")], []),
+]
+
+
+def plain_store(rows):
+    """The graph of extractions, one item after the other; names instead of ids."""
+    made, mentions, proofs, edges = [], set(), {}, {}
+    plain = lambda x: "".join(c for c in x.lower() if c.isalnum())
+    for kb, chunk, entities, relations in rows:
+        by_key = {}
+        for key, name, kind, description, aliases in entities:
+            if not plain(name):
+                continue
+            own = [e for e in made if (e["kb"], e["kind"]) == (kb, kind)]
+            found = [e for e in own if e["plain"] == plain(name)] or [e for e in own if plain(name) in map(plain, e["aliases"])]
+            if len(found) == 1:
+                e = found[0]
+                more = [*aliases] + ([name] if plain(e["name"]) != plain(name) else [])
+                e["aliases"] += [a for a in more if a not in e["aliases"]]
+                e["description"] = e["description"] or description
+            else:
+                e = {"kb": kb, "kind": kind, "name": name, "plain": plain(name), "aliases": list(dict.fromkeys(aliases)), "description": description}
+                made.append(e)
+            by_key.setdefault(key, made.index(e) + 1)
+            mentions.add((made.index(e) + 1, chunk, name))
+        for source, target, kind, description, statement, confidence in relations:
+            if source in by_key and target in by_key:
+                kind = "_".join("".join(c if c.isalnum() else " " for c in kind.upper()).split(" "))
+                key = (kb, by_key[source], by_key[target], kind)
+                old = edges.setdefault(key, confidence)
+                edges[key] = max(old, confidence)
+                proofs[key, chunk] = (statement, confidence)
+    return made, mentions, edges, proofs
+
+
+def told(graph):
+    ids = {r.relationship_id: (r.kb_id, r.source, r.target, r.type) for r in graph.relationships.collect()}
+    return (
+        sorted((r.kb_id, r.entity_id, r.type, r.canonical_name, r.description or "", tuple(r.aliases)) for r in graph.entities.collect()),
+        {tuple(r)[:3] for r in graph.mentions.collect()},
+        {(r.kb_id, r.source, r.target, r.type): (r.weight, r.confidence) for r in graph.relationships.collect()},
+        {(ids[r.relationship_id], r.chunk_id): (r.statement, r.confidence) for r in graph.evidence.collect()},
+    )
+
+
+def wanted(rows):
+    made, mentions, edges, proofs = plain_store(rows)
+    weights = {key: sum(k == key for k, _ in proofs) for key in edges}
+    entities = sorted((e["kb"], i + 1, e["kind"], e["name"], e["description"] or "", tuple(e["aliases"])) for i, e in enumerate(made))
+    return entities, mentions, {k: (float(weights[k]), v) for k, v in edges.items()}, proofs
+
+
+def test_storing_equals_a_plain_loop_and_repeats(spark):
+    graph = S.store_extraction(S.Graph.of(spark), spark.createDataFrame(ROWS, EXTRACTION), GRAPH)
+    assert told(graph) == wanted(ROWS)
+    again = S.store_extraction(graph.settled(), spark.createDataFrame(ROWS, EXTRACTION), GRAPH)
+    assert told(again) == told(graph)
+
+
+def test_drawn_extractions_in_two_steps(spark):
+    rng = random.Random(5)
+    names = ["Oak", "Elm", "Ash", "Fir", "Yew", "Box"]
+    rows = []
+    for chunk in range(30):
+        entities = [entity(f"k{i}", rng.choice(names), rng.choice(["Person", "Product"]), rng.choice([None, f"d{chunk}"]), rng.sample(["oa", "el", "as", "Yew"], rng.randint(0, 1))) for i in range(3)]
+        relations = [edge(f"k{rng.randint(0, 3)}", f"k{rng.randint(0, 3)}", rng.choice(["likes", "has"]), f"s{chunk}{i}", rng.choice([0.25, 0.5])) for i in range(3)]
+        rows.append((rng.choice([1, 2]), chunk, entities, relations))
+    first = S.store_extraction(S.Graph.of(spark), spark.createDataFrame(rows[:15], EXTRACTION).repartition(3), GRAPH).settled()
+    both = S.store_extraction(first, spark.createDataFrame(rows[15:], EXTRACTION).repartition(3), GRAPH)
+    assert told(both) == wanted(rows)
+
+
+def test_types_stay_apart_and_vectors_decide(spark):
+    items = [
+        (1, "Concept", 1, 0, "tide", None, [], [1.0, 0.0]), (1, "Concept", 1, 1, "tides", "d", [], [0.99, 0.01]), (1, "Event", 1, 2, "tide", None, [], [1.0, 0.0]),
+        (1, "Concept", 2, 0, "storm", None, [], [0.0, 1.0]), (1, "Concept", 2, 1, "swell", None, [], [0.7, 0.72]),
+    ]
+    none = S.Graph.of(spark).entities
+    made, placed = resolve(spark.createDataFrame(items, ITEMS), none, Settings(semantic_resolution=True, similarity_threshold=0.65, similarity_margin=0.1))
+    assert {(r.chunk_id, r.position): r.entity_id for r in placed.collect()} == {(1, 0): 1, (1, 1): 1, (1, 2): 2, (2, 0): 3, (2, 1): 4}
+    tide = made.where("entity_id = 1").first()
+    assert (tide.aliases, tide.description, tide.embedding) == (["tides"], "d", [1.0, 0.0])
+    assert resolve(spark.createDataFrame(items, ITEMS), none)[0].count() == 5
+    assert resolve(spark.createDataFrame([], ITEMS), none)[0].count() == 0
+
+
+def test_deleting_prunes_and_raises_the_version(spark):
+    graph = S.store_extraction(S.Graph.of(spark), spark.createDataFrame(ROWS, EXTRACTION), GRAPH).settled()
+    documents = spark.createDataFrame([(1, 1), (2, 1), (3, 2)], "doc_id long, kb_id long")
+    chunks = spark.createDataFrame([(1, 10), (2, 11), (3, 20)], "doc_id long, chunk_id long")
+    left, kept, after = S.delete_and_prune(graph, documents, chunks, documents.where("kb_id = 1"))
+    assert [r.doc_id for r in left.collect()] == [3] and [r.chunk_id for r in kept.collect()] == [20]
+    assert [r.kb_id for r in after.entities.collect()] == [2] and after.relationships.count() == after.evidence.count() == 0 and after.mentions.count() == 1
+    assert [tuple(r) for r in after.versions.collect()] == [(1, 1)]
+    one = S.delete_and_prune(graph, documents, chunks, documents.where("doc_id = 1"))[2]
+    assert {(r.type, r.weight) for r in one.relationships.collect()} == {("OWNS", 2.0), ("OWNS_", 1.0), ("OWNS", 1.0)}  # weights are not counted again
+
+
+def test_reindexing_replaces_a_document(spark):
+    graph = S.store_extraction(S.Graph.of(spark), spark.createDataFrame(ROWS, EXTRACTION), GRAPH).settled()
+    documents = spark.createDataFrame([(1, 1, "ready", None), (2, 1, "ready", None), (3, 2, "ready", None)], "doc_id long, kb_id long, status string, reason string")
+    chunks = spark.createDataFrame([(1, 10), (2, 11), (3, 20)], "doc_id long, chunk_id long")
+    changed = spark.createDataFrame([(1, 1, "new text"), (3, 2, " \n")], "doc_id long, kb_id long, text string")
+    fresh = [(1, 12, [entity("q", "Tram Works")], [])]
+    state, kept, after = S.reindex(graph, documents, chunks, changed, spark.createDataFrame([(1, 12)], "doc_id long, chunk_id long"), spark.createDataFrame(fresh, EXTRACTION), GRAPH)
+    assert {(r.doc_id, r.status) for r in state.collect()} == {(1, "ready"), (2, "ready"), (3, "failed")}
+    assert sorted(r.chunk_id for r in kept.collect()) == [11, 12]
+    assert {r.chunk_id for r in after.mentions.collect()} == {11, 12}
+    assert {(r.kb_id, r.graph_version) for r in after.versions.collect()} == {(1, 2), (2, 2)}
+    assert "Tram Works" in {r.canonical_name for r in after.entities.collect()}
+
+
+def test_communities_are_built_cached_and_replaced(spark, tmp_path):
+    folder, asked = str(tmp_path / "graph"), []
+
+    def summaries(rows):
+        asked.append(rows.count())
+        return summarize_communities(rows, ScriptedChat(lambda m: '{"title": "T", "summary": "about it"}'), HashEmbedder(4))
+
+    empty, state = S.load(spark, folder)
+    assert state == 0 and empty.entities.count() == 0
+    with pytest.raises(LookupError):
+        S.require_entities(empty, 1)
+    stored = S.store_extraction(empty, spark.createDataFrame(ROWS, EXTRACTION), GRAPH)
+    assert S.replace_in(folder, stored, 0) == 1
+    graph, state = S.load(spark, folder)
+    S.require_entities(graph, 1)
+    kbs = spark.createDataFrame([(1,), (2,)], "kb_id long")
+    built = S.build_communities(graph, kbs, summaries, "v1")
+    rows = built.communities.orderBy("community_id").collect()
+    assert {r.build_version for r in rows} == {"v1"} and [r.community_id for r in rows] == list(range(1, len(rows) + 1)) and asked == [len(rows)]
+    members = built.members.groupBy("community_id").agg(F.sort_array(F.collect_list("entity_id")).alias("m")).collect()
+    finest = sorted(r.m for r in members if rows[r.community_id - 1].level == 0)
+    assert sorted(x for m in finest for x in m) == sorted(r.entity_id for r in graph.entities.collect())
+    assert S.replace_in(folder, built, state) == 2
+    with pytest.raises(C.StaleGraph):  # made from a state that is not the current one
+        S.replace_in(folder, S.invalidate(graph, kbs), state)
+    graph, state = S.load(spark, folder)
+    again = S.build_communities(graph, kbs, summaries, "v2")
+    assert asked == [len(rows), 0] and again.communities.count() == len(rows) and again.members.count() == graph.members.count()
+    assert S.counts(again).where("kb_id = 1").first().asDict() == {"kb_id": 1, "entities": 3, "relationships": 4, "communities": sum(r.kb_id == 1 for r in rows)}
+    cleared = S.invalidate(again, kbs.where("kb_id = 1"))
+    assert {r.kb_id for r in cleared.communities.collect()} == {2} and cleared.members.count() < again.members.count()
+
+
+def test_details(spark):
+    graph = S.store_extraction(S.Graph.of(spark), spark.createDataFrame(ROWS, EXTRACTION), GRAPH).settled()
+    chunks = spark.createDataFrame([(10, 1, "one"), (11, 2, "two"), (20, 3, "three")], "chunk_id long, doc_id long, title string")
+    got = {r.entity_id: r for r in S.entity_detail(graph, chunks, graph.entities).collect()}
+    rail = next(r for r in got.values() if r.canonical_name == "Northwind Rail" and r.kb_id == 1)
+    assert [(m.doc_id, m.surface_form) for m in rail.mentions] == [(1, "Northwind Rail"), (2, "N.W.R.")] and not rail.incoming
+    assert [(e.type, e.peer_name, [(p.title, p.statement) for p in e.evidence]) for e in rail.outgoing] == [("OWNS", "Harbour Co", [("one", "told"), ("two", "last word")]), ("OWNS_", "Harbour Co", [("two", "again")])]
+    assert S.point(graph.entities, "entity_id", rail.entity_id)["canonical_name"] == "Northwind Rail" and S.point(graph.entities, "entity_id", -1) is None
+    names = {(r.source_name, r.target_name) for r in S.with_ends(graph.relationships, graph.entities).collect()}
+    assert ("Northwind Rail", "Harbour Co") in names
+    proofs = {r.relationship_id: len(r.evidence) for r in S.with_evidence(graph.relationships, graph.evidence).collect()}
+    assert sum(proofs.values()) == graph.evidence.count()
+
+
+def test_components(spark):
+    edges = [("b", "a"), ("b", "c"), ("x", "y"), ("z", "z")]
+    assert {tuple(r) for r in connected(spark.createDataFrame(edges, "a string, b string")).collect()} == {("a", "a"), ("b", "a"), ("c", "a"), ("x", "x"), ("y", "x")}
+
+
+def test_cache_locks_and_retries():
+    now = [0.0]
+    cache = J.Cache(lambda: now[0])
+    assert cache.add("k", 1, 10) and not cache.add("k", 2, 10) and cache.increment("k") == 2 and cache.increment("n") == 1
+    now[0] = 10
+    assert cache.get("k") is None and cache.add("k", 3) and cache.get("k") == 3
+    with J.lock(cache, "doc", 5):
+        with pytest.raises(J.Busy), J.lock(cache, "doc", 5):
+            pass
+        now[0] = 16  # given up
+        with J.lock(cache, "doc", 5):
+            pass
+    calls, failed = [], []
+
+    def run():
+        calls.append(1)
+        if len(calls) < 3:
+            raise ValueError("x" * 3000)
+        return "done"
+
+    assert J.attempt(run, 3) == "done" and len(calls) == 3
+    states = []
+    calls.clear()
+    with pytest.raises(ValueError):
+        J.run_build(lambda s, why: states.append((s, why and len(why))), run, cache, "kb", 1)
+    assert states == [("building", None), ("failed", 2000)] and not failed
+    calls[:] = [1, 1, 1]
+    assert J.run_build(lambda s, why: states.append((s, why)), run, cache, "kb") == "done" and states[-1] == ("ready", None)
+
+
+def test_build_states(spark):
+    builds = spark.createDataFrame([(1, 1, "pending", None), (2, 1, "building", None), (3, 2, "ready", None), (4, 2, "building", None)], J.BUILD)
+    changes = spark.createDataFrame([(1, "building", None), (2, "failed", "y" * 3000), (3, "building", None)], "build_id long, status string, reason string")
+    got = {r.build_id: (r.status, r.reason and len(r.reason)) for r in J.advance(builds, changes).collect()}
+    assert got == {1: ("building", None), 2: ("failed", 2000), 3: ("ready", None), 4: ("building", None)}
+
+
+def test_vectors_are_made_where_resolution_is_semantic(spark):
+    settings = Settings(graph_enabled=True, semantic_resolution=True, similarity_threshold=0.9)
+    rows = [(1, 1, [entity("a", "blue whale"), entity("b", "whale blue")], [])]
+    graph = S.store_extraction(S.Graph.of(spark), spark.createDataFrame(rows, EXTRACTION), settings, lambda text: embed_column(spark, HashEmbedder(32), text))
+    assert [(r.canonical_name, r.aliases) for r in graph.entities.collect()] == [("blue whale", ["whale blue"])]
