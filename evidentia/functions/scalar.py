@@ -15,6 +15,7 @@ ABSTENTIONS = (
     "no information", "not mentioned", "does not contain", "not contain", "资料不足", "信息不足", "无法回答", "不能回答",
     "没有足够", "未找到相关", "没有提到", "未提及", "没有相关", "未提供", "不包含", "未包含", "不含", "没有相关的", "没有提及",
 )
+#: The types of entities.
 ENTITY_TYPES = ("Person", "Organization", "Product", "Location", "Event", "Concept", "Other")
 
 

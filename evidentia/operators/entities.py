@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, Settings
 from ..functions.scalar import ENTITY_TYPES, cosine, empty_to_null, lenient_json, normalize_name, relation_type, trim
-from ..session import ship
+from ..session import written
 
 EXTRACTION = (
     "entities array<struct<key:string,name:string,type:string,description:string,aliases:array<string>>>, "
@@ -18,6 +15,10 @@ EXTRACTION = (
 )
 
 
+#: Items of a type that one block matches against all entities of the type.
+BLOCK_ITEMS = 1000
+
+
 def clean_aliases(aliases: Column) -> Column:
     """Trimmed, without empty ones, distinct in order."""
     kept = F.filter(F.transform(F.coalesce(aliases, F.array().cast("array<string>")), trim), lambda a: a.isNotNull() & (a != ""))
@@ -83,11 +84,17 @@ def match_alias(items: DataFrame, entities: DataFrame) -> DataFrame:
 def match_semantic(items: DataFrame, entities: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """(item_id, entity_id, score): the most similar entity of the kb and type, if near enough and clearly first.
 
-    Two partial orders per item are kept while joining (best and second), so no task sorts a whole type's pairs.
+    Every item meets every entity of its kb and type. The items of a type are dealt into blocks by their hash and each
+    entity goes to all blocks of its type, so a large type is spread over as many tasks as it has blocks; of the pairs
+    of a block only the best two of each item are kept.
     """
-    pairs = items.select("item_id", "kb_id", "type", "embedding").join(
-        entities.where("embedding IS NOT NULL").select("kb_id", "type", "entity_id", F.col("embedding").alias("other")), ["kb_id", "type"]
-    )
+    own = items.select("item_id", "kb_id", "type", "embedding")
+    blocks = own.groupBy("kb_id", "type").agg(F.ceil(F.count("*") / BLOCK_ITEMS).cast("int").alias("blocks"))
+    blocks = written(blocks, "blocks")
+    own = own.join(blocks, ["kb_id", "type"]).withColumn("block", F.pmod(F.xxhash64("item_id"), F.col("blocks")).cast("int")).drop("blocks")
+    told = entities.where("embedding IS NOT NULL").select("kb_id", "type", "entity_id", F.col("embedding").alias("other")).join(blocks, ["kb_id", "type"])
+    told = told.select("kb_id", "type", "entity_id", "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    pairs = own.join(told, ["kb_id", "type", "block"])
     scored = pairs.select("item_id", "entity_id", cosine(F.col("embedding"), F.col("other")).alias("score"))
     order = Window.partitionBy("item_id").orderBy(F.desc("score"), "entity_id")
     best = scored.withColumn("n", F.row_number().over(order)).where("n <= 2").groupBy("item_id").agg(
@@ -98,9 +105,6 @@ def match_semantic(items: DataFrame, entities: DataFrame, settings: Settings = D
     return best.where(near).select("item_id", "entity_id", "score")
 
 
-RESOLVED = "kb_id long, type string, item_id long, entity_no long, canonical_name string, created boolean"
-
-
 def _plain(name: str) -> str:
     import regex
 
@@ -114,54 +118,6 @@ def _cosine(a, b) -> float:
     return dot / (left**0.5 * right**0.5) if left and right else -1.0
 
 
-def resolve_group(rows: list[dict], semantic: bool, threshold: float, margin: float) -> Iterator[dict]:
-    """Resolve items of one kb and type in order; each sees the entities that earlier ones made or extended.
-
-    Exact names and unique aliases are looked up in maps, so a group takes time in proportion to its items.
-    """
-    by_name: dict[str, int] = {}
-    by_alias: dict[str, set[int]] = {}
-    made: list[dict] = []
-    for item in rows:
-        plain = _plain(item["name"])
-        at = by_name.get(plain)
-        if at is None and len(by_alias.get(plain, ())) == 1:
-            at = next(iter(by_alias[plain]))
-        if at is None and semantic:
-            scores = sorted(((-_cosine(item["embedding"], e["embedding"]), k) for k, e in enumerate(made) if e["embedding"] is not None))
-            if scores:
-                best, second = -scores[0][0], (-scores[1][0] if len(scores) > 1 else -1.0)
-                at = scores[0][1] if best >= threshold and best - second >= margin else None
-        aliases = list(item["aliases"] if item["aliases"] is not None else [])
-        if created := at is None:
-            at = len(made)
-            made.append({"name": item["name"], "plain": plain, "embedding": item["embedding"] if semantic else None})
-            by_name.setdefault(plain, at)
-        else:
-            if made[at]["plain"] != plain:
-                aliases.append(item["name"])
-            if semantic and made[at]["embedding"] is None:
-                made[at]["embedding"] = item["embedding"]
-        for alias in aliases:
-            if _plain(alias):
-                by_alias.setdefault(_plain(alias), set()).add(at)
-        yield {"item_id": item["item_id"], "entity_no": at, "canonical_name": made[at]["name"], "created": created}
-
-
-def resolve_sequential(items: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
-    """Entities of items (kb_id, type, item_id, name, aliases, embedding) where order matters: by item_id, each item sees
-    the entities before it. Entities are numbered from 0 within kb and type."""
-    ship(items.sparkSession)
-
-    def resolve(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        rows = frame.sort_values("item_id").to_dict("records")
-        out = resolve_group(rows, settings.semantic_resolution, settings.similarity_threshold, settings.similarity_margin)
-        made = pd.DataFrame(list(out), columns=["item_id", "entity_no", "canonical_name", "created"])
-        return made.assign(kb_id=key[0], type=key[1])[["kb_id", "type", "item_id", "entity_no", "canonical_name", "created"]]
-
-    return items.select("kb_id", "type", "item_id", "name", "aliases", "embedding").groupBy("kb_id", "type").applyInPandas(resolve, RESOLVED)
-
-
 def insert_absent(table: DataFrame, rows: DataFrame, key: list[str]) -> DataFrame:
     """The table and those rows whose key it lacks."""
     return table.unionByName(rows.dropDuplicates(key).join(table.select(*key), key, "left_anti").select(table.columns))

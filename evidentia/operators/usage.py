@@ -41,6 +41,11 @@ def page(rows: DataFrame, order: list[Column | str], number: int = 1, per_page:
     return rows.orderBy(*order).offset((max(number, 1) - 1) * per_page).limit(per_page)
 
 
+def listing(rows: DataFrame, order: list[Column | str], number: int = 1, per_page: int = 25) -> DataFrame:
+    """A page with `total`, the number of all rows of the listing."""
+    return page(rows, order, number, per_page).crossJoin(F.broadcast(rows.agg(F.count("*").alias("total"))))
+
+
 def contains_text(rows: DataFrame, column: str, text: str | None) -> DataFrame:
     """Rows whose column holds the text, in any case; all rows without a text."""
     return rows if not text else rows.where(F.col(column).ilike(f"%{text}%"))

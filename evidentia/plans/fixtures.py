@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import normalize_name
 from ..operators.chunking import chunk
+from ..operators.store import Graph
 from ..session import written
 from ..sources.tables import table
 
@@ -91,6 +92,36 @@ def stored(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return written(entities(spark, sf), "entities"), written(relationships(spark, sf), "relationships")
 
 
+def extraction(spark: SparkSession, sf: str) -> DataFrame:
+    """What a model might find in an order's lines with one supplier: a customer who buys from that supplier, who is
+    called by an alias in some."""
+    lines = table(spark, sf, "lineitem").groupBy("l_orderkey", "l_suppkey").agg(
+        F.max(F.col("l_partkey") % 2).alias("odd"), F.min("l_discount").alias("l_discount"), F.min("l_returnflag").alias("l_returnflag")
+    )
+    lines = lines.join(table(spark, sf, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    lines = lines.join(table(spark, sf, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    none, text = F.array().cast("array<string>"), F.lit(None).cast("string")
+    one = lambda key, name, kind: F.struct(F.lit(key).alias("key"), name.alias("name"), F.lit(kind).alias("type"), text.alias("description"), none.alias("aliases"))
+    called = F.when(F.col("odd") == 1, F.concat(F.lit("S "), F.col("l_suppkey").cast("string"))).otherwise(F.col("s_name"))
+    buyer = F.concat(F.lit("Customer "), F.col("o_custkey").cast("string"))
+    bought = F.struct(
+        F.lit("c").alias("source_key"), F.lit("s").alias("target_key"), F.lit("buys from").alias("type"), F.lit("by order").alias("description"),
+        F.col("l_returnflag").alias("statement"), F.round(1 - F.col("l_discount"), 4).alias("confidence"),
+    )
+    return lines.select(
+        F.col("s_nationkey").cast("bigint").alias("kb_id"), (F.col("l_orderkey") * 10_000_000 + F.col("l_suppkey")).alias("chunk_id"),
+        F.array(one("c", buyer, "Person"), one("s", called, "Organization")).alias("entities"), F.array(bought).alias("relationships"),
+    )
+
+
+def suppliers_graph(spark: SparkSession, sf: str) -> Graph:
+    """A stored graph of suppliers alone, with a version for each even nation."""
+    known = entities(spark, sf).where("type = 'Organization'").withColumns({"description": F.lit(None).cast("string"), "embedding": F.lit(None).cast("array<double>")})
+    nation = F.col("n_nationkey").cast("bigint")
+    versions = table(spark, sf, "nation").where("n_nationkey % 2 = 0").select(nation.alias("kb_id"), nation.alias("graph_version"))
+    return Graph.of(spark, entities=known, versions=versions)
+
+
 def calls(spark: SparkSession, sf: str) -> DataFrame:
     """Events as call logs."""
     rows = table(spark, sf, "events")
@@ -120,6 +151,16 @@ ev AS (
 ), entn AS (
   SELECT *, regexp_replace(lower(trim(canonical_name)), '[\\s\\p{Z}\\p{P}\\p{S}]+', '', 'g') AS normalized_name FROM ent
 )"""
+STORED_SQL = """
+lines AS MATERIALIZED (
+  SELECT CAST(s_nationkey AS BIGINT) AS kb_id, l_orderkey * 10000000 + l_suppkey AS chunk_id, CAST(l_suppkey AS BIGINT) AS l_suppkey, o_custkey, s_name, by_alias, statement, confidence
+  FROM (SELECT l_orderkey, l_suppkey, max(l_partkey % 2) = 1 AS by_alias, min(l_returnflag) AS statement, round(1 - min(l_discount), 4) AS confidence FROM lineitem GROUP BY ALL) JOIN orders ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey
+), buyers AS (
+  SELECT kb_id, o_custkey, row_number() OVER (ORDER BY min(chunk_id)) + (SELECT max(s_suppkey) FROM supplier) AS entity_id FROM lines GROUP BY kb_id, o_custkey
+), edges AS (
+  SELECT kb_id, entity_id AS source, l_suppkey AS target, row_number() OVER (ORDER BY min(chunk_id)) AS relationship_id, count(*) AS weight, max(confidence) AS confidence
+  FROM lines JOIN buyers USING (kb_id, o_custkey) GROUP BY kb_id, entity_id, l_suppkey
+)"""
 CALLS_SQL = """
 calls AS (
   SELECT event_id AS call_id, user_id % 3 AS provider_id, user_id % 5 AS model_id, event_type AS task_type,

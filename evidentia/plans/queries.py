@@ -3,21 +3,24 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..config import Settings
 from ..functions import scalar as S
 from ..operators import communities as C
 from ..operators import entities as E
 from ..operators import evaluation as V
 from ..operators import graph as G
 from ..operators import retrieval as R
+from ..operators import store as T
 from ..operators import usage as U
 from ..sources.tables import synthetic, table
 from ..streaming import calls as L
 from . import fixtures as X
-from .fixtures import CALLS_SQL, CHUNKS_SQL, GRAPH_SQL
+from .fixtures import CALLS_SQL, CHUNKS_SQL, GRAPH_SQL, STORED_SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -189,12 +192,28 @@ def r14_context(spark, sf):
     return R.context(fused, docs)
 
 
-@query("r13_rerank", f"""WITH {HYBRID_SQL} SELECT query_id, chunk_id, position, row_number() OVER (PARTITION BY query_id ORDER BY chunk_id) AS final_position, true AS applied
+@query("r12_channels", f"""WITH {HYBRID_SQL}, g AS (SELECT query_id, d.doc_id AS chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY d.doc_id) AS r FROM q JOIN documents o ON o.doc_id = query_id JOIN documents d ON d.source = o.source),
+  f3 AS (SELECT fused0.*, g.r, retrieval_score + coalesce(1 / (60 + g.r), 0) AS s3 FROM fused0 LEFT JOIN g USING (query_id, chunk_id)),
+  p3 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s3, 12) DESC, vector_rank) AS position FROM f3)
+  SELECT query_id, chunk_id, vector_rank, round(s3, 9) AS retrieval_score, concat_ws(',', 'vector', CASE WHEN k THEN 'keyword' END, CASE WHEN r IS NOT NULL THEN 'graph' END) AS channels, position FROM p3 WHERE position <= 10""")
+def r12_channels(spark, sf):
+    """Fusion with a third channel: documents of the question's own source stand for the chunks of a graph."""
+    docs = X.documents_as_chunks(spark, sf)
+    scored = R.hybrid_scores(X.question_vectors(spark, sf), docs)
+    own = docs.where(X.asked("chunk_id")).select(F.col("chunk_id").alias("query_id"), "title")
+    near = own.join(docs.select("chunk_id", "title"), "title")
+    graph = near.select("query_id", "chunk_id", F.row_number().over(Window.partitionBy("query_id").orderBy("chunk_id")).cast("bigint").alias("rank"))
+    fused = R.fuse(scored, {"graph": graph}, 10)
+    return fused.select("query_id", "chunk_id", "vector_rank", F.round("retrieval_score", 9).alias("retrieval_score"), F.array_join("channels", ",").alias("channels"), "position")
+
+
+@query("r13_rerank", f"""WITH {HYBRID_SQL} SELECT query_id, chunk_id, position, CASE WHEN query_id % 200 = 0 THEN row_number() OVER (PARTITION BY query_id ORDER BY chunk_id) ELSE position END AS final_position, query_id % 200 = 0 AS applied
   FROM fused WHERE position <= 5""")
 def r13_rerank(spark, sf):
-    """Candidates in a model's order: here a stub that returns them by id."""
+    """Candidates in a model's order: a stub that returns them by id, with a wrong id for every second question."""
     fused = _hybrid(spark, sf, 5)[0]
-    ranked = fused.groupBy("query_id").agg(F.sort_array(F.collect_list("chunk_id")).alias("ids"))
+    ids = F.sort_array(F.collect_list("chunk_id"))
+    ranked = fused.groupBy("query_id").agg(ids.alias("ids")).withColumn("ids", F.when(F.col("query_id") % 200 == 0, F.col("ids")).otherwise(F.concat(F.slice("ids", 1, 4), F.array(F.lit(-1).cast("bigint")))))
     return R.rerank(fused, ranked, 5).select("query_id", "chunk_id", "position", F.col("final_position").cast("bigint").alias("final_position"), "applied")
 
 
@@ -242,13 +261,79 @@ def j17_semantic_match(spark, sf):
     return E.match_semantic(items, rows.withColumnRenamed("id", "entity_id")).withColumn("score", F.round("score", 5))
 
 
-@query("r4_resolve")
+def _stored(spark, sf):
+    return T.store_extraction(X.suppliers_graph(spark, sf), X.extraction(spark, sf))
+
+
+@query("r4_resolve", f"""WITH {STORED_SQL} SELECT CAST(s_nationkey AS BIGINT) AS kb_id, CAST(s_suppkey AS BIGINT) AS entity_id, 'Organization' AS type, s_name AS canonical_name,
+    'S-' || s_suppkey || ',Nation ' || s_nationkey || CASE WHEN s_suppkey IN (SELECT l_suppkey FROM lines WHERE by_alias) THEN ',S ' || s_suppkey ELSE '' END AS aliases FROM supplier
+  UNION ALL SELECT kb_id, entity_id, 'Person', 'Customer ' || o_custkey, '' FROM buyers""")
 def r4_resolve(spark, sf):
-    """All suppliers and customers as items, resolved in order."""
-    supplier = table(spark, sf, "supplier").select(F.col("s_nationkey").cast("bigint").alias("kb_id"), F.col("s_suppkey").alias("item_id"), F.col("s_name").alias("name"))
-    customer = table(spark, sf, "customer").select(F.col("c_nationkey").cast("bigint").alias("kb_id"), (F.col("c_custkey") + 10_000_000).alias("item_id"), F.regexp_replace("c_name", "Customer", "Supplier ").alias("name"))
-    items = supplier.unionByName(customer).withColumns({"type": F.lit("Organization"), "aliases": F.array(F.concat(F.lit("A"), F.substring("name", -3, 3))), "embedding": F.lit(None).cast("array<double>")})
-    return E.resolve_sequential(items)
+    """Stored suppliers and the customers of all order lines, as mentions are resolved by name, by alias, or made anew."""
+    return _stored(spark, sf).entities.select("kb_id", "entity_id", "type", "canonical_name", F.array_join("aliases", ",").alias("aliases"))
+
+
+@query("r5_mentions", f"""WITH {STORED_SQL} SELECT entity_id, chunk_id, 'Customer ' || o_custkey AS surface_form FROM lines JOIN buyers USING (kb_id, o_custkey)
+  UNION ALL SELECT l_suppkey, chunk_id, CASE WHEN by_alias THEN 'S ' || l_suppkey ELSE s_name END FROM lines""")
+def r5_mentions(spark, sf):
+    """The mentions that storing all order lines makes."""
+    return _stored(spark, sf).mentions.select("entity_id", "chunk_id", "surface_form")
+
+
+@query("r5_relationships", f"WITH {STORED_SQL} SELECT kb_id, relationship_id, source, target, 'BUYS_FROM' AS type, 'by order' AS description, CAST(weight AS DOUBLE) AS weight, confidence FROM edges")
+def r5_relationships(spark, sf):
+    """The relationships that storing all order lines makes, their ends found by the lines' own keys."""
+    return _stored(spark, sf).relationships
+
+
+@query("s16_evidence", f"WITH {STORED_SQL} SELECT relationship_id, chunk_id, statement, lines.confidence AS confidence FROM lines JOIN buyers USING (kb_id, o_custkey) JOIN edges ON source = entity_id AND target = l_suppkey")
+def s16_evidence(spark, sf):
+    """The evidence that storing all order lines makes, a fifth of which are stored twice."""
+    graph = _stored(spark, sf).settled()
+    return T.store_extraction(graph, X.extraction(spark, sf).where("chunk_id % 5 = 1")).evidence
+
+
+@query("r7_invalidate", """SELECT CAST(n_nationkey AS BIGINT) AS kb_id, CAST(CASE WHEN n_nationkey % 2 = 0 THEN n_nationkey ELSE 0 END + CASE WHEN n_nationkey % 3 = 0 THEN 1 ELSE 0 END AS BIGINT) AS graph_version,
+  CASE WHEN n_nationkey % 3 = 0 THEN 0 ELSE (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) END AS communities FROM nation WHERE n_nationkey % 2 = 0 OR n_nationkey % 3 = 0""")
+def r7_invalidate(spark, sf):
+    """Versions and communities (here customers) after a third of the nations are invalidated."""
+    graph = X.suppliers_graph(spark, sf)
+    held = table(spark, sf, "customer").select(F.col("c_nationkey").cast("bigint").alias("kb_id"), F.col("c_custkey").alias("community_id"))
+    after = T.invalidate(replace(graph, communities=held, members=held.select("community_id")), table(spark, sf, "nation").where("n_nationkey % 3 = 0").select(F.col("n_nationkey").cast("bigint").alias("kb_id")))
+    left = after.communities.join(after.members, "community_id").groupBy("kb_id").agg(F.count("*").alias("communities"))
+    return after.versions.join(left, "kb_id", "left").fillna(0)
+
+
+@query("r6_delete_and_prune", f"""WITH {GRAPH_SQL}, open AS (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'F'), e AS (SELECT DISTINCT relationship_id, source, target FROM ev WHERE chunk_id IN (SELECT o_orderkey FROM open))
+  SELECT kb_id, entity_id FROM ent WHERE entity_id IN (SELECT target FROM ev WHERE l_discount < 0.01 AND chunk_id IN (SELECT o_orderkey FROM open)) OR entity_id IN (SELECT source FROM e) OR entity_id IN (SELECT target FROM e)""")
+def r6_delete_and_prune(spark, sf):
+    """Entities that are left after the documents (orders) that are finished are deleted, and the graph is pruned."""
+    orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("doc_id"), F.col("o_orderkey").alias("chunk_id"), "o_orderstatus")
+    lines = X.evidence(spark, sf)
+    entities, relationships = X.stored(spark, sf)
+    mentions = lines.where("l_discount < 0.01").select(F.col("target").alias("entity_id"), "chunk_id")
+    graph = T.Graph.of(spark, entities=entities, relationships=relationships, evidence=lines, mentions=mentions)
+    gone = orders.where("o_orderstatus = 'F'").select("doc_id").crossJoin(table(spark, sf, "nation").select(F.col("n_nationkey").cast("bigint").alias("kb_id")))
+    return T.delete_and_prune(graph, orders, orders, gone)[2].entities.select("kb_id", "entity_id")
+
+
+@query("r26_chunks", f"WITH {CHUNKS_SQL.replace('FROM documents', "FROM (SELECT * REPLACE (CASE WHEN doc_id % 3 = 0 THEN concat('again: ', text) ELSE text END AS text) FROM documents WHERE lang IS NOT NULL)")} SELECT doc_id, position, content FROM chunks")
+def r26_chunks(spark, sf):
+    """Chunks after a third of the documents were indexed anew with another text."""
+    from ..operators.chunking import reindex
+
+    changed = table(spark, sf, "documents").where("doc_id % 3 = 0").select(F.col("lang").alias("kb_id"), "doc_id", F.col("source").alias("title"), F.concat(F.lit("again: "), F.coalesce("text", F.lit(""))).alias("text"))
+    return reindex(X.chunks(spark, sf).drop("chunk_id"), changed).select("doc_id", "position", "content")
+
+
+@query("r20_build")
+def r20_build(spark, sf):
+    """Communities of every nation's supply graph, with summaries that name their first members."""
+    entities, relationships = X.stored(spark, sf)
+    graph = T.Graph.of(spark, entities=entities.withColumns({"description": F.lit(None).cast("string"), "embedding": F.lit(None).cast("array<double>")}), relationships=relationships, evidence=X.evidence(spark, sf))
+    told = lambda rows: rows.select("community_id", F.get("names", F.lit(0)).alias("title"), F.array_join(F.slice("names", 1, 3), ", ").alias("summary"), F.array(F.lit(1.0)).alias("embedding"))
+    built = T.build_communities(graph, entities.select("kb_id"), told, "build")
+    return built.communities.select("kb_id", "community_id", "level", "title", "summary", "rank", "n_entities", "n_relationships", "n_facts")
 
 
 ANSWER_SQL = """x AS (SELECT event_id AS chunk_id, CAST(user_id AS VARCHAR) AS k, event_type AS t, value AS v FROM events)"""
@@ -499,6 +584,13 @@ def t7_page(spark, sf):
     return U.page(found.select("p_partkey", "p_name"), ["p_name", "p_partkey"], 2)
 
 
+@query("t7_listing", "SELECT p_partkey, p_name, (SELECT count(*) FROM part WHERE p_name ILIKE '%RING%') AS total FROM part WHERE p_name ILIKE '%RING%' ORDER BY p_name, p_partkey LIMIT 10")
+def t7_listing(spark, sf):
+    """The first page of a listing, with the number of all its rows."""
+    found = U.contains_text(table(spark, sf, "part"), "p_name", "RING").select("p_partkey", "p_name")
+    return U.listing(found, ["p_name", "p_partkey"], 1, 10)
+
+
 @query("w7_latest", "SELECT o_custkey, o_orderkey, n FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS n FROM orders) WHERE n <= 5")
 def w7_latest(spark, sf):
     """Each customer's five newest orders."""
@@ -571,10 +663,19 @@ def st3_concurrency(spark, sf):
     return L.concurrency(rows.select("call_id", "provider_id", "model_id", F.col("created_at").alias("started_at"), ended.alias("ended_at")))
 
 
-@query("st4_breaker")
+@query("st4_breaker", f"""WITH RECURSIVE {CALLS_SQL}, o AS MATERIALIZED (SELECT provider_id, model_id, call_id, created_at, status = 'success' AS good, row_number() OVER (PARTITION BY provider_id, model_id ORDER BY created_at, call_id) AS n FROM calls),
+  w AS (
+    SELECT provider_id, model_id, call_id, n, true AS allowed, CASE WHEN good THEN 0 ELSE 1 END AS failures, CAST(NULL AS TIMESTAMP) AS opened FROM o WHERE n = 1
+    UNION ALL SELECT provider_id, model_id, call_id, n, allowed,
+      CASE WHEN NOT allowed THEN failures WHEN good THEN 0 ELSE before + 1 END,
+      CASE WHEN NOT allowed THEN opened WHEN good THEN NULL WHEN before + 1 >= 2 THEN created_at ELSE NULL END
+    FROM (SELECT o.*, w.failures, w.opened, w.opened IS NULL OR epoch_us(o.created_at) - epoch_us(w.opened) >= 7200000000 AS allowed, CASE WHEN w.opened IS NULL THEN w.failures ELSE 0 END AS before
+      FROM w JOIN o ON o.provider_id = w.provider_id AND o.model_id = w.model_id AND o.n = w.n + 1)
+  ) SELECT call_id, provider_id, model_id, allowed, CAST(failures AS BIGINT) AS failures, opened IS NOT NULL AS open FROM w""")
 def st4_breaker(spark, sf):
-    """The circuit breaker of every provider and model along the whole log."""
-    return L.breaker_log(X.calls(spark, sf))
+    """The circuit breaker of every provider and model along the whole log: two failures, two hours."""
+    found = L.breaker_log(X.calls(spark, sf), Settings(breaker_failures=2, breaker_cooldown=7200))
+    return found.select("call_id", "provider_id", "model_id", "allowed", "failures", "open")
 
 
 @query("st5_health", f"WITH {CALLS_SQL}, n AS (SELECT max(created_at) AS now FROM calls) SELECT provider_id, arg_max(status = 'success', created_at) AS healthy FROM calls, n WHERE created_at > now - INTERVAL 3 HOURS GROUP BY provider_id")
@@ -622,41 +723,61 @@ def p5_inner_edges(spark, sf):
     return edges.select("relationship_id", "source", "target")
 
 
-@query("a4_counts", f"WITH {GRAPH_SQL}, e AS (SELECT kb_id, count(*) AS entities FROM ent GROUP BY kb_id), r AS (SELECT kb_id, count(*) AS relationships, count(DISTINCT target) AS targets FROM rel GROUP BY kb_id) SELECT kb_id, entities, coalesce(relationships, 0) AS relationships, coalesce(targets, 0) AS targets FROM e LEFT JOIN r USING (kb_id)")
+@query("a4_counts", f"WITH {GRAPH_SQL}, e AS (SELECT kb_id, count(*) AS entities FROM ent GROUP BY kb_id), r AS (SELECT kb_id, count(*) AS relationships FROM rel GROUP BY kb_id), c AS (SELECT CAST(c_nationkey AS BIGINT) AS kb_id, count(*) AS communities FROM customer GROUP BY 1) SELECT kb_id, coalesce(entities, 0) AS entities, coalesce(relationships, 0) AS relationships, coalesce(communities, 0) AS communities FROM e FULL JOIN r USING (kb_id) FULL JOIN c USING (kb_id)")
 def a4_counts(spark, sf):
-    """Entities, relationships and distinct targets of each knowledge base."""
-    counted = X.relationships(spark, sf).groupBy("kb_id").agg(F.count("*").alias("relationships"), F.count_distinct("target").alias("targets"))
-    return X.entities(spark, sf).groupBy("kb_id").agg(F.count("*").alias("entities")).join(counted, "kb_id", "left").fillna(0)
+    """Entities, relationships and communities (here customers) of each knowledge base."""
+    entities, relationships = X.stored(spark, sf)
+    held = table(spark, sf, "customer").select(F.col("c_nationkey").cast("bigint").alias("kb_id"))
+    return T.counts(T.Graph.of(spark, entities=entities, relationships=relationships, communities=held))
 
 
-@query("a13_facts", f"WITH {GRAPH_SQL}, f AS (SELECT kb_id, statement, min(struct_pack(r := relationship_id, e := evidence_id)) AS first FROM ev GROUP BY ALL) SELECT kb_id, statement, row_number() OVER (PARTITION BY kb_id ORDER BY first) AS n FROM f")
+@query("a13_facts", f"WITH {GRAPH_SQL}, {LABELS_SQL}, f AS (SELECT ev.kb_id, a.label, statement, min(struct_pack(r := relationship_id, e := evidence_id)) AS first FROM ev JOIN lab a ON a.entity_id = source JOIN lab b ON b.entity_id = target WHERE a.label = b.label GROUP BY ALL), n AS (SELECT *, row_number() OVER (PARTITION BY kb_id, label ORDER BY first) AS n FROM f) SELECT kb_id, label, string_agg(statement, '|' ORDER BY n) AS facts FROM n WHERE n <= 3 GROUP BY kb_id, label")
 def a13_facts(spark, sf):
-    """Distinct statements of each knowledge base in order of first appearance."""
-    from pyspark.sql import Window
+    """The first three distinct statements of each community, in order of first appearance."""
+    entities, relationships = X.stored(spark, sf)
+    out = C.signatures(relationships, _labels_of(entities), X.evidence(spark, sf), max_facts=3).where(F.size("facts") > 0)
+    return out.select("kb_id", "label", F.array_join("facts", "|").alias("facts"))
+
 
-    first = X.evidence(spark, sf).groupBy("kb_id", "statement").agg(F.min(F.struct("relationship_id", "evidence_id")).alias("at"))
-    return first.select("kb_id", "statement", F.row_number().over(Window.partitionBy("kb_id").orderBy("at")).cast("bigint").alias("n"))
+@query("a9_self_loops", f"WITH {GRAPH_SQL}, loops AS (SELECT kb_id, source AS entity_id, weight / 4000 AS w FROM rel WHERE target % 3 = 0) SELECT kb_id, entity_id, round(sum(greatest(w, 0.001)), 6) AS loop FROM loops GROUP BY ALL")
+def a9_self_loops(spark, sf):
+    """Loops (some edges turned back on their source) with light weights raised to the least one."""
+    rows = X.relationships(spark, sf).where("target % 3 = 0").select("kb_id", "source", F.col("source").alias("target"), F.greatest(F.col("weight") / 4000, F.lit(C.MIN_WEIGHT)).alias("weight"))
+    return C.self_loops(rows).withColumn("loop", F.round("loop", 6))
 
 
-@query("j8_entity_detail", f"""WITH {GRAPH_SQL} SELECT entity_id, canonical_name, count(*) AS n_edges, string_agg(DISTINCT p, ',' ORDER BY p) AS peers, max(confidence) AS best FROM (
-  SELECT s.entity_id, s.canonical_name, t.canonical_name AS p, confidence FROM rel JOIN ent s ON s.entity_id = source JOIN ent t ON t.entity_id = target WHERE s.type = 'Organization'
-) GROUP BY entity_id, canonical_name""")
+@query("j8_entity_detail", f"""WITH {GRAPH_SQL}, own AS (SELECT * FROM ent WHERE entity_id % 100 = 0),
+  m AS (SELECT target AS entity_id, count(*) AS n, string_agg(chunk_id || ':' || statement, ',' ORDER BY chunk_id, statement) AS t FROM (SELECT DISTINCT target, chunk_id, statement FROM ev WHERE l_discount < 0.01) GROUP BY 1),
+  p AS (SELECT relationship_id, string_agg(chunk_id || '/' || statement, '+' ORDER BY chunk_id, statement, confidence) AS proofs FROM ev GROUP BY 1),
+  d AS (SELECT source AS entity_id, 'out' AS way, rel.*, target AS peer FROM rel UNION ALL SELECT target, 'in', rel.*, source FROM rel),
+  e AS (SELECT d.entity_id, count(*) FILTER (way = 'out') AS n_out, count(*) FILTER (way = 'in') AS n_in, string_agg(o.canonical_name || '=' || proofs, ';' ORDER BY d.relationship_id) AS told
+    FROM d JOIN ent o ON o.entity_id = peer JOIN p USING (relationship_id) GROUP BY 1)
+  SELECT own.entity_id, canonical_name, coalesce(m.n, 0) AS mentions, coalesce(m.t, '') AS mentioned, coalesce(n_out, 0) AS n_out, coalesce(n_in, 0) AS n_in, coalesce(told, '') AS told FROM own LEFT JOIN m USING (entity_id) LEFT JOIN e USING (entity_id)""")
 def j8_entity_detail(spark, sf):
-    """Suppliers with the parts they are linked to."""
-    ents = X.entities(spark, sf).select("entity_id", "type", "canonical_name")
-    own = ents.where("type = 'Organization'").select(F.col("entity_id").alias("source"), "canonical_name")
-    peer = ents.select(F.col("entity_id").alias("target"), F.col("canonical_name").alias("peer"))
-    joined = X.relationships(spark, sf).select("source", "target", "confidence").join(own, "source").join(peer, "target")
-    out = joined.groupBy(F.col("source").alias("entity_id"), "canonical_name").agg(F.count("*").alias("n_edges"), F.array_join(F.sort_array(F.collect_set("peer")), ",").alias("peers"), F.max("confidence").alias("best"))
-    return out
+    """The stated entities with their mentions, and their edges both ways with peers and proofs."""
+    entities, relationships = X.stored(spark, sf)
+    lines = X.evidence(spark, sf)
+    mentions = lines.where("l_discount < 0.01").select(F.col("target").alias("entity_id"), "chunk_id", F.col("statement").alias("surface_form")).distinct()
+    graph = T.Graph.of(spark, entities=entities.withColumn("embedding", F.lit(None)), relationships=relationships.withColumn("type", F.lit("SUPPLIES")), evidence=lines, mentions=mentions)
+    chunks = table(spark, sf, "orders").select(F.col("o_orderkey").alias("chunk_id"), F.col("o_orderkey").alias("doc_id"), F.col("o_orderstatus").alias("title"))
+    found = T.entity_detail(graph, chunks, entities.where(X.asked("entity_id")))
+    joined = lambda rows, line, sign: F.array_join(F.transform(rows, line), sign)
+    proofs = lambda e: joined(e["evidence"], lambda p: F.concat_ws("/", p["chunk_id"].cast("string"), p["statement"]), "+")
+    both = F.array_sort(F.concat(F.coalesce("outgoing", F.array()), F.coalesce("incoming", F.array())))
+    size = lambda name: F.coalesce(F.when(F.col(name).isNotNull(), F.size(name)), F.lit(0)).cast("bigint")
+    return found.select(
+        "entity_id", "canonical_name", size("mentions").alias("mentions"), F.coalesce(joined("mentions", lambda m: F.concat_ws(":", m["chunk_id"].cast("string"), m["surface_form"]), ","), F.lit("")).alias("mentioned"),
+        size("outgoing").alias("n_out"), size("incoming").alias("n_in"), joined(both, lambda e: F.concat(e["peer_name"], F.lit("="), proofs(e)), ";").alias("told"),
+    )
 
 
-@query("j6_nested_evidence", f"WITH {GRAPH_SQL} SELECT relationship_id, count(*) AS n, string_agg(chunk_id || ':' || statement, ';' ORDER BY evidence_id) AS proofs FROM ev GROUP BY relationship_id")
+@query("j6_nested_evidence", f"WITH {GRAPH_SQL} SELECT relationship_id, s.canonical_name AS source_name, t.canonical_name AS target_name, n, proofs FROM (SELECT relationship_id, any_value(source) AS source, any_value(target) AS target, count(*) AS n, string_agg(chunk_id || ':' || statement, ';' ORDER BY evidence_id) AS proofs FROM ev GROUP BY relationship_id) JOIN ent s ON s.entity_id = source JOIN ent t ON t.entity_id = target")
 def j6_nested_evidence(spark, sf):
-    """Each relationship with its evidence, in order."""
-    proof = F.struct("evidence_id", F.concat_ws(":", F.col("chunk_id").cast("string"), "statement").alias("t"))
-    rows = X.evidence(spark, sf).groupBy("relationship_id").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(proof)).alias("p"))
-    return rows.select("relationship_id", "n", F.array_join(F.transform("p", lambda x: x["t"]), ";").alias("proofs"))
+    """Each relationship with the names of its ends and its evidence, in order."""
+    entities, relationships = X.stored(spark, sf)
+    rows = T.with_evidence(T.with_ends(relationships, entities), X.evidence(spark, sf).select("relationship_id", "evidence_id", "chunk_id", "statement"), "evidence_id")
+    proofs = F.transform("evidence", lambda x: F.concat_ws(":", x["chunk_id"].cast("string"), x["statement"]))
+    return rows.select("relationship_id", "source_name", "target_name", F.size("evidence").cast("bigint").alias("n"), F.array_join(proofs, ";").alias("proofs"))
 
 
 @query("t8_by_mentions", "SELECT p_partkey, p_name, count(l_partkey) AS mentions FROM part LEFT JOIN lineitem ON l_partkey = p_partkey GROUP BY ALL ORDER BY mentions DESC, p_name, p_partkey LIMIT 15")
@@ -678,9 +799,7 @@ def u1_aliases(spark, sf):
 @query("u3_both_directions", f"WITH {GRAPH_SQL} SELECT source AS entity_id, target AS peer, 'out' AS direction FROM rel UNION ALL SELECT target, source, 'in' FROM rel")
 def u3_both_directions(spark, sf):
     """Outgoing and incoming edges with their direction."""
-    edges = X.relationships(spark, sf)
-    out = edges.select(F.col("source").alias("entity_id"), F.col("target").alias("peer"), F.lit("out").alias("direction"))
-    return out.unionByName(edges.select(F.col("target").alias("entity_id"), F.col("source").alias("peer"), F.lit("in").alias("direction")))
+    return T.both_directions(X.relationships(spark, sf)).select("entity_id", "peer", "direction")
 
 
 @query("s11_sse", "SELECT conv_id AS request_id, string_agg(coalesce(text, ''), '' ORDER BY turn) AS text, 'stop' AS finish_reason, CAST(max(turn) AS BIGINT) AS total_tokens FROM conversations GROUP BY conv_id")
