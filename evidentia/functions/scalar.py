@@ -125,6 +125,12 @@ def token_estimate(bytes_total: Column) -> Column:
     return F.ceil(bytes_total / 4).cast("bigint")
 
 
+def messages_tokens(messages: Column) -> Column:
+    """The estimate for a list of messages (structs with content): the bytes of all of them over four, rounded up."""
+    sizes = F.transform(messages, lambda m: F.octet_length(F.coalesce(m["content"], F.lit(""))))
+    return token_estimate(F.aggregate(sizes, F.lit(0), lambda total, n: total + n))
+
+
 def split_model(x: Column) -> Column:
     """provider@model, split at the first sign."""
     parts = F.split(x, "@", 2)

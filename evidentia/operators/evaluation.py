@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import abstention_correct, citation_valid, citations, is_abstention, trim
 
+EXCERPT = 160
 #: Fixed value: what counts as a number.
 NUMBER = r"^[ \t\n\r\x0B\f]*[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?[ \t\n\r\x0B\f]*$"
 
@@ -55,6 +56,7 @@ def judge(cases: DataFrame) -> DataFrame:
         F.when(~none, F.size("ranks") / F.size("_expected")).alias("recall_at_k"),
         F.when(~none, F.when(F.size("ranks") > 0, 1 / F.array_min("ranks")).otherwise(0.0)).alias("reciprocal_rank"),
         (F.col("_answer") != "").alias("answer_present"),
+        F.substring("_answer", 1, EXCERPT).alias("answer_excerpt"),
         (F.size("sources") > 0).alias("source_present"),
         "citations",
         citation_valid(F.col("citations"), F.size("sources"), F.col("answerable")).alias("citation_valid"),

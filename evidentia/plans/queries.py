@@ -626,7 +626,7 @@ def _cases(spark, sf):
   array_to_string(list_sort(cited), ',') AS citations, citation_valid, is_abstention, abstention_correct, answer_term_coverage FROM k""")
 def r22_judged(spark, sf):
     """Metrics of every case."""
-    return V.judge(_cases(spark, sf)).withColumn("citations", F.array_join(F.transform(F.array_sort("citations"), lambda c: c.cast("string")), ","))
+    return V.judge(_cases(spark, sf)).drop("answer_excerpt").withColumn("citations", F.array_join(F.transform(F.array_sort("citations"), lambda c: c.cast("string")), ","))
 
 
 @query("r22_summary", f"""WITH {CASES_SQL} SELECT count(*) AS cases, round(avg(recall_at_k), 5) AS recall_at_k, round(avg(reciprocal_rank), 5) AS mrr, round(avg(mode_correct::INT), 5) AS mode_accuracy, round(avg((answer <> '')::INT), 5) AS answer_coverage,

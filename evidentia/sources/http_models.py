@@ -40,9 +40,13 @@ class HttpModels:
             out.append([float(x) for x in vector])
         return out
 
-    def chat(self, messages: list[dict[str, str]], temperature: float = 0.2) -> str:
+    def complete(self, messages: list[dict[str, str]], temperature: float = 0.2) -> dict:
+        """The server's whole answer: choices, usage and whatever else it tells."""
         with self._open("chat/completions", {"model": self.chat_model, "messages": messages, "temperature": temperature, "stream": False}) as answer:
-            choices = json.load(answer).get("choices") or [{}]
+            return json.load(answer)
+
+    def chat(self, messages: list[dict[str, str]], temperature: float = 0.2) -> str:
+        choices = self.complete(messages, temperature).get("choices") or [{}]
         return (choices[0].get("message") or {}).get("content") or ""
 
     def stream(self, messages: list[dict[str, str]], temperature: float = 0.2) -> Iterator[str]:

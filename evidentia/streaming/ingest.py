@@ -2,14 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, Settings
+from ..functions.scalar import trim
 from ..operators.chunking import chunk
 
-DOCUMENT = "doc_id long, kb_id long, title string, text string, index_version long"
+DOCUMENT = "doc_id long, kb_id long, title string, source string, metadata map<string,string>, text string, index_version long"
 REASON_LENGTH = 2000
+TITLE_LENGTH = 255
+SOURCE_LENGTH = 2048
+
+
+def _refusal() -> Column:
+    """Why a document cannot be taken in; null if it can."""
+    text, title = trim(F.coalesce("text", F.lit(""))), F.coalesce("title", F.lit(""))
+    return (
+        F.when(trim(title) == "", "the document has no title").when(F.length(title) > TITLE_LENGTH, "the title is too long")
+        .when(F.length("source") > SOURCE_LENGTH, "the source is too long").when(text == "", "the document is empty")
+    )
+
+
+def ingest_now(documents: DataFrame, settings: Settings = DEFAULTS) -> tuple[DataFrame, DataFrame]:
+    """Chunks, and the state (doc_id, index_version, status, reason) of documents (DOCUMENT), in one batch.
+
+    Documents that cannot be taken in fail with a reason, and the others do not wait for them; of a document that is
+    given several times the newest version counts.
+    """
+    columns = [x.split(" ")[0] for x in DOCUMENT.split(", ")]
+    rows = documents.select(*[F.col(c) if c in documents.columns else F.lit(None).cast("map<string,string>" if c == "metadata" else "string").alias(c) for c in columns])
+    newest = rows.groupBy("doc_id").agg(F.max_by(F.struct(*columns[1:]), "index_version").alias("d")).select("doc_id", "d.*").withColumn("reason", _refusal())
+    state = newest.select("doc_id", "index_version", F.when(F.col("reason").isNull(), "ready").otherwise("failed").alias("status"), F.substring("reason", 1, REASON_LENGTH).alias("reason"))
+    return chunk(newest.where("reason IS NULL").drop("reason"), settings), state
 
 
 def current_jobs(jobs: DataFrame, documents: DataFrame) -> DataFrame:
@@ -28,15 +53,12 @@ def retry(documents: DataFrame, failed: DataFrame) -> DataFrame:
 def ingest_available(spark: SparkSession, landing: str, out: str, checkpoint: str, settings: Settings = DEFAULTS) -> None:
     """Chunk all documents that wait in `landing` (JSON lines) into Parquet at `out`, one batch after the other.
 
-    Each batch keeps the newest version of a document, fails those without text, and is written under its number, so
-    that a repeated batch replaces itself.
+    Each batch is taken in as ingest_now does, and is written under its number, so that a repeated batch replaces itself.
     """
 
     def index(batch: DataFrame, number: int) -> None:
-        newest = batch.groupBy("doc_id").agg(F.max_by(F.struct("kb_id", "title", "text", "index_version"), "index_version").alias("d")).select("doc_id", "d.*")
-        good = F.length(F.btrim(F.coalesce("text", F.lit("")))) > 0
-        state = newest.select("doc_id", "index_version", F.when(good, "ready").otherwise("failed").alias("status"), F.when(~good, F.lit("the document is empty").substr(1, REASON_LENGTH)).alias("reason"))
-        chunk(newest.where(good), settings).write.mode("overwrite").parquet(f"{out}/chunks/batch={number}")
+        chunks, state = ingest_now(batch, settings)
+        chunks.write.mode("overwrite").parquet(f"{out}/chunks/batch={number}")
         state.write.mode("overwrite").parquet(f"{out}/status/batch={number}")
 
     stream = spark.readStream.schema(DOCUMENT).json(landing)

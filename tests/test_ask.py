@@ -66,6 +66,24 @@ def test_ask_end_to_end(spark):
     assert {r["index"] for r in out["sources"].collect()} == {1, 2}
 
 
+def test_a_model_orders_the_candidates(spark):
+    def script(messages):
+        if "ranked_chunk_ids" not in messages[0]["content"]:
+            return "told [1]"
+        ids = sorted((c["chunk_id"] for c in json.loads(messages[1]["content"])["candidates"]), reverse=True)
+        assert all(len(c["content"]) <= 2000 for c in json.loads(messages[1]["content"])["candidates"])
+        if "broken" in messages[1]["content"]:
+            raise RuntimeError("down")
+        return "```json\n" + json.dumps({"ranked_chunk_ids": ids}) + "\n```"
+
+    questions = spark.createDataFrame([(1, 1, "Where does Alice work?"), (2, 1, "broken")], "query_id long, kb_id long, question string")
+    kb = local_kb(spark)
+    kb.chunks = kb.chunks.withColumns({"embedding": F.array(*[F.lit(float(i == 0)) for i in range(16)]), "content": F.concat("content", F.repeat(F.lit("x"), 3000))})
+    for enabled, first in ((True, 11), (False, 10)):
+        out = ask(questions, kb, HashEmbedder(16), ScriptedChat(script), Settings(rerank_enabled=enabled))
+        assert {(r.query_id, r["index"]): r.doc_id for r in out["sources"].collect()} == {(1, 1): first - 9, (1, 2): 12 - first, (2, 1): 1, (2, 2): 2}
+
+
 def test_citation_gate(spark):
     def script(messages):
         if messages[0]["content"] and "kept" in messages[1]["content"]:

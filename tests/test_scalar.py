@@ -51,3 +51,8 @@ def test_chunks_of_short_and_long_texts(spark):
 
 def test_limits():
     assert Settings().limits(top_k=99, max_hops=9, community_top_k=0) == {"top_k": 20, "max_hops": 2, "community_top_k": 1, "max_nodes": 50, "levels": 2, "candidates": 20}
+
+
+def test_estimate_of_messages(spark):
+    rows = spark.createDataFrame([([("user", "abc"), ("user", "é"), ("user", None)],), ([],)], "m array<struct<role:string,content:string>>")
+    assert [r[0] for r in rows.select(S.messages_tokens(F.col("m"))).collect()] == [2, 0]

@@ -6,7 +6,7 @@ import pytest
 from evidentia.config import Settings
 from evidentia.sources import tables as T
 from evidentia.streaming import calls as L
-from evidentia.streaming.ingest import current_jobs, ingest_available, retry
+from evidentia.streaming.ingest import DOCUMENT, current_jobs, ingest_available, ingest_now, retry
 
 CALLS = "call_id long, provider_id long, model_id long, status string, tokens long, created_at timestamp"
 START = dt.datetime(2024, 1, 1, tzinfo=dt.UTC)
@@ -153,6 +153,7 @@ def test_cases_and_reports(spark, tmp_path):
     path.write_text(json.dumps({"name": "n", "cases": [{"id": "1", "question": "q", "answerable": True, "expected_sources": ["7"]}, {"question": "r"}]}))
     rows = T.read_cases(spark, str(path)).orderBy("position").collect()
     assert [(r.dataset, r.question, r.answerable) for r in rows] == [("n", "q", True), ("n", "r", None)]
+    assert T.append_logs(spark.range(3), str(tmp_path / "log")) and not T.append_logs(spark.range(3), "nowhere://x/y")
     T.write_report({"ü": 1}, str(tmp_path / "r.json"))
     assert (tmp_path / "r.json").read_text() == '{\n    "ü": 1\n}\n'
 
@@ -168,6 +169,14 @@ def test_ingestion_drains_the_folder(spark, tmp_path):
     assert {r.doc_id: r.status for r in spark.read.parquet(str(tmp_path / "out/status")).collect()} == {1: "ready", 2: "failed"}
 
 
+def test_requests_are_checked(spark):
+    rows = [(1, 1, "t", "s", {"a": "b"}, "text", 1), (1, 1, "t", "s", None, "newer", 2), (2, 1, "t" * 256, None, None, "x", 1), (3, 1, "t", "s" * 2049, None, "x", 1), (4, 1, " ", None, None, "x", 1), (5, 1, "t", None, None, "\n\t", 1)]
+    chunks, state = ingest_now(spark.createDataFrame(rows, DOCUMENT))
+    assert [(r.doc_id, r.content, r.metadata) for r in chunks.collect()] == [(1, "newer", None)]
+    assert {r.doc_id: r.status for r in state.collect()} == {1: "ready", 2: "failed", 3: "failed", 4: "failed", 5: "failed"}
+    assert len({r.reason for r in state.collect()}) == 5
+
+
 def test_stale_jobs_and_retries(spark):
     documents = spark.createDataFrame([(1, 2, "pending"), (2, 1, "ready"), (3, 1, "failed")], "doc_id long, index_version long, status string")
     jobs = spark.createDataFrame([(1, 1), (1, 2), (2, 1)], "doc_id long, index_version long")
