@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import ship, written
-from .common import U64, code_points, hash_runs, held_out, is_space, mix64, pick, steps
+from .common import U64, code_points, hash_runs, held_out, is_space, mix64, pick, steps, tidy
 
 #: The most labelled rows that are learned from; they are the first by a hash of their id.
 SAMPLE_ROWS = 20_000
@@ -24,6 +24,8 @@ BUCKETS = WORD_BUCKETS + SHAPE_BUCKETS
 HIDDEN = 32
 THRESHOLD = 0.7
 FIT_TASKS = 8
+#: Partial sums of word contexts that are added up in one task, round by round.
+ADDED = 32
 
 _KINDS: list[np.ndarray] = []
 _SPACE_KIND, _LETTER, _UPPER, _DIGIT, _SIGN = range(5)
@@ -101,7 +103,7 @@ def context_sums(texts: list[str | None]) -> np.ndarray:
     sums = np.zeros(BUCKETS * DIMENSIONS)
     for first, last in steps(texts):
         t = tokens(texts[first:last])
-        if len(t.word) < 2:
+        if not len(t.word):
             continue
         joined = np.ones(len(t.word) - 1, dtype=bool)
         joined[t.bounds[1:-1][(t.bounds[1:-1] > 0) & (t.bounds[1:-1] < len(t.word))] - 1] = False
@@ -176,7 +178,28 @@ def _loss(logit: np.ndarray, y: np.ndarray, temperature: float) -> float:
     return float(-(y * np.log(p) + (1 - y) * np.log(1 - p)).mean())
 
 
-def fit_network(x: np.ndarray, y: np.ndarray, vectors: np.ndarray, epochs: int = 60, seed: int = 5) -> Network:
+@dataclass
+class Layers:
+    """The two layers as they are trained, over pooled rows that are centred and scaled."""
+
+    centre: np.ndarray
+    scale: np.ndarray
+    inner: np.ndarray
+    inner_bias: np.ndarray
+    output: np.ndarray
+    output_bias: float
+    temperature: float
+
+    def folded(self, vectors: np.ndarray) -> Network:
+        inner = self.inner / self.scale[:, None]
+        wide = vectors.astype(np.float64)
+        return Network(
+            (wide @ inner[:DIMENSIONS]).astype(np.float32), (wide[WORD_BUCKETS:] @ inner[DIMENSIONS:]).astype(np.float32),
+            self.inner_bias - self.centre @ inner, self.output, self.output_bias, self.temperature,
+        )
+
+
+def fit_layers(x: np.ndarray, y: np.ndarray, epochs: int = 60, seed: int = 5) -> Layers:
     """Train on nine tenths of the rows with Adam, and choose the temperature on the rest."""
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(x))
@@ -203,14 +226,7 @@ def fit_network(x: np.ndarray, y: np.ndarray, vectors: np.ndarray, epochs: int =
     w1, b1, w2, b2 = params
     logit = np.tanh(z[test] @ w1 + b1) @ w2 + b2
     temperature = float(min(np.geomspace(0.25, 8, 61), key=lambda t: _loss(logit, y[test], t)))
-    folded = w1 / scale[:, None]
-    bias = b1 - centre @ folded
-    wide = vectors.astype(np.float64)
-    return Network(
-        (wide @ folded[:DIMENSIONS]).astype(np.float32),
-        (wide[WORD_BUCKETS:] @ folded[DIMENSIONS:]).astype(np.float32),
-        bias, w2, float(b2[0]), temperature,
-    )
+    return Layers(centre, scale, w1, b1, w2, float(b2[0]), temperature)
 
 
 def _constant(score: float) -> Network:
@@ -222,7 +238,28 @@ def _sum_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     total = np.zeros((BUCKETS, DIMENSIONS))
     for batch in batches:
         total += context_sums(batch.column(0).to_pylist())
-    yield pa.RecordBatch.from_pydict({"sums": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
+    yield pa.RecordBatch.from_pydict({"sums": pa.array([total.tobytes()], pa.binary())})
+
+
+def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(BUCKETS * DIMENSIONS)
+    for batch in batches:
+        for one in batch.column(0):
+            total += np.frombuffer(one.as_buffer())
+    yield pa.RecordBatch.from_pydict({"sums": pa.array([total.tobytes()], pa.binary())})
+
+
+def corpus_contexts(docs: DataFrame) -> np.ndarray:
+    """The context sums of all texts. Each task gives one array of a fixed size; some at a time are added up, round by
+    round, so neither a task nor the driver holds more than a few. The sums are whole numbers, so their order is nothing.
+    """
+    parts = docs.mapInArrow(tidy(_sum_contexts), "sums binary")
+    n = docs.rdd.getNumPartitions()
+    while n > 1:
+        n = -(-n // ADDED)
+        parts = parts.repartition(n).mapInArrow(tidy(_add), "sums binary")
+    found = [np.frombuffer(r["sums"]) for r in parts.collect()]
+    return (sum(found) if found else np.zeros(BUCKETS * DIMENSIONS)).reshape(BUCKETS, DIMENSIONS)
 
 
 def _pool_rows(shared):
@@ -237,7 +274,7 @@ def _pool_rows(shared):
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Network:
-    """A network fitted on at most `sample_rows` labelled rows that are not held out."""
+    """A network on the word vectors of all texts, fitted on at most `sample_rows` labelled rows that are not held out."""
     spark = docs.sparkSession
     ship(spark)
     known = pick(labels, {"doc_id": "long", "quality": "int"}).where("doc_id IS NOT NULL AND quality IS NOT NULL")
@@ -252,15 +289,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> N
     if len(counts) < 2:
         return _constant((counts.get(1.0, 0) + 1) / (sum(counts.values()) + 2))
     sample = sample.coalesce(FIT_TASKS)
-    parts = sample.select("text").mapInArrow(_sum_contexts, "sums binary").collect()
-    sums = sum(np.frombuffer(r["sums"], dtype=np.float32).astype(np.float64) for r in parts)
-    vectors = word_vectors(sums.reshape(BUCKETS, DIMENSIONS))
+    vectors = word_vectors(corpus_contexts(pick(docs, {"text": "string"})))
     shared = spark.sparkContext.broadcast(vectors)
-    rows = sample.mapInArrow(_pool_rows(shared), "x binary, y double").collect()
+    rows = sample.mapInArrow(tidy(_pool_rows(shared)), "x binary, y double").collect()
     x = np.frombuffer(b"".join(r["x"] for r in rows), dtype=np.float32).reshape(len(rows), -1).astype(np.float64)
     y = np.array([r["y"] for r in rows])
     order = np.lexsort((*x.T[:8], y))  # rows come in any order from the tasks
-    return fit_network(x[order], y[order], vectors)
+    return fit_layers(x[order], y[order]).folded(vectors)
 
 
 def _scorer(shared):
@@ -282,7 +317,7 @@ def score(docs: DataFrame, network: Network, keep: Sequence[str] = ("doc_id",))
     held = [F.col(f"`{name}`").alias(name) for name in keep]
     rows = docs.select(*held, held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("scored_text"))
     schema = T.StructType([*rows.schema.fields[:-1], T.StructField("score", T.DoubleType())])
-    return rows.mapInArrow(_scorer(spark.sparkContext.broadcast(network)), schema)
+    return rows.mapInArrow(tidy(_scorer(spark.sparkContext.broadcast(network))), schema)
 
 
 def quality_scores(
@@ -290,9 +325,10 @@ def quality_scores(
 ) -> DataFrame:
     """Quality of each whole text as a probability, and `predicted` = 1 from `threshold` on.
 
-    Word vectors are sums of the sparse random index vectors of neighbouring words and word shapes; a document is the
-    mean of its vectors, which a two-layer network scores; the temperature makes held-back labels likeliest. All of
-    it is fitted on at most `sample_rows` labelled rows, none of them held out; every row of `docs` is scored.
+    Word vectors are sums of the sparse random index vectors of neighbouring words and word shapes, over all texts; a
+    document is the mean of its vectors, which a two-layer network scores; the temperature makes held-back labels
+    likeliest. The network is fitted on at most `sample_rows` labelled rows, none of them held out; every row of `docs`
+    is scored.
 
     Defined cases: a null text counts as empty, and empty texts get the score of a document without words; of labels
     that repeat an id the lowest counts, of texts the greatest; null ids or labels teach nothing; without labels of

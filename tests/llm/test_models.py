@@ -1,6 +1,7 @@
 import os
 import random
 import zlib
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -52,6 +53,40 @@ def test_language_edge_cases(spark):
     assert L.language_id(docs.limit(0)).count() == 0
 
 
+def test_equal_languages_are_told_by_name(spark):
+    docs = spark.createDataFrame([(i, "same words in both", lang) for i, lang in enumerate(["zz", "aa"] * 8)], "doc_id long, text string, lang string")
+    got = L.language_id(docs).collect()
+    assert {(r.lang_pred, r.score) for r in got} == {("aa", 0.5)}
+
+
+@needs_data
+def test_predictions_equal_plain_sets(spark):
+    """The same choice from sets of trigrams in place of filters, which err on a few trigrams."""
+    rows = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang").collect()]
+
+    def cut(text):
+        signs = "".join(c if c.isalpha() else "\0" for c in f" {text.lower()}\n") if text else ""
+        return [signs[i : i + 3] for i in range(len(signs) - 2) if signs[i + 1] != "\0"]
+
+    counts = defaultdict(Counter)
+    for doc, text, lang in rows:
+        if lang is not None and text and not held(doc):
+            counts[lang].update(cut(text))
+    shares = {lang: {g: n / sum(c.values()) for g, n in c.items() if n / sum(c.values()) >= L.MIN_SHARE} for lang, c in counts.items()}
+    known = {lang: {g for g, x in s.items() if x >= L.MIN_OF_LARGEST * max(o.get(g, 0) for o in shares.values())} for lang, s in shares.items()}
+    got = {r.doc_id: (r.lang_pred, r.score) for r in L.language_id(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    for doc, text, _ in rows:
+        trigrams = cut(text)
+        hits = {lang: sum(g in known[lang] for g in trigrams) for lang in sorted(known)}
+        if not trigrams:
+            assert got[doc] == ("und", 0.0)
+            continue
+        best = max(hits, key=hits.get)
+        second = max(n for lang, n in hits.items() if lang != best)
+        assert abs(got[doc][1] - hits[best] / sum(hits.values())) < 0.03 or len(trigrams) < 50
+        assert got[doc][0] == best or hits[best] - second <= 0.03 * len(trigrams)
+
+
 @needs_data
 def test_language_accuracy_on_held_out_rows(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
@@ -73,12 +108,42 @@ def test_folded_network_equals_the_plain_one():
     y = np.array([t.count("!!") + t.count("##") < 15 for t in texts], dtype=float)
     vectors = Q.word_vectors(Q.context_sums(texts))
     x = Q.pooled(texts, vectors).astype(np.float64)
-    network = Q.fit_network(x, y, vectors)
+    layers = Q.fit_layers(x, y)
+    network = layers.folded(vectors)
+
+    def plain(text):
+        t = Q.tokens([text])
+        words, shapes = (np.mean([vectors[k] for k in ids], axis=0) if len(ids) else np.zeros(Q.DIMENSIONS) for ids in (t.word, t.shape))
+        z = (np.concatenate([words, shapes]) - layers.centre) / layers.scale
+        logit = np.tanh(z @ layers.inner + layers.inner_bias) @ layers.output + layers.output_bias
+        return 1 / (1 + np.exp(-logit / layers.temperature))
+
+    more = [*texts, "", "unseen words", "fine"]
+    assert np.allclose(network.scores(more), [plain(t) for t in more], atol=2e-4)
     assert np.mean((network.scores(texts) > 0.5) == y) > 0.9
     # a text alone scores as it does among others
     assert np.allclose([network.scores([t])[0] for t in texts[:10]], network.scores(texts)[:10], atol=1e-5)
 
 
+def test_contexts_equal_a_plain_loop(spark):
+    rng = random.Random(1)
+    texts = [" ".join(rng.choice(["aa", "bb!", "Cc", "12"]) for _ in range(rng.randint(0, 9))) for _ in range(40)] + [None, ""]
+    places, signs = Q.index_vectors()
+    want = np.zeros((Q.BUCKETS, Q.DIMENSIONS))
+    for text in texts:
+        t = Q.tokens([text])
+        for i in range(len(t.word)):
+            pairs = [(t.word[i], t.shape[i]), (t.shape[i], t.word[i])]
+            for j in (i - 1, i + 1):
+                if 0 <= j < len(t.word):
+                    pairs += [(t.word[i], t.word[j]), (t.shape[i], t.shape[j]), (t.word[i], t.shape[j]) if j > i else (t.shape[i], t.word[j])]
+            for centre, neighbour in pairs:
+                np.add.at(want[centre], places[neighbour], signs[neighbour])
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    for parts in (1, 40):  # in one task, and in two rounds
+        assert np.array_equal(Q.corpus_contexts(docs.repartition(parts)), want)
+
+
 def test_quality_edge_cases(spark):
     rng = random.Random(4)
     rows, labels = [], []
