@@ -6,9 +6,12 @@ character is a few array passes and not a Python call per word.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import contextlib
+import ctypes
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,13 +37,18 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
-def dealt_anew(df: DataFrame, *keys: str) -> DataFrame:
-    """`df` with computed keys, so that a join brings an exchange of its own for it.
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """`run` for a worker's batches; at the end the worker gives the memory back that its allocators keep for later."""
 
-    An aggregate on the join's keys is already dealt by them, and the adaptive planner then has to leave the other side
-    of the join as it is; between two exchanges it can split a hot key of the other side over several tasks.
-    """
-    return df.withColumns({key: F.when(F.col(key).isNotNull(), F.col(key)) for key in keys})
+    def wrapped(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

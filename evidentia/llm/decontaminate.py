@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .common import U64, code_points, hash_runs, pick, runs, shingles, steps
+from .common import U64, code_points, hash_runs, pick, runs, shingles, steps, tidy
 
 #: Template tokens of a window, how many of them must be literal, and the share of an item that tells a leak.
 WINDOW = 8
@@ -535,7 +535,7 @@ def leaked_items(
     schema = "doc_id long, item_id long, matched_tokens long, item_tokens long, changed_slots long"
     out = None
     for block in benchmark_blocks(benchmark, item_col, item_text_col, block_chars):
-        part = rows.mapInArrow(_matcher(spark.sparkContext.broadcast(block)), schema)
+        part = rows.mapInArrow(tidy(_matcher(spark.sparkContext.broadcast(block))), schema)
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -549,5 +549,5 @@ def decontaminate(
     ship(spark)
     at = docs.columns.index(text_col)
     for block in benchmark_blocks(benchmark, item_col, item_text_col, block_chars):
-        docs = docs.mapInArrow(_cleaner(spark.sparkContext.broadcast(block), at), docs.schema)
+        docs = docs.mapInArrow(tidy(_cleaner(spark.sparkContext.broadcast(block), at)), docs.schema)
     return docs

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ..session import ship
-from .common import pick
+from .common import pick, tidy
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)"
@@ -378,4 +378,4 @@ def extract_text(pages: DataFrame) -> DataFrame:
     """
     ship(pages.sparkSession)
     rows = pick(pages, {"page_id": "long", "url": "string", "html": "string"})
-    return rows.mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
+    return rows.mapInArrow(tidy(_extract), "page_id long, url string, text string, n_chars long")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .common import U64, code_points, held_out, mix64, pick, steps
+from .common import U64, code_points, held_out, mix64, pick, steps, tidy
 
 GRAM = 3
 #: An n-gram belongs to a language if it makes up this share of the language's n-grams; at most 1 / share can.
@@ -130,7 +130,7 @@ def learn(docs: DataFrame, min_share: float = MIN_SHARE, min_of_largest: float =
     """Filters from all rows of `docs` (lang, text). The driver gets at most 1 / min_share n-grams a language."""
     ship(docs.sparkSession)
     rows = pick(docs, {"lang": "string", "text": "string"}).where("lang IS NOT NULL AND text IS NOT NULL")
-    counts = rows.mapInArrow(_count_grams, COUNTS).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = rows.mapInArrow(tidy(_count_grams), COUNTS).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
     shares = counts.join(totals, "lang").select("lang", "gram", (F.col("n") / F.col("total")).alias("share"))
     shares = shares.where(F.col("share") >= min_share)
@@ -168,7 +168,7 @@ def predict(docs: DataFrame, filters: Filters) -> DataFrame:
     ship(spark)
     rows = pick(docs, {"doc_id": "long", "text": "string"}).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
     schema = "doc_id long, held_out boolean, lang_pred string, score double"
-    return rows.mapInArrow(_predictor(spark.sparkContext.broadcast(filters)), schema)
+    return rows.mapInArrow(tidy(_predictor(spark.sparkContext.broadcast(filters))), schema)
 
 
 def language_id(

@@ -12,8 +12,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import forget, ship, written
-from .common import U64, dealt_anew, mix64, shingles, steps, words
+from ..operators.components import connected, dealt_anew
+from ..session import ship, written
+from .common import U64, mix64, shingles, steps, tidy, words
 
 SHINGLE_WORDS = 5
 THRESHOLD = 0.8
@@ -90,41 +91,6 @@ def _signer(bands: int, rows: int, size: int):
     return sign
 
 
-def _dealt_anew(minima: DataFrame) -> DataFrame:
-    """(c, m) with a computed key, so that a join deals the minima out by itself (see common.dealt_anew)."""
-    return dealt_anew(minima.withColumnRenamed("a", "c"), "c").select("c", "m")
-
-
-def connected(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, root) for all nodes of `edges` (a, b), where root is the smallest node of the component.
-
-    Each round makes every node point at the smallest node that it or a neighbour points at (large star) and shortens
-    the paths (small star); the rows never outnumber the edges, and each round is cut off with a written table.
-    """
-    state = [F.count("*").alias("n"), F.count_distinct("a").alias("nodes"), F.sum(F.xxhash64("a", "b") % 1000003).alias("h")]
-    links = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
-    before = links.agg(*state).first()
-    for _ in range(max_rounds):
-        both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = _dealt_anew(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
-        large = both.where("b > a").join(least, F.col("a") == F.col("c")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.distinct()
-        least = _dealt_anew(large.groupBy("a").agg(F.min("b").alias("m")))
-        small = large.join(least, F.col("a") == F.col("c")).where("b <> m")
-        small = small.select(F.col("b").alias("a"), F.col("m").alias("b"))
-        small = small.unionByName(least.select(F.col("c").alias("a"), F.col("m").alias("b")))
-        links, old = written(small.distinct(), "links"), links
-        forget(old)
-        after = links.agg(*state).first()
-        if after == before and after["n"] == after["nodes"]:
-            break
-        before = after
-    else:
-        raise RuntimeError(f"components did not settle within {max_rounds} rounds")
-    roots = links.select("b").distinct().select(F.col("b").alias("node"), F.col("b").alias("root"))
-    return links.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)
-
-
 class _Sets:
     """Shingle sets of a block as rows of sorted, distinct hashes."""
 
@@ -348,7 +314,7 @@ def near_duplicates(
     texts = rows_of.drop(*carried)
     sized = texts.withColumn("chars", F.coalesce(F.length("text"), F.lit(0)).cast("long"))
     schema = "doc_id long, r1 long, r2 long, chars long, key binary, bands array<long>"
-    signed = sized.mapInArrow(_signer(bands, rows, size), schema)
+    signed = sized.mapInArrow(tidy(_signer(bands, rows, size)), schema)
     signed = written(signed, "signatures")
     # Classes of equal word sequences; a map-side aggregation leaves one row of a hot class for each task.
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "r1", "r2")).alias("first")
@@ -375,7 +341,7 @@ def near_duplicates(
     )
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = dealt.repartition(n, "unit", "low", "high").sortWithinPartitions("unit", "low", "high")
-    found = written(dealt.mapInArrow(_verifier(size, threshold), "key binary, root binary, n long"), "found")
+    found = written(dealt.mapInArrow(tidy(_verifier(size, threshold)), "key binary, root binary, n long"), "found")
     if not representatives_only:
         return _named(signed, classes, found)
     best = _rooted(classes, found).groupBy("root").agg(F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "r1", "r2")).alias("best"))

@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from ..session import ship
-from .common import pick
+from .common import pick, tidy
 
 WINDOW = 4096
 END_ID = 2
@@ -316,4 +316,4 @@ def pack(
     ship(docs.sparkSession)
     schema = PIECES + (", ids array<int>" if with_ids else "")
     rows = pick(docs, {id_col: "long", text_col: "string"})
-    return rows.mapInArrow(_packer(tokenizer or default_tokenizer(), window, end_id, block_tokens, with_ids), schema)
+    return rows.mapInArrow(tidy(_packer(tokenizer or default_tokenizer(), window, end_id, block_tokens, with_ids)), schema)

@@ -5,8 +5,8 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import dealt_anew
-from evidentia.llm.near_dup import _units, choose_bands, connected, near_duplicates
+from evidentia.llm.near_dup import _units, choose_bands, near_duplicates
+from evidentia.operators.components import connected, dealt_anew
 
 
 def brute(rows, size=5, threshold=0.8):

@@ -100,8 +100,9 @@ def test_stages_take_odd_rows(spark, tmp_path):
     folder = str(tmp_path / "sf")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
     spark.createDataFrame([(1, "nothing of these words at all")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
-    for name, stage in P.STAGES[1:]:
-        for given in (docs, docs.limit(0)):
+    wide = docs.selectExpr("*", "1 AS score", "2 AS key", "3 AS r1", "4 AS held_out", "'x' AS item_id", "5 AS root", "6 AS removed", "7 AS lines")
+    for name, stage in P.STAGES:
+        for given in (docs, wide, docs.limit(0)):
             made = stage(spark, given, folder)
             assert name == "packing" or made.columns == COLUMNS
             assert made.count() <= 10_000
