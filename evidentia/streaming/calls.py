@@ -11,7 +11,7 @@ from dataclasses import dataclass, field
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -49,11 +49,27 @@ def admitted(calls: DataFrame, rpm: int = 0, tpm: int = 0) -> DataFrame:
 
 def concurrency(calls: DataFrame) -> DataFrame:
     """For each call (call_id, provider_id, model_id, started_at, ended_at) the calls that run when it starts, itself
-    included: a running sum over starts and ends, ends first."""
+    included: a running sum over starts and ends, ends first.
+
+    Sums run within blocks of time, and those of earlier blocks are added, so no task holds the history of a pair.
+    """
+    pair = ["provider_id", "model_id"]
     marks = calls.select("call_id", "provider_id", "model_id", F.col("started_at").alias("at"), F.lit(1).alias("step")).unionByName(
         calls.select("call_id", "provider_id", "model_id", F.col("ended_at").alias("at"), F.lit(-1).alias("step")))
-    order = Window.partitionBy("provider_id", "model_id").orderBy("at", "step", "call_id").rowsBetween(Window.unboundedPreceding, 0)
-    return marks.withColumn("running", F.sum("step").over(order)).where("step = 1").select("call_id", "provider_id", "model_id", "running")
+    marks = marks.withColumn("block", _block(F.col("at"), BLOCK_SECONDS))
+    before = Window.partitionBy(*pair).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    sums = marks.groupBy(*pair, "block").agg(F.sum("step").alias("sum")).select(*pair, "block", F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("carried"))
+    order = Window.partitionBy(*pair, "block").orderBy("at", "step", "call_id").rowsBetween(Window.unboundedPreceding, 0)
+    placed = marks.withColumn("running", F.sum("step").over(order)).where("step = 1").join(sums, [*pair, "block"])
+    return placed.select("call_id", *pair, (F.col("running") + F.col("carried")).alias("running"))
+
+
+#: Time that is looked at together where a history is cut.
+BLOCK_SECONDS = 3600
+
+
+def _block(at: Column, seconds: int) -> Column:
+    return F.floor(F.unix_micros(at) / (seconds * 1_000_000)).cast("long")
 
 
 @dataclass
@@ -97,14 +113,33 @@ def _walk(frame: pd.DataFrame, breaker: Breaker) -> pd.DataFrame:
 
 
 def breaker_log(calls: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
-    """The breaker of each provider and model along a log: whether each call was let through, and the state after it."""
+    """The breaker of each provider and model along a log: whether each call was let through, and the state after it.
+
+    A log is cut into parts that are walked by themselves: after a success with no failure within a cool-down before it,
+    a breaker is closed and has no failures, whatever came before. In each block of time the first such call ends a part.
+    """
     ship(calls.sparkSession)
     threshold, cooldown = settings.breaker_failures, settings.breaker_cooldown
+    pair, seconds = ["provider_id", "model_id"], max(BLOCK_SECONDS, 2 * int(cooldown) + 2)
+    rows = calls.select(*pair, "call_id", "created_at", "status").withColumn("block", _block(F.col("created_at"), seconds))
+    failed = rows.where(~F.col("status").eqNullSafe("success")).select(*pair, "created_at", "block")
+    # A failure is told to the next block too, if it is near.
+    late = failed.where(_block(F.col("created_at") + F.make_dt_interval(secs=F.lit(float(cooldown + 1))), seconds) > F.col("block")).withColumn("block", F.col("block") + 1)
+    marks = rows.select(*pair, "block", "created_at", "call_id", (~F.col("status").eqNullSafe("success")).cast("int").alias("bad")).unionByName(
+        late.withColumns({"call_id": F.lit(None).cast("long"), "bad": F.lit(1)}))
+    recent = Window.partitionBy(*pair, "block").orderBy(F.unix_micros("created_at")).rangeBetween(-int((cooldown + 1) * 1_000_000), 0)
+    clean = marks.withColumn("near", F.sum("bad").over(recent)).where("call_id IS NOT NULL AND near = 0")
+    first = clean.groupBy(*pair, "block").agg(F.min(F.struct("created_at", "call_id")).alias("first"))
+    blocks = rows.select(*pair, "block").distinct().join(first, [*pair, "block"], "left")
+    before = Window.partitionBy(*pair).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("part", F.count("first").over(before))
+    after = F.coalesce(F.struct("created_at", "call_id") > F.col("first"), F.lit(False)).cast("long")
+    parted = rows.join(blocks, [*pair, "block"]).select(*pair, "call_id", "created_at", "status", (F.col("part") + after).alias("part"))
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         return _walk(frame, Breaker(threshold=threshold, cooldown=cooldown))
 
-    return calls.select("provider_id", "model_id", "call_id", "created_at", "status").groupBy("provider_id", "model_id").applyInPandas(run, BREAKER)
+    return parted.groupBy(*pair, "part").applyInPandas(lambda frame: run(frame.drop(columns="part")), BREAKER)
 
 
 def breaker_stream(calls: DataFrame, settings: Settings = DEFAULTS, late: str = "10 minutes") -> DataFrame:

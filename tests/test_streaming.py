@@ -1,5 +1,6 @@
 import datetime as dt
 import json
+import random
 
 import pytest
 
@@ -37,6 +38,30 @@ def test_breaker_opens_and_recovers(spark):
     assert [(r.allowed, r.open) for r in got] == [(True, False), (True, True), (False, True), (True, False)]
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_parts_of_a_history_are_walked_as_a_whole(spark, seed):
+    rng = random.Random(seed)
+    rows, now = [], 0.0
+    for i in range(1500):
+        now += rng.choice([0, 1, 5, 20, 60, 600, 4000])
+        rows.append((i, rng.randint(1, 2), 1, rng.choices(["success", "failed"], [5, 1 + 4 * (i // 100 % 2)])[0], 1, at(now)))
+    calls = spark.createDataFrame(rows, CALLS)
+    settings = Settings(breaker_failures=2, breaker_cooldown=30)
+    got = {r.call_id: (r.allowed, r.failures, r.open) for r in L.breaker_log(calls, settings).collect()}
+    for provider in (1, 2):
+        breaker = L.Breaker(threshold=2, cooldown=30)
+        for i, _, _, status, _, time in (r for r in rows if r[1] == provider):
+            allowed = breaker.allows(time.timestamp())
+            if allowed:
+                breaker.record(status == "success", time.timestamp())
+            assert got[i] == (allowed, breaker.failures, breaker.opened is not None)
+    spans = calls.selectExpr("call_id", "provider_id", "model_id", "created_at AS started_at", "created_at + make_dt_interval(0, call_id % 3, 0, 1) AS ended_at")
+    running = {r.call_id: r.running for r in L.concurrency(spans).collect()}
+    spans = [(r.call_id, r.provider_id, r.started_at, r.ended_at) for r in spans.collect()]
+    for i, provider, start, _ in spans:
+        assert running[i] == sum(p == provider and (s, j) <= (start, i) and e > start for j, p, s, e in spans)
+
+
 def test_breaker_stream_equals_the_log(spark, tmp_path):
     calls = log(spark, (0, "failed"), (1, "failed"), (2, "success"), (40, "success"))
     settings = Settings(breaker_failures=2)
