@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, Settings
-from ..functions.scalar import normalize_newlines, trim
+from ..functions.scalar import TRIMMED, normalize_newlines, trim
 
 
 def pieces(text: Column, settings: Settings = DEFAULTS) -> Column:
@@ -29,6 +29,21 @@ def chunk(docs: DataFrame, settings: Settings = DEFAULTS, text: str = "text") ->
     return cut.withColumn("position", F.col("position").cast("bigint"))
 
 
+@F.udtf(returnType="position long, content string")
+class ChunkText:
+    """The chunks of one text, for SQL: `SELECT * FROM chunk_text('...')` once it is registered with `spark.udtf`.
+
+    It runs in Python, row by row; whole tables are for `chunk`.
+    """
+
+    def eval(self, text: str, size: int = DEFAULTS.size, overlap: int = DEFAULTS.overlap):
+        settings = Settings(chunk_size=size, chunk_overlap=overlap)
+        clean = (text or "").replace("\r\n", "\n").replace("\r", "\n").strip(TRIMMED)
+        kept = (clean[at : at + settings.size].strip(TRIMMED) for at in range(0, len(clean), settings.stride))
+        for position, content in enumerate(piece for piece in kept if piece):
+            yield position, content
+
+
 def reindex(chunks: DataFrame, changed: DataFrame, settings: Settings = DEFAULTS, key: str = "doc_id") -> DataFrame:
     """Chunks after `changed` documents (key, text, ...) were indexed anew: their old chunks go, new ones come."""
     fresh = chunk(changed, settings).select(chunks.columns)

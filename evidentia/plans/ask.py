@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, Settings
-from ..functions.scalar import has_citations, is_abstention, lenient_json, resolved_mode
+from ..functions.scalar import has_citations, is_abstention, lenient_json, resolved_mode, trim
 from ..operators import graph as G
 from ..operators import retrieval as R
 from .models import ChatModel, Embedder, chat_rows, embed_column
@@ -60,13 +60,35 @@ def retrieve(questions: DataFrame, kb: KnowledgeBase, settings: Settings = DEFAU
     return {"candidates": fused, "stats": stats, "nodes": nodes, "edges": found, "communities": selected}
 
 
+MODES = ("auto", "local", "global", "vector")
+QUESTION_LENGTH = 10_000
+
+
+def check_arguments(mode: str, temperature: float) -> None:
+    """Fails for a mode that there is not, or a temperature outside 0..2."""
+    if mode not in MODES:
+        raise ValueError(f"the mode is one of {', '.join(MODES)}, not {mode!r}")
+    if not 0 <= temperature <= 2:
+        raise ValueError(f"the temperature lies between 0 and 2, not at {temperature}")
+
+
+def checked_questions(questions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Questions that can be asked, and (query_id, reason) of the others."""
+    text = F.coalesce("question", F.lit(""))
+    reason = F.when(trim(text) == "", "the question is empty").when(F.length(text) > QUESTION_LENGTH, "the question is too long")
+    marked = questions.withColumn("reason", reason)
+    return marked.where("reason IS NULL").drop("reason"), marked.where("reason IS NOT NULL").select("query_id", "reason")
+
+
 def ask(questions: DataFrame, kb: KnowledgeBase, embedder: Embedder, model: ChatModel, settings: Settings = DEFAULTS, mode: str = "auto", top_k: int | None = None, ranked_ids: DataFrame | None = None, **limits: int) -> dict[str, DataFrame]:
     """Answers (query_id, answer, retried) to questions (query_id, kb_id, question), with their sources and statistics.
 
     An answer that has evidence but cites nothing and does not abstain is asked for once more, and the second answer
-    counts only if it cites.
+    counts only if it cites. Empty and overlong questions are refused, the others answered.
     """
+    check_arguments(mode, settings.temperature)
     spark = questions.sparkSession
+    questions, refused = checked_questions(questions)
     asked = questions.withColumn("qvec", embed_column(spark, embedder, F.col("question")))
     found = retrieve(asked, kb, settings, mode, top_k, **limits)
     k = settings.limits(top_k)["top_k"]
@@ -88,7 +110,7 @@ def ask(questions: DataFrame, kb: KnowledgeBase, embedder: Embedder, model: Chat
     empty = F.lit(None).cast("string")
     prompts = told.select("query_id", F.lit(SYSTEM).alias("system"), prompt.alias("prompt"), empty.alias("previous"), empty.alias("follow_up"))
     first = chat_rows(prompts, model, settings.temperature).join(evidence, "query_id", "left").join(prompts.select("query_id", "prompt"), "query_id")
-    return {"answers": citation_gate(first, model, settings), "sources": R.sources(chosen, text), "stats": found["stats"], "nodes": found["nodes"], "edges": found["edges"]}
+    return {"answers": citation_gate(first, model, settings), "sources": R.sources(chosen, text), "stats": found["stats"], "nodes": found["nodes"], "edges": found["edges"], "refused": refused}
 
 
 RERANK = (

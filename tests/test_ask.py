@@ -66,6 +66,29 @@ def test_ask_end_to_end(spark):
     assert {r["index"] for r in out["sources"].collect()} == {1, 2}
 
 
+def test_questions_and_arguments_are_checked(spark):
+    questions = spark.createDataFrame([(1, 1, "Where does Alice work?"), (2, 1, " \n"), (3, 1, "x" * 10_001), (4, 1, None)], "query_id long, kb_id long, question string")
+    kb = local_kb(spark)
+    kb.chunks = kb.chunks.withColumn("embedding", F.array(*[F.lit(float(i == 0)) for i in range(16)]))
+    out = ask(questions, kb, HashEmbedder(16), ScriptedChat(lambda m: "told [1]"))
+    assert [r.query_id for r in out["answers"].collect()] == [1]
+    assert {r.query_id: r.reason.rsplit(" ", 1)[1] for r in out["refused"].collect()} == {2: "empty", 3: "long", 4: "empty"}
+    for mode, settings in (("best", Settings()), ("auto", Settings(temperature=2.1))):
+        with pytest.raises(ValueError):
+            ask(questions, kb, HashEmbedder(16), ScriptedChat(str), settings, mode)
+
+
+def test_chunks_by_a_table_function(spark):
+    from evidentia.operators.chunking import ChunkText, chunk
+
+    texts = ["", "short", " a\r\nb \r" + "word " * 900 + "\n", "x" * 1000 + " " * 300 + "y"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spark.udtf.register("chunk_text", ChunkText)
+    docs.createOrReplaceTempView("told_texts")
+    got = spark.sql("SELECT doc_id, position, content FROM told_texts, LATERAL chunk_text(text)").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, chunk(docs).select("doc_id", "position", "content").collect()))
+
+
 def test_a_model_orders_the_candidates(spark):
     def script(messages):
         if "ranked_chunk_ids" not in messages[0]["content"]:

@@ -128,6 +128,16 @@ def test_deleting_prunes_and_raises_the_version(spark):
     assert {(r.type, r.weight) for r in one.relationships.collect()} == {("OWNS", 2.0), ("OWNS_", 1.0), ("OWNS", 1.0)}  # weights are not counted again
 
 
+def test_knowledge_bases_go_with_all_they_hold(spark):
+    graph = S.store_extraction(S.Graph.of(spark), spark.createDataFrame(ROWS, EXTRACTION), GRAPH).settled()
+    documents = spark.createDataFrame([(1, 1), (2, 1), (3, 2)], "doc_id long, kb_id long")
+    chunks = spark.createDataFrame([(1, 10), (2, 11), (3, 20)], "doc_id long, chunk_id long")
+    left, kept, after = S.drop_knowledge_bases(graph, documents, chunks, spark.createDataFrame([(1,)], "kb_id long"))
+    assert [r.doc_id for r in left.collect()] == [3] and [r.chunk_id for r in kept.collect()] == [20]
+    assert [r.kb_id for r in after.entities.collect()] == [2] and after.mentions.count() == 1
+    assert after.relationships.count() == after.evidence.count() == after.versions.count() == 0
+
+
 def test_reindexing_replaces_a_document(spark):
     graph = S.store_extraction(S.Graph.of(spark), spark.createDataFrame(ROWS, EXTRACTION), GRAPH).settled()
     documents = spark.createDataFrame([(1, 1, "ready", None), (2, 1, "ready", None), (3, 2, "ready", None)], "doc_id long, kb_id long, status string, reason string")
