@@ -24,8 +24,6 @@ BUCKETS = WORD_BUCKETS + SHAPE_BUCKETS
 HIDDEN = 32
 THRESHOLD = 0.7
 FIT_TASKS = 8
-#: Partial sums of word contexts that are added up in one task, round by round.
-ADDED = 32
 
 _KINDS: list[np.ndarray] = []
 _SPACE_KIND, _LETTER, _UPPER, _DIGIT, _SIGN = range(5)
@@ -234,32 +232,40 @@ def _constant(score: float) -> Network:
     return Network(np.zeros((BUCKETS, HIDDEN), np.float32), np.zeros((SHAPE_BUCKETS, HIDDEN), np.float32), np.zeros(HIDDEN), np.zeros(HIDDEN), logit, 1.0)
 
 
+def _bucket_rows(sums: np.ndarray, buckets: np.ndarray) -> pa.RecordBatch:
+    rows = pa.array([row.tobytes() for row in sums], pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), rows], names=["bucket", "sums"])
+
+
 def _sum_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros((BUCKETS, DIMENSIONS))
     for batch in batches:
         total += context_sums(batch.column(0).to_pylist())
-    yield pa.RecordBatch.from_pydict({"sums": pa.array([total.tobytes()], pa.binary())})
+    met = np.flatnonzero(total.any(axis=1))
+    yield _bucket_rows(total[met], met)
 
 
 def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(BUCKETS * DIMENSIONS)
+    held: dict[int, np.ndarray] = {}
     for batch in batches:
-        for one in batch.column(0):
-            total += np.frombuffer(one.as_buffer())
-    yield pa.RecordBatch.from_pydict({"sums": pa.array([total.tobytes()], pa.binary())})
+        sums = np.frombuffer(b"".join(batch.column(1).to_pylist())).reshape(-1, DIMENSIONS)
+        for bucket, row in zip(batch.column(0).to_pylist(), sums, strict=True):
+            held[bucket] = held[bucket] + row if bucket in held else row
+    if held:
+        yield _bucket_rows(np.stack(list(held.values())), np.array(list(held)))
 
 
 def corpus_contexts(docs: DataFrame) -> np.ndarray:
-    """The context sums of all texts. Each task gives one array of a fixed size; some at a time are added up, round by
-    round, so neither a task nor the driver holds more than a few. The sums are whole numbers, so their order is nothing.
+    """The context sums of all texts (docs has the text alone).
+
+    Each task gives a row for each bucket that it met, which are added up by bucket; the driver gets one row a bucket,
+    however large the corpus is. The sums are whole numbers, so their order is nothing.
     """
-    parts = docs.mapInArrow(tidy(_sum_contexts), "sums binary")
-    n = docs.rdd.getNumPartitions()
-    while n > 1:
-        n = -(-n // ADDED)
-        parts = parts.repartition(n).mapInArrow(tidy(_add), "sums binary")
-    found = [np.frombuffer(r["sums"]) for r in parts.collect()]
-    return (sum(found) if found else np.zeros(BUCKETS * DIMENSIONS)).reshape(BUCKETS, DIMENSIONS)
+    parts = docs.mapInArrow(tidy(_sum_contexts), "bucket int, sums binary")
+    out = np.zeros((BUCKETS, DIMENSIONS))
+    for row in parts.repartition("bucket").mapInArrow(tidy(_add), "bucket int, sums binary").collect():
+        out[row["bucket"]] = np.frombuffer(row["sums"])
+    return out
 
 
 def _pool_rows(shared):

@@ -140,7 +140,7 @@ def test_contexts_equal_a_plain_loop(spark):
             for centre, neighbour in pairs:
                 np.add.at(want[centre], places[neighbour], signs[neighbour])
     docs = spark.createDataFrame([(t,) for t in texts], "text string")
-    for parts in (1, 40):  # in one task, and in two rounds
+    for parts in (1, 40):
         assert np.array_equal(Q.corpus_contexts(docs.repartition(parts)), want)
 
 
