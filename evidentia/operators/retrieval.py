@@ -11,6 +11,8 @@ from ..session import written
 RRF_K = 60
 #: Questions that are broadcast at most; more are joined without a hint.
 MOST_QUESTIONS = 10_000
+#: Bytes a core below which chunks are dealt anew before they are scored.
+SMALL_PIECE = 32 << 20
 
 
 def bounded(rows: DataFrame, most: int = MOST_QUESTIONS) -> DataFrame:
@@ -18,6 +20,16 @@ def bounded(rows: DataFrame, most: int = MOST_QUESTIONS) -> DataFrame:
     return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows dealt over all cores, if they are few bytes for each, as the planner's statistics tell; else as they are.
+
+    Scoring costs far more than reading, and a small table often comes in one piece.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return rows.repartition(cores) if size < cores * SMALL_PIECE else rows
+
+
 def _similarity(embedding: Column, norm: Column) -> Column:
     fits = (F.size(embedding) == F.size("qvec")) & (F.size(embedding) > 0) & (norm * F.col("qnorm") > 0)
     return F.when(fits, dot(embedding, F.col("qvec")) / (norm * F.col("qnorm"))).otherwise(-1.0)
@@ -40,7 +52,7 @@ def vector_scores(queries: DataFrame, vectors: DataFrame) -> DataFrame:
     `queries` holds (query_id, qvec) and is a stated set of questions: up to MOST_QUESTIONS are sent to the chunks,
     which stay where they are, so scoring has no shuffle.
     """
-    pairs = _normed(vectors).crossJoin(bounded(_asked(queries)))
+    pairs = _normed(spread(vectors)).crossJoin(bounded(_asked(queries)))
     return pairs.select("query_id", "chunk_id", _similarity(F.col("embedding"), F.col("norm")).alias("score"))
 
 
@@ -52,6 +64,7 @@ def hybrid_scores(questions: DataFrame, chunks: DataFrame) -> DataFrame:
     """
     wanted = terms(F.col("question")).alias("terms")
     lowered = F.lower("content").alias("lowered")  # in a projection of its own, so once a chunk
+    chunks = spread(chunks)
     if "kb_id" in questions.columns and "kb_id" in chunks.columns:
         pairs = _normed(chunks, "kb_id", lowered).join(bounded(_asked(questions, "kb_id", wanted)), "kb_id")
     else:

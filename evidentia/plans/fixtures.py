@@ -12,7 +12,7 @@ from ..session import written
 from ..sources.tables import table
 
 PART_IDS = 1_000_000_000
-QUESTION_LENGTH = 60
+QUESTION_LENGTH = 30
 
 
 def asked(key: str) -> Column:
@@ -47,9 +47,9 @@ def question_vectors(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def documents_as_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    """Whole documents as chunks, for searches with vectors."""
+    """Whole documents as the table of chunks that a knowledge base keeps."""
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), "doc_id", F.col("source").alias("title"), F.col("text").alias("content"))
-    return docs.join(vectors(spark, sf), "chunk_id")
+    return written(docs.join(vectors(spark, sf), "chunk_id"), "chunks")
 
 
 def entities(spark: SparkSession, sf: str) -> DataFrame:
