@@ -31,7 +31,7 @@ def connected(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     state = [F.count("*").alias("n"), F.count_distinct("a").alias("nodes"), F.sum(F.xxhash64("a", "b") % 1000003).alias("h")]
     links = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     before = links.agg(*state).first()
-    for _ in range(max_rounds):
+    for _ in range(max_rounds if before["n"] else 0):
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = _minima(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
         large = both.where("b > a").join(least, F.col("a") == F.col("c")).select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -47,6 +47,7 @@ def connected(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             break
         before = after
     else:
-        raise RuntimeError(f"components did not settle within {max_rounds} rounds")
+        if before["n"]:
+            raise RuntimeError(f"components did not settle within {max_rounds} rounds")
     roots = links.select("b").distinct().select(F.col("b").alias("node"), F.col("b").alias("root"))
     return links.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)

@@ -7,8 +7,9 @@ from evidentia.config import Settings
 from evidentia.operators import communities as C
 from evidentia.operators import store as S
 from evidentia.operators.components import connected
-from evidentia.operators.resolution import resolve
+from evidentia.operators.resolution import _variants, resolve
 from evidentia.plans.models import HashEmbedder, ScriptedChat, embed_column, summarize_communities
+from evidentia.session import scratch_root
 from evidentia.streaming import jobs as J
 
 GRAPH = Settings(graph_enabled=True)
@@ -102,6 +103,22 @@ def test_drawn_extractions_in_two_steps(spark):
     assert told(both) == wanted(rows)
 
 
+def test_repeated_mentions_are_walked_once(spark):
+    items = [(1, "Person", k, 0, "Ann" if k % 2 else "ann.", f"d{k}" if k > 3 else None, ["A"] if k % 3 else [], None) for k in range(60)]
+    items += [(1, "Person", 100 + k, 0, "Bo", None, [], None) for k in range(5)] + [(1, "Person", 102, 1, "Cy", None, ["Bo"], None), (1, "Person", 90, 0, "Di", None, ["Bo"], None)]
+    told = spark.createDataFrame(items, ITEMS)
+    none = S.Graph.of(spark).entities.withColumn("aliases", F.col("aliases"))
+    placed, variants = _variants(told.withColumnsRenamed({"name": "canonical_name"}).withColumn("normalized_name", F.regexp_replace(F.lower("canonical_name"), "[^a-z]", "")), none)
+    assert placed.count() == len(items)
+    assert variants.where("normalized_name = 'ann'").count() == 4 and variants.where("normalized_name = 'bo'").count() == 5
+    made, found = resolve(told, none)
+    by = {(r.chunk_id, r.position): r.entity_id for r in found.collect()}
+    # Bo is an alias of Di alone until Cy takes it too; then a Bo is told apart from both
+    assert [by[100 + k, 0] for k in range(5)] == [by[90, 0]] * 3 + [by[103, 0]] * 2 and len(set(by.values())) == 4
+    ann = made.where("normalized_name = 'ann'").first()
+    assert (ann.canonical_name, ann.description, ann.aliases) == ("ann.", "d4", ["A"]) and {by[k, 0] for k in range(60)} == {ann.entity_id}
+
+
 def test_types_stay_apart_and_vectors_decide(spark):
     items = [
         (1, "Concept", 1, 0, "tide", None, [], [1.0, 0.0]), (1, "Concept", 1, 1, "tides", "d", [], [0.99, 0.01]), (1, "Event", 1, 2, "tide", None, [], [1.0, 0.0]),
@@ -201,9 +218,28 @@ def test_details(spark):
 
 def test_components(spark):
     edges = [("b", "a"), ("b", "c"), ("x", "y"), ("z", "z")]
+    assert connected(spark.createDataFrame([("z", "z")], "a string, b string")).count() == 0
     assert {tuple(r) for r in connected(spark.createDataFrame(edges, "a string, b string")).collect()} == {("a", "a"), ("b", "a"), ("c", "a"), ("x", "x"), ("y", "x")}
 
 
+def test_a_cluster_needs_a_shared_folder():
+    class Context:
+        master = "spark://head:7077"
+
+        def getCheckpointDir(self):  # noqa: N802
+            return None
+
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Session:
+        sparkContext, conf = Context(), Conf()  # noqa: N815
+
+    with pytest.raises(RuntimeError):
+        scratch_root(Session())
+
+
 def test_cache_locks_and_retries():
     now = [0.0]
     cache = J.Cache(lambda: now[0])
