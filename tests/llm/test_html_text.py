@@ -82,6 +82,12 @@ def test_layouts_keep_the_article():
         assert main_text(page) == "\n".join(paragraphs), apart
 
 
+def test_of_equal_containers_the_first_counts():
+    one = "<div><p>Words, words, and more words of one text, that are long.</p></div>"
+    page = f"<body><div>{one}</div><div>{one.replace('one', 'two')}</div></body>"
+    assert Page(page).kept()[0] == min(k for k in range(len(Page(page).tag)) if Page(page).tag[k] == "p") - 1
+
+
 def plain_container(tree):
     """The place of the element that the rules of scoring choose, computed from each paragraph up to all its ancestors.
 

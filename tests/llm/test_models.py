@@ -161,6 +161,8 @@ def test_quality_edge_cases(spark):
     assert all(r.held_out == held(r.doc_id) for r in got)
     assert np.mean([r.predicted == r.doc_id % 2 for r in got if r.doc_id is not None and r.doc_id < 300]) > 0.97
     assert len({r.score for r in got if r.doc_id in (900, 901)}) == 1
+    twice = Q.quality_scores(docs.unionByName(docs), marks.unionByName(marks)).collect()
+    assert len(twice) == 2 * len(got) and len({(r.doc_id, r.score) for r in twice}) == len({(r.doc_id, r.score) for r in got})
     assert {round(r.score, 6) for r in Q.quality_scores(docs, marks.limit(0)).collect()} == {0.5}
     assert Q.quality_scores(docs.limit(0), marks).count() == 0
 
