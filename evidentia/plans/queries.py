@@ -17,6 +17,7 @@ from ..operators import graph as G
 from ..operators import retrieval as R
 from ..operators import store as T
 from ..operators import usage as U
+from ..session import written
 from ..sources.tables import synthetic, table
 from ..streaming import calls as L
 from . import fixtures as X
@@ -540,6 +541,30 @@ def r19_hierarchy(spark, sf):
     return C.detect(X.entities(spark, sf), X.relationships(spark, sf))
 
 
+@query("r19_cover", f"WITH {GRAPH_SQL} SELECT kb_id, count(*) AS members, true AS dense, true AS nested FROM ent GROUP BY kb_id")
+def r19_cover(spark, sf):
+    """What must hold of any hierarchy: the finest level labels every entity once, from 0 on, and coarser levels join
+    whole communities."""
+    found = written(r19_hierarchy(spark, sf), "hierarchy")
+    finest = found.where("level = 0").groupBy("kb_id").agg(F.count("*").alias("members"), (F.count_distinct("label") == F.max("label") + 1).alias("dense"))
+    below = found.select("kb_id", "entity_id", (F.col("level") + 1).alias("level"), F.col("label").alias("below"))
+    joined = found.join(below, ["kb_id", "entity_id", "level"]).groupBy("kb_id", "level", "below").agg(F.count_distinct("label").alias("n"))
+    return finest.join(joined.groupBy("kb_id").agg((F.max("n") == 1).alias("nested")), "kb_id", "left").withColumn("nested", F.coalesce("nested", F.lit(True)))
+
+
+@query("r20_cover", f"WITH {GRAPH_SQL} SELECT kb_id, count(*) AS entities, true AS ranked, true AS scored FROM ent GROUP BY kb_id")
+def r20_cover(spark, sf):
+    """What must hold of any build: its finest communities hold every entity, ranks are members and inner edges, and
+    membership lies within 0..1."""
+    entities, relationships = X.stored(spark, sf)
+    graph = T.Graph.of(spark, entities=entities.withColumns({"description": F.lit(None).cast("string"), "embedding": F.lit(None).cast("array<double>")}), relationships=relationships, evidence=X.evidence(spark, sf))
+    told = lambda rows: rows.select("community_id", F.lit("t").alias("title"), F.lit("s").alias("summary"), F.array(F.lit(1.0)).alias("embedding"))
+    built = T.build_communities(graph, entities.select("kb_id"), told, "build")
+    scored = built.members.groupBy("community_id").agg(F.min((F.col("score") >= 0) & (F.col("score") <= 1)).alias("scored"), F.count("*").alias("held"))
+    rows = built.communities.where("level = 0").join(scored, "community_id").where("held = n_entities")
+    return rows.groupBy("kb_id").agg(F.sum("n_entities").alias("entities"), F.min(F.col("rank") == F.col("n_entities") + F.col("n_relationships")).alias("ranked"), F.min("scored").alias("scored"))
+
+
 # Reports
 
 USAGE_SQL = f"WITH {CALLS_SQL}, recent AS (SELECT * FROM calls WHERE created_at >= (SELECT max(created_at) FROM calls) - INTERVAL 24 HOURS)"
