@@ -78,14 +78,13 @@ def boilerplate_keys(lines: DataFrame, min_sites: int) -> DataFrame:
     margin = max(1, round(3 * STANDARD_ERROR * min_sites))
     spread = lines.groupBy("k1", "k2").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LOG_K))).alias("sites"))
     spread = written(spread.where(F.col("sites") >= min_sites - margin), "spread")
-    held = written(lines.join(spread, ["k1", "k2"]), "spread-lines")
-    sure = spread.where(F.col("sites") > min_sites + margin).select("k1", "k2")
-    near = held.where(F.col("sites") <= min_sites + margin).select("k1", "k2", "site").distinct()
-    near = near.groupBy("k1", "k2").agg(F.count("*").alias("n")).where(F.col("n") >= min_sites).select("k1", "k2")
-    company = held.groupBy("k1", "k2", "beside").agg(F.count("*").alias("n"))
-    company = company.groupBy("k1", "k2").agg(F.count("*").alias("kinds"), F.sum("n").alias("pages"))
+    near = F.col("sites") <= min_sites + margin
+    counted = lines.join(spread, ["k1", "k2"]).groupBy("k1", "k2").agg(
+        F.max(near).alias("near"), F.count_distinct(F.when(near, F.col("site"))).alias("exact"),
+        F.count_distinct("beside").alias("kinds"), F.count("*").alias("pages"),
+    )
     loose = (F.col("kinds") >= min_sites) & (F.col("kinds") >= MIN_COMPANY * F.col("pages"))
-    return sure.unionByName(near).join(company, ["k1", "k2"]).select("k1", "k2", loose.alias("loose"))
+    return counted.where(~F.col("near") | (F.col("exact") >= min_sites)).select("k1", "k2", loose.alias("loose"))
 
 
 def remove_boilerplate(
