@@ -16,6 +16,7 @@ from .line_dedup import MIN_COMPANY, MIN_SITES, NEAR_COPY, SPACES, remove_boiler
 from .near_dup import near_duplicates
 from .packing import pack
 from .quality import quality_scores
+from .timestamps import DATE, TIME, normalise
 from .warc import warc_round_trip
 
 
@@ -159,6 +160,55 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_timestamps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every stamp as microseconds of UTC."""
+    return normalise(_table(spark, sf_dir, "stamps"))
+
+
+OP11_SQL = rf"""
+WITH s AS (
+  SELECT stamp_id, source, zone, regexp_replace(raw, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS t FROM stamps
+), m AS (
+  SELECT stamp_id, source, zone, CASE WHEN regexp_full_match(t, '[0-9]{{10}}') THEN CAST(t AS BIGINT) * 1000000 WHEN regexp_full_match(t, '[0-9]{{13}}') THEN CAST(t AS BIGINT) * 1000 END AS epoch,
+    regexp_extract(t, '^({DATE})(?:{TIME})?$', ['token', 'h', 'mi', 's', 'half', 'ahead']) AS x FROM s
+), n AS (
+  SELECT stamp_id, source, zone, epoch, x.token AS k, TRY_CAST(x.h AS BIGINT) AS h, TRY_CAST(x.mi AS BIGINT) AS mi, coalesce(TRY_CAST(x.s AS BIGINT), 0) AS s, x.half AS half, x.ahead AS ahead,
+    regexp_replace(x.ahead, '[^0-9]', '', 'g') AS od FROM m
+), p AS (
+  SELECT stamp_id, source, zone, epoch, k,
+    CASE WHEN h IS NULL THEN 0 WHEN mi < 60 AND s < 60 AND half = '' AND h < 24 THEN h * 3600 + mi * 60 + s
+      WHEN mi < 60 AND s < 60 AND half <> '' AND h BETWEEN 1 AND 12 THEN (h % 12 + CASE WHEN half = 'PM' THEN 12 ELSE 0 END) * 3600 + mi * 60 + s END AS time,
+    ahead IS NOT NULL AND ahead <> '' AS given, CASE WHEN ahead = 'Z' THEN 0 WHEN TRY_CAST(od[1:2] AS BIGINT) <= 14 AND TRY_CAST(od[3:4] AS BIGINT) < 60
+      THEN (CAST(od[1:2] AS BIGINT) * 3600 + CAST(od[3:4] AS BIGINT) * 60) * CASE WHEN ahead[1] = '-' THEN -1 ELSE 1 END END AS ahead,
+    contains(k, '/') AS slashed,
+    TRY_CAST(CASE WHEN k[5] = '-' THEN k WHEN contains(k, '/') OR contains(k, '.') THEN k[7:10] || '-' || k[4:5] || '-' || k[1:2]
+      WHEN length(k) = 8 THEN k[1:4] || '-' || k[5:6] || '-' || k[7:8]
+      WHEN length(k) = 11 THEN k[8:11] || '-' || lpad(CAST(list_position(['Jan', 'Feb', 'Mar', 'Apr', 'May', 'Jun', 'Jul', 'Aug', 'Sep', 'Oct', 'Nov', 'Dec'], k[4:6]) AS VARCHAR), 2, '0') || '-' || k[1:2] END AS DATE) AS dmy,
+    CASE WHEN contains(k, '/') THEN TRY_CAST(k[7:10] || '-' || k[1:2] || '-' || k[4:5] AS DATE) END AS month_first
+  FROM n
+), r AS (
+  SELECT stamp_id, source, zone, epoch, time, given, ahead, slashed, CASE WHEN good THEN dmy END AS dmy, CASE WHEN good AND slashed THEN month_first WHEN good THEN dmy END AS mdy
+  FROM (SELECT *, epoch IS NULL AND time IS NOT NULL AND (ahead IS NOT NULL OR (NOT given AND zone IS NOT NULL)) AS good FROM p)
+), v AS (
+  SELECT source, count(dmy) AS d, count(mdy) AS m FROM r WHERE slashed AND (dmy IS NULL) <> (mdy IS NULL) GROUP BY source
+), c AS (
+  SELECT r.*, dmy <> mdy AS two, coalesce(d, 0) AS d, coalesce(m, 0) AS m FROM r LEFT JOIN v ON r.source IS NOT DISTINCT FROM v.source
+), w AS (
+  SELECT stamp_id, zone, epoch, ahead, given, (CASE WHEN two AND d > m THEN dmy WHEN two THEN mdy ELSE coalesce(dmy, mdy) END)::TIMESTAMP + to_seconds(time) AS wall,
+    CASE WHEN epoch IS NOT NULL THEN 'epoch' WHEN two AND d <> m THEN 'votes' WHEN two THEN 'default' ELSE 'plain' END AS rule FROM c
+), z AS (
+  SELECT *, CASE WHEN NOT given AND wall IS NOT NULL THEN timezone(zone, wall) END AS last FROM w
+), y AS (
+  SELECT *, CASE WHEN timezone(zone, last - INTERVAL 1 HOUR) = wall THEN last - INTERVAL 1 HOUR WHEN timezone(zone, last - INTERVAL 30 MINUTE) = wall THEN last - INTERVAL 30 MINUTE ELSE last END AS first FROM z
+), u AS (
+  SELECT stamp_id, rule, coalesce(first <> last OR timezone(zone, last) <> wall, false) AS odd,
+    coalesce(epoch, epoch_us(wall) - ahead * 1000000, epoch_us(first)) AS utc_us FROM y
+)
+SELECT stamp_id, CAST(utc_us AS BIGINT) AS utc_us, CASE WHEN utc_us IS NULL THEN 'bad' ELSE rule END AS rule,
+  utc_us IS NOT NULL AND (rule IN ('votes', 'default') OR odd) AS ambiguous FROM u
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_packing": op2_packing,
@@ -170,6 +220,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontaminate": op8_decontaminate,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_quality": op10_quality,
+    "op11_timestamps": op11_timestamps,
 }
 
-SQL: dict[str, str] = {"op3_warc": OP3_SQL, "op6_line_dedup": OP6_SQL, "op7_chat": OP7_SQL, "op9_exact_dedup": OP9_SQL}
+SQL: dict[str, str] = {"op3_warc": OP3_SQL, "op6_line_dedup": OP6_SQL, "op7_chat": OP7_SQL, "op9_exact_dedup": OP9_SQL, "op11_timestamps": OP11_SQL}
