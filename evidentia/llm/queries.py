@@ -13,6 +13,7 @@ from .exact_dedup import exact_dedup
 from .html_text import extract_text
 from .language_id import language_id
 from .line_dedup import MIN_COMPANY, MIN_SITES, NEAR_COPY, SPACES, remove_boilerplate
+from .merkle import manifest
 from .near_dup import near_duplicates
 from .packing import pack
 from .quality import quality_scores
@@ -209,6 +210,59 @@ SELECT stamp_id, CAST(utc_us AS BIGINT) AS utc_us, CASE WHEN utc_us IS NULL THEN
 """
 
 
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its proof in the manifest of all documents."""
+    return manifest(_table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = """
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER (ORDER BY doc_id) AS r, doc_id, lang, list_reduce(
+      list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+      lambda c, b: list_reduce(list_prepend(xor(c, b), [CAST(i AS BIGINT) FOR i IN range(8)]), lambda v, i: xor(v >> 1, CAST(3988292384 AS BIGINT) * (v & 1)))) AS crc,
+    CASE WHEN doc_id IS NULL THEN '-' ELSE length(CAST(doc_id AS VARCHAR)) || ':' || doc_id END || CASE WHEN source IS NULL THEN '-' ELSE strlen(source) || ':' || source END
+      || CASE WHEN lang IS NULL THEN '-' ELSE strlen(lang) || ':' || lang END || CASE WHEN n_chars IS NULL THEN '-' ELSE length(CAST(n_chars AS VARCHAR)) || ':' || n_chars END AS head,
+    CASE WHEN text IS NULL THEN '-' ELSE strlen(text) || ':' || text END AS body FROM documents
+), f AS (
+  SELECT r, doc_id, lang, sha256(head || body) AS leaf, sha256(head || CASE WHEN xor(crc, CAST(4294967295 AS BIGINT)) % 3 = 0 THEN translate(body, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE body END) AS begin,
+    row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS i FROM d
+), n AS (
+  SELECT coalesce('=' || lang, '') AS tree, 0 AS level, i, leaf AS h FROM f
+  UNION ALL
+  SELECT tree, level + 1, i // 8, sha256(string_agg(h, '' ORDER BY i)) FROM (SELECT *, count(*) OVER (PARTITION BY tree) AS c FROM n) WHERE c > 1 GROUP BY tree, level, i // 8
+), s AS (
+  SELECT tree, h, row_number() OVER (ORDER BY tree) - 1 AS g FROM (SELECT tree, h, level, max(level) OVER (PARTITION BY tree) AS m FROM n) WHERE level = m
+), u AS (
+  SELECT 0 AS level, g AS i, h FROM s
+  UNION ALL
+  SELECT level + 1, i // 8, sha256(string_agg(h, '' ORDER BY i)) FROM (SELECT *, count(*) OVER () AS c FROM u) WHERE c > 1 GROUP BY level, i // 8
+), t AS (
+  SELECT tree, level AS l, i, h FROM n WHERE level < (SELECT max(level) FROM n x WHERE x.tree = n.tree)
+), w AS (
+  SELECT f.r, t.l, t.i, t.h FROM f JOIN t ON t.tree = coalesce('=' || lang, '') AND t.i // 8 = f.i // CAST(power(8, t.l + 1) AS BIGINT)
+  UNION ALL
+  SELECT f.r, 100 + u.level, u.i, u.h FROM f JOIN s ON s.tree = coalesce('=' || f.lang, '') JOIN u ON u.i // 8 = s.g // CAST(power(8, u.level + 1) AS BIGINT) WHERE u.level < (SELECT max(level) FROM u)
+), o AS (
+  SELECT w.*, w.i = CASE WHEN w.l < 100 THEN f.i // CAST(power(8, w.l) AS BIGINT) ELSE s.g // CAST(power(8, w.l - 100) AS BIGINT) END AS own
+  FROM w JOIN f ON f.r = w.r JOIN s ON s.tree = coalesce('=' || f.lang, '')
+), q AS (
+  SELECT r, row_number() OVER (PARTITION BY r ORDER BY l) AS k, coalesce(string_agg(h, '' ORDER BY i) FILTER (NOT own), '') AS sib, coalesce(string_agg(h, '' ORDER BY i) FILTER (i < mine), '') AS before, coalesce(string_agg(h, '' ORDER BY i) FILTER (i > mine), '') AS after
+  FROM (SELECT *, max(CASE WHEN own THEN i END) OVER (PARTITION BY r, l) AS mine FROM o) GROUP BY r, l
+), z AS (
+  SELECT r, 0 AS k, begin AS h FROM f
+  UNION ALL
+  SELECT z.r, z.k + 1, sha256(before || h || after) FROM z JOIN q ON q.r = z.r AND q.k = z.k + 1
+), e AS (
+  SELECT r, arg_max(h, k) AS folded_root FROM z GROUP BY r
+), p AS (
+  SELECT r, sha256(string_agg(sib, '' ORDER BY k)) AS proof FROM q GROUP BY r
+)
+SELECT doc_id, leaf, s.h AS subroot, (SELECT h FROM u ORDER BY level DESC LIMIT 1) AS root, coalesce(proof, sha256('')) AS proof_sha256, folded_root,
+  folded_root = (SELECT h FROM u ORDER BY level DESC LIMIT 1) AS verified
+FROM f JOIN s ON s.tree = coalesce('=' || lang, '') JOIN e USING (r) LEFT JOIN p USING (r)
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_packing": op2_packing,
@@ -221,6 +275,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_exact_dedup": op9_exact_dedup,
     "op10_quality": op10_quality,
     "op11_timestamps": op11_timestamps,
+    "op13_merkle": op13_merkle,
 }
 
-SQL: dict[str, str] = {"op3_warc": OP3_SQL, "op6_line_dedup": OP6_SQL, "op7_chat": OP7_SQL, "op9_exact_dedup": OP9_SQL, "op11_timestamps": OP11_SQL}
+SQL: dict[str, str] = {"op3_warc": OP3_SQL, "op6_line_dedup": OP6_SQL, "op7_chat": OP7_SQL, "op9_exact_dedup": OP9_SQL, "op11_timestamps": OP11_SQL, "op13_merkle": OP13_SQL}
