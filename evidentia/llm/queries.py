@@ -17,6 +17,7 @@ from .merkle import manifest
 from .near_dup import near_duplicates
 from .packing import pack
 from .quality import quality_scores
+from .substrings import remove_repeats
 from .timestamps import DATE, TIME, normalise
 from .warc import warc_round_trip
 
@@ -210,6 +211,28 @@ SELECT stamp_id, CAST(utc_us AS BIGINT) AS utc_us, CASE WHEN utc_us IS NULL THEN
 """
 
 
+def op12_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the windows of 50 words that smaller documents hold too."""
+    return remove_repeats(_table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = """
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words FROM documents
+), w AS (
+  SELECT r, doc_id, i, md5(array_to_string(words[i + 1:i + 50], ' ')) AS h FROM (SELECT r, doc_id, words, unnest(range(len(words) - 49)) AS i FROM d WHERE len(words) >= 50)
+), m AS (
+  SELECT h, min(doc_id) AS least FROM w GROUP BY h
+), x AS (
+  SELECT r, list(DISTINCT p) AS gone FROM (SELECT r, unnest(range(i, i + 50)) AS p FROM w JOIN m USING (h) WHERE least < doc_id) GROUP BY r
+), y AS (
+  SELECT d.r, string_agg(word, ' ' ORDER BY p) AS kept, count(*) AS n FROM (SELECT r, unnest(words) AS word, unnest(range(len(words))) AS p FROM d) d LEFT JOIN (SELECT r, unnest(gone) AS p, true AS out FROM x) g USING (r, p)
+  WHERE out IS NULL GROUP BY d.r
+)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN y USING (r)
+"""
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its proof in the manifest of all documents."""
     return manifest(_table(spark, sf_dir, "documents"))
@@ -275,7 +298,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_exact_dedup": op9_exact_dedup,
     "op10_quality": op10_quality,
     "op11_timestamps": op11_timestamps,
+    "op12_substrings": op12_substrings,
     "op13_merkle": op13_merkle,
 }
 
-SQL: dict[str, str] = {"op3_warc": OP3_SQL, "op6_line_dedup": OP6_SQL, "op7_chat": OP7_SQL, "op9_exact_dedup": OP9_SQL, "op11_timestamps": OP11_SQL, "op13_merkle": OP13_SQL}
+SQL: dict[str, str] = {"op3_warc": OP3_SQL, "op6_line_dedup": OP6_SQL, "op7_chat": OP7_SQL, "op9_exact_dedup": OP9_SQL, "op11_timestamps": OP11_SQL, "op12_substrings": OP12_SQL, "op13_merkle": OP13_SQL}
