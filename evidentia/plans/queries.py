@@ -506,9 +506,9 @@ def w6_renumber(spark, sf):
     return C.renumber(_labels(spark, sf))
 
 
-@query("a15_membership", f"""WITH {GRAPH_SQL}, {LABELS_SQL}, x AS (SELECT source, target, weight AS w, a.label = b.label AS inner_edge FROM rel JOIN lab a ON a.entity_id = source JOIN lab b ON b.entity_id = target),
-  t AS (SELECT entity_id, sum(CASE WHEN inner_edge THEN w ELSE 0 END) / sum(w) AS share FROM (SELECT source AS entity_id, w, inner_edge FROM x UNION ALL SELECT target, w, inner_edge FROM x) GROUP BY entity_id)
-  SELECT kb_id, entity_id, label, round(coalesce(share, 1.0), 4) AS score FROM lab LEFT JOIN t USING (entity_id)""")
+@query("a15_membership", f"""WITH {GRAPH_SQL}, x AS MATERIALIZED (SELECT source, target, weight AS w, CASE WHEN source % 10 = target % 10 THEN weight ELSE 0 END AS i FROM rel),
+  t AS MATERIALIZED (SELECT entity_id, sum(i) / sum(w) AS share FROM (SELECT source AS entity_id, w, i FROM x UNION ALL SELECT target, w, i FROM x) GROUP BY entity_id)
+  SELECT kb_id, ent.entity_id, ent.entity_id % 10 AS label, round(coalesce(share, 1.0), 4) AS score FROM ent LEFT JOIN t ON t.entity_id = ent.entity_id""")
 def a15_membership(spark, sf):
     """How much of each entity's weight stays in its community."""
     entities, relationships = X.stored(spark, sf)
@@ -735,8 +735,8 @@ def p4_touching_edges(spark, sf):
     return ends.join(stated, "entity_id", "left_semi").select("relationship_id", "source", "target").distinct()
 
 
-@query("p5_inner_edges", f"""WITH {GRAPH_SQL}, f AS (SELECT CAST(s_suppkey AS BIGINT) AS entity_id FROM supplier WHERE s_acctbal > 5000 UNION ALL SELECT entity_id FROM ent JOIN part ON p_partkey = (entity_id - 1000000000) // 25 WHERE p_size > 25 AND type = 'Product')
-  SELECT relationship_id, source, target FROM rel WHERE source IN (SELECT entity_id FROM f) AND target IN (SELECT entity_id FROM f)""")
+@query("p5_inner_edges", f"""SELECT DISTINCT l_suppkey * 10000000 + l_partkey AS relationship_id, CAST(l_suppkey AS BIGINT) AS source, {X.PART_IDS} + l_partkey * 25 + s_nationkey AS target
+  FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN part ON p_partkey = l_partkey WHERE s_acctbal > 5000 AND p_size > 25""")
 def p5_inner_edges(spark, sf):
     """Edges with both ends among well-off suppliers and large parts."""
     ents = X.entities(spark, sf).where("type = 'Product'").select("entity_id", F.expr(f"(entity_id - {X.PART_IDS}) div 25").alias("p_partkey"))
@@ -771,13 +771,17 @@ def a9_self_loops(spark, sf):
     return C.self_loops(rows).withColumn("loop", F.round("loop", 6))
 
 
-@query("j8_entity_detail", f"""WITH {GRAPH_SQL}, own AS (SELECT * FROM ent WHERE entity_id % 100 = 0),
-  m AS (SELECT target AS entity_id, count(*) AS n, string_agg(chunk_id || ':' || statement, ',' ORDER BY chunk_id, statement) AS t FROM (SELECT DISTINCT target, chunk_id, statement FROM ev WHERE l_discount < 0.01) GROUP BY 1),
-  p AS (SELECT relationship_id, string_agg(chunk_id || '/' || statement, '+' ORDER BY chunk_id, statement, confidence) AS proofs FROM ev GROUP BY 1),
-  d AS (SELECT source AS entity_id, 'out' AS way, rel.*, target AS peer FROM rel UNION ALL SELECT target, 'in', rel.*, source FROM rel),
-  e AS (SELECT d.entity_id, count(*) FILTER (way = 'out') AS n_out, count(*) FILTER (way = 'in') AS n_in, string_agg(o.canonical_name || '=' || proofs, ';' ORDER BY d.relationship_id) AS told
-    FROM d JOIN ent o ON o.entity_id = peer JOIN p USING (relationship_id) GROUP BY 1)
-  SELECT own.entity_id, canonical_name, coalesce(m.n, 0) AS mentions, coalesce(m.t, '') AS mentioned, coalesce(n_out, 0) AS n_out, coalesce(n_in, 0) AS n_in, coalesce(told, '') AS told FROM own LEFT JOIN m USING (entity_id) LEFT JOIN e USING (entity_id)""")
+@query("j8_entity_detail", f"""WITH l AS MATERIALIZED (
+    SELECT l_suppkey * 10000000 + l_partkey AS r, CAST(l_suppkey AS BIGINT) AS source, {X.PART_IDS} + l_partkey * 25 + s_nationkey AS target, s_name, p_name || ' ' || p_partkey AS p_name, l_orderkey, l_discount, round(1 - l_discount, 4) AS confidence,
+      'shipped by ' || l_returnflag || '/' || l_linestatus AS statement FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN part ON p_partkey = l_partkey
+    WHERE l_suppkey % 100 = 0 OR ({X.PART_IDS} + l_partkey * 25 + s_nationkey) % 100 = 0),
+  own AS MATERIALIZED (SELECT CAST(s_suppkey AS BIGINT) AS entity_id, s_name AS canonical_name FROM supplier WHERE s_suppkey % 100 = 0 UNION ALL SELECT DISTINCT target, p_name FROM l WHERE target % 100 = 0),
+  m AS MATERIALIZED (SELECT target AS entity_id, count(*) AS n, string_agg(l_orderkey || ':' || statement, ',' ORDER BY l_orderkey, statement) AS t FROM (SELECT DISTINCT target, l_orderkey, statement FROM l WHERE l_discount < 0.01 AND target % 100 = 0) GROUP BY target),
+  p AS MATERIALIZED (SELECT r, source, target, s_name, p_name, string_agg(l_orderkey || '/' || statement, '+' ORDER BY l_orderkey, statement, confidence) AS proofs FROM l GROUP BY ALL),
+  e AS MATERIALIZED (SELECT entity_id, count(*) FILTER (way = 'out') AS n_out, count(*) FILTER (way = 'in') AS n_in, string_agg(peer || '=' || proofs, ';' ORDER BY r) AS told
+    FROM (SELECT source AS entity_id, 'out' AS way, p_name AS peer, proofs, r FROM p WHERE source % 100 = 0 UNION ALL SELECT target, 'in', s_name, proofs, r FROM p WHERE target % 100 = 0) GROUP BY entity_id)
+  SELECT own.entity_id, canonical_name, coalesce(m.n, 0) AS mentions, coalesce(m.t, '') AS mentioned, coalesce(n_out, 0) AS n_out, coalesce(n_in, 0) AS n_in, coalesce(told, '') AS told
+  FROM own LEFT JOIN m ON m.entity_id = own.entity_id LEFT JOIN e ON e.entity_id = own.entity_id""")
 def j8_entity_detail(spark, sf):
     """The stated entities with their mentions, and their edges both ways with peers and proofs."""
     entities, relationships = X.stored(spark, sf)
@@ -796,7 +800,9 @@ def j8_entity_detail(spark, sf):
     )
 
 
-@query("j6_nested_evidence", f"WITH {GRAPH_SQL} SELECT relationship_id, s.canonical_name AS source_name, t.canonical_name AS target_name, n, proofs FROM (SELECT relationship_id, any_value(source) AS source, any_value(target) AS target, count(*) AS n, string_agg(chunk_id || ':' || statement, ';' ORDER BY evidence_id) AS proofs FROM ev GROUP BY relationship_id) JOIN ent s ON s.entity_id = source JOIN ent t ON t.entity_id = target")
+@query("j6_nested_evidence", """SELECT l_suppkey * 10000000 + l_partkey AS relationship_id, min(s_name) AS source_name, min(p_name || ' ' || p_partkey) AS target_name, count(*) AS n,
+  string_agg(l_orderkey || ':' || 'shipped by ' || l_returnflag || '/' || l_linestatus, ';' ORDER BY l_orderkey * 10 + l_linenumber) AS proofs
+  FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN part ON p_partkey = l_partkey GROUP BY l_suppkey, l_partkey""")
 def j6_nested_evidence(spark, sf):
     """Each relationship with the names of its ends and its evidence, in order."""
     entities, relationships = X.stored(spark, sf)
