@@ -17,7 +17,7 @@ from ..operators import graph as G
 from ..operators import retrieval as R
 from ..operators import store as T
 from ..operators import usage as U
-from ..session import written
+from ..session import scratch_path, written
 from ..sources.tables import synthetic, table
 from ..streaming import calls as L
 from . import fixtures as X
@@ -845,6 +845,36 @@ def s11_sse(spark, sf):
     return sse_answers(sse_chunks(parts.select(F.col("conv_id").alias("request_id"), body.alias("body"))))
 
 
+def _recorded(spark, sf):
+    """The conversations as recorded streams in a folder: an event for each turn and one for the end, by request."""
+    choice = lambda delta, end: F.array(F.struct(F.struct(delta.alias("content")).alias("delta"), end.alias("finish_reason")))
+    none, stop = F.lit(None).cast("string"), F.lit("stop")
+    turns = table(spark, sf, "conversations").select("conv_id", "turn", F.to_json(F.struct(choice(F.coalesce("text", F.lit("")), none).alias("choices"))).alias("data"))
+    last = table(spark, sf, "conversations").groupBy("conv_id").agg(F.max("turn").alias("last"))
+    ends = last.select("conv_id", (F.col("last") + 1).alias("turn"), F.to_json(F.struct(choice(none, stop).alias("choices"), F.struct(F.col("last").alias("total_tokens")).alias("usage"))).alias("data"))
+    done = last.select("conv_id", (F.col("last") + 2).alias("turn"), F.lit("[DONE]").alias("data"))
+    events = turns.unionByName(ends).unionByName(done).repartition("conv_id").sortWithinPartitions("conv_id", "turn")
+    path = scratch_path(spark, "recorded")
+    events.select(F.concat(F.lit("id: "), "conv_id", F.lit("\ndata: "), "data").alias("value")).write.option("lineSep", "\n\n").text(path)
+    return path
+
+
+@query("s10_token_stream", SQL["s11_sse"].replace("conv_id AS request_id", "CAST(conv_id AS VARCHAR) AS request_id"))
+def s10_token_stream(spark, sf):
+    """Every conversation, recorded as token streams, read by a streaming query from the source and put together again
+    from the log that its sink wrote."""
+    from ..sources.streams import read_log, register
+    from ..sources.tables import event_chunks, sse_answers
+
+    register(spark)
+    recorded = spark.readStream.format("token_stream").option("path", _recorded(spark, sf)).load()
+    rows = event_chunks(recorded).select("request_id", "seq", "delta", "finish_reason", "usage")
+    log, checkpoint = scratch_path(spark, "tokens"), scratch_path(spark, "tokens-offsets")
+    stream = rows.writeStream.format("event_log").option("path", log).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    stream.start().awaitTermination()
+    return sse_answers(read_log(spark, log, rows.schema))
+
+
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """Hybrid search: vector and keyword order fused, the best candidates of each stated question."""
     return QUERIES["r12_rrf"](spark, sf)

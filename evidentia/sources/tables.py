@@ -56,7 +56,11 @@ def sse_chunks(transcripts: DataFrame, column: str = "body") -> DataFrame:
     """
     plain = F.regexp_replace(F.col(column), "\r\n?", "\n")
     events = F.split(plain, r"\n\n+")
-    rows = transcripts.select("request_id", F.posexplode(events).alias("seq", "event"))
+    return event_chunks(transcripts.select("request_id", F.posexplode(events).alias("seq", "event")))
+
+
+def event_chunks(rows: DataFrame) -> DataFrame:
+    """What whole events (request_id, seq, event) carry, as sse_chunks tells it; for batches and streams alike."""
     lines = F.filter(F.transform(F.split("event", "\n"), lambda x: F.btrim(x, F.lit(TRIMMED))), lambda x: x.startswith("data:"))
     data = F.transform(lines, lambda x: F.btrim(F.substring(x, 6, F.length(x)), F.lit(TRIMMED)))
     parsed = rows.select("request_id", "seq", F.transform(F.filter(data, lambda x: x != "[DONE]"), lambda x: F.from_json(x, EVENT)).alias("e"))
