@@ -24,8 +24,11 @@ _INVERSE = U64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 #: Bytes and words that are looked at together, and bytes from which a word is hashed by itself.
 STEP_BYTES, STEP_WORDS, LONG_WORD = 1 << 20, 1 << 18, 1 << 16
 
+#: Bits of the map that tells most texts apart that a join need not move: 2048 rows of 4 KB, whatever the input.
+MAP_BITS, PART_BITS = 26, 15
+
 BLOCKS = "at long, key long, start int, n int, anchor long, first long, last long"
-WINDOWS = "at long, n int, anchor long, first long, last long, place int, hash long"
+WINDOWS = "at long, id long, anchor long, place int, hash long"
 KEPT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
@@ -147,7 +150,7 @@ def _windows(size: int):
             wanted = batch.column(1)
             bounds = wanted.offsets.to_numpy()
             asked = wanted.values  # the child without the rows of a slice's other parts is cut by the bounds
-            start, n, *others = (asked.field(i).to_numpy(zero_copy_only=False) for i in range(5))
+            start, n, block, chosen = (asked.field(i).to_numpy(zero_copy_only=False) for i in range(4))
             for rows, words in _pieces(batch):
                 hashes = words.hashes()
                 for i in range(rows.start, rows.stop):
@@ -159,8 +162,8 @@ def _windows(size: int):
                     each = n[some]
                     place = np.arange(int(each.sum())) - np.repeat(np.cumsum(each) - each, each)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(place), at[i])), pa.array(np.repeat(each, each).astype(np.int32)), *[pa.array(np.repeat(x[some], each)) for x in others], pa.array(place.astype(np.int32)), _signed(np.concatenate(own))],
-                        names=["at", "n", "anchor", "first", "last", "place", "hash"])
+                        [pa.array(np.full(len(place), at[i])), *[pa.array(np.repeat(x[some], each)) for x in (block, chosen)], pa.array(place.astype(np.int32)), _signed(np.concatenate(own))],
+                        names=["at", "id", "anchor", "place", "hash"])
 
     return tidy(run)
 
@@ -200,6 +203,20 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.select("doc_id", F.coalesce("doc_id", F.lit(LAST)).alias("at"), F.xxhash64("text").alias("key"), "text")
 
 
+def marked(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """`texts` with `maybe`: false where (at, key) is surely not among `wanted`, so that the text need not be moved.
+
+    A hash of the key is looked up in a bit map of 2**MAP_BITS bits, which is broadcast in parts. More keys fill the map and
+    let more texts through, up to all of them; the join that follows decides.
+    """
+    bit = F.pmod(F.xxhash64("at", "key"), F.lit(1 << MAP_BITS))
+    part, place = F.shiftright(bit, PART_BITS), bit.bitwiseAND((1 << PART_BITS) - 1)
+    parts = wanted.select(part.alias("_part"), place.alias("_place")).groupBy("_part").agg(F.bitmap_construct_agg("_place").alias("_map"))
+    placed = texts.withColumns({"_part": part, "_place": place}).join(F.broadcast(parts), "_part", "left")
+    byte = F.conv(F.hex(F.expr("substring(_map, int(_place div 8) + 1, 1)")), 16, 10).cast("int")
+    return placed.withColumn("maybe", F.coalesce(F.getbit(byte, (F.col("_place") % 8).cast("int")) == 1, F.lit(False))).drop("_part", "_place", "_map")
+
+
 def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """(at, key, begin, end): the maximal intervals of words that windows cover which start in a document of a smaller id too.
 
@@ -214,17 +231,18 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     occurrences = written(texts.select("at", "key", "text").mapInArrow(_blocks(window, anchor), BLOCKS), "blocks")
     anchors = occurrences.groupBy("anchor").agg(F.min("at").alias("least"), F.max("at").alias("most")).where("least < most")
     shared = written(occurrences.join(dealt_anew(anchors.select("anchor"), "anchor"), "anchor"), "shared")
-    distinct = written(shared.groupBy(*block).agg(F.min(F.struct("at", "key", "start")).alias("one"), F.max("at").alias("most")), "distinct")
+    distinct = written(shared.groupBy(*block).agg(F.min(F.struct("at", "key", "start")).alias("one"), F.max("at").alias("most")).withColumn("id", F.monotonically_increasing_id()), "distinct")
     several = distinct.groupBy("anchor").agg(F.count("*").alias("runs")).where("runs > 1")
     asked = distinct.join(dealt_anew(several.select("anchor"), "anchor"), "anchor")
-    asked = asked.groupBy(F.col("one.at").alias("at"), F.col("one.key").alias("key")).agg(F.collect_list(F.struct("one.start", "n", "anchor", "first", "last")).alias("asked"))
-    single = texts.join(dealt_anew(asked, "at", "key"), ["at", "key"]).select("at", "asked", "text")
+    asked = asked.groupBy(F.col("one.at").alias("at"), F.col("one.key").alias("key")).agg(F.collect_list(F.struct("one.start", "n", "id", "anchor")).alias("asked"))
+    asked = written(asked, "asked")
+    single = marked(texts, asked).where("maybe").drop("maybe").join(dealt_anew(asked, "at", "key"), ["at", "key"]).select("at", "asked", "text")
     windows = written(single.mapInArrow(_windows(window), WINDOWS), "windows")
     smaller = windows.groupBy("anchor", "hash").agg(F.min("at").alias("least"), F.max("at").alias("most")).where("least < most").drop("most")
     some = windows.join(dealt_anew(smaller, "anchor", "hash"), ["anchor", "hash"]).where("least < at")
     # Any two windows of a run overlap, so those that go cover one interval.
-    some = some.groupBy(*block).agg(F.min("place").alias("low"), F.max("place").alias("high"))
-    judged = distinct.join(some, block, "left").where("one.at < most OR low IS NOT NULL").select(*block, F.col("one.at").alias("least"), "low", "high")
+    some = some.groupBy("id").agg(F.min("place").alias("low"), F.max("place").alias("high"))
+    judged = distinct.join(some, "id", "left").where("one.at < most OR low IS NOT NULL").select(*block, F.col("one.at").alias("least"), "low", "high")
     found = shared.join(dealt_anew(judged, *block), block).where("at > least OR low IS NOT NULL")
     later = F.col("at") > F.col("least")
     begin = F.col("start") + F.when(later, 0).otherwise(F.col("low"))
@@ -251,5 +269,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     spans = repeated(docs, id_col, text_col, window, anchor)
     cuts = spans.groupBy("at", "key").agg(F.array_sort(F.collect_list("begin")).alias("begins"), F.array_sort(F.collect_list("end")).alias("ends"))
-    rows = _texts(docs, id_col, text_col).join(dealt_anew(written(cuts, "cuts"), "at", "key"), ["at", "key"], "left")
-    return rows.select("doc_id", "text", "begins", "ends").mapInArrow(tidy(_kept), KEPT)
+    cuts = written(cuts, "cuts")
+    texts = marked(_texts(docs, id_col, text_col), cuts)
+    none = F.lit(None).cast("array<int>")
+    whole = texts.where("NOT maybe").select("doc_id", "text", none.alias("begins"), none.alias("ends"))
+    cut = texts.where("maybe").join(dealt_anew(cuts, "at", "key"), ["at", "key"], "left").select("doc_id", "text", "begins", "ends")
+    return whole.unionByName(cut).mapInArrow(tidy(_kept), KEPT)
