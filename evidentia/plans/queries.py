@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import replace
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -20,6 +21,7 @@ from ..operators import usage as U
 from ..session import scratch_path, written
 from ..sources.tables import synthetic, table
 from ..streaming import calls as L
+from ..streaming import guards as K
 from . import fixtures as X
 from .fixtures import CALLS_SQL, CHUNKS_SQL, GRAPH_SQL, STORED_SQL
 
@@ -711,6 +713,46 @@ def st5_health(spark, sf):
     return L.health(logs.select("provider_id", (F.col("status") == "success").alias("healthy"), "created_at"), now, 3 * 3600)
 
 
+def _streamed(spark, rows, at, run):
+    """What a streaming query makes of rows that arrive in two halves of time: it is started for each half on one
+    checkpoint, and for a last row long after, which lets the watermark pass all others."""
+    path, out, checkpoint = (scratch_path(spark, f"stream-{x}") for x in ("in", "out", "offsets"))
+    low, high = rows.agg(F.min(at), F.max(at)).first()
+    half, end = low + (high - low) / 2, high + (high - low) + timedelta(days=30)
+    last = rows.limit(1).withColumns({at: F.lit(end), "provider_id": F.lit(-1).cast("bigint")})
+    for part in (rows.where(F.col(at) < F.lit(half)), rows.where(F.col(at) >= F.lit(half)), last):
+        part.write.mode("append").parquet(path)
+        made = run(spark.readStream.schema(rows.schema).parquet(path))
+        made.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(made.schema).parquet(out).where("provider_id >= 0")
+
+
+@query("st3_gate_stream", SQL["st3_concurrency"])
+def st3_gate_stream(spark, sf):
+    """The running calls of st3_concurrency, from keyed state over a stream of starts and ends."""
+    rows = X.calls(spark, sf)
+    ended = F.col("created_at") + F.make_dt_interval(secs=F.ceil("latency_ms"))
+    mark = lambda at, step: F.struct(at.alias("at"), F.lit(step).alias("step"))
+    marks = rows.select("call_id", "provider_id", "model_id", F.explode(F.array(mark(F.col("created_at"), 1), mark(ended, -1))).alias("m")).select("call_id", "provider_id", "model_id", "m.*")
+    return _streamed(spark, marks, "at", lambda stream: K.concurrency_stream(stream, lease=10**8, late="1 day")).drop("admitted")
+
+
+@query("st4_breaker_stream", SQL["st4_breaker"])
+def st4_breaker_stream(spark, sf):
+    """The breakers of st4_breaker, from keyed state over a stream of calls."""
+    settings = Settings(breaker_failures=2, breaker_cooldown=7200)
+    out = _streamed(spark, X.calls(spark, sf), "created_at", lambda stream: K.breaker_states(stream, settings, forget=False))
+    return out.select("call_id", "provider_id", "model_id", "allowed", "failures", "open")
+
+
+@query("st5_health_stream", SQL["st5_health"])
+def st5_health_stream(spark, sf):
+    """The health of st5_health, from a stream's log of what was known from when on."""
+    logs = X.calls(spark, sf)
+    probes = logs.select("provider_id", F.col("call_id").alias("probe_id"), (F.col("status") == "success").alias("healthy"), "created_at")
+    return K.health_at(_streamed(spark, probes, "created_at", lambda stream: K.health_changes(stream, 3 * 3600)), logs.agg(F.max("created_at")).first()[0])
+
+
 @query("s21_synthetic", "SELECT range AS relationship_id, range % 2000 AS source, (range % 2000 + 1 + range % 7) % 2000 AS target, CAST(1 + range % 5 AS DOUBLE) AS weight FROM range(6000)")
 def s21_synthetic(spark, sf):
     """Edges of the generated capacity graph."""
