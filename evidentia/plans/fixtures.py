@@ -12,7 +12,6 @@ from ..session import written
 from ..sources.tables import table
 
 PART_IDS = 1_000_000_000
-QUESTION_LENGTH = 30
 
 
 def asked(key: str) -> Column:
@@ -40,9 +39,9 @@ def vector_queries(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def question_vectors(spark: SparkSession, sf: str) -> DataFrame:
-    """The beginnings of the stated documents as questions, with their vectors."""
+    """The whole texts of the stated documents as questions, with their vectors."""
     rows = table(spark, sf, "documents").where(asked("doc_id"))
-    rows = rows.select(F.col("doc_id").alias("query_id"), F.substring(F.coalesce("text", F.lit("")), 1, QUESTION_LENGTH).alias("question"))
+    rows = rows.select(F.col("doc_id").alias("query_id"), F.coalesce("text", F.lit("")).alias("question"))
     return rows.join(vectors(spark, sf).select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("qvec")), "query_id")
 
 

@@ -16,6 +16,7 @@ from ..operators import entities as E
 from ..operators import evaluation as V
 from ..operators import graph as G
 from ..operators import retrieval as R
+from ..operators import search as N
 from ..operators import store as T
 from ..operators import usage as U
 from ..session import scratch_path, written
@@ -120,8 +121,7 @@ RANKED_SQL = f"""{VECTORS_SQL}, scored AS (
 
 
 def _ranked(spark, sf):
-    scores = R.vector_scores(X.vector_queries(spark, sf), X.vectors(spark, sf))
-    return scores.withColumn("score", F.round("score", 12))
+    return written(N.all_scores(X.vector_queries(spark, sf).drop("kb_id"), X.vectors(spark, sf)), "scores")
 
 
 @query("r10_vector_rank", f"WITH {RANKED_SQL} SELECT query_id, chunk_id, round(score, 5) AS score, vector_rank FROM ranked")
@@ -133,11 +133,11 @@ def r10_vector_rank(spark, sf):
 @query("t1_vector_top", f"WITH {RANKED_SQL} SELECT query_id, chunk_id, round(score, 5) AS score, vector_rank FROM ranked WHERE vector_rank <= 5")
 def t1_vector_top(spark, sf):
     """The five best documents for each stated question vector."""
-    return R.vector_top(_ranked(spark, sf), 5).withColumn("score", F.round("score", 5))
+    return N.vector_best(X.vector_queries(spark, sf).drop("kb_id"), X.vectors(spark, sf), 5).withColumn("score", F.round("score", 5))
 
 
 HYBRID_SQL = f"""{VECTORS_SQL}, q AS (
-  SELECT doc_id AS query_id, substr(coalesce(text, ''), 1, {X.QUESTION_LENGTH}) AS question, embedding FROM documents JOIN vecs ON chunk_id = doc_id WHERE doc_id % 100 = 0
+  SELECT doc_id AS query_id, coalesce(text, '') AS question, embedding FROM documents JOIN vecs ON chunk_id = doc_id WHERE doc_id % 100 = 0
 ), terms AS (
   SELECT query_id, term FROM (SELECT query_id, unnest(regexp_extract_all(lower(question), '[\\p{{Han}}]{{2,}}|[\\p{{L}}\\p{{N}}][\\p{{L}}\\p{{N}}_-]+')) AS term FROM q)
   WHERE term NOT IN ('what','where','when','which','who','does','the','and','for','with','from','that','this') GROUP BY ALL
@@ -147,7 +147,7 @@ HYBRID_SQL = f"""{VECTORS_SQL}, q AS (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS vector_rank FROM scored
 ), occ AS (
   SELECT query_id, doc_id AS chunk_id, length(term) AS l, CAST((length(t) - length(replace(t, term, ''))) / length(term) AS BIGINT) AS n
-  FROM terms CROSS JOIN (SELECT doc_id, lower(text) AS t FROM documents)
+  FROM terms JOIN (SELECT doc_id, lower(text) AS t FROM documents) ON contains(t, term)
 ), kw AS (
   SELECT query_id, chunk_id, sum((1 + ln(n)) * least(l, 20)) AS keyword_score FROM occ WHERE n > 0 GROUP BY ALL
 ), kr AS (
@@ -162,14 +162,14 @@ HYBRID_SQL = f"""{VECTORS_SQL}, q AS (
 
 def _hybrid(spark, sf, limit):
     docs = X.documents_as_chunks(spark, sf)
-    scored = R.hybrid_scores(X.question_vectors(spark, sf), docs)
-    return R.fuse(scored, {}, limit), docs.drop("embedding")
+    return N.fused_search(X.question_vectors(spark, sf), docs, limit), docs.drop("embedding")
 
 
 @query("r11_keyword_rank", f"WITH {HYBRID_SQL} SELECT query_id, chunk_id, round(keyword_score, 5) AS keyword_score, keyword_rank FROM kr")
 def r11_keyword_rank(spark, sf):
     """Documents by the terms of the stated questions."""
-    scored = R.hybrid_scores(X.question_vectors(spark, sf), X.documents_as_chunks(spark, sf))
+    docs = X.documents_as_chunks(spark, sf)
+    scored = N.scored_hits(X.question_vectors(spark, sf), docs, N.keyword_index(docs))
     return R.keyword_rank(scored).withColumn("keyword_score", F.round("keyword_score", 5))
 
 
@@ -202,11 +202,10 @@ def r14_context(spark, sf):
 def r12_channels(spark, sf):
     """Fusion with a third channel: documents of the question's own source stand for the chunks of a graph."""
     docs = X.documents_as_chunks(spark, sf)
-    scored = R.hybrid_scores(X.question_vectors(spark, sf), docs)
     own = docs.where(X.asked("chunk_id")).select(F.col("chunk_id").alias("query_id"), "title")
     near = own.join(docs.select("chunk_id", "title"), "title")
     graph = near.select("query_id", "chunk_id", F.row_number().over(Window.partitionBy("query_id").orderBy("chunk_id")).cast("bigint").alias("rank"))
-    fused = R.fuse(scored, {"graph": graph}, 10)
+    fused = N.fused_search(X.question_vectors(spark, sf), docs, 10, {"graph": graph})
     return fused.select("query_id", "chunk_id", "vector_rank", F.round("retrieval_score", 9).alias("retrieval_score"), F.array_join("channels", ",").alias("channels"), "position")
 
 
