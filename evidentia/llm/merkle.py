@@ -46,7 +46,7 @@ def leaves(docs: DataFrame, columns: list[str], id_col: str, group_col: str, tex
 
 
 def numbered(rows: DataFrame, by: str, order: list[str], name: str, count: str) -> DataFrame:
-    """Adds the place of each row within its `by`, in an order without ties, and the number of rows there; as a table.
+    """Adds the place of each row within its `by`, in an order without ties, the number of rows there, and its range (`part`).
 
     Rows are dealt and sorted by ranges of the order, so no task holds a large group; a row's place is that in its range
     and the sizes of the ranges before.
@@ -59,7 +59,7 @@ def numbered(rows: DataFrame, by: str, order: list[str], name: str, count: str)
     before = Window.partitionBy(by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select(F.col(by).alias("_by"), F.col("_part").alias("_in"), (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_skip"), F.sum("_n").over(Window.partitionBy(by)).alias(count))
     placed = dealt.join(sizes, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_part") == F.col("_in")))
-    return placed.withColumn(name, F.col("_at") + F.col("_skip")).drop("_part", "_at", "_by", "_in", "_skip")
+    return placed.withColumn(name, F.col("_at") + F.col("_skip")).withColumnRenamed("_part", "part").drop("_at", "_by", "_in", "_skip")
 
 
 def depth(n: Column) -> Column:
@@ -151,9 +151,13 @@ def manifest(
     ends = paths(groups.select(F.struct("tree").alias("key"), F.lit("").alias("tree"), "place", "size"), upper).select(F.col("key.tree").alias("tree"), F.col("path").alias("end"))
     groups = groups.select(F.col("tree").alias("group"), F.col("digest").alias("subroot")).join(ends, F.col("group").eqNullSafe(F.col("tree")), "left").drop("tree")
     groups = groups.crossJoin(F.broadcast(root.select(F.col("digest").alias("root"))))  # one row
+    # A group's rows find what they share by group and range, so a large group is spread over its ranges.
+    ranges = placed.select(F.col("tree").alias("in_tree"), F.col("part").alias("in_part")).distinct()
+    shared = written(ranges.join(groups, F.col("in_tree").eqNullSafe(F.col("group"))).drop("group"), "shared")
+    told = placed.join(shared, F.col("tree").eqNullSafe(F.col("in_tree")) & (F.col("part") == F.col("in_part")))
     none = F.array().cast("array<struct<level:int,before:binary,after:binary>>")
     way = paths(placed.select(F.col("row").alias("key"), "tree", "place", "size"), runs)
-    told = placed.join(way, F.col("row") == F.col("key"), "left").join(groups, F.col("tree").eqNullSafe(F.col("group")))
+    told = told.join(way, F.col("row") == F.col("key"), "left")
     path = F.concat(F.coalesce("path", none), F.coalesce("end", none))
     told = told.select("doc_id", "leaf", "subroot", "root", path.alias("path"), F.coalesce("tampered", "leaf").alias("begin"))
     siblings = F.array_join(F.transform("path", lambda s: F.concat(F.hex(s["before"]), F.hex(s["after"]))), "")
