@@ -144,3 +144,14 @@ def weight_text(x: Column) -> Column:
 
 def resolved_mode(mode: Column, n_communities: Column, n_graph_chunks: Column) -> Column:
     return F.when((mode == "global") & (n_communities > 0), "global").when(n_graph_chunks > 0, "local").otherwise("vector")
+
+
+def metadata_field(metadata: Column, path: str, kind: str = "string") -> Column:
+    """A value inside open metadata (a variant), by its path (`$.author.name`, `$.tags[0]`); null where it is not there or
+    is of another kind."""
+    return F.try_variant_get(metadata, path, kind)
+
+
+def parsed_metadata(text: Column) -> Column:
+    """JSON text as open metadata; null for what is no JSON."""
+    return F.try_parse_json(text)

@@ -10,6 +10,8 @@ from ..functions.scalar import trim
 from ..operators.chunking import chunk
 
 DOCUMENT = "doc_id long, kb_id long, title string, source string, metadata map<string,string>, text string, index_version long"
+#: The same as it lands: metadata is whatever JSON value was sent, nested values included.
+LANDED = DOCUMENT.replace("map<string,string>", "variant")
 REASON_LENGTH = 2000
 TITLE_LENGTH = 255
 SOURCE_LENGTH = 2048
@@ -61,5 +63,5 @@ def ingest_available(spark: SparkSession, landing: str, out: str, checkpoint: st
         chunks.write.mode("overwrite").parquet(f"{out}/chunks/batch={number}")
         state.write.mode("overwrite").parquet(f"{out}/status/batch={number}")
 
-    stream = spark.readStream.schema(DOCUMENT).json(landing)
+    stream = spark.readStream.schema(LANDED).json(landing)
     stream.writeStream.foreachBatch(index).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
