@@ -53,8 +53,10 @@ def _suffix(groups: list[Column]) -> Column:
 
 def _offset(text: Column) -> Column:
     """Microseconds that an offset is ahead of UTC, null if there is none or if it is impossible."""
-    digits = F.regexp_replace(text, "[^0-9]", "")
-    h, m = F.substring(digits, 1, 2).try_cast("long"), F.substring(digits, 3, 2).try_cast("long")
+    digits = F.regexp_replace(text, ":", "")
+    # Matched, these are digits; a cast that fails costs far more than one that is not tried.
+    number = lambda at: F.when(F.length(text) > 1, F.substring(digits, at, 2).try_cast("long"))
+    h, m = number(2), number(4)
     sign = F.when(text.startswith("-"), -1).otherwise(1)
     return F.when(text == "Z", F.lit(0).cast("long")).when((h <= 14) & (m < 60), sign * (h * HOUR + m * MINUTE))
 
@@ -79,22 +81,22 @@ def readings(stamps: DataFrame, id_col: str = "stamp_id", source_col: str = "sou
     microseconds since midnight and the offset. Bad stamps have none of these."""
     rows = pick(stamps, {id_col: "long", source_col: "string", zone_col: "string", raw_col: "string"})
     rows = rows.toDF("stamp_id", "source", "zone", "raw").withColumn("t", F.btrim("raw", F.lit(SPACE)))
-    part = lambda i: F.regexp_extract("t", STAMP, i)
-    number = lambda i: F.when(part(i) != "", part(i).try_cast("long"))
+    # One replacement parts a stamp; what it leaves as it is, is none.
+    rows = rows.withColumn("parts", F.when(F.col("t").rlike(STAMP), F.split(F.regexp_replace("t", STAMP, "|".join(f"${i}" for i in range(1, 7))), "[|]")))
     digits = F.col("t").rlike(r"\A[0-9]+\z")
     seconds, millis = digits & (F.length("t") == 10), digits & (F.length("t") == 13)
-    rows = rows.select(
-        "stamp_id", "source", "zone",
-        F.when(seconds, F.col("t").try_cast("long") * SECOND).when(millis, F.col("t").try_cast("long") * 1000).alias("epoch"),
-        part(1).alias("token"), F.array(*[number(i) for i in (2, 3, 4)]).alias("clock"), part(5).alias("half"), part(6).alias("ahead"),
-    )
-    clock = [F.col("clock")[i] for i in range(3)]
-    rows = rows.select(
-        "stamp_id", "source", "zone", "epoch", "token", _suffix([*clock, F.col("half"), F.col("ahead")]).alias("time"),
-        _offset(F.col("ahead")).alias("offset"), (F.coalesce(F.col("ahead"), F.lit("")) != "").alias("offset_given"),
-    )
+    epoch = F.when(seconds, F.col("t").try_cast("long") * SECOND).when(millis, F.col("t").try_cast("long") * 1000)
+    rows = rows.select("stamp_id", "source", "zone", epoch.alias("epoch"), "parts").withColumn("token", F.coalesce(F.get("parts", F.lit(0)), F.lit("")))
+    # All else is computed above the join: below it, the planner would repeat the matching for each use of a part.
     joined = rows.join(F.broadcast(date_tokens(stamps.sparkSession)), "token", "left")
-    joined = joined.withColumn("zone", _known(F.col("zone")))
+    part = lambda i: F.coalesce(F.get("parts", F.lit(i - 1)), F.lit(""))
+    number = lambda i: F.when(part(i) != "", part(i).try_cast("long"))
+    joined = joined.select(
+        "stamp_id", "source", "zone", "epoch", "token", "dmy", "mdy", _suffix([number(2), number(3), number(4), part(5), part(6)]).alias("time"),
+        _offset(part(6)).alias("offset"), (part(6) != "").alias("offset_given"),
+    )
+    needed = F.col("dmy").isNotNull() | F.col("mdy").isNotNull()
+    joined = joined.withColumn("zone", F.when(needed & ~F.col("offset_given"), _known(F.col("zone"))))
     placed = F.col("offset").isNotNull() | (~F.col("offset_given") & F.col("zone").isNotNull())
     good = F.col("epoch").isNull() & F.col("time").isNotNull() & placed
     return joined.select(
