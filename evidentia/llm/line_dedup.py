@@ -13,11 +13,6 @@ from ..session import written
 MIN_SITES = 3
 #: Lines of fewer words never count.
 MIN_WORDS = 1
-#: Two texts that share s characters and differ in u each are similar by s / (s + 2 u). At the similarity of 0.8 that
-#: tells near copies, the shared part is this share of either text.
-NEAR_COPY = 2 * 0.8 / (1 + 0.8)
-#: In a near copy, the company that a line must change in: a share of its texts.
-MIN_COMPANY = 0.25
 #: White space that is trimmed off a line.
 SPACES = "".join(chr(code) for code in range(0x3001) if chr(code).isspace() and chr(code) != "\n")
 #: Sketch size: 2**12 registers, a relative standard error of about 1.6 %.
@@ -27,7 +22,7 @@ STANDARD_ERROR = 1.04 / 2 ** (LOG_K / 2)
 
 def line_rows(docs: DataFrame, id_col: str, text_col: str, site_col: str, min_words: int) -> DataFrame:
     """(r1, r2, site, lines) of each row: a hash that finds it again, its site, and its countable lines as structs of
-    place, trimmed length and a 128-bit key of the trimmed, lower-cased line."""
+    place and a 128-bit key of the trimmed, lower-cased line."""
     site = F.coalesce(F.col(site_col).cast("string"), F.lit(""))
     # Lower-casing in a projection of its own happens once a text.
     rows = docs.select(
@@ -40,51 +35,36 @@ def line_rows(docs: DataFrame, id_col: str, text_col: str, site_col: str, min_wo
         counts = x != ""
         if min_words > 1:
             counts = counts & (F.size(F.filter(F.split(x, f"[{SPACES}]+"), lambda w: w != "")) >= min_words)
-        return F.when(counts, F.struct(at.alias("at"), F.length(x).alias("n"), F.xxhash64(x).alias("k1"), F.xxhash64(F.lit(29), x).alias("k2")))
+        return F.when(counts, F.struct(at.alias("at"), F.xxhash64(x).alias("k1"), F.xxhash64(F.lit(29), x).alias("k2")))
 
     return rows.select("r1", "r2", "site", F.filter(F.transform("plain", line), lambda x: x.isNotNull()).alias("lines"))
 
 
 def page_lines(rows: DataFrame) -> DataFrame:
-    """(k1, k2, site, beside): the distinct lines of each page with its site and the longest other line of the page.
+    """(k1, k2, site): the lines of each page with its site; one that a page repeats is told again.
 
     Rows with the same lines in the same order are copies: they are one page, on one site.
     """
     keys = F.transform("lines", lambda x: F.struct(x["k1"].alias("k1"), x["k2"].alias("k2")))
-    pages = rows.where(F.size("lines") > 0).withColumn("keys", keys)
+    pages = rows.where(F.size("lines") > 0).select("site", keys.alias("keys"))
     pages = pages.groupBy(F.xxhash64("keys").alias("t1"), F.xxhash64(F.lit(7), "keys").alias("t2")).agg(
-        F.min("site").alias("site"), F.first("lines").alias("lines")
+        F.min("site").alias("site"), F.first("keys").alias("keys")
     )
-    # Of equally long lines the first one counts.
-    order = F.transform("lines", lambda x: F.struct(x["n"].alias("n"), (-x["at"]).alias("at"), x["k1"].alias("k1")))
-    pages = pages.select(
-        "site", F.array_distinct(F.transform("lines", lambda x: F.struct(x["k1"].alias("k1"), x["k2"].alias("k2")))).alias("keys"),
-        order.alias("order"), F.array_max(order)["k1"].alias("most"),
-    )
-    pages = pages.withColumn("next", F.array_max(F.filter("order", lambda x: x["k1"] != F.col("most")))["k1"])
-    found = pages.select("site", "most", "next", F.explode("keys").alias("key"))
-    beside = F.when(F.col("key.k1") == F.col("most"), F.coalesce("next", F.lit(0))).otherwise(F.col("most"))
-    return found.select("key.k1", "key.k2", "site", beside.alias("beside"))
+    return pages.select("site", F.explode("keys").alias("key")).select("key.k1", "key.k2", "site")
 
 
 def boilerplate_keys(lines: DataFrame, min_sites: int) -> DataFrame:
-    """(k1, k2, loose): lines on at least `min_sites` sites, and whether they change company from page to page.
+    """(k1, k2): lines on at least `min_sites` sites.
 
     A HyperLogLog sketch per line, merged by the aggregation, gives its spread. Where the estimate is within three
-    standard errors (at least one site) of the threshold, the distinct sites of the line are counted exactly. A line is
-    loose if the longest line beside it is a different one in a quarter of its pages, and in `min_sites` pages at least:
-    that of a notice changes from page to page, that of a passage in near copies does not.
+    standard errors (at least one site) of the threshold, the distinct sites of the line are counted exactly.
     """
     margin = max(1, round(3 * STANDARD_ERROR * min_sites))
     spread = lines.groupBy("k1", "k2").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LOG_K))).alias("sites"))
     spread = written(spread.where(F.col("sites") >= min_sites - margin), "spread")
     near = F.col("sites") <= min_sites + margin
-    counted = lines.join(spread, ["k1", "k2"]).groupBy("k1", "k2").agg(
-        F.max(near).alias("near"), F.count_distinct(F.when(near, F.col("site"))).alias("exact"),
-        F.count_distinct("beside").alias("kinds"), F.count("*").alias("pages"),
-    )
-    loose = (F.col("kinds") >= min_sites) & (F.col("kinds") >= MIN_COMPANY * F.col("pages"))
-    return counted.where(~F.col("near") | (F.col("exact") >= min_sites)).select("k1", "k2", loose.alias("loose"))
+    exact = lines.join(spread.where(near).select("k1", "k2"), ["k1", "k2"]).groupBy("k1", "k2").agg(F.count_distinct("site").alias("exact"))
+    return spread.where(~near).select("k1", "k2").unionByName(exact.where(F.col("exact") >= min_sites).select("k1", "k2"))
 
 
 def remove_boilerplate(
@@ -94,16 +74,13 @@ def remove_boilerplate(
     id_col: str = "doc_id",
     min_sites: int = MIN_SITES,
     min_words: int = MIN_WORDS,
-    near_copy: float = NEAR_COPY,
     carry: Sequence[str] = (),
 ) -> DataFrame:
     """The id, text and site columns of `docs`, the text without lines that stand on `min_sites` distinct sites.
 
     Adds n_lines and n_removed. Lines are compared trimmed and lower-cased; every line that is not empty counts, or has
     `min_words` words where that is set higher. Rows with the same lines are one page on one site, so the copies of a
-    text do not make its lines boilerplate. A page whose lines on `min_sites` sites make up more than `near_copy` of it
-    is as similar to others as near copies are: it loses only the lines that change company from page to page (see
-    boilerplate_keys), and what near copies share stays, for document-level deduplication.
+    text do not make its lines boilerplate; lines that near copies share go like any others.
 
     Defined cases: a null text stays null and has no lines; a null site is one site of its own; null ids and repeated
     rows are treated like any other row, repeated rows alike; an empty table gives no rows; other columns are not
@@ -117,19 +94,17 @@ def remove_boilerplate(
     )
     lined = written(line_rows(rows, "own_id", "own_text", "own_site", min_words), "lines")
     keys = written(boilerplate_keys(page_lines(lined), min_sites), "boilerplate")
-    placed = lined.select("r1", "r2", F.aggregate("lines", F.lit(0), lambda s, x: s + x["n"] + 1).alias("size"), F.explode("lines").alias("line"))
-    placed = placed.select("r1", "r2", "size", "line.at", "line.n", "line.k1", "line.k2").join(keys, ["k1", "k2"])
+    placed = lined.select("r1", "r2", F.explode("lines").alias("line")).select("r1", "r2", "line.at", "line.k1", "line.k2").join(keys, ["k1", "k2"])
     # Equal ids with equal texts lose the same lines, so a hash of both stands for the row; sets tell them once.
-    spread = F.collect_set(F.struct("at", "n", "loose"))
-    found = placed.groupBy("r1", "r2", "size").agg(spread.alias("spread"))
-    share = F.aggregate("spread", F.lit(0), lambda s, x: s + x["n"] + 1) / F.col("size")
-    at = lambda kept: F.transform(kept, lambda x: x["at"])
-    gone = F.when(share <= near_copy, at(F.col("spread"))).otherwise(at(F.filter("spread", lambda x: x["loose"])))
-    found = found.select("r1", "r2", gone.alias("removed")).where(F.size("removed") > 0)
+    found = placed.groupBy("r1", "r2").agg(F.array_sort(F.collect_set("at")).alias("removed"))
     row = {name: F.xxhash64(F.lit(seed), "own_id", "own_text") for name, seed in (("r1", 3), ("r2", 5))}
     joined = rows.withColumns(row).join(found, ["r1", "r2"], "left")
     lines = F.split("own_text", "\n")
-    left = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("removed", i)), "\n")
+    # What stands between lines that go is taken in slices, so the work grows with the lines and not with their square.
+    edges = F.concat(F.array(F.lit(-1)), "removed", F.array(F.size(lines)))
+    between = lambda own, cut: F.flatten(F.transform(F.sequence(F.lit(0), F.size(cut) - 2), lambda i: F.slice(own, F.get(cut, i) + 2, F.get(cut, i + 1) - F.get(cut, i) - 1)))
+    # A lambda's argument is computed once; named inside it, the text would be split anew for each slice.
+    left = F.transform(F.array(F.struct(lines.alias("own"), edges.alias("cut"))), lambda x: F.array_join(between(x["own"], x["cut"]), "\n"))[0]
     return joined.select(
         F.col("own_id").alias(id_col),
         F.when(F.col("removed").isNull(), F.col("own_text")).otherwise(left).alias(text_col),

@@ -12,7 +12,7 @@ from .decontaminate import leaked_items
 from .exact_dedup import exact_dedup
 from .html_text import extract_text
 from .language_id import language_id
-from .line_dedup import MIN_COMPANY, MIN_SITES, NEAR_COPY, SPACES, remove_boilerplate
+from .line_dedup import MIN_SITES, SPACES, remove_boilerplate
 from .merkle import manifest
 from .near_dup import near_duplicates
 from .packing import pack
@@ -92,19 +92,11 @@ WITH d AS (
     SELECT r, site, unnest(range(len(lines))) AS place, unnest(list_transform(lines, lambda x: trim(lower(x), {" || ".join(f"chr({ord(c)})" for c in SPACES)}))) AS key FROM d
   ) WHERE key <> ''
 ), p AS (
-  SELECT min(site) AS site, keys, row_number() OVER () AS page FROM (SELECT r, min(site) AS site, list(key ORDER BY place) AS keys FROM e GROUP BY r) GROUP BY keys
-), h AS (
-  SELECT page, min(site) AS site, key, row_number() OVER (PARTITION BY page ORDER BY length(key) DESC, min(place)) AS n
-  FROM (SELECT page, site, unnest(keys) AS key, unnest(range(len(keys))) AS place FROM p) GROUP BY page, key
-), f AS (
-  SELECT h.*, coalesce(o.key, '') AS beside FROM h LEFT JOIN h o ON o.page = h.page AND o.n = CASE WHEN h.n = 1 THEN 2 ELSE 1 END
+  SELECT min(site) AS site, keys FROM (SELECT r, min(site) AS site, list(key ORDER BY place) AS keys FROM e GROUP BY r) GROUP BY keys
 ), b AS (
-  SELECT key, count(DISTINCT beside) >= {MIN_SITES} AND count(DISTINCT beside) >= {MIN_COMPANY} * count(*) AS loose
-  FROM f GROUP BY key HAVING count(DISTINCT site) >= {MIN_SITES}
-), s AS (
-  SELECT r, sum(length(key) + 1) AS size, sum(length(key) + 1) FILTER (loose IS NOT NULL) / sum(length(key) + 1) AS share FROM e LEFT JOIN b USING (key) GROUP BY r
+  SELECT key FROM (SELECT site, unnest(keys) AS key FROM p) GROUP BY key HAVING count(DISTINCT site) >= {MIN_SITES}
 ), x AS (
-  SELECT r, list(place) AS removed FROM e JOIN b USING (key) JOIN s USING (r) WHERE loose OR share <= {NEAR_COPY!r} GROUP BY r
+  SELECT r, list(place) AS removed FROM e JOIN b USING (key) GROUP BY r
 )
 SELECT doc_id, CASE WHEN removed IS NULL THEN text
     ELSE coalesce(array_to_string(list_transform(list_filter(range(len(lines)), lambda i: NOT list_contains(removed, i)), lambda i: lines[i + 1]), chr(10)), '') END AS text,

@@ -1,7 +1,7 @@
 import random
 from collections import defaultdict
 
-from evidentia.llm.line_dedup import MIN_COMPANY, NEAR_COPY, boilerplate_keys, line_rows, page_lines, remove_boilerplate
+from evidentia.llm.line_dedup import boilerplate_keys, line_rows, page_lines, remove_boilerplate
 
 SCHEMA = "doc_id long, text string, source string"
 
@@ -16,21 +16,15 @@ def brute(rows, min_sites=3):
         told = tuple(k for k in map(key, (text or "").split("\n")) if k)
         if told:
             pages[told] = min(pages.get(told, source or ""), source or "")
-    sites, beside = defaultdict(set), defaultdict(list)
+    sites = defaultdict(set)
     for told, site in pages.items():
-        ranked = sorted(dict.fromkeys(told), key=lambda k: (-len(k), told.index(k)))
-        for k in ranked:
+        for k in told:
             sites[k].add(site)
-            beside[k].append(next((x for x in ranked if x != k), ""))
     spread = {k for k in sites if len(sites[k]) >= min_sites}
-    loose = {k for k in spread if len(set(beside[k])) >= max(min_sites, MIN_COMPANY * len(beside[k]))}
     out = []
     for doc, text, source in rows:
         lines = (text or "").split("\n")
-        size = sum(len(k) + 1 for k in map(key, lines) if k)
-        share = sum(len(k) + 1 for k in map(key, lines) if k in spread) / size if size else 0
-        gone = spread if share <= NEAR_COPY else loose
-        left = [x for x in lines if key(x) not in gone]
+        left = [x for x in lines if key(x) not in spread]
         out.append((doc, None if text is None else "\n".join(left), source, 0 if text is None else len(lines), len(lines) - len(left)))
     return sorted(out, key=str)
 
@@ -75,7 +69,7 @@ def test_pages_of_mostly_boilerplate_lose_it(spark):
     assert got == {k: (rows[k][1].split("\n")[3], 3) for k in range(6)} | {10 + k: (f"what page {k} tells, and nobody else", 3) for k in range(6)}
 
 
-def test_copies_stay_and_notices_alone_go(spark):
+def test_copies_stay_and_shared_lines_go(spark):
     notice = ["this notice stands on the pages of very many sites and is long", "a second notice that stands below the first one here"]
     rows = [(k, f"own words of page {k} which go on for much longer than all of the notices do\n" + notice[k % 2], f"s{k % 7}") for k in range(14)]
     rows += [(20, notice[0], "s1"), (21, "\n".join(notice), "s2")]
@@ -84,7 +78,20 @@ def test_copies_stay_and_notices_alone_go(spark):
     rows += [(60 + k, f"{news}\nprinted by {k} alone", f"s{k}") for k in range(5)]
     got = {r.doc_id: r.text for r in remove_boilerplate(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()}
     for doc, text, _ in rows:
-        assert got[doc] == (text.split("\n")[0] if doc < 20 else "" if doc < 40 else text)
+        assert got[doc] == (text.split("\n")[0] if doc < 20 else "" if doc < 40 else text if doc < 60 else text.split("\n")[-1])
+
+
+def test_three_lines_of_notice_go_whatever_their_share(spark):
+    notice = "\n".join(f"a long line of notice with the number {k} that every site shows below its pages" for k in range(3))
+    rows = [(k, f"{notice}\nown {k}", f"s{k}") for k in range(6)]
+    assert {(r.doc_id, r.text, r.n_removed) for r in remove_boilerplate(spark.createDataFrame(rows, SCHEMA)).collect()} == {(k, f"own {k}", 3) for k in range(6)}
+
+
+def test_texts_of_very_many_lines(spark):
+    many = [f"line {k % 3}" if k % 2 else f"own {k}" for k in range(200_000)]
+    rows = [(0, "\n".join(many), "s0"), *((k, "\n".join(["line 0", "line 1", "line 2", f"mine {k}"]), f"s{k}") for k in range(1, 4))]
+    got = {r.doc_id: r.text for r in remove_boilerplate(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got[0] == "\n".join(many[::2]) and got[2] == "mine 2"
 
 
 def test_white_space_and_scripts_without_spaces(spark):
