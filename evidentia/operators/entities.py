@@ -111,13 +111,6 @@ def _plain(name: str) -> str:
     return regex.sub(r"[\s\p{P}\p{S}]+", "", (name or "").strip(" \t\n\r\0\x0b").lower())
 
 
-def _cosine(a, b) -> float:
-    if a is None or b is None or len(a) != len(b) or len(a) == 0:
-        return -1.0
-    dot, left, right = sum(x * y for x, y in zip(a, b, strict=True)), sum(x * x for x in a), sum(y * y for y in b)
-    return dot / (left**0.5 * right**0.5) if left and right else -1.0
-
-
 def insert_absent(table: DataFrame, rows: DataFrame, key: list[str]) -> DataFrame:
     """The table and those rows whose key it lacks."""
     return table.unionByName(rows.dropDuplicates(key).join(table.select(*key), key, "left_anti").select(table.columns))

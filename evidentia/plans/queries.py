@@ -19,6 +19,7 @@ from ..operators import retrieval as R
 from ..operators import search as N
 from ..operators import store as T
 from ..operators import usage as U
+from ..operators.resolution import resolve
 from ..session import scratch_path, written
 from ..sources.tables import synthetic, table
 from ..streaming import calls as L
@@ -275,6 +276,26 @@ def r4_resolve(spark, sf):
     return _stored(spark, sf).entities.select("kb_id", "entity_id", "type", "canonical_name", F.array_join("aliases", ",").alias("aliases"))
 
 
+@query("r4_semantic", """WITH v AS (SELECT vec_id, CAST(label AS BIGINT) AS kb_id, embedding::DOUBLE[] AS e FROM embeddings), p AS (
+    SELECT i.kb_id, i.vec_id AS item, s.vec_id AS entity, list_cosine_similarity(CASE WHEN i.vec_id % 4 = 1 THEN list_concat([i.e[1] + 0.05], i.e[2:]) ELSE i.e END, s.e) AS score
+    FROM v i JOIN v s ON i.kb_id = s.kb_id AND s.vec_id % 2 = 1 WHERE i.vec_id % 4 <> 2),
+  r AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, entity) AS n, lead(score) OVER (PARTITION BY item ORDER BY score DESC, entity) AS second FROM p)
+  SELECT kb_id, item, CASE WHEN score >= 0.92 AND score - coalesce(second, -1) >= 0.05 THEN entity END AS entity FROM r WHERE n = 1 AND item % 4 <> 0""")
+def r4_semantic(spark, sf):
+    """Mentions that only their vectors can resolve (those of every other entity, some of them moved a little), against
+    entities with the odd vectors of their label."""
+    rows = table(spark, sf, "embeddings").select("vec_id", F.col("label").cast("bigint").alias("kb_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    none, empty = F.lit(None).cast("string"), F.array().cast("array<string>")
+    name = lambda what: F.concat(F.lit(what), F.col("vec_id").cast("string"))
+    known = rows.where("vec_id % 2 = 1").select("kb_id", F.col("vec_id").alias("entity_id"), F.lit("Concept").alias("type"), name("entity ").alias("canonical_name"), name("entity").alias("normalized_name"), none.alias("description"), empty.alias("aliases"), "embedding")
+    moved = F.when(F.col("vec_id") % 4 == 1, F.concat(F.array(F.col("embedding")[0] + 0.05), F.expr("slice(embedding, 2, size(embedding) - 1)"))).otherwise(F.col("embedding"))
+    items = rows.where("vec_id % 2 = 1").select("kb_id", F.lit("Concept").alias("type"), F.col("vec_id").alias("chunk_id"), F.lit(0).cast("long").alias("position"), name("mention ").alias("name"), none.alias("description"), empty.alias("aliases"), moved.alias("embedding"))
+    _, placed = resolve(items, known, Settings(semantic_resolution=True))
+    last = known.agg(F.max("entity_id").alias("last"))
+    told = placed.crossJoin(F.broadcast(last))
+    return told.select("kb_id", F.col("chunk_id").alias("item"), F.when(F.col("entity_id") <= F.col("last"), F.col("entity_id")).alias("entity"))
+
+
 @query("r5_mentions", f"""WITH {STORED_SQL} SELECT entity_id, chunk_id, 'Customer ' || o_custkey AS surface_form FROM lines JOIN buyers USING (kb_id, o_custkey)
   UNION ALL SELECT l_suppkey, chunk_id, CASE WHEN by_alias THEN 'S ' || l_suppkey ELSE s_name END FROM lines""")
 def r5_mentions(spark, sf):
@@ -427,6 +448,18 @@ def _local(spark, sf):
     return G.expand(G.seeds(asked, entities), relationships, 2)
 
 
+@query("j9_indexed_seeds", f"""WITH {GRAPH_SQL}, q AS (SELECT CAST(s_nationkey AS BIGINT) AS kb_id, CAST(s_suppkey AS BIGINT) AS query_id, 'whichpartsdoes' || regexp_replace(lower(s_name), '[\\s\\p{{P}}\\p{{S}}]+', '', 'g') || 'supplyands' || s_suppkey AS plain FROM supplier),
+  n AS (SELECT DISTINCT kb_id, entity_id, regexp_replace(lower(unnest(list_prepend(canonical_name, aliases))), '[\\s\\p{{P}}\\p{{S}}]+', '', 'g') AS name FROM ent),
+  h AS (SELECT DISTINCT query_id, kb_id, entity_id FROM q JOIN n USING (kb_id) WHERE length(name) >= 2 AND contains(plain, name))
+  SELECT query_id, kb_id, entity_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY entity_id) AS r FROM h) WHERE r <= 50""")
+def j9_indexed_seeds(spark, sf):
+    """Entities that a question about each supplier names, by the index of names."""
+    supplier = table(spark, sf, "supplier")
+    question = F.concat(F.lit("Which parts does "), "s_name", F.lit(" supply, and S-"), F.col("s_suppkey").cast("string"), F.lit("?"))
+    asked = supplier.select(F.col("s_suppkey").cast("bigint").alias("query_id"), F.col("s_nationkey").cast("bigint").alias("kb_id"), question.alias("question"))
+    return G.indexed_seeds(asked, written(G.name_index(X.entities(spark, sf)), "name-index"))
+
+
 @query("r8_local_nodes", f"WITH {GRAPH_SQL}, {QUESTIONS_SQL}, {EXPAND_SQL} SELECT query_id, entity_id, hop FROM nodes")
 def r8_local_nodes(spark, sf):
     """Entities around those that a question of each nation names, over two hops."""
