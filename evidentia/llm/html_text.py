@@ -42,7 +42,7 @@ IMPLIED = {
 }
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 DROPPED = frozenset(
-    "head script style noscript template iframe object embed applet svg math canvas audio video nav aside footer "
+    "head script style noscript template iframe object embed applet svg annotation canvas audio video nav aside footer "
     "button select input textarea label fieldset dialog menu title noembed noframes xmp".split()
 )
 DROPPED_ROLES = frozenset(
@@ -89,6 +89,20 @@ def _unwanted_name(value: str) -> int:
     return out
 
 
+def _doubt(tag: str, classes: str, ident: str) -> int:
+    """What the names of an element say of it, as _unwanted_name tells.
+
+    Words inside a line and headings are never marked by their names, and a paragraph only by one that never names a part
+    of an article. The id of a section is often made from its heading, so it counts only if it says nothing else.
+    """
+    if tag not in BLOCK or tag in HEADINGS:
+        return 0
+    if tag == "section" and not all(w.lower() in UNWANTED for w in _WORDS.findall(ident)):
+        ident = ""
+    found = _unwanted_name(f"{classes} {ident}")
+    return found if tag != "p" or found == 3 else 0
+
+
 class Page:
     """The element tree of a page as parallel lists, and its text in page order."""
 
@@ -118,7 +132,7 @@ class Page:
             drop = drop or hidden or attributes.get("role", "").lower() in DROPPED_ROLES
             if names != " " and tag not in ("html", "body"):
                 if tag not in ("article", "main") or (tag == "article" and any(self.tag[s] == "article" for s in stack)):
-                    doubt = max(doubt, _unwanted_name(names))
+                    doubt = max(doubt, _doubt(tag, attributes.get("class", ""), attributes.get("id", "")))
                 weight = 25 if not CONTENT.isdisjoint(w.lower() for w in _WORDS.findall(names)) else 0
         if tag == "header" and not any(self.tag[s] in ("article", "main") for s in stack):
             drop = True

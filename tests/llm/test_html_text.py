@@ -1,6 +1,8 @@
 import random
 import time
 
+import pytest
+
 from evidentia.llm.html_text import Page, extract_text, main_text
 
 ARTICLE = "<h1>Title &amp; more</h1><p>First, a paragraph, with commas, that is long enough to count.</p><p>Second&nbsp;one\n  with   space<br>and a break.</p><p>Ti.</p>"
@@ -153,3 +155,19 @@ def test_the_best_container_equals_a_plain_scorer():
             continue
         top = max(map(score, points))
         assert abs(score(tuple(reversed(path))) - top) < 1e-9
+
+
+LONG = "This is a long paragraph of an article, with commas, and many words, so that it is found as the text of the page. " * 3
+
+
+@pytest.mark.parametrize(("part", "told"), [
+    ('<p>We looked for the word <span class="search-term">penguin</span> in the sea.</p>', "We looked for the word penguin in the sea."),
+    ('<pre><code>x = 1 <span class="hljs-comment"># note</span></code></pre>', "x = 1 # note"),
+    ('<h2 id="related-work">Related work</h2>', "Related work"), ('<h2 id="search">Search</h2>', "Search"), ('<h2 id="comments-on-the-law">Comments</h2>', "Comments"),
+    ('<p class="search-demo">demo words</p>', "demo words"), ('<p class="advert">buy this</p>', None), ("<p>So <math><mi>a</mi><mo>=</mo><mi>b</mi></math> holds.</p>", "So a=b holds."),
+    ('<section id="copyright-law"><p>Of rights.</p></section>', "Of rights."), ('<section id="related-work"><p>Of others.</p></section>', "Of others."),
+    ('<section id="comments"><p>A reader says this.</p></section>', None), ('<section class="related"><p>See also.</p></section>', None),
+])
+def test_names_inside_an_article(part, told):
+    got = main_text(f"<html><body><article><p>{LONG}</p>{part}<p>{LONG}</p></article></body></html>").split("\n")
+    assert got == [LONG.strip(), *([told] if told else []), LONG.strip()]
