@@ -949,6 +949,16 @@ def s10_token_stream(spark, sf):
     return sse_answers(read_log(spark, log, rows.schema))
 
 
+@query("s7_metadata", """SELECT click_id, client_id, props->>'$.device.os' AS os, TRY_CAST(props->>'$.items[0].sku' AS BIGINT) AS sku, TRY_CAST(props->>'$.k' AS BIGINT) AS k
+  FROM (SELECT click_id, client_id, CASE WHEN json_valid(props) THEN props END AS props FROM clicks) WHERE props->>'$.device.os' IN ('ios', 'web')""")
+def s7_metadata(spark, sf):
+    """Clicks whose open properties name one of two systems: nested values of a variant."""
+    rows = table(spark, sf, "clicks").select("click_id", "client_id", S.parsed_metadata(F.col("props")).alias("metadata"))
+    field = lambda path, kind="string": S.metadata_field(F.col("metadata"), path, kind)
+    told = rows.select("click_id", "client_id", field("$.device.os").alias("os"), field("$.items[0].sku", "bigint").alias("sku"), field("$.k", "bigint").alias("k"))
+    return told.where(F.col("os").isin("ios", "web"))
+
+
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """Hybrid search: vector and keyword order fused, the best candidates of each stated question."""
     return QUERIES["r12_rrf"](spark, sf)
