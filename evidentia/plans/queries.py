@@ -959,6 +959,21 @@ def s7_metadata(spark, sf):
     return told.where(F.col("os").isin("ios", "web"))
 
 
+@query("r25_indexed_stream", f"WITH {CHUNKS_SQL.replace('FROM documents', 'FROM (SELECT * FROM documents WHERE lang IS NOT NULL)')} SELECT doc_id, title, position, content, true AS embedded FROM chunks")
+def r25_indexed_stream(spark, sf):
+    """Chunks with vectors, after a stream of all documents was indexed into keyed tables in two starts of one query."""
+    from ..operators.keyed import Store
+    from ..streaming.indexing import index_available
+    from .models import HashEmbedder, ScriptedChat
+
+    docs = table(spark, sf, "documents").where("lang IS NOT NULL").select("doc_id", F.crc32("lang").alias("kb_id"), F.col("source").alias("title"), "text", F.lit(1).cast("bigint").alias("index_version"))
+    landing, checkpoint, store = scratch_path(spark, "landing"), scratch_path(spark, "landing-offsets"), Store(spark, scratch_path(spark, "store"))
+    for half in (docs.where("doc_id % 2 = 0"), docs.where("doc_id % 2 = 1")):
+        half.write.mode("append").json(landing)
+        index_available(spark, landing, store, checkpoint, HashEmbedder(4), ScriptedChat(lambda _: "{}"))
+    return store.load().chunks.select("doc_id", "title", "position", "content", (F.size("embedding") == 4).alias("embedded"))
+
+
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """Hybrid search: vector and keyword order fused, the best candidates of each stated question."""
     return QUERIES["r12_rrf"](spark, sf)
