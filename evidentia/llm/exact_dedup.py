@@ -11,6 +11,8 @@ from .common import fold_ascii, pick
 #: Runs at the leaves of the tree, and how many neighbours one round merges (2**3: three binomial rounds at once).
 LEAF_RUNS = 64
 FAN_IN = 8
+#: Leading bytes of a digest that tell its range: 2**24 ranges, so a last round has room for as many tasks as there are.
+RANGE_BYTES = 3
 
 
 def digest_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -39,7 +41,7 @@ def tree_merge(rows: DataFrame, keep: str, leaf_runs: int = LEAF_RUNS, fan_in: i
     key = ["part", "run", "digest", "n_bytes", "verify"]
     # A struct as buffer makes the planner aggregate in sorted order, partial runs before an exchange included.
     level = rows.select(
-        F.conv(F.hex(F.substring("digest", 1, 2)), 16, 10).cast("int").alias("part"),
+        F.conv(F.hex(F.substring("digest", 1, RANGE_BYTES)), 16, 10).cast("int").alias("part"),
         F.pmod(F.spark_partition_id(), F.lit(leaf_runs)).alias("run"),
         *key[2:],
         F.struct(F.col("doc_id").alias("id")).alias("kept"),
