@@ -26,7 +26,8 @@ def indexed(held: Held, documents: DataFrame, embedder: Embedder, model: ChatMod
     them merged into the graph, and what they held before gone.
 
     Of a document that is given several times the newest version counts; one that is older than the stored one, or as old
-    and ready, is passed over. Documents that cannot be taken in fail with a reason and keep no chunks.
+    and ready, is passed over. Documents that cannot be taken in fail with a reason and keep no chunks. A document stays in
+    the knowledge base that it was first given to.
     """
     spark = documents.sparkSession
     stored = held.documents.select("doc_id", F.col("index_version").alias("have"), F.col("status").alias("was"))
@@ -41,8 +42,7 @@ def indexed(held: Held, documents: DataFrame, embedder: Embedder, model: ChatMod
     told = fresh.join(state.select("doc_id", "status", "reason"), "doc_id").select(*_columns(DOCUMENTS))
     before = held.documents.join(told.select("doc_id"), "doc_id", "left_anti").unionByName(told)
     vectors = (lambda text: embed_column(spark, embedder, text)) if settings.semantic_resolution else None
-    changed = fresh.select("doc_id", "kb_id", F.when(F.lit(True), F.col("text")).alias("text"))
-    _, kept, graph = reindex(held.graph, held.documents, held.chunks, changed, chunks.select(*_columns(CHUNKS)), written(extraction, "extraction"), settings, vectors)
+    _, kept, graph = reindex(held.graph, held.documents, held.chunks, fresh.select("doc_id", "kb_id", "text"), chunks.select(*_columns(CHUNKS)), written(extraction, "extraction"), settings, vectors)
     return Held(before, kept, graph)
 
 
