@@ -19,6 +19,7 @@ class Settings:
     top_k: int = 5
     graph_enabled: bool = False
     community_levels: int = 2
+    task_edges: int = 2_000_000
     max_nodes: int = 50
     rerank_enabled: bool = False
     rerank_candidates: int = 20

@@ -586,6 +586,24 @@ def r19_cover(spark, sf):
     return finest.join(joined.groupBy("kb_id").agg((F.max("n") == 1).alias("nested")), "kb_id", "left").withColumn("nested", F.coalesce("nested", F.lit(True)))
 
 
+@query("r19_spread", f"WITH {GRAPH_SQL} SELECT kb_id, count(*) AS members, true AS dense, true AS nested, true AS close FROM ent GROUP BY kb_id")
+def r19_spread(spark, sf):
+    """Hierarchies of which no task holds a graph: the invariants of r19_cover, and a modularity that is at most 1 %
+    below that of moves in order."""
+    entities, relationships = X.stored(spark, sf)
+    found = written(C.detect(entities, relationships, Settings(task_edges=0)), "spread")
+    finest = found.where("level = 0").groupBy("kb_id").agg(F.count("*").alias("members"), (F.count_distinct("label") == F.max("label") + 1).alias("dense"))
+    below = found.select("kb_id", "entity_id", (F.col("level") + 1).alias("level"), F.col("label").alias("below"))
+    joined = found.join(below, ["kb_id", "entity_id", "level"]).groupBy("kb_id", "level", "below").agg(F.count_distinct("label").alias("n"))
+    nested = joined.groupBy("kb_id").agg((F.max("n") == 1).alias("nested"))
+    graph = written(C.merged_graph(entities, relationships), "graph")
+    best = lambda labels, name: C.modularity(graph, labels).groupBy("kb_id").agg(F.max("modularity").alias(name))
+    worth = best(found, "here").join(best(written(C.detect(entities, relationships), "in-order"), "there"), "kb_id")
+    worth = worth.select("kb_id", (F.col("here") >= 0.99 * F.col("there") - 1e-9).alias("close"))
+    out = finest.join(nested, "kb_id", "left").join(worth, "kb_id", "left")
+    return out.select("kb_id", "members", "dense", F.coalesce("nested", F.lit(True)).alias("nested"), F.coalesce("close", F.lit(True)).alias("close"))
+
+
 @query("r20_cover", f"WITH {GRAPH_SQL} SELECT kb_id, count(*) AS entities, true AS ranked, true AS scored FROM ent GROUP BY kb_id")
 def r20_cover(spark, sf):
     """What must hold of any build: its finest communities hold every entity, ranks are members and inner edges, and

@@ -1,0 +1,98 @@
+"""Communities found in rounds, against what must hold of any hierarchy and against moves in order."""
+
+import random
+from collections import defaultdict
+
+import pytest
+
+from evidentia.config import Settings
+from evidentia.operators import communities as C
+from evidentia.operators import moves as M
+from evidentia.session import written
+from tests.test_graph import CLIQUES, connected, groups, modularity
+
+NODES, EDGES = "kb_id long, entity_id long", "kb_id long, source long, target long, weight double"
+
+
+def drawn(seed, n, group, edges, stray):
+    """A graph of planted groups, of which some edges stray; one node has an edge to a third of all."""
+    rng = random.Random(seed)
+    out = []
+    while len(out) < edges:
+        a = rng.randrange(n)
+        b = rng.randrange(n) if rng.random() < stray else a // group * group + rng.randrange(group)
+        if b < n:
+            out.append((a, b, rng.choice([0.5, 1.0, 2.0])))
+    return out + [(0, x, 0.1) for x in range(0, n, 3)]
+
+
+@pytest.fixture(scope="module")
+def found(spark):
+    graphs = {1: drawn(1, 240, 12, 900, 0.2), 2: drawn(2, 150, 50, 700, 0.3), 3: [*CLIQUES, (13, 20, 0.25), (10, 99999, 4.0), (11, 22, -1.0), (11, 22, None)], 4: []}
+    nodes = {kb: sorted({x for e in graph for x in e[:2] if x != 99999}) for kb, graph in graphs.items()} | {4: [6, 7]}
+    nodes[1].append(5000)  # without edges
+    rows = [(kb, x) for kb, own in nodes.items() for x in own]
+    ents = spark.createDataFrame(rows + rows[:5], NODES)
+    edges = spark.createDataFrame([(kb, *e) for kb, graph in graphs.items() for e in graph], EDGES)
+    levels = written(C.detect(ents, edges, Settings(community_levels=3, task_edges=0)), "t")
+    parts = defaultdict(dict)
+    for r in levels.collect():
+        assert r.entity_id not in parts[r.kb_id, r.level]
+        parts[r.kb_id, r.level][r.entity_id] = r.label
+    return graphs, nodes, ents, edges, levels, parts
+
+
+def test_every_level_labels_every_entity_once_and_joins_whole_communities(found):
+    graphs, nodes, _, _, _, parts = found
+    for (kb, level), part in parts.items():
+        assert sorted(part) == nodes[kb]
+        order = list(dict.fromkeys(part[x] for x in nodes[kb]))
+        assert order == list(range(len(order)))  # from 0, by smallest entity
+        if level:
+            above = defaultdict(set)
+            for x, label in part.items():
+                above[parts[kb, level - 1][x]].add(label)
+            assert all(len(x) == 1 for x in above.values()) and len(groups(part)) < len(above)
+    assert {kb for kb, _ in parts} == set(graphs)
+
+
+def test_communities_are_connected(found):
+    graphs, _, _, _, _, parts = found
+    for (kb, _), part in parts.items():
+        known = [e for e in graphs[kb] if e[1] != 99999 and (e[2] is None or e[2] > 0)]
+        assert all(connected(g, known) for g in groups(part))
+
+
+def test_modularity_is_near_that_of_moves_in_order(found):
+    graphs, nodes, ents, edges, levels, parts = found
+    told = {(r.kb_id, r.level): r.modularity for r in C.modularity(C.merged_graph(ents.distinct(), edges), levels).collect()}
+    for kb in (1, 2):
+        exact = [modularity(p, graphs[kb]) for p in C.hierarchy(nodes[kb], graphs[kb], 3)]
+        here = [modularity(p, graphs[kb]) for (k, _), p in sorted(parts.items()) if k == kb]
+        assert max(here) >= 0.99 * max(exact)
+        assert told[kb, 0] == pytest.approx(here[0])
+    assert (4, 0) not in told and groups(parts[4, 0]) == [[6], [7]]
+
+
+def test_cliques_are_found(spark):
+    ents = spark.createDataFrame([(1, 10 * k + a) for k in (1, 2) for a in range(4)], NODES)
+    edges = spark.createDataFrame([(1, *e) for e in [*CLIQUES, (13, 20, 0.25)]], EDGES)
+    got = C.detect(ents, edges, Settings(task_edges=0)).where("level = 0").collect()
+    assert {(r.entity_id, r.label) for r in got} == {(10 * k + a, k - 1) for k in (1, 2) for a in range(4)}
+
+
+def test_large_graphs_alone_take_rounds(spark, found, monkeypatch):
+    _, nodes, ents, edges, _, _ = found
+    taken = []
+    monkeypatch.setattr(C, "spread_hierarchy", lambda points, graph, levels: taken.append({r.kb_id for r in points.collect()}) or M.spread_hierarchy(points.limit(0), graph.limit(0), 1))
+    got = C.detect(ents, edges, Settings(task_edges=600))
+    exact = C.detect(ents, edges).where("kb_id > 2")
+    assert taken == [{1, 2}]
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, exact.collect()))
+
+
+def test_a_level_that_runs_out_of_rounds_keeps_the_best_labels(spark, found):
+    _, nodes, ents, edges, _, _ = found
+    graph = C.merged_graph(ents.distinct(), edges)
+    rows = M.spread_hierarchy(ents.distinct(), graph, 1, max_rounds=1).collect()
+    assert sorted((r.kb_id, r.entity_id) for r in rows) == sorted((kb, x) for kb, own in nodes.items() for x in own)
