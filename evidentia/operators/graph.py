@@ -122,11 +122,24 @@ def community_search(queries: DataFrame, communities: DataFrame, k: int = 5) ->
 
 
 def community_chunks(selected: DataFrame, members: DataFrame, edges: DataFrame, evidence: DataFrame) -> DataFrame:
-    """(query_id, chunk_id, rank) of chunks that prove edges between members of the selected communities."""
-    inside = selected.select("query_id", "community_id").join(members, "community_id").select("query_id", "entity_id").distinct()
-    both = edges.join(inside.withColumnRenamed("entity_id", "source"), "source")
-    both = both.join(inside.withColumnRenamed("entity_id", "target"), ["query_id", "target"])
-    rows = both.join(evidence, "relationship_id")
+    """(query_id, chunk_id, rank) of chunks that prove edges between members of the selected communities.
+
+    Entities of the same selected communities are alike to all questions, so edges meet the sets of communities at their
+    ends, one row an edge, and questions only join once the pairs of sets are known that have any.
+    """
+    chosen = written(selected.select("query_id", "community_id").distinct(), "selected")
+    inside = members.join(bounded(chosen.select("community_id").distinct()), "community_id")
+    sets = inside.groupBy("entity_id").agg(F.array_sort(F.collect_set("community_id")).alias("held"))
+    sets = written(sets.withColumn("set_id", F.sha2(F.array_join(F.col("held").cast("array<string>"), ","), 256)), "sets")
+    asked = sets.select("set_id", "held").dropDuplicates(["set_id"]).select("set_id", F.explode("held").alias("community_id")).join(chosen, "community_id").select("query_id", "set_id").distinct()
+    asked = written(asked, "asked-sets")
+    own = lambda side: sets.select(F.col("entity_id").alias(side), F.col("set_id").alias(f"{side}_set"))
+    placed = written(edges.select("relationship_id", "source", "target").join(own("source"), "source").join(own("target"), "target").select("relationship_id", "source_set", "target_set"), "inner-edges")
+    pairs = placed.select("source_set", "target_set").distinct()
+    pairs = pairs.join(asked.withColumnRenamed("set_id", "source_set"), "source_set").join(asked.withColumnRenamed("set_id", "target_set"), ["query_id", "target_set"])
+    pairs = pairs.groupBy("source_set", "target_set").agg(F.collect_list("query_id").alias("queries"))
+    both = placed.join(dealt_anew(pairs, "source_set", "target_set"), ["source_set", "target_set"]).select("relationship_id", "queries")
+    rows = both.join(evidence, "relationship_id").withColumn("query_id", F.explode("queries"))
     first = rows.groupBy("query_id", "chunk_id").agg(F.min(F.struct((-F.col("confidence")).alias("c"), "relationship_id", "evidence_id")).alias("at"))
     order = Window.partitionBy("query_id").orderBy("at")
     return first.select("query_id", "chunk_id", F.row_number().over(order).cast("bigint").alias("rank"))
