@@ -98,3 +98,61 @@ def test_health_is_unknown_after_its_lifetime(spark, tmp_path):
     plain = spark.createDataFrame([(p, h, t) for p, _, h, t in probes], "provider_id long, healthy boolean, created_at timestamp")
     for now in (0, 99, 100, 399, 400, 401, 499, 650, 1199, 1200):
         assert sorted(map(tuple, G.health_at(changes, at(now)).collect())) == sorted(map(tuple, L.health(plain, at(now), 300).collect()))
+
+
+def test_calls_that_end_when_they_start_hold_nothing_after(spark, tmp_path):
+    """Ends come first at one instant, as in the log's running sum; calls without length were counted for ever."""
+    rows = [(1, 1, 1, 1, at(0)), (1, 1, 1, -1, at(0)), (2, 1, 1, 1, at(0)), (2, 1, 1, -1, at(5)), (3, 1, 1, 1, at(3)), (3, 1, 1, -1, at(3)), (4, 1, 1, 1, at(9)), (4, 1, 1, -1, at(12))]
+    got = streamed(spark, tmp_path, "call_id long, provider_id long, model_id long, step int, at timestamp", [rows, [(0, -1, -1, 1, FAR)]], lambda s: G.concurrency_stream(s, lease=10**6))
+    sums, running = {}, 0
+    for call, _, _, step, _ in sorted(rows, key=lambda r: (r[4], r[3], r[0])):
+        running += step
+        if step > 0:
+            sums[call] = running
+    assert {r.call_id: r.running for r in got} == sums == {1: 0, 2: 1, 3: 1, 4: 1}
+
+
+def test_waiting_rows_are_packed():
+    """Rows wait as few values of the state, come out in order once the watermark has passed them, and the rest waits on."""
+    import pandas as pd
+
+    class Held:
+        def __init__(self):
+            self.values = []
+
+        def exists(self):
+            return bool(self.values)
+
+        def get(self):
+            return iter(self.values)
+
+        def appendList(self, more):
+            self.values += more
+
+        def clear(self):
+            self.values = []
+
+    class Times:
+        def __init__(self, now):
+            self.now = now
+
+        def getCurrentWatermarkInMs(self):
+            return self.now
+
+    seen = []
+
+    class Kept(G.InOrder):
+        def step(self, key, rows, now):
+            seen.extend(rows)
+            return iter(())
+
+    kept = Kept()
+    kept.waiting, kept.wake = Held(), lambda at: None
+    rng = random.Random(3)
+    rows = [(rng.randint(1, 9_000_000), i, rng.randint(0, 1)) for i in range(25_000)]
+    list(kept.handleInputRows((1,), iter([pd.DataFrame(rows, columns=["at", "id", "flag"])]), None))
+    assert len(kept.waiting.values) == 3
+    list(kept.handleExpiredTimer((1,), Times(4_000), None))
+    assert seen == sorted((a, f, i) for a, i, f in rows if a <= 4_000_000)
+    list(kept.handleExpiredTimer((1,), Times(10_000), None))
+    assert seen == sorted((a, f, i) for a, i, f in rows) and not kept.waiting.values
