@@ -282,3 +282,17 @@ def test_vectors_are_made_where_resolution_is_semantic(spark):
     rows = [(1, 1, [entity("a", "blue whale"), entity("b", "whale blue")], [])]
     graph = S.store_extraction(S.Graph.of(spark), spark.createDataFrame(rows, EXTRACTION), settings, lambda text: embed_column(spark, HashEmbedder(32), text))
     assert [(r.canonical_name, r.aliases) for r in graph.entities.collect()] == [("blue whale", ["whale blue"])]
+
+
+def test_mentions_by_the_alias_of_one_stored_entity_are_walked_once(spark):
+    known = spark.createDataFrame([(1, 7, "Organization", "Oak Ltd", "oakltd", None, ["OL", "Tree"], None), (1, 8, "Organization", "Elm Ltd", "elmltd", None, ["Tree"], None)], S.ENTITY)
+    items = [(1, "Organization", k, 0, "O.L.", None, [], None) for k in range(6)] + [(1, "Organization", k, 1, "tree", None, [], None) for k in range(6)]
+    items += [(1, "Person", k, 2, "ann" if k else "Ann", f"d{k}", [], None) for k in range(6)]
+    told = spark.createDataFrame(items, ITEMS)
+    plain = F.regexp_replace(F.lower("canonical_name"), "[^a-z]", "")
+    _, variants = _variants(told.withColumnsRenamed({"name": "canonical_name"}).withColumn("normalized_name", plain), known)
+    assert {r.normalized_name: r["count"] for r in variants.groupBy("normalized_name").count().collect()} == {"ol": 1, "tree": 6, "ann": 2}
+    made, found = resolve(told, known, keep=("name",))
+    assert {(r.name.lower(), r.entity_id) for r in found.collect()} == {("o.l.", 7), ("tree", 9), ("ann", 10)}
+    ids = {r.entity_id: (r.canonical_name, r.aliases, r.description) for r in made.collect()}
+    assert ids == {7: ("Oak Ltd", ["OL", "Tree", "O.L."], None), 8: ("Elm Ltd", ["Tree"], None), 9: ("tree", [], None), 10: ("Ann", [], "d0")}
