@@ -112,11 +112,33 @@ def _walk(frame: pd.DataFrame, breaker: Breaker) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=[x.split(" ")[0] for x in BREAKER.split(", ")])
 
 
+def _walker(threshold: int, cooldown: float):
+    def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows that come part by part, in order; of a part only its breaker is held."""
+        now, breaker = None, Breaker(threshold=threshold, cooldown=cooldown)
+        for frame in frames:
+            allowed, failures, opened = [], [], []
+            for part, at, good in zip(frame["part"].tolist(), frame["at"].tolist(), frame["good"].tolist(), strict=True):
+                if part != now:
+                    now, breaker = part, Breaker(threshold=threshold, cooldown=cooldown)
+                seconds = at / 1_000_000
+                through = breaker.allows(seconds)
+                if through:
+                    breaker.record(good, seconds)
+                allowed.append(through)
+                failures.append(breaker.failures)
+                opened.append(breaker.opened is not None)
+            yield frame[["provider_id", "model_id", "call_id", "created_at"]].assign(allowed=allowed, failures=failures, open=opened)
+
+    return walk
+
+
 def breaker_log(calls: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """The breaker of each provider and model along a log: whether each call was let through, and the state after it.
 
     A log is cut into parts that are walked by themselves: after a success with no failure within a cool-down before it,
     a breaker is closed and has no failures, whatever came before. In each block of time the first such call ends a part.
+    Parts are sorted by Spark and pass by in batches, so Python never holds one.
     """
     ship(calls.sparkSession)
     threshold, cooldown = settings.breaker_failures, settings.breaker_cooldown
@@ -135,11 +157,11 @@ def breaker_log(calls: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     blocks = blocks.withColumn("part", F.count("first").over(before))
     after = F.coalesce(F.struct("created_at", "call_id") > F.col("first"), F.lit(False)).cast("long")
     parted = rows.join(blocks, [*pair, "block"]).select(*pair, "call_id", "created_at", "status", (F.col("part") + after).alias("part"))
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        return _walk(frame, Breaker(threshold=threshold, cooldown=cooldown))
-
-    return parted.groupBy(*pair, "part").applyInPandas(lambda frame: run(frame.drop(columns="part")), BREAKER)
+    told = F.concat_ws(":", *(F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in (*pair, "part")))
+    good = F.col("status").eqNullSafe("success")
+    parted = parted.select(*pair, "call_id", "created_at", told.alias("part"), F.unix_micros("created_at").alias("at"), good.alias("good"))
+    dealt = parted.repartition("part").sortWithinPartitions("part", "at", "call_id")
+    return dealt.mapInPandas(_walker(threshold, cooldown), BREAKER)
 
 
 def breaker_stream(calls: DataFrame, settings: Settings = DEFAULTS, late: str = "10 minutes") -> DataFrame:

@@ -2,6 +2,7 @@ import datetime as dt
 import json
 import random
 
+import pandas as pd
 import pytest
 
 from evidentia.config import Settings
@@ -38,6 +39,22 @@ def test_breaker_opens_and_recovers(spark):
     assert [(r.allowed, r.open) for r in got] == [(True, False), (True, True), (False, True), (True, False)]
 
 
+def test_a_part_passes_by_in_batches():
+    read = []
+
+    def batches():
+        for k in range(3):
+            read.append(k)
+            yield pd.DataFrame({"provider_id": 1, "model_id": 1, "call_id": [2 * k, 2 * k + 1], "created_at": at(k), "part": ["a", "b" if k == 2 else "a"], "at": k * 1_000_000, "good": False})
+
+    out = L._walker(3, 60)(batches())
+    first = next(out)
+    assert read == [0] and first.failures.tolist() == [1, 2] and first.open.tolist() == [False, False]
+    second, third = out
+    assert second.open.tolist() == [True, True] and second.allowed.tolist() == [True, False]
+    assert third.allowed.tolist() == [False, True] and third.failures.tolist() == [3, 1]
+
+
 @pytest.mark.parametrize("seed", range(2))
 def test_parts_of_a_history_are_walked_as_a_whole(spark, seed):
     rng = random.Random(seed)
