@@ -96,3 +96,45 @@ def test_a_level_that_runs_out_of_rounds_keeps_the_best_labels(spark, found):
     graph = C.merged_graph(ents.distinct(), edges)
     rows = M.spread_hierarchy(ents.distinct(), graph, 1, max_rounds=1).collect()
     assert sorted((r.kb_id, r.entity_id) for r in rows) == sorted((kb, x) for kb, own in nodes.items() for x in own)
+
+
+def spread_parts(spark, graphs, nodes, block):
+    ents = spark.createDataFrame([(kb, x) for kb, own in nodes.items() for x in own], NODES)
+    edges = spark.createDataFrame([(kb, *e) for kb, graph in graphs.items() for e in graph], EDGES)
+    parts = defaultdict(dict)
+    for r in M.spread_hierarchy(ents, C.merged_graph(ents, edges), 3, block=block).collect():
+        assert r.entity_id not in parts[r.kb_id, r.level]
+        parts[r.kb_id, r.level][r.entity_id] = r.label
+    return parts
+
+
+def test_blocks_that_hold_what_hangs_together_move_as_in_order(spark):
+    graphs = {kb: [(a + 1000 * k, b + 1000 * k, w) for k in range(6) for a, b, w in drawn(10 * kb + k, 60, 10, 150, 0.2)] for kb in (1, 2)}
+    nodes = {kb: sorted({x for e in graph for x in e[:2]}) for kb, graph in graphs.items()}
+    parts = spread_parts(spark, graphs, nodes, 250)  # a knowledge base has about 900 edges in six parts
+    for kb in graphs:
+        exact = C.hierarchy(nodes[kb], graphs[kb], 3)
+        assert [p for (k, _), p in sorted(parts.items()) if k == kb] == exact
+
+
+def test_cut_graphs_and_a_star_that_no_block_holds(spark):
+    star = [(7, x, 1.0) for x in range(1000, 1400)] + [(x, x + 1, 0.5) for x in range(1000, 1050)]
+    graphs = {1: drawn(1, 240, 12, 900, 0.2), 2: drawn(2, 150, 50, 700, 0.3), 3: star}
+    nodes = {kb: sorted({x for e in graph for x in e[:2]}) for kb, graph in graphs.items()}
+    parts = spread_parts(spark, graphs, nodes, 100)
+    for kb, graph in graphs.items():
+        here = [p for (k, _), p in sorted(parts.items()) if k == kb]
+        exact = [modularity(p, graph) for p in C.hierarchy(nodes[kb], graph, 3)]
+        if kb < 3:
+            assert max(modularity(p, graph) for p in here) >= 0.95 * max(exact)
+        for p in here:
+            assert sorted(p) == nodes[kb] and all(connected(g, graph) for g in groups(p))
+            assert list(dict.fromkeys(p[x] for x in nodes[kb])) == list(range(len(groups(p))))
+
+
+def test_a_graph_that_cannot_be_planned_is_dealt_by_hash(spark, monkeypatch):
+    monkeypatch.setattr(M, "PLAN_EDGES", 10)
+    graphs = {1: drawn(1, 240, 12, 900, 0.2)}
+    nodes = {1: sorted({x for e in graphs[1] for x in e[:2]})}
+    for (_, _), p in spread_parts(spark, graphs, nodes, 100).items():
+        assert sorted(p) == nodes[1] and all(connected(g, graphs[1]) for g in groups(p))
