@@ -10,7 +10,9 @@ from ..functions.scalar import cosine, normalize_name
 from ..session import written
 from .components import dealt_anew
 from .retrieval import bounded
-from .search import GRAM, pieces
+
+#: Characters of a name by which it is found.
+HEAD = 64
 
 
 def seeds(questions: DataFrame, entities: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
@@ -29,30 +31,29 @@ def seeds(questions: DataFrame, entities: DataFrame, settings: Settings = DEFAUL
 
 
 def name_index(entities: DataFrame) -> DataFrame:
-    """(kb_id, gram, name, entity_id): the normalized names and aliases of entities by the rarest of their pieces.
+    """(kb_id, key, size, name, entity_id): the normalized names and aliases of entities by a hash of their first `size`
+    characters: all of them, but of names of more than HEAD.
 
-    A name stands in a question only if all its pieces do, so it is enough to look for the one that the fewest names of
-    the knowledge base hold; names that are no longer than a piece are their own piece.
+    A name stands in a question only if a piece of its size there has its hash, so what meets is what matches, however
+    many names share their parts.
     """
     empty = F.array().cast("array<string>")
     names = F.transform(F.concat(F.array("canonical_name"), F.coalesce("aliases", empty)), normalize_name)
     names = entities.select("kb_id", "entity_id", F.explode(F.array_distinct(names)).alias("name")).where(F.length("name") >= 2)
-    names = written(names, "names")
-    cut = F.when(F.length("name") > GRAM, pieces(F.col("name"), GRAM)).otherwise(F.array("name"))
-    grams = names.select("kb_id", "name").distinct().select("kb_id", "name", F.explode(cut).alias("gram"))
-    counted = dealt_anew(grams.groupBy("kb_id", "gram").agg(F.count("*").alias("n")), "kb_id", "gram")
-    rarest = grams.join(counted, ["kb_id", "gram"]).groupBy("kb_id", "name").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
-    return names.join(rarest, ["kb_id", "name"]).select("kb_id", "gram", "name", "entity_id")
+    size = F.least(F.length("name"), F.lit(HEAD)).alias("size")
+    return names.select("kb_id", F.xxhash64("kb_id", F.substring("name", 1, HEAD)).alias("key"), size, "name", "entity_id")
 
 
 def indexed_seeds(questions: DataFrame, index: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
-    """The seeds of any number of questions by an equi join of their pieces with a stored name_index; what meets is
-    verified on the question's text."""
+    """The seeds of any number of questions by an equi join of their pieces with a stored name_index, of the sizes that
+    are in it; what meets is verified on the question's text."""
     limit = settings.limits()["max_nodes"]
     asked = written(questions.select("query_id", "kb_id", normalize_name(F.col("question")).alias("plain")), "questions")
-    cut = F.concat(*[pieces(F.col("plain"), size) for size in range(2, GRAM + 1)])
-    met = asked.select("query_id", "kb_id", F.explode(cut).alias("gram")).join(index, ["kb_id", "gram"]).select("query_id", "kb_id", "name", "entity_id")
-    hit = met.join(asked.select("query_id", "plain"), "query_id").where(F.col("plain").contains(F.col("name"))).select("query_id", "kb_id", "entity_id").distinct()
+    sizes = sorted(r[0] for r in index.select("size").distinct().collect())  # HEAD at most
+    sized = asked.select("query_id", "kb_id", "plain", F.explode(F.array(*map(F.lit, sizes)).cast("array<int>")).alias("size")).where(F.length("plain") >= F.col("size"))
+    cut = F.transform(F.sequence(F.lit(1), F.length("plain") - F.col("size") + 1), lambda i: F.xxhash64("kb_id", F.substring("plain", i, F.col("size"))))
+    met = sized.select("query_id", F.explode(F.array_distinct(cut)).alias("key")).join(index.select("kb_id", "key", "name", "entity_id"), "key").drop("key")
+    hit = met.join(asked, ["query_id", "kb_id"]).where(F.col("plain").contains(F.col("name"))).select("query_id", "kb_id", "entity_id").distinct()
     order = Window.partitionBy("query_id").orderBy("entity_id")
     return hit.withColumn("n", F.row_number().over(order)).where(F.col("n") <= limit).select("query_id", "kb_id", "entity_id")
 

@@ -77,3 +77,18 @@ def test_indexed_seeds_equal_a_search_of_all_names(spark):
     want = sorted(map(tuple, G.seeds(questions, ents, Settings(max_nodes=6)).collect()))
     assert sorted(map(tuple, got.collect())) == want and want
     assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_indexed_seeds_meet_no_names_that_only_share_parts(spark, monkeypatch):
+    """What meets does not grow with the names of a knowledge base that share all of their short pieces."""
+    names = [f"supplier {k:09d}" for k in range(3000)] + ["x" * 70 + "a", "x" * 70 + "b", "x" * 64]
+    ents = spark.createDataFrame([(1, k, name, None) for k, name in enumerate(names)], "kb_id long, entity_id long, canonical_name string, aliases array<string>")
+    asked = [(q, 1, f"which parts does {names[q * 29]} supply?") for q in range(100)] + [(100, 1, "x" * 70 + "b?"), (101, 2, names[5]), (102, 1, None)]
+    questions = spark.createDataFrame(asked, "query_id long, kb_id long, question string")
+    frame = type(questions)
+    met, plain = [], frame.join
+    monkeypatch.setattr(frame, "join", lambda self, *a, **k: met.append(plain(self, *a, **k)) or met[-1])
+    got = sorted(map(tuple, G.indexed_seeds(questions, G.name_index(ents)).collect()))
+    monkeypatch.undo()
+    assert got == [(q, 1, q * 29) for q in range(100)] + [(100, 1, 3001), (100, 1, 3002)]
+    assert max(df.count() for df in met) <= len(got) + 1  # the other name of the same HEAD characters
