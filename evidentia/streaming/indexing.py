@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, Settings
+from ..operators.chunking import chunk
 from ..operators.entities import parse_extraction
 from ..operators.keyed import CHUNKS, DOCUMENTS, Held, Store
 from ..operators.store import reindex
 from ..plans.models import ChatModel, Embedder, embed_column, extract_graph
 from ..session import written
-from .ingest import LANDED, ingest_now
+from .ingest import LANDED, checked
 
 #: Positions of a document's chunks; a chunk's id is that of its document and its position.
 CHUNK_IDS = 1_000_000
@@ -21,6 +22,21 @@ def _columns(schema: str) -> list[str]:
     return [c.split(" ")[0] for c in schema.split(", ")]
 
 
+def _fresh(documents: DataFrame, stored: DataFrame) -> DataFrame:
+    """The newest version of each document, without those that are older than the stored one, or as old and ready.
+
+    Keys tell which are given twice or stale, so texts move only if some are.
+    """
+    twice = documents.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
+    if twice:
+        newest = F.max_by(F.struct(*[c for c in documents.columns if c != "doc_id"]), "index_version")
+        documents = written(documents.groupBy("doc_id").agg(newest.alias("d")).select("doc_id", "d.*"), "newest")
+    known = stored.select("doc_id", F.col("index_version").alias("have"), F.col("status").alias("was"))
+    stale = (F.col("index_version") < F.col("have")) | ((F.col("index_version") == F.col("have")) & (F.col("was") == "ready"))
+    old = written(documents.select("doc_id", "index_version").join(known, "doc_id").where(stale).select("doc_id"), "stale")
+    return written(documents.join(old, "doc_id", "left_anti"), "fresh") if old.limit(1).count() else documents
+
+
 def indexed(held: Held, documents: DataFrame, embedder: Embedder, model: ChatModel, settings: Settings = DEFAULTS) -> Held:
     """The tables after `documents` (the columns of a landed one) were indexed: chunks with vectors, what a model found in
     them merged into the graph, and what they held before gone.
@@ -30,16 +46,14 @@ def indexed(held: Held, documents: DataFrame, embedder: Embedder, model: ChatMod
     the knowledge base that it was first given to.
     """
     spark = documents.sparkSession
-    stored = held.documents.select("doc_id", F.col("index_version").alias("have"), F.col("status").alias("was"))
-    newest = documents.groupBy("doc_id").agg(F.max_by(F.struct(*[c for c in documents.columns if c != "doc_id"]), "index_version").alias("d")).select("doc_id", "d.*")
-    stale = (F.col("index_version") < F.col("have")) | ((F.col("index_version") == F.col("have")) & (F.col("was") == "ready"))
-    fresh = written(newest.join(stored, "doc_id", "left").where(~F.coalesce(stale, F.lit(False))).drop("have", "was"), "fresh")
-    chunks, state = ingest_now(fresh, settings)
+    fresh = checked(_fresh(documents, held.documents))
+    told = fresh.select(*_columns(DOCUMENTS))
+    chunks = chunk(fresh.where("status = 'ready'").select("kb_id", "doc_id", "title", "text"), settings)
     chunks = chunks.select("kb_id", (F.col("doc_id") * CHUNK_IDS + F.col("position")).alias("chunk_id"), "doc_id", "position", "title", "content")
-    chunks = written(chunks.withColumn("embedding", embed_column(spark, embedder, F.col("content"))), "chunks")
+    chunks = chunks.withColumn("embedding", embed_column(spark, embedder, F.col("content")))
+    chunks = written(chunks, "chunks") if settings.graph_enabled else chunks  # else they are read once, to be stored
     answers = extract_graph(chunks, model) if settings.graph_enabled else spark.createDataFrame([], "chunk_id long, answer string")
     extraction = parse_extraction(answers).join(chunks.select("chunk_id", "kb_id"), "chunk_id")
-    told = fresh.join(state.select("doc_id", "status", "reason"), "doc_id").select(*_columns(DOCUMENTS))
     before = held.documents.join(told.select("doc_id"), "doc_id", "left_anti").unionByName(told)
     vectors = (lambda text: embed_column(spark, embedder, text)) if settings.semantic_resolution else None
     _, kept, graph = reindex(held.graph, held.documents, held.chunks, fresh.select("doc_id", "kb_id", "text"), chunks.select(*_columns(CHUNKS)), written(extraction, "extraction"), settings, vectors)

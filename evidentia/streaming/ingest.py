@@ -26,6 +26,12 @@ def _refusal() -> Column:
     )
 
 
+def checked(documents: DataFrame) -> DataFrame:
+    """Documents with their status, ready or failed, and the reason why one cannot be taken in."""
+    rows = documents.withColumn("reason", F.substring(_refusal(), 1, REASON_LENGTH))
+    return rows.withColumn("status", F.when(F.col("reason").isNull(), "ready").otherwise("failed"))
+
+
 def ingest_now(documents: DataFrame, settings: Settings = DEFAULTS) -> tuple[DataFrame, DataFrame]:
     """Chunks, and the state (doc_id, index_version, status, reason) of documents (DOCUMENT), in one batch.
 
@@ -34,9 +40,9 @@ def ingest_now(documents: DataFrame, settings: Settings = DEFAULTS) -> tuple[Dat
     """
     columns = [x.split(" ")[0] for x in DOCUMENT.split(", ")]
     rows = documents.select(*[F.col(c) if c in documents.columns else F.lit(None).cast("map<string,string>" if c == "metadata" else "string").alias(c) for c in columns])
-    newest = rows.groupBy("doc_id").agg(F.max_by(F.struct(*columns[1:]), "index_version").alias("d")).select("doc_id", "d.*").withColumn("reason", _refusal())
-    state = newest.select("doc_id", "index_version", F.when(F.col("reason").isNull(), "ready").otherwise("failed").alias("status"), F.substring("reason", 1, REASON_LENGTH).alias("reason"))
-    return chunk(newest.where("reason IS NULL").drop("reason"), settings), state
+    newest = checked(rows.groupBy("doc_id").agg(F.max_by(F.struct(*columns[1:]), "index_version").alias("d")).select("doc_id", "d.*"))
+    state = newest.select("doc_id", "index_version", "status", "reason")
+    return chunk(newest.where("status = 'ready'").drop("status", "reason"), settings), state
 
 
 def current_jobs(jobs: DataFrame, documents: DataFrame) -> DataFrame:

@@ -125,3 +125,24 @@ def test_two_writers(spark, tmp_path):
         t.join()
     ids = [r.entity_id for r in store.load().graph.entities.collect()]
     assert len(ids) == len(set(ids)) and {"Nina1", "Olaf3"} <= {r.canonical_name for r in store.load().graph.entities.collect()}
+
+
+def test_texts_do_not_move_unless_documents_are_given_twice_or_again(spark, tmp_path):
+    """New documents are chunked where they are read, whatever is stored; twice given and stale ones are still told apart."""
+    from evidentia.session import written
+    from evidentia.streaming.indexing import indexed
+
+    plain, store = Settings(chunk_size=200, chunk_overlap=20), Store(spark, str(tmp_path / "s"), 4)
+    index_batch(store, landed(spark, *FIRST[:3]), EMBEDDER, MODEL, plain)
+    held, limit = store.load([1, 2, 3]), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        after = indexed(held, written(landed(spark, *FIRST[3:]), "landed"), EMBEDDER, MODEL, plain)
+        assert "Exchange" not in after.chunks._jdf.queryExecution().executedPlan().toString()
+        assert sorted({r.doc_id for r in after.chunks.collect()}) == [1, 2, 3, 5] and after.documents.count() == 5
+        more = [doc(6, 1, "one"), doc(6, 1, "two", index_version=2), doc(2, 1, "same"), doc(1, 1, "older", index_version=0), doc(3, 2, "newer", index_version=2)]
+        after = indexed(held, written(landed(spark, *more), "landed"), EMBEDDER, MODEL, plain)
+        assert sorted((r.doc_id, r.content) for r in after.chunks.collect() if r.doc_id != 1) == [(2, "Bob meets Cid."), (3, "newer"), (6, "two")]
+        assert sorted((r.doc_id, r.index_version) for r in after.documents.collect()) == [(1, 1), (2, 1), (3, 2), (6, 2)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
