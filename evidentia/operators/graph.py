@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, Settings
-from ..functions.scalar import cosine, normalize_name
+from ..functions.scalar import normalize_name
 from ..session import written
 from .components import dealt_anew
 from .retrieval import bounded
+from .search import vector_best
 
 #: Characters of a name by which it is found.
 HEAD = 64
@@ -113,13 +114,25 @@ def evidence_chunks(found: DataFrame, evidence: DataFrame) -> DataFrame:
 
 
 def community_search(queries: DataFrame, communities: DataFrame, k: int = 5) -> DataFrame:
-    """The k communities of the kb that are most similar to the question; ties go to the finer level, then the id."""
+    """The k communities of the kb that are most similar to the question; ties go to the finer level, then the id.
+
+    Communities are scored where they lie; a task keeps the first k of each question and level.
+    """
     k = min(max(k, 1), 10)
-    asked = bounded(queries.select("query_id", "kb_id", "qvec"))
-    scored = communities.join(asked, "kb_id").withColumn("score", cosine(F.col("embedding"), F.col("qvec")))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "level", "community_id")
-    ranked = scored.withColumn("position", F.row_number().over(order).cast("bigint")).where(F.col("position") <= k)
-    return ranked.select("query_id", "kb_id", "community_id", "level", F.round("score", 5).alias("score"), "position")
+    levels = [r[0] for r in communities.select("level").distinct().collect()]  # a handful
+    asked = queries.select("query_id", "kb_id", "qvec")
+    found = None
+    for level in levels:
+        of = F.col("level").eqNullSafe(F.lit(level))
+        own = vector_best(asked, communities.where(of).select("kb_id", F.col("community_id").alias("chunk_id"), "embedding"), k)
+        own = own.withColumn("level", F.lit(level).cast(communities.schema["level"].dataType))
+        found = own if found is None else found.unionByName(own)
+    if found is None:
+        found = communities.limit(0).select(F.col("community_id").alias("query_id"), F.col("community_id").alias("chunk_id"), F.lit(0.0).alias("score"), "level")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "level", "chunk_id")
+    ranked = found.withColumn("position", F.row_number().over(order).cast("bigint")).where(F.col("position") <= k)
+    ranked = ranked.join(asked.select("query_id", "kb_id"), "query_id")
+    return ranked.select("query_id", "kb_id", F.col("chunk_id").alias("community_id"), "level", F.round("score", 5).alias("score"), "position")
 
 
 def community_chunks(selected: DataFrame, members: DataFrame, edges: DataFrame, evidence: DataFrame) -> DataFrame:
