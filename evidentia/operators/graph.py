@@ -9,7 +9,7 @@ from ..config import DEFAULTS, Settings
 from ..functions.scalar import normalize_name
 from ..session import written
 from .components import dealt_anew
-from .retrieval import bounded
+from .retrieval import bounded, spread
 from .search import vector_best
 
 #: Characters of a name by which it is found.
@@ -47,13 +47,20 @@ def name_index(entities: DataFrame) -> DataFrame:
 
 def indexed_seeds(questions: DataFrame, index: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """The seeds of any number of questions by an equi join of their pieces with a stored name_index, of the sizes that
-    are in it; what meets is verified on the question's text."""
+    are in it; what meets is verified on the question's text.
+
+    A question has hundreds of pieces, so neither side is sent whole to any task, whatever the planner takes the few bytes
+    of the questions for. Of the entities that share a name only the first max_nodes can be seeds; others meet nothing.
+    """
     limit = settings.limits()["max_nodes"]
     asked = written(questions.select("query_id", "kb_id", normalize_name(F.col("question")).alias("plain")), "questions")
     sizes = sorted(r[0] for r in index.select("size").distinct().collect())  # HEAD at most
-    sized = asked.select("query_id", "kb_id", "plain", F.explode(F.array(*map(F.lit, sizes)).cast("array<int>")).alias("size")).where(F.length("plain") >= F.col("size"))
+    sized = spread(asked).select("query_id", "kb_id", "plain", F.explode(F.array(*map(F.lit, sizes)).cast("array<int>")).alias("size")).where(F.length("plain") >= F.col("size"))
     cut = F.transform(F.sequence(F.lit(1), F.length("plain") - F.col("size") + 1), lambda i: F.xxhash64("kb_id", F.substring("plain", i, F.col("size"))))
-    met = sized.select("query_id", F.explode(F.array_distinct(cut)).alias("key")).join(index.select("kb_id", "key", "name", "entity_id"), "key").drop("key")
+    pieces = sized.select("query_id", F.explode(F.array_distinct(cut)).alias("key"))
+    alike = Window.partitionBy("key", "kb_id", "name").orderBy("entity_id")
+    names = index.select("kb_id", "key", "name", "entity_id").repartition("key").withColumn("n", F.dense_rank().over(alike)).where(F.col("n") <= limit).drop("n")
+    met = pieces.hint("merge").join(names, "key").drop("key")
     hit = met.join(asked, ["query_id", "kb_id"]).where(F.col("plain").contains(F.col("name"))).select("query_id", "kb_id", "entity_id").distinct()
     order = Window.partitionBy("query_id").orderBy("entity_id")
     return hit.withColumn("n", F.row_number().over(order)).where(F.col("n") <= limit).select("query_id", "kb_id", "entity_id")

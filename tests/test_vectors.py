@@ -92,3 +92,17 @@ def test_indexed_seeds_meet_no_names_that_only_share_parts(spark, monkeypatch):
     monkeypatch.undo()
     assert got == [(q, 1, q * 29) for q in range(100)] + [(100, 1, 3001), (100, 1, 3002)]
     assert max(df.count() for df in met) <= len(got) + 1  # the other name of the same HEAD characters
+
+
+def test_indexed_seeds_send_no_pieces_to_all_tasks_and_meet_few_of_one_name(spark, monkeypatch):
+    """However few bytes the questions are, their pieces are not broadcast; entities of one name meet as max_nodes at most."""
+    ents = spark.createDataFrame([(1, k, "One Name", [f"n{k}"]) for k in range(200)], "kb_id long, entity_id long, canonical_name string, aliases array<string>")
+    questions = spark.createDataFrame([(q, 1, f"one-name, n{q}?") for q in range(100, 130)], "query_id long, kb_id long, question string")
+    frame = type(questions)
+    met, plain = [], frame.join
+    monkeypatch.setattr(frame, "join", lambda self, *a, **k: met.append(plain(self, *a, **k)) or met[-1])
+    got = sorted(map(tuple, G.indexed_seeds(questions, G.name_index(ents), Settings(max_nodes=6)).collect()))
+    monkeypatch.undo()
+    assert got == sorted(map(tuple, G.seeds(questions, ents, Settings(max_nodes=6)).collect()))
+    assert met[0].count() <= 30 * (6 + 3)
+    assert "SortMergeJoin" in met[0]._jdf.queryExecution().sparkPlan().toString()
