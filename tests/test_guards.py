@@ -156,3 +156,55 @@ def test_waiting_rows_are_packed():
     assert seen == sorted((a, f, i) for a, i, f in rows if a <= 4_000_000)
     list(kept.handleExpiredTimer((1,), Times(10_000), None))
     assert seen == sorted((a, f, i) for a, i, f in rows) and not kept.waiting.values
+
+
+def test_what_waits_is_not_read_to_add_to_it():
+    """Adding a piece touches that piece alone; a list state is read for each value that is added."""
+
+    class State:
+        def __init__(self):
+            self.values, self.cost = {}, 0
+
+        def exists(self, *key):
+            return bool(self.values)
+
+        def get(self):
+            self.cost += sum(len(v[0]) for v in self.values.values() if isinstance(v[0], bytes))
+            return iter(list(self.values.values())) if None not in self.values else self.values[None]
+
+        def appendList(self, more):
+            for v in more:
+                self.cost += len(v[0]) + sum(len(x[0]) for x in self.values.values())
+                self.values[len(self.values)] = v
+
+        def updateValue(self, key, value):
+            self.cost += len(value[0])
+            self.values[key] = value
+
+        def update(self, value):
+            self.values = {None: value}
+
+        def clear(self):
+            self.values = {}
+
+    class Handle:
+        def __init__(self):
+            self.made = []
+
+        def _state(self, *schema):
+            self.made.append(State())
+            return self.made[-1]
+
+        getListState = getMapState = getValueState = _state
+
+    import pandas as pd
+
+    kept, handle = G.InOrder(), Handle()
+    kept.init(handle)
+    kept.wake = lambda at: None
+    for part in range(40):
+        frames = (pd.DataFrame({"at": range(part * 10**4 + k, part * 10**4 + k + 2000), "id": range(2000), "flag": [1] * 2000}) for k in range(0, 10**4, 2000))
+        list(kept.handleInputRows((1,), frames, None))
+    assert sum(len(v[0]) for v in handle.made[0].values.values()) == 40 * 10**4 * 24
+    assert sum(s.cost for s in handle.made) <= 2 * 40 * 10**4 * 24
+    assert len(handle.made[0].values) == 40
