@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, Settings
 from ..functions.scalar import normalize_name
-from ..session import written
+from ..session import ship, written
 from .components import dealt_anew
-from .retrieval import bounded, spread
+from .retrieval import MOST_QUESTIONS, bounded, spread
 from .search import vector_best
 
 #: Characters of a name by which it is found.
 HEAD = 64
+#: Rows of evidence that a task deals with at a time, and what it makes of them.
+FIRST_ROWS = 1 << 14
+FIRST = "chunk_id long, c double, r long, e long, queries array<long>"
 
 
 def seeds(questions: DataFrame, entities: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
@@ -146,7 +153,8 @@ def community_chunks(selected: DataFrame, members: DataFrame, edges: DataFrame,
     """(query_id, chunk_id, rank) of chunks that prove edges between members of the selected communities.
 
     Entities of the same selected communities are alike to all questions, so edges meet the sets of communities at their
-    ends, one row an edge, and questions only join once the pairs of sets are known that have any.
+    ends, one row an edge, and questions only join once the pairs of sets are known that have any. All questions order
+    evidence alike, so a row of it is placed once, with the list of the questions for which it is a chunk's first.
     """
     chosen = written(selected.select("query_id", "community_id").distinct(), "selected")
     inside = members.join(bounded(chosen.select("community_id").distinct()), "community_id")
@@ -158,9 +166,87 @@ def community_chunks(selected: DataFrame, members: DataFrame, edges: DataFrame,
     placed = written(edges.select("relationship_id", "source", "target").join(own("source"), "source").join(own("target"), "target").select("relationship_id", "source_set", "target_set"), "inner-edges")
     pairs = placed.select("source_set", "target_set").distinct()
     pairs = pairs.join(asked.withColumnRenamed("set_id", "source_set"), "source_set").join(asked.withColumnRenamed("set_id", "target_set"), ["query_id", "target_set"])
-    pairs = pairs.groupBy("source_set", "target_set").agg(F.collect_list("query_id").alias("queries"))
-    both = placed.join(dealt_anew(pairs, "source_set", "target_set"), ["source_set", "target_set"]).select("relationship_id", "queries")
-    rows = both.join(evidence, "relationship_id").withColumn("query_id", F.explode("queries"))
-    first = rows.groupBy("query_id", "chunk_id").agg(F.min(F.struct((-F.col("confidence")).alias("c"), "relationship_id", "evidence_id")).alias("at"))
-    order = Window.partitionBy("query_id").orderBy("at")
-    return first.select("query_id", "chunk_id", F.row_number().over(order).cast("bigint").alias("rank"))
+    pairs = pairs.groupBy("source_set", "target_set").agg(F.collect_list(F.col("query_id").cast("long")).alias("queries"))
+    pairs = written(pairs.withColumn("pair_id", F.monotonically_increasing_id()), "set-pairs")
+    both = placed.join(dealt_anew(pairs.drop("queries"), "source_set", "target_set"), ["source_set", "target_set"]).select("relationship_id", "pair_id")
+    rows = both.join(evidence, "relationship_id").select("chunk_id", "pair_id", F.struct((-F.col("confidence")).alias("c"), F.col("relationship_id").alias("r"), F.col("evidence_id").alias("e")).alias("at"))
+    least = rows.repartition("chunk_id").groupBy("chunk_id", "pair_id").agg(F.min("at").alias("at"))
+    few = pairs.limit(MOST_QUESTIONS + 1).count() <= MOST_QUESTIONS
+    own = least.join(F.broadcast(pairs) if few else pairs, "pair_id").select("chunk_id", "at.*", "queries")
+    own = own if few else own.repartition("chunk_id")
+    ship(edges.sparkSession)
+    columns = [F.col("chunk_id").cast("long").alias("chunk_id"), F.col("c").cast("double").alias("c"), F.col("r").cast("long").alias("r"), F.col("e").cast("long").alias("e"), "queries"]
+    first = own.select(*columns).sortWithinPartitions("chunk_id", "c", "r", "e").mapInArrow(_firsts, FIRST)
+    return _placed(written(first, "first"))
+
+
+def _placed(first: DataFrame) -> DataFrame:
+    """(query_id, chunk_id, rank) of rows (chunk_id, c, r, e, queries), whose order (c, r, e) is one for all questions.
+
+    Rows are dealt by ranges of the order, and each range is told how many rows of a question stand before it; so a row
+    moves once for all of its questions.
+    """
+    order, n = ["c", "r", "e"], int(first.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = written(first.repartitionByRange(n, *order).withColumn("part", F.spark_partition_id()), "dealt")
+    counts = dealt.select("part", F.explode("queries").alias("query_id")).groupBy("part", "query_id").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("query_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    skips = counts.select("part", "query_id", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("skip"))
+    starts = skips.groupBy("part").agg(F.array_sort(F.collect_list(F.struct("query_id", "skip"))).alias("s"))
+    starts = starts.select("part", F.lit(0).alias("kind"), F.col("s.query_id").alias("queries"), F.col("s.skip").alias("skips"))
+    stream = starts.unionByName(dealt.withColumn("kind", F.lit(1)), True)
+    return stream.repartition(n, "part").sortWithinPartitions("part", "kind", *order).mapInArrow(_ranked, "query_id long, chunk_id long, rank long")
+
+
+def _firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in order of chunk and place; a question stays with the first row of a chunk that has it."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= FIRST_ROWS:
+            rows = pa.Table.from_batches(held)
+            chunk = rows["chunk_id"].to_numpy()
+            end = int(np.searchsorted(chunk, chunk[-1]))  # the last chunk may go on
+            if end:
+                yield _own(rows.slice(0, end))
+            held, n = rows.slice(end).to_batches(), n - end
+    if n:
+        yield _own(pa.Table.from_batches(held))
+
+
+def _own(rows: pa.Table) -> pa.RecordBatch:
+    rows = rows.combine_chunks()
+    lists = rows["queries"].combine_chunks()
+    row = np.repeat(np.arange(len(rows)), lists.value_lengths().to_numpy())
+    flat = lists.flatten().to_numpy()
+    chunk, (ids, query) = np.unique(rows["chunk_id"].to_numpy(), return_inverse=True)[1], np.unique(flat, return_inverse=True)
+    kept = np.sort(np.unique(chunk[row] * len(ids) + query, return_index=True)[1])
+    sizes = np.bincount(row[kept], minlength=len(rows))
+    some = np.flatnonzero(sizes)
+    queries = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes[some])]), pa.int32()), pa.array(flat[kept]))
+    told = rows.drop_columns(["queries"]).take(pa.array(some)).combine_chunks().to_batches()[0]
+    return pa.RecordBatch.from_arrays([*told.columns, queries], names=[*told.schema.names, "queries"])
+
+
+def _ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    ids = counts = None
+    for batch in batches:
+        c = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
+        own, kind = c["part"].to_numpy(), c["kind"].to_numpy()
+        ends = np.flatnonzero((np.diff(own) != 0) | (np.diff(kind) != 0)) + 1
+        for a, b in zip([0, *ends], [*ends, len(own)], strict=True):
+            if a == b:
+                continue
+            lists = c["queries"].slice(a, b - a)
+            flat = lists.flatten().to_numpy()
+            if kind[a] == 0:
+                ids, counts = flat, c["skips"].slice(a, b - a).flatten().to_numpy().copy()
+                continue
+            at = np.searchsorted(ids, flat)
+            order = np.argsort(at, kind="stable")
+            found = np.bincount(at, minlength=len(ids))
+            number = np.empty(len(at), dtype=np.int64)
+            number[order] = np.arange(len(at)) - np.repeat(np.cumsum(found) - found, found)
+            chunks = np.repeat(c["chunk_id"].slice(a, b - a).to_numpy(), lists.value_lengths().to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(chunks), pa.array(counts[at] + number + 1)], names=["query_id", "chunk_id", "rank"])
+            counts += found
